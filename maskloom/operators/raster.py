@@ -117,22 +117,50 @@ def overlay(px: DataFrame, mask: DataFrame, keys=SCENE) -> DataFrame:
         for b, v in OVERLAY_RGB.items()])
 
 
-def nearest(df: DataFrame, h: int, w: int, keys=SCENE) -> DataFrame:
-    """Nearest-neighbour resampling to ``h`` x ``w``: for masks.
+def nearest(df: DataFrame, h: int | Column, w: int | Column) -> DataFrame:
+    """Nearest-neighbour resampling to ``h`` x ``w`` (numbers or columns): for masks.
 
     Every source pixel emits the target pixels that read it, so no coordinate join is needed.
     """
 
-    def targets(c: Column, size: Column, n: int) -> Column:
+    h, w = (v if isinstance(v, Column) else F.lit(v) for v in (h, w))
+
+    def targets(c: Column, size: Column, n: Column) -> Column:
         first = F.ceil(c * n / size)
-        stop = F.least(F.lit(n), F.ceil((c + 1) * n / size)) - 1
+        stop = F.least(n, F.ceil((c + 1) * n / size)) - 1
         return F.when(first <= stop, F.sequence(first, stop))
 
     ys = targets(F.col("y"), F.col("h"), h)
     xs = targets(F.col("x"), F.col("w"), w)
     return (df.withColumn("_y", F.explode(ys)).withColumn("_x", F.explode(xs))
             .withColumns({"y": F.col("_y").cast("int"), "x": F.col("_x").cast("int"),
-                          "h": F.lit(h), "w": F.lit(w)}).drop("_y", "_x"))
+                          "h": h, "w": w}).drop("_y", "_x"))
+
+
+def bilinear(df: DataFrame, value: str, classes: int, h: int, w: int, by) -> DataFrame:
+    """Bilinear resampling of score arrays to ``h`` x ``w``.
+
+    Every source pixel sends its weight to the target pixels it contributes to; the targets add up.
+    """
+    def shares(c: Column, size: Column, n: int) -> Column:
+        def place(t: Column) -> Column:
+            at = F.greatest(F.lit(0.0), F.least((size - 1).cast("double"),
+                                                (t + 0.5) * size / n - 0.5))
+            return F.greatest(F.lit(0.0), 1 - F.abs(at - c))
+        first = F.greatest(F.lit(0), F.floor((c - 0.5) * n / size - 0.5))
+        last = F.least(F.lit(n - 1), F.ceil((c + 1.5) * n / size - 0.5))
+        low = F.when(c == 0, F.lit(0)).otherwise(first)
+        high = F.when(c == size - 1, F.lit(n - 1)).otherwise(last)
+        cells = F.transform(F.sequence(low, high),
+                            lambda t: F.struct(t.cast("int").alias("t"), place(t).alias("k")))
+        return F.filter(cells, lambda s: s["k"] > 0)
+
+    d = (df.withColumn("_y", F.explode(shares(F.col("y"), F.col("h"), h)))
+         .withColumn("_x", F.explode(shares(F.col("x"), F.col("w"), w))))
+    k = F.col("_y.k") * F.col("_x.k")
+    s = d.groupBy(*by, F.col("_y.t").alias("y"), F.col("_x.t").alias("x")).agg(
+        F.array(*[F.sum(k * F.col(value)[c]) for c in range(classes)]).alias(value))
+    return s.withColumns({"h": F.lit(h), "w": F.lit(w)})
 
 
 def block_mean(px: DataFrame, values, factor: int, keys=SCENE) -> DataFrame:
@@ -236,3 +264,10 @@ def regional_uncertainty(pred: DataFrame, classes: int, keys=SCENE, tile: int =
     impurity = -reduce(lambda a, b: a + b, [s * F.ln(s + F.lit(1e-9)) for s in shares])
     d = core(d.withColumn("_u", impurity * F.col("_e") / F.col("_n")))
     return d.filter("valid = 1").groupBy(*keys).agg(F.avg("_u").alias("score"))
+
+
+def grid_violations(px: DataFrame, masks: DataFrame, source: str, keys=SCENE) -> DataFrame:
+    """Masks whose size is not their image's."""
+    i = px.groupBy(*keys).agg((F.max("y") + 1).alias("ih"), (F.max("x") + 1).alias("iw"))
+    m = masks.groupBy(*keys, source).agg((F.max("y") + 1).alias("mh"), (F.max("x") + 1).alias("mw"))
+    return i.join(m, list(keys)).filter("ih <> mh or iw <> mw")
