@@ -16,6 +16,7 @@ from maskloom.operators import evaluation as V
 from maskloom.operators import labellers as B
 from maskloom.operators import raster as R
 from maskloom.schemas import AGREEMENT_ROUTES
+from maskloom.session import durable
 
 U = S.unit
 
@@ -172,7 +173,7 @@ def n15(spark, sf):
 @check("n16_edge_snap")
 def n16(spark, sf):
     p = D.px(spark, sf)
-    return B.snap_to_edges(p, B.spectral_fusion(p, largest_side=BOUND))
+    return B.snap_to_edges(p, durable(B.spectral_fusion(p, largest_side=BOUND)))
 
 
 CAND = f"""{FUSED}, {S.local_sd('sd2', 'gr', 'u')}, {pct('s2', 'sd2', 'v', 4)},
@@ -192,7 +193,7 @@ bx AS MATERIALIZED (SELECT scene_id, greatest(0, min(x) - 7) AS x0, greatest(0,
 
 def candidates(spark, sf):
     p = D.px(spark, sf)
-    return B.prompt_candidates(p, B.fusion_probability(p))
+    return durable(B.prompt_candidates(p, B.fusion_probability(p)))
 
 
 @check("t2_grid_points", uses="px", sql=f"{CAND} SELECT scene_id, label, rank::INT AS rank, y, x, round(wt, 5) AS weight FROM pts")
@@ -476,13 +477,13 @@ def a35(spark, sf):
 @check("a36_fused_views", uses="prob_px px", sql="""
 , q AS (SELECT a.scene_id, a.y, a.x, list_transform(range(1, 5), lambda i: (a.p[i] + b.p[5 - i]) / 2) AS p
   FROM prob_px a JOIN prob_px b ON a.scene_id = b.scene_id AND a.y = b.y AND b.x = a.x)
-SELECT scene_id, y, x, list_transform(p, lambda v: round(v, 6)) AS p, list_position(list_transform(p, lambda v: round(v, 9)), list_max(list_transform(p, lambda v: round(v, 9)))) - 1 AS cls FROM q""")
+SELECT scene_id, y, x, list_transform(p, lambda v: floor(round(v, 9) * 1e5)::BIGINT) AS p, list_position(list_transform(p, lambda v: round(v, 9)), list_max(list_transform(p, lambda v: round(v, 9)))) - 1 AS cls FROM q""")
 def a36(spark, sf):
     p = D.logit_px(spark, sf).withColumn("p", softmax("z")).drop("z")
     mirrored = p.withColumns({"x": F.col("w") - 1 - F.col("x"), "p": F.reverse("p")})
     v = p.withColumn("flipped", F.lit(False)).unionByName(mirrored.withColumn("flipped", F.lit(True)))
     f = V.fuse_views(v, 4).withColumn("p", F.transform("p", lambda q: F.round(q, 9)))
-    return f.select(*AT, F.transform("p", lambda q: F.round(q, 6)).alias("p"),
+    return f.select(*AT, F.transform("p", lambda q: F.floor(q * 1e5)).alias("p"),
                     (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("cls"))
 
 

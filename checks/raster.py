@@ -12,7 +12,7 @@ from maskloom.operators import components as C
 from maskloom.operators import neighbourhood as N
 from maskloom.operators import raster as R
 from maskloom.operators import statistics as ST
-from maskloom.operators.tiles import core, tiled
+from maskloom.operators.tiles import filter_tiles
 
 BANDS = ("r", "g", "b", "th", "nir")
 AT = ["scene_id", "y", "x"]
@@ -70,15 +70,15 @@ GREY = "gr AS MATERIALIZED (SELECT scene_id, y, x, 0.299::DOUBLE * r + 0.587::DO
 @check("n3_local_sd", uses="px", sql=f""", {GREY}, {S.local_sd('sd', 'gr', 'u')}
 SELECT scene_id, y, x, round(v, 4) AS local_sd FROM sd""")
 def n3(spark, sf):
-    d = tiled(D.px(spark, sf).select(*AT, "h", "w", grey().alias("u")), 3, mirror=True)
-    return core(N.local_sd(d, "u", "s", 7)).select(*AT, F.round("s", 4).alias("local_sd"))
+    d = D.px(spark, sf).select(*AT, "h", "w", grey().alias("u"))
+    return N.local_sd(d, "u", "s", 7).select(*AT, F.round("s", 4).alias("local_sd"))
 
 
 @check("n4_gradient", uses="px", sql=f""", {S.gradient('gm', 'px', 'th')}
 SELECT scene_id, y, x, round(v, 4) AS gradient FROM gm""")
 def n4(spark, sf):
-    d = tiled(D.px(spark, sf).select(*AT, "h", "w", "th"), 1, mirror=True)
-    return core(N.gradient(d, "th", "s")).select(*AT, F.round("s", 4).alias("gradient"))
+    d = D.px(spark, sf).select(*AT, "h", "w", "th")
+    return N.gradient(d, "th", "s").select(*AT, F.round("s", 4).alias("gradient"))
 
 
 @check("n5_gaussian_blur", uses="px", sql=f"""
@@ -86,8 +86,10 @@ def n4(spark, sf):
 SELECT scene_id, y, x, round(b2.v, 4) AS thermal_s2, round(b3.v, 4) AS nir_s3
 FROM b2 JOIN b3 USING (scene_id, y, x)""")
 def n5(spark, sf):
-    d = tiled(D.px(spark, sf).select(*AT, "h", "w", "th", "nir"), 12, mirror=True)
-    d = core(N.blur(N.blur(d, "th", "a", 2), "nir", "c", 3))
+    d = filter_tiles(
+        D.px(spark, sf).select(*AT, "h", "w", "th", "nir"),
+        lambda p: {"a": N.gauss(p["th"], 2), "c": N.gauss(p["nir"], 3)}, ["th", "nir"],
+        {"a": "double", "c": "double"}, 12, mirror=True)
     return d.select(*AT, F.round("a", 4).alias("thermal_s2"), F.round("c", 4).alias("nir_s3"))
 
 
@@ -99,12 +101,14 @@ SELECT scene_id, y, x, d3.m AS dilated, e3.m AS eroded, e3s.m AS eroded_border,
 FROM d3 JOIN e3 USING (scene_id, y, x) JOIN e3s USING (scene_id, y, x) JOIN op USING (scene_id, y, x)
 JOIN cl USING (scene_id, y, x)""")
 def n6(spark, sf):
-    d = tiled(water(spark, sf), 4)
-    d = N.square(d, "m", "dilated", 3, True)
-    d = N.square(d, "m", "eroded", 3, False)
-    d = N.square(d, "m", "eroded_border", 3, False, solid_outside=False)
-    d = N.ellipse_close(N.ellipse_open(d, "m", "opened"), "m", "closed")
-    return core(d).select(*AT, "dilated", "eroded", "eroded_border", "opened", "closed")
+    def shapes(p):
+        m = p["m"]
+        return {"dilated": N.square(m, 3, True), "eroded": N.square(m, 3, False),
+                "eroded_border": N.square(m, 3, False, outside=0.0),
+                "opened": N.ellipses(m, [False, True]), "closed": N.ellipses(m, [True, False])}
+
+    names = ("dilated", "eroded", "eroded_border", "opened", "closed")
+    return filter_tiles(water(spark, sf), shapes, ["m"], dict.fromkeys(names, "int"), 4).select(*AT, *names)
 
 
 @check("n8_components", uses="auto_px", recursive=True, sql=f"""

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.operators.neighbourhood import edges, square
+from maskloom.operators.neighbourhood import outline, square
 from maskloom.operators.raster import nearest
-from maskloom.operators.tiles import SCENE, TILE, core, tiled
+from maskloom.operators.tiles import SCENE, TILE, filter_tiles
 
 
 def pattern_counts(masks: DataFrame, source: str, values: list[str], keys=SCENE) -> DataFrame:
@@ -83,8 +83,13 @@ def pair_boundary_f1(masks: DataFrame, source: str, value: str = "m", tolerance:
                      tile: int = TILE) -> DataFrame:
     """F1 of two mask outlines with ``tolerance`` pixels of slack; null when neither has one."""
     sk = [*keys, source]
-    d = edges(tiled(masks, 1 + tolerance, sk, tile), value, "e", sk)
-    d = core(square(d, "e", "d", 2 * tolerance + 1, True, sk))
+
+    def trace(planes):
+        e = outline(planes[value])
+        return {"e": e, "d": square(e, 2 * tolerance + 1, True)}
+
+    d = filter_tiles(masks.select(*sk, "h", "w", "y", "x", value), trace, [value],
+                     {"e": "int", "d": "int"}, 1 + tolerance, sk, tile)
     p = pattern_pairs(pattern_counts(d, source, ["e", "d"], keys), keys)
     n = F.col("n")
     s = p.groupBy(*keys, F.col("a.s").alias("a"), F.col("b.s").alias("b")).agg(

@@ -9,12 +9,12 @@ large-star and small-star steps (Kiveris et al., "Connected Components in MapRed
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.operators.neighbourhood import square
-from maskloom.operators.tiles import SCENE, TILE, along_x, along_y, core, tiled, with_frame_size
+from maskloom.operators.tiles import SCENE, TILE, filter_tiles, with_frame_size
 from maskloom.session import durable
 
 
@@ -35,12 +35,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def _label_tile(pdf: pd.DataFrame, steps: list[tuple[int, int]]) -> pd.DataFrame:
+def _label_tile(rows: pa.Table, steps: list[tuple[int, int]]) -> pa.Table:
     """Add ``comp``, ``area`` and ``flagged`` to one tile; -1 in ``_v`` marks unlabelled pixels."""
-    index = pdf["y"].to_numpy(np.int64) * int(pdf["w"].iloc[0]) + pdf["x"].to_numpy(np.int64)
-    pdf = pdf.iloc[np.argsort(index, kind="stable")]  # row = rank, so a root is a smallest pixel
-    index = np.sort(index)
-    y, x, v = (pdf[c].to_numpy(np.int64) for c in ("y", "x", "_v"))
+    y, x, v, flag = (rows[c].to_numpy() for c in ("y", "x", "_v", "_flag"))
+    index = y.astype(np.int64) * rows["w"][0].as_py() + x
+    order = np.argsort(index, kind="stable")  # node = rank in reading order, so a root is smallest
+    y, x, v, flag, index = y[order], x[order], v[order], flag[order], index[order]
     gy, gx = y - y.min() + 1, x - x.min() + 1
     grid = np.full((gy.max() + 2, gx.max() + 2), -1, np.int64)
     on = v >= 0
@@ -55,8 +55,12 @@ def _label_tile(pdf: pd.DataFrame, steps: list[tuple[int, int]]) -> pd.DataFrame
     root = _roots(len(y), np.concatenate(tails), np.concatenate(heads))
     area = np.bincount(root, minlength=len(y))
     flagged = np.zeros(len(y), np.int64)
-    np.maximum.at(flagged, root, pdf["_flag"].to_numpy(np.int64))
-    return pdf.assign(comp=np.where(on, index[root], -1), area=area[root], flagged=flagged[root])
+    np.maximum.at(flagged, root, flag.astype(np.int64))
+    out = rows.take(pa.array(order))
+    for name, values in (("comp", np.where(on, index[root], -1)), ("area", area[root]),
+                         ("flagged", flagged[root])):
+        out = out.append_column(name, pa.array(values.astype(np.int64)))
+    return out
 
 
 # Forward neighbours (down, right) for 4 and 8 connectivity.
@@ -102,8 +106,8 @@ def components(df: DataFrame, value: str = "m", connectivity: int = 8, keys=SCEN
         "_flag": F.lit(0) if flag is None else F.coalesce(flag.cast("int"), F.lit(0)),
         "_ty": F.expr(f"int(y div {tile})"), "_tx": F.expr(f"int(x div {tile})")})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
-    cells = d.groupBy(*keys, "_ty", "_tx").applyInPandas(
-        lambda pdf: _label_tile(pdf, steps), schema + ", comp long, area long, flagged long")
+    cells = d.groupBy(*keys, "_ty", "_tx").applyInArrow(
+        lambda rows: _label_tile(rows, steps), schema + ", comp long, area long, flagged long")
     if largest_side is None:
         largest_side = base.agg(F.max(F.greatest("h", "w"))).first()[0] or 0
     if largest_side > tile:
@@ -204,13 +208,15 @@ def row_runs(df: DataFrame, value: str = "m", keys=SCENE) -> DataFrame:
 
 def boundary_fraction(df: DataFrame, value: str = "m", keys=SCENE, tile: int = TILE) -> DataFrame:
     """Changes between neighbouring pixels along rows and columns, per pixel of the frame."""
-    v = F.col(value)
-    d = tiled(df, 1, keys, tile)
-    d = d.withColumn("_c", (v != F.lag(v).over(along_x(keys))).cast("int")).withColumn(
-        "_d", (v != F.lag(v).over(along_y(keys))).cast("int"))
-    steps = F.coalesce("_c", F.lit(0)) + F.coalesce("_d", F.lit(0))
-    return core(d.withColumn("_e", steps)).groupBy(*keys).agg(
-        (F.sum("_e") / F.count("*")).alias("boundary_frac"))
+    def changes(p):
+        a, n = p[value], np.zeros(p[value].shape)
+        n[1:] += a[1:] != a[:-1]
+        n[:, 1:] += a[:, 1:] != a[:, :-1]
+        return {"_e": n}
+
+    d = filter_tiles(df.select(*keys, "h", "w", "y", "x", value), changes, [value], {"_e": "int"}, 1,
+                     keys, tile)
+    return d.groupBy(*keys).agg((F.sum("_e") / F.count("*")).alias("boundary_frac"))
 
 
 def big_component_count(df: DataFrame, value: str = "m", min_pixels: int = 100, keys=SCENE,
@@ -229,9 +235,15 @@ def clean_class(mask: DataFrame, cls: int, keys=SCENE, tile: int = TILE,
     Outside the frame counts as unset here.
     """
     c = F.col("cls")
-    d = tiled(mask.withColumn("_m", (c == cls).cast("int")), 4, keys, tile)
-    for grow in (False, True, True, False):
-        d = square(d, "_m", "_m", 3, grow, keys, solid_outside=False)
-    d = fill_holes(core(d), "_m", "_m", keys, tile=tile, largest_side=largest_side)
+
+    def open_close(p):
+        a = p["_m"]
+        for grow in (False, True, True, False):
+            a = square(a, 3, grow, outside=0.0)
+        return {"_m": a}
+
+    d = filter_tiles(mask.withColumn("_m", (c == cls).cast("int")), open_close, ["_m"],
+                     {"_m": "int"}, 4, keys, tile)
+    d = fill_holes(d, "_m", "_m", keys, tile=tile, largest_side=largest_side)
     new = F.when(F.col("_m") == 1, cls).otherwise(0)
     return d.withColumn("cls", F.when(c.isin(0, cls), new).otherwise(c)).drop("_m")

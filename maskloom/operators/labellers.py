@@ -1,8 +1,8 @@
 """Rule-based water labellers: ``pixels -> 0/1 mask``, registered by name.
 
 A labeller takes a pixel table and returns ``(scene_id, h, w, y, x, m)`` plus, where it cannot
-decide a scene, no rows for it; ``failures`` names those scenes. Each filter chain tiles the frames
-once with the halo of the whole chain, and frame statistics meet the pixels on the tile key.
+decide a scene, no rows for it. Each filter chain tiles the frames once with the halo of the whole
+chain, and frame statistics meet the pixels on the tile key.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from maskloom.functions.scalars import clip, grey, ndwi, sigmoid
 from maskloom.operators.components import drop_small, fill_holes
 from maskloom.operators.neighbourhood import (
-    blur, box_sums, ellipse_close, ellipse_open, gauss_radius, gradient, local_sd, square)
+    blur, box_sum, ellipse_close, ellipse_open, gauss, gauss_radius, local_sd, sobel_length, spread,
+    square_filter)
 from maskloom.operators.raster import between
 from maskloom.operators.statistics import band_long, exact_percentiles, histogram, otsu
-from maskloom.operators.tiles import SCENE, TILE, core, join_scene_stats, tiled
+from maskloom.operators.tiles import SCENE, TILE, filter_tiles, join_scene_stats
 
 GRID = 4  # digits kept of a float map before its percentiles are taken
 
@@ -84,21 +85,19 @@ def frame_statistics(px: DataFrame, keys=SCENE) -> DataFrame:
 
 def fusion_probability(px: DataFrame, params: FusionParams = FusionParams(), keys=SCENE,
                        tile: int = TILE) -> DataFrame:
-    """Water probability of every pixel, with the frame statistics it used.
-
-    Frames are tiled once with the halo of the whole filter chain.
-    """
+    """Water probability of every pixel, with the frame statistics it used."""
     p = params
-    halo = 1 + gauss_radius(2) + gauss_radius(3)
-    d = tiled(px.select(*keys, "h", "w", "y", "x", "r", "g", "b", "th", "nir", grey().alias("grey")),
-              halo, keys, tile, mirror=True)
-    d = blur(gradient(d, "th", "_gm", keys), "_gm", "th_g", 2, keys)
-    d = blur(local_sd(d, "grey", "_sd", 7, keys), "_sd", "tex", 2, keys).drop("_gm", "_sd")
-    maps = _bounds(core(d), {"th_g": F.col("th_g"), "tex": F.col("tex")}, GRID, keys)
+
+    def cues(planes):
+        return {"th_g": gauss(sobel_length(planes["th"]), 2), "tex": gauss(spread(planes["grey"], 7), 2)}
+
+    d = filter_tiles(
+        px.select(*keys, "h", "w", "y", "x", "r", "g", "b", "th", "nir", grey().alias("grey")), cues,
+        ["th", "grey"], {"th_g": "double", "tex": "double"}, 3 + gauss_radius(2), keys, tile, mirror=True)
+    maps = _bounds(d, {"th_g": F.col("th_g"), "tex": F.col("tex")}, GRID, keys)
     stats = frame_statistics(px, keys).join(maps, list(keys))
-    d = join_scene_stats(d, stats, keys, tile)
-    d = blur(d.withColumn("_cool", 1 - _scaled("th_g", F.col("th_g"))), "_cool", "s_th", 3, keys)
-    d = core(d).drop("_cool", "h_", "w_")
+    d = join_scene_stats(d, stats, keys, tile).withColumn("s_th", 1 - _scaled("th_g", F.col("th_g")))
+    d = blur(d, "s_th", "s_th", 3, keys, tile)
 
     nir_n = _scaled("nir", F.col("nir"))
     s_ndwi = clip((clip((ndwi() + 1) / 2) - F.col("ndwi_cut")) / 0.15 + 0.5)
@@ -116,11 +115,11 @@ def fusion_probability(px: DataFrame, params: FusionParams = FusionParams(), key
         prob = prob * F.when(snow, 0.12).otherwise(1.0)
     d = d.withColumns({"prob": prob, "nir_n": nir_n, "spec": F.lit(0)})
     if p.specular:
-        near = square(tiled(d.withColumn("_p", (F.col("prob") > 0.5).cast("int")), 12, keys, tile),
-                      "_p", "_near", 25, True, keys)
+        near = square_filter(d.withColumn("_p", (F.col("prob") > 0.5).cast("int")), "_p", "_near", 25,
+                             True, keys, tile)
         spec = ((mx / 255.0 > 0.75) & (F.col("b") >= F.col("r")) & (F.col("nir_n") < 0.5)
                 & (F.col("_near") == 1) & reliable)
-        d = core(near).withColumn("spec", spec.cast("int")).drop("_p", "_near").withColumn(
+        d = near.withColumn("spec", spec.cast("int")).drop("_p", "_near").withColumn(
             "prob", F.when(F.col("spec") == 1, F.greatest("prob", F.lit(0.85))).otherwise(F.col("prob")))
     if p.horizon:
         cut = (F.col("horizon_row") > 5) & (F.col("y") < F.col("horizon_row"))
@@ -136,7 +135,7 @@ def spectral_fusion(px: DataFrame, params: FusionParams = FusionParams(), keys=S
     d = d.withColumn("m", (F.col("prob") >= params.thresh).cast("int"))
     d = drop_small(d, "m", "m", params.min_area_frac, 8, keys, **kw)
     d = fill_holes(d, "m", "m", keys, **kw)
-    return core(ellipse_open(tiled(d, 4, keys, tile), "m", "m", 1, keys))
+    return ellipse_open(d, "m", "m", 1, keys, tile)
 
 
 def fusion_report(labelled: DataFrame, thresh: float = 0.5, keys=SCENE) -> DataFrame:
@@ -157,10 +156,10 @@ def tidy(d: DataFrame, value: str, opens: int, closes: int, keys=SCENE, tile: in
          largest_side: int | None = None) -> DataFrame:
     """Open, fill holes, close: the clean-up the threshold labellers share."""
     if opens:
-        d = core(ellipse_open(tiled(d, 4 * opens, keys, tile), value, value, opens, keys))
+        d = ellipse_open(d, value, value, opens, keys, tile)
     d = fill_holes(d, value, value, keys, tile=tile, largest_side=largest_side)
     if closes:
-        d = core(ellipse_close(tiled(d, 4 * closes, keys, tile), value, value, closes, keys))
+        d = ellipse_close(d, value, value, closes, keys, tile)
     return d
 
 
@@ -172,10 +171,10 @@ def nir_threshold(px: DataFrame, threshold: float = 0.25, opens: int = 2, keys=S
     """Water is NIR below a share of the frame's range. A flat frame gives no mask."""
     size = px.groupBy(*keys).agg(F.max("h").alias("h"), F.max("w").alias("w"),
                                  F.min("nir").alias("_lo"), F.max("nir").alias("_hi"))
-    d = join_scene_stats(tiled(px.select(*keys, "h", "w", "y", "x", "nir"), 0, keys, tile),
-                         size.filter("_hi > _lo"), keys, tile)
+    d = join_scene_stats(px.select(*keys, "h", "w", "y", "x", "nir"), size.filter("_hi > _lo"), keys,
+                         tile)
     nn = (F.col("nir") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    d = core(d.withColumn("m", (nn < threshold).cast("int"))).select(*keys, *MASK_COLUMNS)
+    d = d.withColumn("m", (nn < threshold).cast("int")).select(*keys, *MASK_COLUMNS)
     return tidy(d, "m", opens, 1, keys, tile, largest_side)
 
 
@@ -194,10 +193,9 @@ def thermal_otsu(px: DataFrame, keys=SCENE, tile: int = TILE,
     size = px.groupBy(*keys).agg(F.max("h").alias("h"), F.max("w").alias("w"))
     stats = size.join(cuts.select(*keys, F.col("th").alias("th_cut"), F.col("nir").alias("nir_cut")),
                       list(keys))
-    d = join_scene_stats(tiled(px.select(*keys, "h", "w", "y", "x", "th", "nir"), 0, keys, tile),
-                         stats, keys, tile)
+    d = join_scene_stats(px.select(*keys, "h", "w", "y", "x", "th", "nir"), stats, keys, tile)
     m = ((F.col("th") < F.col("th_cut")) & (F.col("nir") < F.col("nir_cut"))).cast("int")
-    d = core(d.withColumn("m", m)).select(*keys, *MASK_COLUMNS)
+    d = d.withColumn("m", m).select(*keys, *MASK_COLUMNS)
     return tidy(d, "m", 2, 2, keys, tile, largest_side)
 
 
@@ -233,12 +231,12 @@ def change_score(px: DataFrame, bg: DataFrame, keys=SCENE, tile: int = TILE) ->
     d = d.select(*keys, "h", "w", "y", "x", grey().alias("grey"),
                  F.greatest(F.col("bg_nir") - F.col("nir"), F.lit(0.0)).alias("drop"),
                  F.greatest(ndwi() - ndwi("bg_g", "bg_nir"), F.lit(0.0)).alias("rise"))
-    d = tiled(d, 1 + gauss_radius(2), keys, tile, mirror=True)
-    d = blur(gradient(d, "grey", "_gm", keys), "_gm", "tex", 2, keys).drop("_gm")
+    d = filter_tiles(d, lambda p: {"tex": gauss(sobel_length(p["grey"]), 2)}, ["grey"],
+                     {"tex": "double"}, 1 + gauss_radius(2), keys, tile, mirror=True)
     names = {"drop": F.col("drop"), "rise": F.col("rise"), "tex": F.col("tex")}
     size = px.groupBy(*keys).agg(F.max("h").alias("h"), F.max("w").alias("w"))
-    stats = _bounds(core(d), names, 6, keys).join(size, list(keys))
-    d = core(join_scene_stats(d, stats, keys, tile))
+    stats = _bounds(d, names, 6, keys).join(size, list(keys))
+    d = join_scene_stats(d, stats, keys, tile)
     score = (0.5 * _scaled("drop", F.col("drop")) + 0.35 * _scaled("rise", F.col("rise"))
              + 0.15 * (1 - _scaled("tex", F.col("tex"))))
     return d.select(*keys, "h", "w", "y", "x", F.round(score, 9).alias("score"))
@@ -263,14 +261,15 @@ def snap_to_edges(px: DataFrame, coarse: DataFrame, radius: int = 8, eps: float
     on = [*keys, "y", "x"]
     d = px.select(*on, "h", "w", (F.round(grey()) / 255.0).alias("_i")).join(
         coarse.select(*on, "m", clip(F.greatest("prob", F.col("m").cast("double"))).alias("_p")), on)
-    d = tiled(d, 2 * radius, keys, tile, mirror=True)
-    i, p = F.col("_i"), F.col("_p")
-    d = box_sums(d, {"_si": i, "_sp": p, "_sii": i * i, "_sip": i * p, "_n": F.lit(1)}, radius, keys)
-    mi, mp = F.col("_si") / F.col("_n"), F.col("_sp") / F.col("_n")
-    a = (F.col("_sip") / F.col("_n") - mi * mp) / (F.col("_sii") / F.col("_n") - mi * mi + eps)
-    d = d.withColumn("_a", a).withColumn("_b", mp - F.col("_a") * mi)
-    d = box_sums(d, {"_ma": F.col("_a"), "_mb": F.col("_b"), "_k": F.lit(1)}, radius, keys)
-    d = core(d.withColumn("_f", (F.col("_ma") * i + F.col("_mb")) / F.col("_k")))
+
+    def guided(planes):
+        i, p, n = planes["_i"], planes["_p"], (2 * radius + 1) ** 2
+        mi, mp = box_sum(i, radius) / n, box_sum(p, radius) / n
+        a = (box_sum(i * p, radius) / n - mi * mp) / (box_sum(i * i, radius) / n - mi * mi + eps)
+        b = mp - a * mi
+        return {"_f": (box_sum(a, radius) * i + box_sum(b, radius)) / n}
+
+    d = filter_tiles(d, guided, ["_i", "_p"], {"_f": "double"}, 2 * radius, keys, tile, mirror=True)
     d = d.select(*on, "h", "w", "m", F.round("_f", 6).alias("filtered"))
     cut = exact_percentiles(d.filter("m = 1"), keys, "filtered", {"_q": 0.30})
     scene = d.groupBy(*keys).agg(F.max("filtered").alias("_top")).join(cut, list(keys), "left")
@@ -303,11 +302,10 @@ def prompt_candidates(px: DataFrame, prob: DataFrame, keys=SCENE, tile: int = TI
     """Probability, stretched NIR and texture of each pixel: the material of prompt points."""
     on = [*keys, "y", "x"]
     d = px.select(*on, "h", "w", "nir", grey().alias("grey")).join(prob.select(*on, "prob"), on)
-    d = local_sd(tiled(d, 3, keys, tile, mirror=True), "grey", "tex", 7, keys)
+    d = local_sd(d, "grey", "tex", 7, keys, tile)
     size = px.groupBy(*keys).agg(F.max("h").alias("h"), F.max("w").alias("w"))
-    stats = _bounds(core(d), {"nir": F.col("nir").cast("double"), "tex": F.col("tex")}, GRID,
-                    keys).join(size, list(keys))
-    d = core(join_scene_stats(d, stats, keys, tile))
+    stats = _bounds(d, {"nir": F.col("nir").cast("double"), "tex": F.col("tex")}, GRID, keys).join(size, list(keys))
+    d = join_scene_stats(d, stats, keys, tile)
     score = 0.5 + 0.25 * _scaled("nir", F.col("nir")) + 0.25 * _scaled("tex", F.col("tex"))
     return d.select(*on, "h", "w", "prob", F.round(score, 9).alias("neg"))
 

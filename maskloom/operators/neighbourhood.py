@@ -1,53 +1,44 @@
-"""Filters over a tiled pixel table: box statistics, gradient, blur, morphology."""
+"""Neighbourhood filters: gradient, blur, local spread, morphology, outlines.
+
+The plane functions work on one tile; the DataFrame functions tile a pixel table and apply them.
+"""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.scalars import grey
-from maskloom.operators.tiles import SCENE, TILE, along_x, along_y, core, join_scene_stats, tiled
+from maskloom.operators.tiles import SCENE, TILE, filter_tiles, join_scene_stats
 
+# -- planes ---------------------------------------------------------------------------------------
 
-def _offset(c: Column, k: int, w) -> Column:
-    if k == 0:
-        return c
-    return (F.lead(c, k) if k > 0 else F.lag(c, -k)).over(w)
 
+def _shifts(a: np.ndarray, r: int, axis: int, fill: float):
+    """Views of ``a`` moved by ``-r .. r`` along ``axis``."""
+    pad = [(0, 0), (0, 0)]
+    pad[axis] = (r, r)
+    wide = np.pad(a, pad, constant_values=fill)
+    n = a.shape[axis]
+    return [wide[k:k + n] if axis == 0 else wide[:, k:k + n] for k in range(2 * r + 1)]
 
 
-def box_sums(df: DataFrame, sums: dict[str, Column], radius: int, keys=SCENE) -> DataFrame:
-    """Sums over a square window, one row pass and one column pass for all of them."""
-    wx = along_x(keys).rangeBetween(-radius, radius)
-    wy = along_y(keys).rangeBetween(-radius, radius)
-    d = df.withColumns({f"_b_{k}": F.sum(v).over(wx) for k, v in sums.items()})
-    d = d.withColumns({k: F.sum(f"_b_{k}").over(wy) for k in sums})
-    return d.drop(*[f"_b_{k}" for k in sums])
+def weighted(a: np.ndarray, weights, axis: int) -> np.ndarray:
+    return sum(w * s for w, s in zip(weights, _shifts(a, len(weights) // 2, axis, 0.0)))
 
 
-def local_sd(df: DataFrame, value: str, out: str, size: int = 7, keys=SCENE) -> DataFrame:
-    """Standard deviation in a ``size`` x ``size`` window. Needs a halo of ``size // 2``."""
-    v = F.col(value).cast("double")
-    d = box_sums(df, {"_s": v, "_q": v * v, "_n": F.lit(1)}, size // 2, keys)
-    mean = F.col("_s") / F.col("_n")
-    var = F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))
-    return d.withColumn(out, F.sqrt(var)).drop("_s", "_q", "_n")
+def box_sum(a: np.ndarray, r: int) -> np.ndarray:
+    ones = [1.0] * (2 * r + 1)
+    return weighted(weighted(a, ones, 1), ones, 0)
 
 
-def gradient(df: DataFrame, value: str, out: str, keys=SCENE) -> DataFrame:
-    """Length of the 3x3 Sobel gradient. Needs a halo of 1 with mirrored borders."""
-    v, wx, wy = F.col(value).cast("double"), along_x(keys), along_y(keys)
-    d = df.withColumns({
-        "_dx": _offset(v, 1, wx) - _offset(v, -1, wx),
-        "_sx": _offset(v, -1, wx) + 2 * v + _offset(v, 1, wx)})
-    dx, sx = F.col("_dx"), F.col("_sx")
-    d = d.withColumns({
-        "_gx": _offset(dx, -1, wy) + 2 * dx + _offset(dx, 1, wy),
-        "_gy": _offset(sx, 1, wy) - _offset(sx, -1, wy)})
-    return d.withColumn(out, F.hypot("_gx", "_gy")).drop("_dx", "_sx", "_gx", "_gy")
+def sobel_length(a: np.ndarray) -> np.ndarray:
+    gx = weighted(weighted(a, (-1, 0, 1), 1), (1, 2, 1), 0)
+    gy = weighted(weighted(a, (1, 2, 1), 1), (-1, 0, 1), 0)
+    return np.hypot(gx, gy)
 
 
 def gauss_radius(sigma: float) -> int:
@@ -61,75 +52,93 @@ def gauss_weights(sigma: float) -> list[float]:
     return [v / sum(raw) for v in raw]
 
 
-def blur(df: DataFrame, value: str, out: str, sigma: float, keys=SCENE) -> DataFrame:
-    """Separable Gaussian blur. Needs a mirrored halo of ``gauss_radius(sigma)``."""
-    r, weights = gauss_radius(sigma), gauss_weights(sigma)
+def gauss(a: np.ndarray, sigma: float) -> np.ndarray:
+    w = gauss_weights(sigma)
+    return weighted(weighted(a, w, 1), w, 0)
+
 
-    def weighted(c: Column, w) -> Column:
-        return reduce(lambda a, b: a + b,
-                      [F.lit(weights[k + r]) * _offset(c, k, w) for k in range(-r, r + 1)])
+def spread(a: np.ndarray, size: int) -> np.ndarray:
+    """Standard deviation in a ``size`` x ``size`` window."""
+    n, r = size * size, size // 2
+    mean = box_sum(a, r) / n
+    return np.sqrt(np.maximum(box_sum(a * a, r) / n - mean * mean, 0.0))
 
-    d = df.withColumn("_g", weighted(F.col(value).cast("double"), along_x(keys)))
-    return d.withColumn(out, weighted(F.col("_g"), along_y(keys))).drop("_g")
 
+def extreme(a: np.ndarray, r: int, axis: int, grow: bool, outside: float | None = None) -> np.ndarray:
+    """Largest or smallest value within ``r`` along one axis; beyond the plane nothing counts unless
+    ``outside`` gives it a value."""
+    fill = outside if outside is not None else (-np.inf if grow else np.inf)
+    return (np.maximum if grow else np.minimum).reduce(_shifts(a, r, axis, fill))
 
-def square(df: DataFrame, value: str, out: str, size: int, grow: bool, keys=SCENE,
-           solid_outside: bool = True) -> DataFrame:
-    """Dilate or erode a 0/1 column with a square. Needs a halo of ``size // 2``.
 
-    Pixels outside the frame never matter, unless ``solid_outside`` is off: then an erosion also
-    removes pixels whose window leaves the frame.
-    """
+def square(a: np.ndarray, size: int, grow: bool, outside: float | None = None) -> np.ndarray:
     r = size // 2
-    f = F.max if grow else F.min
-    d = (df.withColumn("_line", f(value).over(along_x(keys).rangeBetween(-r, r)))
-         .withColumn(out, f("_line").over(along_y(keys).rangeBetween(-r, r))).drop("_line"))
-    if not grow and not solid_outside:
-        inside = ((F.col("y") >= r) & (F.col("x") >= r)
-                  & (F.col("y") < F.col("h") - r) & (F.col("x") < F.col("w") - r))
-        d = d.withColumn(out, F.when(inside, F.col(out)).otherwise(0))
-    return d
+    return extreme(extreme(a, r, 1, grow, outside), r, 0, grow, outside)
+
+
+def ellipse(a: np.ndarray, grow: bool) -> np.ndarray:
+    """The 5x5 ellipse: a 5 wide, 3 high block plus one pixel above and below."""
+    pick = np.maximum if grow else np.minimum
+    return pick(extreme(extreme(a, 2, 1, grow), 1, 0, grow), extreme(a, 2, 0, grow))
+
+
+def ellipses(a: np.ndarray, grows) -> np.ndarray:
+    for g in grows:
+        a = ellipse(a, g)
+    return a
+
+
+def outline(a: np.ndarray) -> np.ndarray:
+    """1 where the 3x3 neighbourhood holds both values."""
+    return square(a, 3, True) - square(a, 3, False)
+
+
+# -- pixel tables ---------------------------------------------------------------------------------
+
+
+def local_sd(df: DataFrame, value: str, out: str, size: int = 7, keys=SCENE, tile: int = TILE
+             ) -> DataFrame:
+    return filter_tiles(df, lambda p: {out: spread(p[value], size)}, [value], {out: "double"},
+                        size // 2, keys, tile, mirror=True)
+
 
+def gradient(df: DataFrame, value: str, out: str, keys=SCENE, tile: int = TILE) -> DataFrame:
+    """Length of the 3x3 Sobel gradient."""
+    return filter_tiles(df, lambda p: {out: sobel_length(p[value])}, [value], {out: "double"}, 1,
+                        keys, tile, mirror=True)
 
-def ellipse(df: DataFrame, value: str, out: str, grow: bool, keys=SCENE) -> DataFrame:
-    """Dilate or erode with the 5x5 ellipse: a 5 wide, 3 high block plus one pixel above and below.
 
-    Needs a halo of 2.
-    """
-    f, best = (F.max, F.greatest) if grow else (F.min, F.least)
-    d = df.withColumn("_line", f(value).over(along_x(keys).rangeBetween(-2, 2)))
-    d = d.withColumn(out, best(f("_line").over(along_y(keys).rangeBetween(-1, 1)),
-                               f(value).over(along_y(keys).rangeBetween(-2, 2))))
-    return d.drop("_line")
+def blur(df: DataFrame, value: str, out: str, sigma: float, keys=SCENE, tile: int = TILE) -> DataFrame:
+    return filter_tiles(df, lambda p: {out: gauss(p[value], sigma)}, [value], {out: "double"},
+                        gauss_radius(sigma), keys, tile, mirror=True)
 
 
-def ellipse_open(df, value: str, out: str, passes: int = 1, keys=SCENE) -> DataFrame:
-    """``passes`` erosions, then as many dilations. Needs a halo of ``4 * passes``."""
-    d = df.withColumn(out, F.col(value))
-    for grow in [False] * passes + [True] * passes:
-        d = ellipse(d, out, out, grow, keys)
-    return d
+def square_filter(df: DataFrame, value: str, out: str, size: int, grow: bool, keys=SCENE,
+                  tile: int = TILE) -> DataFrame:
+    """Dilate or erode a 0/1 column with a square."""
+    return filter_tiles(df, lambda p: {out: square(p[value], size, grow)}, [value], {out: "int"},
+                        size // 2, keys, tile)
 
 
-def ellipse_close(df, value: str, out: str, passes: int = 1, keys=SCENE) -> DataFrame:
-    d = df.withColumn(out, F.col(value))
-    for grow in [True] * passes + [False] * passes:
-        d = ellipse(d, out, out, grow, keys)
-    return d
+def ellipse_open(df: DataFrame, value: str, out: str, passes: int = 1, keys=SCENE, tile: int = TILE
+                 ) -> DataFrame:
+    """``passes`` erosions, then as many dilations."""
+    grows = [False] * passes + [True] * passes
+    return filter_tiles(df, lambda p: {out: ellipses(p[value], grows)}, [value], {out: "int"},
+                        4 * passes, keys, tile)
 
 
-def edges(df: DataFrame, value: str, out: str, keys=SCENE) -> DataFrame:
-    """1 where the 3x3 neighbourhood holds both values. Needs a halo of 1."""
-    d = square(df, value, "_hi", 3, True, keys)
-    d = square(d, value, "_lo", 3, False, keys)
-    return d.withColumn(out, F.col("_hi") - F.col("_lo")).drop("_hi", "_lo")
+def ellipse_close(df: DataFrame, value: str, out: str, passes: int = 1, keys=SCENE, tile: int = TILE
+                  ) -> DataFrame:
+    grows = [True] * passes + [False] * passes
+    return filter_tiles(df, lambda p: {out: ellipses(p[value], grows)}, [value], {out: "int"},
+                        4 * passes, keys, tile)
 
 
 def edge_density(px: DataFrame, keys=SCENE, tile: int = TILE) -> DataFrame:
     """Share of pixels whose grey gradient exceeds its frame mean plus one sd."""
-    d = tiled(px.select(*keys, "h", "w", "y", "x", grey().alias("_u")), 1, keys, tile, mirror=True)
-    d = gradient(d, "_u", "_v", keys)
-    cut = core(d).groupBy(*keys).agg((F.avg("_v") + F.stddev_pop("_v")).alias("_cut"),
-                                     F.max("h").alias("h"), F.max("w").alias("w"))
-    d = core(join_scene_stats(d, cut, keys, tile))
+    d = gradient(px.select(*keys, "h", "w", "y", "x", grey().alias("_u")), "_u", "_v", keys, tile)
+    cut = d.groupBy(*keys).agg((F.avg("_v") + F.stddev_pop("_v")).alias("_cut"),
+                               F.max("h").alias("h"), F.max("w").alias("w"))
+    d = join_scene_stats(d, cut, keys, tile)
     return d.groupBy(*keys).agg(F.avg((F.col("_v") > F.col("_cut")).cast("int")).alias("edge_density"))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.scalars import clip, ndwi, sha1_bucket
-from maskloom.operators.neighbourhood import box_sums
+from maskloom.operators.neighbourhood import box_sum
 from maskloom.operators.statistics import band_long, exact_percentiles
-from maskloom.operators.tiles import SCENE, core, tiled
+from maskloom.operators.tiles import SCENE, filter_tiles
 from maskloom.schemas import BANDS, IGNORE, MODALITIES, REPLACED_OPTICS, WATER
 
 
@@ -257,12 +256,13 @@ def regional_uncertainty(pred: DataFrame, classes: int, keys=SCENE, tile: int =
 
     ``pred`` has ``cls`` (predicted class), ``ent`` (entropy) and ``valid`` (0 on padding).
     """
-    d = tiled(pred, 1, keys, tile)
-    sums = {f"_k{c}": F.when(F.col("cls") == c, 1).otherwise(0) for c in range(classes)}
-    d = box_sums(d, {**sums, "_e": F.col("ent"), "_n": F.lit(1)}, 1, keys)
-    shares = [F.col(k) / F.col("_n") for k in sums]
-    impurity = -reduce(lambda a, b: a + b, [s * F.ln(s + F.lit(1e-9)) for s in shares])
-    d = core(d.withColumn("_u", impurity * F.col("_e") / F.col("_n")))
+    def score(p):
+        n = box_sum(np.ones(p["cls"].shape), 1)
+        shares = [box_sum((p["cls"] == c).astype(float), 1) / n for c in range(classes)]
+        impurity = -sum(f * np.log(f + 1e-9) for f in shares)
+        return {"_u": impurity * box_sum(p["ent"], 1) / n}
+
+    d = filter_tiles(pred, score, ["cls", "ent"], {"_u": "double"}, 1, keys, tile)
     return d.filter("valid = 1").groupBy(*keys).agg(F.avg("_u").alias("score"))
 
 
