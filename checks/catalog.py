@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from checks import labellers, raster  # noqa: F401
+from checks import experiments, labellers, log, raster, routing  # noqa: F401

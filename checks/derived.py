@@ -58,12 +58,12 @@ def logit_px(spark, sf):
 
 def label_log(spark, sf):
     e = table(spark, sf, "events")
-    et = F.col("event_type")
+    et, scene = F.col("event_type"), (F.col("event_id") * 7) % 100
     route = (F.when(et == "click", "interactive_clicks").when(et == "view", "auto_accepted")
              .when(et == "purchase", "auto_edited")
              .when(et == "signup", F.when(F.col("event_id") % 11 == 0, "empty")
-                   .otherwise("manual_from_scratch")).otherwise("rejected"))
-    scene = (F.col("event_id") * 7) % 100
+                   .otherwise("manual_from_scratch"))
+             .when(scene % 10 == 3, "empty").otherwise("rejected"))
     seed = F.when(F.col("event_id") % 3 == 0, "spectral").when(F.col("event_id") % 3 == 1, "nir")
     return e.select(
         F.col("event_id").alias("log_pos"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"),
@@ -132,7 +132,7 @@ def ui_event(spark, sf):
 def inventory(spark, sf):
     """File listing: web page paths stand in for a capture archive."""
     p = table(spark, sf, "pages")
-    tail = F.regexp_extract("url", "^https?://([^?#]*)", 1)
+    tail = F.regexp_extract("url", "^https?://([^?#]*?)/*(?:[?#].*)?$", 1)
     name = (F.when(F.col("page_id") % 3 == 0, "color_preserved_5_band.tiff")
             .when(F.col("page_id") % 3 == 1, "final_5_band.tiff").otherwise("water_mask.png"))
     folder = F.when(F.col("page_id") % 17 == 0, "work/").otherwise("")
@@ -287,7 +287,7 @@ SELECT event_id AS log_pos, date_trunc('day', ts)::TIMESTAMP AS ts,
   CASE event_type WHEN 'click' THEN 'interactive_clicks' WHEN 'view' THEN 'auto_accepted'
     WHEN 'purchase' THEN 'auto_edited'
     WHEN 'signup' THEN CASE WHEN event_id % 11 = 0 THEN 'empty' ELSE 'manual_from_scratch' END
-    ELSE 'rejected' END AS route,
+    ELSE CASE WHEN (event_id * 7) % 100 % 10 = 3 THEN 'empty' ELSE 'rejected' END END AS route,
   CASE event_id % 3 WHEN 0 THEN 'spectral' WHEN 1 THEN 'nir' END AS seed_backend,
   value AS active_seconds,
   CASE WHEN event_type IN ('view', 'purchase') THEN round(value / 4, 2) END AS review_seconds
@@ -319,7 +319,7 @@ SELECT event_id AS pos, user_id % 20 AS scene_id, 'ann' || (user_id % 3) AS anno
 FROM events"""),
     "inventory": ("", """
 SELECT '/archive/' || CASE WHEN page_id % 17 = 0 THEN 'work/' ELSE '' END
-  || regexp_extract(url, '^https?://([^?#]*)', 1) || '/'
+  || regexp_extract(url, '^https?://([^?#]*?)/*(?:[?#].*)?$', 1) || '/'
   || CASE page_id % 3 WHEN 0 THEN 'color_preserved_5_band.tiff' WHEN 1 THEN 'final_5_band.tiff'
      ELSE 'water_mask.png' END AS path, length(html)::BIGINT AS length
 FROM pages"""),

@@ -85,18 +85,19 @@ def score_rank(median_s: float, review_s: float) -> Policy:
     return f
 
 
+def images_ahead(q: DataFrame) -> DataFrame:
+    """Steps with ``i`` (place in the queue) and ``ahead`` (later images with a higher score)."""
+    extra = ["session"] if "session" in _step_fields(q) else []
+    return q.withColumn("steps", F.transform("steps", lambda s, i: F.struct(
+        *[s[c].alias(c) for c in ("t", "q", "c", "ripu", *extra)],
+        F.size(F.filter(F.slice(F.col("steps"), i + 2, MAX_QUEUE),
+                        lambda o: o["ripu"] > s["ripu"])).alias("ahead"), i.alias("i"))))
+
+
 def roll_out(q: DataFrame, policy: Policy, name: str, total: Column, median_s: float,
              review_s: float = 0.0, alpha: float = 100.0) -> DataFrame:
-    """Follow one policy through every queue: return, seconds left, and the steps taken.
-
-    ``ahead`` of a step counts later images with a strictly higher score.
-    """
-    later = F.transform("steps", lambda s, i: F.struct(
-        s["t"].alias("t"), s["q"].alias("q"), s["c"].alias("c"), s["ripu"].alias("ripu"),
-        F.size(F.filter(F.slice(F.col("steps"), i + 2, MAX_QUEUE),
-                        lambda o: o["ripu"] > s["ripu"])).alias("ahead"), i.alias("i"),
-        *([s["session"].alias("session")] if "session" in _step_fields(q) else [])))
-    d = q.withColumn("steps", later).withColumn("_b0", total.cast("double"))
+    """Follow one policy through every queue: return, seconds left, and the steps taken."""
+    d = images_ahead(q).withColumn("_b0", total.cast("double"))
     has_session = "session" in _step_fields(q)
     fields = "t int, manual boolean, q_used double, q_auto double, ratio double" + (
         ", session string" if has_session else "")
@@ -109,8 +110,8 @@ def roll_out(q: DataFrame, policy: Policy, name: str, total: Column, median_s: f
             F.when(manual, F.lit(1.0)).otherwise(s["q"]).alias("q_used"), s["q"].alias("q_auto"),
             (acc["b"] / (F.lit(median_s) * (F.col("n") - s["i"]))).alias("ratio"),
             *([s["session"].alias("session")] if has_session else []))
-        return F.struct((acc["b"] - F.when(manual, s["c"]).otherwise(F.lit(float(review_s)))).alias("b"),
-                        F.concat(acc["log"], F.array(row)).alias("log"))
+        left = acc["b"] - F.when(manual, s["c"]).otherwise(F.lit(float(review_s)))
+        return F.struct(left.alias("b"), F.concat(acc["log"], F.array(row)).alias("log"))
 
     d = d.withColumn("_r", F.aggregate("steps", start, step))
     ret = alpha * F.aggregate("_r.log", F.lit(0.0), lambda a, s: a + s["q_used"])
