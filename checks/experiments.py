@@ -169,10 +169,11 @@ def a27b(spark, sf):
 @check("w9_run_status", uses="run_event", sql="""
 , s AS (SELECT run, list(step ORDER BY pos) AS last_steps FROM (SELECT * FROM run_event WHERE event = 'step' QUALIFY row_number() OVER (PARTITION BY run ORDER BY pos DESC) <= 60) GROUP BY 1)
 SELECT run, CASE WHEN count(*) FILTER (WHERE event = 'error') > 0 THEN 'error' ELSE 'stopped' END AS phase, max(miou) FILTER (WHERE event = 'eval') AS best_miou,
-  arg_max(msg, pos) FILTER (WHERE event = 'error') AS error, count(*) FILTER (WHERE event = 'eval') AS evals, any_value(last_steps) AS last_steps
+  arg_max(msg, pos) FILTER (WHERE event = 'error') AS error, count(*) FILTER (WHERE event = 'eval') AS evals, array_to_string(any_value(last_steps), ',') AS last_steps
 FROM run_event LEFT JOIN s USING (run) GROUP BY 1""")
 def w9(spark, sf):
-    return V.run_status(D.run_event(spark, sf), 60)
+    return V.run_status(D.run_event(spark, sf), 60).withColumn(
+        "last_steps", F.array_join(F.col("last_steps").cast("array<string>"), ","))
 
 
 # -- scalar functions -------------------------------------------------------------------------------
@@ -228,12 +229,12 @@ def f7(spark, sf):
 
 
 @check("f8_score_functions", uses="prob_px px", sql="""
-SELECT scene_id, y, x, list_transform(p, lambda v: round(v, 6)) AS p, round(-list_sum(list_transform(p, lambda v: v * ln(v + 1e-9))), 5) AS ent,
+SELECT scene_id, y, x, round(p[1], 6) AS p0, round(p[4], 6) AS p3, round(-list_sum(list_transform(p, lambda v: v * ln(v + 1e-9))), 5) AS ent,
   list_position(p, list_max(p)) - 1 AS cls, round(1 / (1 + exp(-(r - 120) / 30.0)), 6) AS sig, round(sqrt(r * r + g * g), 6) AS hyp, greatest(0.1, least(0.9, r / 255.0::DOUBLE)) AS clipped FROM prob_px JOIN px USING (scene_id, y, x)""")
 def f8(spark, sf):
     z = D.logit_px(spark, sf).select("scene_id", "y", "x", X.softmax("z").alias("p"))
     j = z.join(D.px(spark, sf).select("scene_id", "y", "x", "r", "g"), ["scene_id", "y", "x"])
-    return j.select("scene_id", "y", "x", F.transform("p", lambda v: F.round(v, 6)).alias("p"),
+    return j.select("scene_id", "y", "x", F.round(F.col("p")[0], 6).alias("p0"), F.round(F.col("p")[3], 6).alias("p3"),
                     F.round(X.entropy("p"), 5).alias("ent"), X.argmax("p").alias("cls"),
                     F.round(X.sigmoid((F.col("r") - 120) / 30.0), 6).alias("sig"),
                     F.round(F.hypot("r", "g"), 6).alias("hyp"), X.clip(F.col("r") / 255.0, 0.1, 0.9).alias("clipped"))

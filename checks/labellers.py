@@ -477,13 +477,13 @@ def a35(spark, sf):
 @check("a36_fused_views", uses="prob_px px", sql="""
 , q AS (SELECT a.scene_id, a.y, a.x, list_transform(range(1, 5), lambda i: (a.p[i] + b.p[5 - i]) / 2) AS p
   FROM prob_px a JOIN prob_px b ON a.scene_id = b.scene_id AND a.y = b.y AND b.x = a.x)
-SELECT scene_id, y, x, list_transform(p, lambda v: floor(round(v, 9) * 1e5)::BIGINT) AS p, list_position(list_transform(p, lambda v: round(v, 9)), list_max(list_transform(p, lambda v: round(v, 9)))) - 1 AS cls FROM q""")
+SELECT scene_id, y, x, floor(round(p[1], 9) * 1e5)::BIGINT AS p0, floor(round(p[2], 9) * 1e5)::BIGINT AS p1, list_position(list_transform(p, lambda v: round(v, 9)), list_max(list_transform(p, lambda v: round(v, 9)))) - 1 AS cls FROM q""")
 def a36(spark, sf):
     p = D.logit_px(spark, sf).withColumn("p", softmax("z")).drop("z")
     mirrored = p.withColumns({"x": F.col("w") - 1 - F.col("x"), "p": F.reverse("p")})
     v = p.withColumn("flipped", F.lit(False)).unionByName(mirrored.withColumn("flipped", F.lit(True)))
     f = V.fuse_views(v, 4).withColumn("p", F.transform("p", lambda q: F.round(q, 9)))
-    return f.select(*AT, F.transform("p", lambda q: F.floor(q * 1e5)).alias("p"),
+    return f.select(*AT, *[F.floor(F.col("p")[i] * 1e5).alias(f"p{i}") for i in (0, 1)],
                     (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("cls"))
 
 

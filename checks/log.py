@@ -112,26 +112,30 @@ def p6(spark, sf):
 
 @check("p10_registry_problems", uses="model_registry", sql="""
 , m AS (SELECT *, len(string_split(bands, ',')) AS n, split_part(normalization, ':', -1) AS method FROM model_registry)
-SELECT model_id, list_filter([
+SELECT model_id, array_to_string(list_filter([
   CASE WHEN in_channels <> n::VARCHAR THEN 'in_channels does not match the number of bands' END,
   CASE WHEN num_classes <> '2' THEN 'num_classes does not match the number of classes' END,
   CASE WHEN method NOT IN ('minmax', 'meanstd', 'percentile') THEN 'unknown normalization' END,
   CASE WHEN resize_interpolation NOT IN ('area', 'bilinear') THEN 'resize_interpolation must be area or bilinear' END,
   CASE WHEN method = 'meanstd' AND norm_mean IS NULL THEN 'norm_mean missing or not a JSON list' END,
   CASE WHEN method = 'meanstd' AND norm_std IS NULL THEN 'norm_std missing or not a JSON list' END,
-  CASE WHEN method = 'percentile' AND norm_p_lo IS NULL THEN 'norm_p_lo missing or not a JSON list' END], lambda v: v IS NOT NULL) AS problems FROM m""")
+  CASE WHEN method = 'percentile' AND norm_p_lo IS NULL THEN 'norm_p_lo missing or not a JSON list' END], lambda v: v IS NOT NULL), '; ') AS problems FROM m""")
 def p10(spark, sf):
-    return V.registry_problems(D.model_registry(spark, sf)).select("model_id", "problems")
+    return V.registry_problems(D.model_registry(spark, sf)).select(
+        "model_id", F.array_join("problems", "; ").alias("problems"))
 
 
 @check("p11_typed_registry", uses="model_registry", sql="""
-SELECT model_id, string_split(bands, ',') AS bands, string_split(classes, ',') AS classes, "schema"::BIGINT AS "schema",
+SELECT model_id, array_to_string(list_sort(string_split(bands, ',')), '|') AS bands, len(string_split(classes, ','))::INT AS classes, "schema"::BIGINT AS "schema",
   in_channels::BIGINT AS in_channels, num_classes::BIGINT AS num_classes, normalization,
   CASE WHEN starts_with(normalization, 'embedded:') THEN 'raw_0_255' ELSE 'normalised' END AS input_range,
-  from_json(norm_mean, '["DOUBLE"]') AS norm_mean, from_json(norm_std, '["DOUBLE"]') AS norm_std,
-  from_json(norm_p_lo, '["DOUBLE"]') AS norm_p_lo, from_json(norm_p_hi, '["DOUBLE"]') AS norm_p_hi FROM model_registry""")
+  list_sum(from_json(norm_mean, '["DOUBLE"]')) AS norm_mean, list_sum(from_json(norm_std, '["DOUBLE"]')) AS norm_std,
+  list_sum(from_json(norm_p_lo, '["DOUBLE"]')) AS norm_p_lo, list_sum(from_json(norm_p_hi, '["DOUBLE"]')) AS norm_p_hi FROM model_registry""")
 def p11(spark, sf):
-    return V.typed_registry(D.model_registry(spark, sf))
+    t = V.typed_registry(D.model_registry(spark, sf))
+    sums = {c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+            for c in ("norm_mean", "norm_std", "norm_p_lo", "norm_p_hi")}
+    return t.withColumns({"bands": F.array_join(F.sort_array("bands"), "|"), "classes": F.size("classes"), **sums})
 
 
 @check("p12_mask_sanity", uses="mask_px", sql="""
@@ -260,9 +264,10 @@ def j6(spark, sf):
     return L.relocate(D.label_log(spark, sf), found).select("log_pos", "path_status", "resolved_dir")
 
 
-@check("a17_labellers_per_scene", uses="label_log", sql="SELECT scene_id, list_sort(list(DISTINCT annotator)) AS labelled_by, count(DISTINCT annotator) AS n_annotators FROM label_log GROUP BY 1")
+@check("a17_labellers_per_scene", uses="label_log", sql="SELECT scene_id, array_to_string(list_sort(list(DISTINCT annotator)), ',') AS labelled_by, count(DISTINCT annotator) AS n_annotators FROM label_log GROUP BY 1")
 def a17(spark, sf):
-    return L.labellers_per_scene(D.label_log(spark, sf))
+    return L.labellers_per_scene(D.label_log(spark, sf)).withColumn(
+        "labelled_by", F.array_join("labelled_by", ","))
 
 
 @check("a18_counts", uses="label_log", sql="""
@@ -279,11 +284,12 @@ def a37(spark, sf):
 
 
 @check("a37_groups_per_fold", uses="scene_dim", sql=f"""
-SELECT {hashed('md5', "'fold:' || session", 5)} AS fold, count(DISTINCT session) AS groups, list_sort(list(DISTINCT session)) AS held_out FROM scene_dim GROUP BY 1""")
+SELECT {hashed('md5', "'fold:' || session", 5)} AS fold, count(DISTINCT session) AS groups, array_to_string(list_sort(list(DISTINCT session)), ',') AS held_out FROM scene_dim GROUP BY 1""")
 def a37b(spark, sf):
     from maskloom.functions.scalars import fold_of
     return V.groups_per_fold(D.scene_dim(spark, sf).select(
-        F.col("session").alias("group"), fold_of("session", 5).alias("fold")))
+        F.col("session").alias("group"), fold_of("session", 5).alias("fold"))).withColumn(
+        "held_out", F.array_join("held_out", ","))
 
 
 @check("s1_discover_scenes", uses="inventory", sql="""

@@ -416,22 +416,22 @@ def a13(spark, sf):
 @check("a14_class_weights", uses="mask_px", sql="""
 , f AS (SELECT scene_id, avg((cls = 0)::INT) AS f0, avg((cls = 1)::INT) AS f1, avg((cls = 2)::INT) AS f2, avg((cls = 3)::INT) AS f3
   FROM mask_px WHERE cls <> 255 GROUP BY 1)
-SELECT scene_id, [round(least(5.0, 0.25 / greatest(f0, 1e-3)), 6), round(least(5.0, 0.25 / greatest(f1, 1e-3)), 6),
-    round(least(5.0, 0.25 / greatest(f2, 1e-3)), 6), round(least(5.0, 0.25 / greatest(f3, 1e-3)), 6)] AS four_class,
-  [round(least(5.0, 0.5 / greatest(f0 + f2 + f3, 1e-3)), 6), round(least(5.0, 0.5 / greatest(f1, 1e-3)), 6)] AS two_class,
-  [round(least(5.0, 0.5 / (1 - greatest(1e-3, least(0.999, f1)))), 6), round(least(5.0, 0.5 / greatest(1e-3, least(0.999, f1))), 6)] AS no_shares
+SELECT scene_id, round(least(5.0, 0.25 / greatest(f0, 1e-3)), 6) AS four_0, round(least(5.0, 0.25 / greatest(f1, 1e-3)), 6) AS four_1,
+    round(least(5.0, 0.25 / greatest(f2, 1e-3)), 6) AS four_2, round(least(5.0, 0.25 / greatest(f3, 1e-3)), 6) AS four_3,
+  round(least(5.0, 0.5 / greatest(f0 + f2 + f3, 1e-3)), 6) AS two_0, round(least(5.0, 0.5 / greatest(f1, 1e-3)), 6) AS two_1,
+  round(least(5.0, 0.5 / (1 - greatest(1e-3, least(0.999, f1)))), 6) AS known_0, round(least(5.0, 0.5 / greatest(1e-3, least(0.999, f1))), 6) AS known_1
 FROM f""")
 def a14(spark, sf):
     m = D.mask_px(spark, sf).filter("cls <> 255")
     f = m.groupBy("scene_id").agg(F.array(*[F.avg((F.col("cls") == c).cast("int")) for c in range(4)])
                                   .alias("f"))
 
-    def tidy(c, name):
-        return F.transform(c, lambda v: F.round(v, 6)).alias(name)
+    def parts(c, name, n):
+        return [F.round(c[i], 6).alias(f"{name}_{i}") for i in range(n)]
 
-    return f.select("scene_id", tidy(ST.class_weights(F.col("f"), 4), "four_class"),
-                    tidy(ST.class_weights(F.col("f"), 2), "two_class"),
-                    tidy(ST.binary_weights(F.col("f")[1]), "no_shares"))
+    return f.select("scene_id", *parts(ST.class_weights(F.col("f"), 4), "four", 4),
+                    *parts(ST.class_weights(F.col("f"), 2), "two", 2),
+                    *parts(ST.binary_weights(F.col("f")[1]), "known", 2))
 
 
 @check("a28_band_error", uses="px", sql="""

@@ -49,15 +49,10 @@ log AS MATERIALIZED (SELECT w.queue_id, policy, w.t - 1 AS t, manual, CASE WHEN
 
 
 def rolled(spark, sf):
-    q = queue(spark, sf)
-    total = R.budget(F.col("n"), MEDIAN, RHO, REVIEW)
-    parts = [R.roll_out(q, p, name, total, MEDIAN, REVIEW) for name, p in (
-        ("all_auto", R.all_auto()), ("first_come", R.first_come()), ("random", R.random_share(RHO)),
-        ("threshold", R.score_threshold(TAU)), ("ranked", R.score_rank(MEDIAN, REVIEW)))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return R.roll_out(queue(spark, sf), {
+        "all_auto": R.all_auto(), "first_come": R.first_come(), "random": R.random_share(RHO),
+        "threshold": R.score_threshold(TAU), "ranked": R.score_rank(MEDIAN, REVIEW)},
+        R.budget(F.col("n"), MEDIAN, RHO, REVIEW), MEDIAN, REVIEW)
 
 
 @check("r2_roll_outs", uses="queue_step", recursive=True, sql=f", {ROLLED} SELECT queue_id, policy, round(ret, 4) AS ret, round(left_s, 4) AS left_s FROM fin")
@@ -179,11 +174,12 @@ def a32b(spark, sf):
 @check("j11_scene_timing_and_quality", uses="label_log log_exclusions scene_dim auto_px mask_px", sql=f""", {MEASURED},
 q AS (SELECT a.scene_id, a.labeller, CASE WHEN sum(greatest(a.m, (g.cls = 1)::INT)) = 0 THEN 1.0 ELSE sum(a.m * (g.cls = 1)::INT) / sum(greatest(a.m, (g.cls = 1)::INT)) END AS iou, avg(a.m) AS wf
   FROM auto_px a JOIN (SELECT * FROM mask_px WHERE annotator = 0) g USING (scene_id, y, x) GROUP BY 1, 2)
-SELECT scene_id, manual_s, list({{'labeller': labeller, 'iou_vs_gold': round(iou, 4), 'water_frac': round(wf, 4)}} ORDER BY labeller) AS auto FROM scene_dim LEFT JOIN lastt USING (scene_id) LEFT JOIN q USING (scene_id) GROUP BY 1, 2""")
+SELECT scene_id, manual_s, labeller, round(iou, 4) AS iou_vs_gold, round(wf, 4) AS water_frac FROM scene_dim LEFT JOIN lastt USING (scene_id) LEFT JOIN q USING (scene_id)""")
 def j11(spark, sf):
     from maskloom.plans.campaign import scene_facts
     g = D.mask_px(spark, sf).filter("annotator = 0").select(*AT, (F.col("cls") == 1).cast("int").alias("gold"))
-    return scene_facts(D.scene_dim(spark, sf).select("scene_id"), measured(spark, sf), D.auto_px(spark, sf), g)
+    f = scene_facts(D.scene_dim(spark, sf).select("scene_id"), measured(spark, sf), D.auto_px(spark, sf), g)
+    return f.select("scene_id", "manual_s", F.explode("auto").alias("a")).select("scene_id", "manual_s", "a.*")
 
 
 # -- batch rules and observation ------------------------------------------------------------------
@@ -280,8 +276,8 @@ def a34(spark, sf):
 
 @check("r9_candidate_batches", uses="scene_dim", sql=f"""
 , big AS (SELECT session, row_number() OVER (ORDER BY count(*) DESC, session) - 1 AS k, count(*) OVER () AS m FROM scene_dim GROUP BY 1 HAVING count(*) >= 5),
-b AS (SELECT unnest(range(8)) AS batch), bb AS (SELECT batch, CASE WHEN batch % 2 = 0 THEN (SELECT session FROM (SELECT session, k FROM big ORDER BY k LIMIT 8) WHERE k = (batch // 2) % (SELECT least(8, count(*)) FROM big)) END AS only FROM b),
-d AS (SELECT batch, scene_id, session, row_number() OVER (PARTITION BY batch ORDER BY {hashed('sha1', "'0:' || batch || ':' || scene_id", 1 << 30)}, scene_id) AS r FROM bb JOIN scene_dim ON only IS NULL OR session = only)
+b AS (SELECT unnest(range(8)) AS batch), bb AS (SELECT batch, CASE WHEN batch % 2 = 0 THEN (SELECT session FROM (SELECT session, k FROM big ORDER BY k LIMIT 8) WHERE k = (batch // 2) % (SELECT least(8, count(*)) FROM big)) END AS solo FROM b),
+d AS (SELECT batch, scene_id, session, row_number() OVER (PARTITION BY batch ORDER BY {hashed('sha1', "'0:' || batch || ':' || scene_id", 1 << 30)}, scene_id) AS r FROM bb JOIN scene_dim ON solo IS NULL OR session = solo)
 SELECT batch::INT AS batch, scene_id, session FROM d WHERE r <= 5""")
 def r9(spark, sf):
     return C.candidate_batches(D.scene_dim(spark, sf).select("scene_id", "session"), 5, 8)

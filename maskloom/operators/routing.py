@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +40,16 @@ def charged_seconds(scenes: DataFrame, measured: DataFrame, median_s: float) ->
         "charged_s", F.coalesce("manual_s", F.lit(median_s)))
 
 
-def queues(steps: DataFrame, median_s: float) -> DataFrame:
-    """One row per queue with its steps in order. Missing times are charged the median."""
+def queues(steps: DataFrame, median_s: float, seed: int = 1) -> DataFrame:
+    """One row per queue with its steps in order. Missing times are charged the median.
+
+    ``u`` is a uniform draw in [0, 1) from a hash of seed, queue and step, the same for everyone.
+    """
     cost = F.coalesce("manual_s", F.lit(median_s))
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("queue_id").cast("string"), F.col("t").cast("string"))
+    draw = sha1_bucket(key, 1 << 20) / F.lit(1 << 20)
     size = F.count("*")
-    step = F.struct("t", "q", cost.alias("c"), "ripu", *(
+    step = F.struct("t", "q", cost.alias("c"), "ripu", draw.alias("u"), *(
         ["session"] if "session" in steps.columns else []))
     q = steps.groupBy("queue_id").agg(F.sort_array(F.collect_list(step)).alias("steps"), size.alias("n"))
     return q.withColumn("steps", F.when(F.col("n") > MAX_QUEUE, F.raise_error(
@@ -62,11 +68,8 @@ def first_come() -> Policy:
     return lambda s, i, b: F.lit(True)
 
 
-def random_share(rho: float, seed: int = 1) -> Policy:
-    def f(s, i, b):
-        key = F.concat_ws(":", F.lit(str(seed)), F.col("queue_id").cast("string"), i.cast("string"))
-        return sha1_bucket(key, 1 << 20) < rho * (1 << 20)
-    return f
+def random_share(rho: float) -> Policy:
+    return lambda s, i, b: s["u"] < rho
 
 
 def score_threshold(tau) -> Policy:
@@ -89,22 +92,32 @@ def images_ahead(q: DataFrame) -> DataFrame:
     """Steps with ``i`` (place in the queue) and ``ahead`` (later images with a higher score)."""
     extra = ["session"] if "session" in _step_fields(q) else []
     return q.withColumn("steps", F.transform("steps", lambda s, i: F.struct(
-        *[s[c].alias(c) for c in ("t", "q", "c", "ripu", *extra)],
+        *[s[c].alias(c) for c in ("t", "q", "c", "ripu", "u", *extra)],
         F.size(F.filter(F.slice(F.col("steps"), i + 2, MAX_QUEUE),
                         lambda o: o["ripu"] > s["ripu"])).alias("ahead"), i.alias("i"))))
 
 
-def roll_out(q: DataFrame, policy: Policy, name: str, total: Column, median_s: float,
+def roll_out(q: DataFrame, policies: dict[str, Policy], total: Column, median_s: float,
              review_s: float = 0.0, alpha: float = 100.0) -> DataFrame:
-    """Follow one policy through every queue: return, seconds left, and the steps taken."""
-    d = images_ahead(q).withColumn("_b0", total.cast("double"))
+    """Follow every policy through every queue: return, seconds left, and the steps taken.
+
+    Queues are assembled once; each policy walks the same array.
+    """
+    d = images_ahead(q).withColumns({
+        "_b0": total.cast("double"), "policy": F.explode(F.array(*[F.lit(n) for n in policies]))})
     has_session = "session" in _step_fields(q)
     fields = "t int, manual boolean, q_used double, q_auto double, ratio double" + (
         ", session string" if has_session else "")
     start = F.struct(F.col("_b0").alias("b"), F.array().cast(f"array<struct<{_types(fields)}>>").alias("log"))
 
+    def chosen(s, b) -> Column:
+        pick = F.lit(False)
+        for name, policy in policies.items():
+            pick = F.when(F.col("policy") == name, policy(s, s["i"], b)).otherwise(pick)
+        return pick
+
     def step(acc, s):
-        manual = (acc["b"] > 0) & policy(s, s["i"], acc["b"])
+        manual = (acc["b"] > 0) & chosen(s, acc["b"])
         row = F.struct(
             s["t"].alias("t"), manual.alias("manual"),
             F.when(manual, F.lit(1.0)).otherwise(s["q"]).alias("q_used"), s["q"].alias("q_auto"),
@@ -115,8 +128,8 @@ def roll_out(q: DataFrame, policy: Policy, name: str, total: Column, median_s: f
 
     d = d.withColumn("_r", F.aggregate("steps", start, step))
     ret = alpha * F.aggregate("_r.log", F.lit(0.0), lambda a, s: a + s["q_used"])
-    return d.select("queue_id", F.lit(name).alias("policy"), ret.alias("ret"),
-                    F.col("_r.b").alias("left_s"), F.col("_r.log").alias("log"))
+    return d.select("queue_id", "policy", ret.alias("ret"), F.col("_r.b").alias("left_s"),
+                    F.col("_r.log").alias("log"))
 
 
 def _step_fields(q: DataFrame) -> list[str]:
@@ -160,24 +173,31 @@ def hindsight_optimum(steps: DataFrame, n: int, total: Column, median_s: float,
                       review_s: float = 0.0, alpha: float = 100.0) -> DataFrame:
     """Best return with everything known: all ``2^n`` MANUAL subsets of each queue of ``n`` images.
 
-    A queue becomes one wide row, each subset number one row of it, and the budget walk is plain
-    column arithmetic, so the enumeration stays in generated code and is reduced where it is made.
+    A queue becomes one wide row; the subsets are walked as array columns inside the task, so only
+    one number per queue leaves it.
     """
     t = F.col("t")
     wide = steps.groupBy("queue_id").agg(
         *[F.max(F.when(t == i, F.coalesce("manual_s", F.lit(median_s)))).alias(f"c{i}") for i in range(n)],
         *[F.max(F.when(t == i, F.col("q"))).alias(f"q{i}") for i in range(n)],
-        F.count("*").alias("n")).filter(F.col("n") == n)
-    d = wide.withColumns({"_b": total.cast("double"), "_m": F.explode(
-        F.sequence(F.lit(0), F.lit((1 << n) - 1))), "_g": F.lit(0.0), "_ok": F.lit(True)})
-    for i in range(n):
-        manual = F.getbit(F.col("_m").cast("long"), F.lit(i)) == 1
-        d = d.withColumns({
-            "_ok": F.col("_ok") & (~manual | (F.col("_b") > 0)),
-            "_g": F.col("_g") + F.when(manual, F.lit(1.0)).otherwise(F.col(f"q{i}")),
-            "_b": F.col("_b") - F.when(manual, F.col(f"c{i}")).otherwise(F.lit(float(review_s)))})
-    best = d.filter("_ok").groupBy("queue_id").agg(F.max("_g").alias("_g"))
-    return best.select("queue_id", (alpha * F.col("_g")).alias("optimum"))
+        F.count("*").alias("n")).filter(F.col("n") == n).withColumn("b", total.cast("double")).drop("n")
+    subsets = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1 == 1
+
+    def best(batches):
+        for rows in batches:
+            for part in (rows.slice(i, 128) for i in range(0, rows.num_rows, 128)):
+                left = np.repeat(part["b"].to_numpy()[:, None], 1 << n, axis=1)
+                gain, legal = np.zeros(left.shape), np.ones(left.shape, bool)
+                for i in range(n):
+                    manual, c, q = subsets[:, i], part[f"c{i}"].to_numpy(), part[f"q{i}"].to_numpy()
+                    legal &= ~manual | (left > 0)
+                    gain += np.where(manual, 1.0, q[:, None])
+                    left -= np.where(manual, c[:, None], review_s)
+                top = np.where(legal, gain, -np.inf).max(axis=1)
+                yield pa.RecordBatch.from_arrays([part["queue_id"], pa.array(alpha * top)],
+                                                 names=["queue_id", "optimum"])
+
+    return wide.mapInArrow(best, "queue_id long, optimum double")
 
 
 # -- batch rules --------------------------------------------------------------------------------
