@@ -74,7 +74,7 @@ def label_log(spark, sf):
         .alias("scene_dir"),
         route.alias("route"), seed.alias("seed_backend"),
         F.col("value").alias("active_seconds"),
-        F.when(et.isin("view", "purchase"), F.round(F.col("value") / 4, 2)).alias("review_seconds"))
+        F.when(et.isin("view", "purchase"), F.floor(F.col("value") * 25) / 100).alias("review_seconds"))
 
 
 def log_exclusions(spark, sf):
@@ -290,7 +290,7 @@ SELECT event_id AS log_pos, date_trunc('day', ts)::TIMESTAMP AS ts,
     ELSE CASE WHEN (event_id * 7) % 100 % 10 = 3 THEN 'empty' ELSE 'rejected' END END AS route,
   CASE event_id % 3 WHEN 0 THEN 'spectral' WHEN 1 THEN 'nir' END AS seed_backend,
   value AS active_seconds,
-  CASE WHEN event_type IN ('view', 'purchase') THEN round(value / 4, 2) END AS review_seconds
+  CASE WHEN event_type IN ('view', 'purchase') THEN floor(value * 25) / 100 END AS review_seconds
 FROM events"""),
     "log_exclusions": ("label_log", """
 SELECT scene_id, ts, CASE WHEN log_pos % 58 = 0 THEN 'mask' ELSE 'timing' END AS scope

@@ -63,8 +63,9 @@ def read_thermal(spark: SparkSession, path: str) -> DataFrame:
                     F.pmod("i", "w").alias("x"), F.col("v").cast("int").alias("v"))
 
 
-def read_capture_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, schema=CAPTURE_METADATA, multiLine=True)
+def read_capture_metadata(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Capture metadata: one document per file, or one per line."""
+    return spark.read.json(path, schema=CAPTURE_METADATA, multiLine=one_per_file)
 
 
 def band_descriptions(meta: DataFrame) -> DataFrame:
