@@ -28,7 +28,7 @@ def pct(name: str, src: str, value: str, digits: int) -> str:
 
 FUSED = f""", {GREY}, {S.gradient('tg', 'px', 'th')}, {S.separable('tb', 'tg', 'v', S.gauss(2), S.gauss(2))},
 {S.local_sd('sd', 'gr', 'u')}, {S.separable('sb', 'sd', 'v', S.gauss(2), S.gauss(2))},
-{pct('tp', 'tb', 'v', 4)}, {pct('sp', 'sb', 'v', 4)}, {pct('np', 'px', 'nir', 4)},
+{pct('tp', 'tb', 'v', 2)}, {pct('sp', 'sb', 'v', 2)}, {pct('np', 'px', 'nir', 2)},
 cool AS MATERIALIZED (SELECT scene_id, y, x, 1 - {U('v', 'lo', 'hi')} AS v FROM tb JOIN tp USING (scene_id)),
 {S.separable('th3', 'cool', 'v', S.gauss(3), S.gauss(3))},
 nd AS MATERIALIZED (SELECT scene_id, y, x, greatest(0.0, least(1.0, ((g - nir) / (g + nir + 1e-6::DOUBLE) + 1) / 2)) AS u FROM px),
@@ -76,7 +76,8 @@ SELECT scene_id, round(max(ndwi_cut), 3) AS ndwi_otsu, round(max(nir_range), 1)
   max(horizon_row) AS horizon_row, 0.5::DOUBLE AS prob_thresh, round(100 * avg(m), 2) AS water_pct, 'none' AS refine
 FROM fused JOIN f3 USING (scene_id, y, x) GROUP BY 1""")
 def n12r(spark, sf):
-    return B.fusion_report(B.spectral_fusion(D.px(spark, sf), largest_side=BOUND))
+    p = D.px(spark, sf)
+    return B.fusion_report(B.spectral_fusion(p, largest_side=BOUND), B.frame_statistics(p))
 
 
 @check("n12_specular", uses="px", sql=f"""{FUSED},
@@ -160,7 +161,7 @@ def a33(spark, sf):
 d AS MATERIALIZED (SELECT scene_id, y, x, greatest(bg_nir - nir, 0.0) AS dr,
   greatest((g - nir) / (g + nir + 1e-6::DOUBLE) - (bg_g - bg_nir) / (bg_g + bg_nir + 1e-6::DOUBLE), 0.0) AS ri FROM px JOIN bg USING (scene_id, y, x)),
 {S.gradient('gm', 'gr', 'u')}, {S.separable('tx', 'gm', 'v', S.gauss(2), S.gauss(2))},
-{pct('dp', 'd', 'dr', 6)}, {pct('rp', 'd', 'ri', 6)}, {pct('xp', 'tx', 'v', 6)},
+{pct('dp', 'd', 'dr', 2)}, {pct('rp', 'd', 'ri', 4)}, {pct('xp', 'tx', 'v', 2)},
 z0 AS MATERIALIZED (SELECT scene_id, y, x, (round(0.5::DOUBLE * {U('dr', 'dp.lo', 'dp.hi')} + 0.35::DOUBLE * {U('ri', 'rp.lo', 'rp.hi')}
   + 0.15::DOUBLE * (1 - {U('tx.v', 'xp.lo', 'xp.hi')}), 9) > 0.3)::INT AS m
   FROM d JOIN tx USING (scene_id, y, x) JOIN dp USING (scene_id) JOIN rp USING (scene_id) JOIN xp USING (scene_id)),
@@ -176,7 +177,7 @@ def n16(spark, sf):
     return B.snap_to_edges(p, durable(B.spectral_fusion(p, largest_side=BOUND)))
 
 
-CAND = f"""{FUSED}, {S.local_sd('sd2', 'gr', 'u')}, {pct('s2', 'sd2', 'v', 4)},
+CAND = f"""{FUSED}, {S.local_sd('sd2', 'gr', 'u')}, {pct('s2', 'sd2', 'v', 2)},
 cand AS MATERIALIZED (SELECT px.scene_id, px.y, px.x, fused.prob,
   round(0.5 + 0.25 * {U('px.nir', 'np.lo', 'np.hi')} + 0.25 * {U('sd2.v', 's2.lo', 's2.hi')}, 9) AS neg
   FROM px JOIN fused USING (scene_id, y, x) JOIN sd2 USING (scene_id, y, x) JOIN np ON np.scene_id = px.scene_id JOIN s2 ON s2.scene_id = px.scene_id),

@@ -22,7 +22,9 @@ from maskloom.operators.raster import between
 from maskloom.operators.statistics import band_long, exact_percentiles, histogram, otsu
 from maskloom.operators.tiles import SCENE, TILE, filter_tiles, join_scene_stats
 
-GRID = 4  # digits kept of a float map before its percentiles are taken
+# Digits kept of a float map before its percentiles are taken: two on the 0..255 scale, four for
+# ratios. Far below one sensor count, and a frame then has few distinct values to count.
+COUNTS, RATIOS = 2, 4
 
 
 @dataclass(frozen=True)
@@ -42,11 +44,12 @@ class FusionParams:
     thresh: float = 0.5
 
 
-def _bounds(core_px: DataFrame, exprs: dict[str, Column], decimals: int | None, keys) -> DataFrame:
-    """2nd and 98th percentile of several maps per frame: ``<name>_lo, <name>_hi``."""
+def _bounds(px: DataFrame, maps: dict[str, tuple[Column, int]], keys) -> DataFrame:
+    """2nd and 98th percentile of several maps (value, digits) per frame: ``<name>_lo, <name>_hi``."""
+    exprs = {k: F.round(v.cast("double"), digits) for k, (v, digits) in maps.items()}
     pairs = [F.struct(F.lit(k).alias("band"), v.alias("v")) for k, v in exprs.items()]
-    long = core_px.select(*keys, F.explode(F.array(*pairs)).alias("_e")).select(*keys, "_e.*")
-    p = exact_percentiles(long, [*keys, "band"], "v", {"lo": 0.02, "hi": 0.98}, decimals)
+    long = px.select(*keys, F.explode(F.array(*pairs)).alias("_e")).select(*keys, "_e.*")
+    p = exact_percentiles(long, [*keys, "band"], "v", {"lo": 0.02, "hi": 0.98})
     return p.groupBy(*keys).pivot("band", list(exprs)).agg(
         F.first("lo").alias("lo"), F.first("hi").alias("hi"))
 
@@ -85,7 +88,11 @@ def frame_statistics(px: DataFrame, keys=SCENE) -> DataFrame:
 
 def fusion_probability(px: DataFrame, params: FusionParams = FusionParams(), keys=SCENE,
                        tile: int = TILE) -> DataFrame:
-    """Water probability of every pixel, with the frame statistics it used."""
+    """Water probability of every pixel: ``prob``, and the 0/1 guards ``snow`` and ``spec``.
+
+    The blurred thermal cue enters linearly, so everything else is folded into an offset and a
+    slope first and only those two numbers travel through the last filter.
+    """
     p = params
 
     def cues(planes):
@@ -94,37 +101,40 @@ def fusion_probability(px: DataFrame, params: FusionParams = FusionParams(), key
     d = filter_tiles(
         px.select(*keys, "h", "w", "y", "x", "r", "g", "b", "th", "nir", grey().alias("grey")), cues,
         ["th", "grey"], {"th_g": "double", "tex": "double"}, 3 + gauss_radius(2), keys, tile, mirror=True)
-    maps = _bounds(d, {"th_g": F.col("th_g"), "tex": F.col("tex")}, GRID, keys)
-    stats = frame_statistics(px, keys).join(maps, list(keys))
-    d = join_scene_stats(d, stats, keys, tile).withColumn("s_th", 1 - _scaled("th_g", F.col("th_g")))
-    d = blur(d, "s_th", "s_th", 3, keys, tile)
+    maps = _bounds(d, {"th_g": (F.col("th_g"), COUNTS), "tex": (F.col("tex"), COUNTS)}, keys)
+    d = join_scene_stats(d, frame_statistics(px, keys).join(maps, list(keys)), keys, tile)
 
     nir_n = _scaled("nir", F.col("nir"))
     s_ndwi = clip((clip((ndwi() + 1) / 2) - F.col("ndwi_cut")) / 0.15 + 0.5)
     s_tex = 1 - _scaled("tex", F.col("tex"))
     total = p.w_ndwi + p.w_texture + p.w_thermal + 1e-6
-    support = (p.w_ndwi * s_ndwi + p.w_texture * s_tex + p.w_thermal * F.col("s_th")) / total
     reliable = F.col("nir_range") > 12
-    prob = F.when(reliable, sigmoid((p.nir_gate - nir_n) / p.nir_gate_soft)
-                  * (p.base + (1 - p.base) * support)).otherwise(
-        0.55 * clip((s_ndwi - 0.55) / 0.25) + 0.30 * s_tex + 0.15 * F.col("s_th"))
+    gate = sigmoid((p.nir_gate - nir_n) / p.nir_gate_soft)
+    offset = F.when(reliable, gate * (p.base + (1 - p.base) * (
+        p.w_ndwi * s_ndwi + p.w_texture * s_tex) / total)).otherwise(
+        0.55 * clip((s_ndwi - 0.55) / 0.25) + 0.30 * s_tex)
+    slope = F.when(reliable, gate * ((1 - p.base) * p.w_thermal / total)).otherwise(0.15)
     mx, mn = F.greatest("r", "g", "b"), F.least("r", "g", "b")
     snow = (mx / 255.0 > 0.78) & ((mx - mn) / (mx + F.lit(1e-6)) < 0.10)
-    d = d.withColumn("snow", snow.cast("int"))
-    if p.snow_guard:
-        prob = prob * F.when(snow, 0.12).otherwise(1.0)
-    d = d.withColumns({"prob": prob, "nir_n": nir_n, "spec": F.lit(0)})
+    guard = F.when(snow & F.lit(p.snow_guard), 0.12).otherwise(1.0)
+    shiny = (mx / 255.0 > 0.75) & (F.col("b") >= F.col("r")) & (nir_n < 0.5) & reliable
+    sky = F.coalesce((F.col("horizon_row") > 5) & (F.col("y") < F.col("horizon_row")), F.lit(False))
+    d = d.select(*keys, "h", "w", "y", "x", (1 - _scaled("th_g", F.col("th_g"))).alias("cool"),
+                 (guard * offset).alias("offset"), (guard * slope).alias("slope"),
+                 snow.cast("int").alias("snow"), shiny.cast("int").alias("shiny"), sky.alias("sky"))
+    d = blur(d, "cool", "cool", 3, keys, tile)
+    prob = F.col("offset") + F.col("slope") * F.col("cool")
+    d = d.select(*keys, "h", "w", "y", "x", prob.alias("prob"), "snow", "shiny", "sky")
+    spec = F.lit(0)
     if p.specular:
-        near = square_filter(d.withColumn("_p", (F.col("prob") > 0.5).cast("int")), "_p", "_near", 25,
-                             True, keys, tile)
-        spec = ((mx / 255.0 > 0.75) & (F.col("b") >= F.col("r")) & (F.col("nir_n") < 0.5)
-                & (F.col("_near") == 1) & reliable)
-        d = near.withColumn("spec", spec.cast("int")).drop("_p", "_near").withColumn(
-            "prob", F.when(F.col("spec") == 1, F.greatest("prob", F.lit(0.85))).otherwise(F.col("prob")))
+        d = square_filter(d.withColumn("_near", (F.col("prob") > 0.5).cast("int")), "_near", "_near", 25,
+                          True, keys, tile)
+        spec = F.col("shiny") * F.col("_near")
+    d = d.withColumn("spec", spec)
+    prob = F.when(F.col("spec") == 1, F.greatest("prob", F.lit(0.85))).otherwise(F.col("prob"))
     if p.horizon:
-        cut = (F.col("horizon_row") > 5) & (F.col("y") < F.col("horizon_row"))
-        d = d.withColumn("prob", F.when(cut, 0.0).otherwise(F.col("prob")))
-    return d.withColumn("prob", F.round("prob", 9))
+        prob = F.when(F.col("sky"), 0.0).otherwise(prob)
+    return d.select(*keys, "h", "w", "y", "x", F.round(prob, 9).alias("prob"), "snow", "spec")
 
 
 def spectral_fusion(px: DataFrame, params: FusionParams = FusionParams(), keys=SCENE,
@@ -138,18 +148,21 @@ def spectral_fusion(px: DataFrame, params: FusionParams = FusionParams(), keys=S
     return ellipse_open(d, "m", "m", 1, keys, tile)
 
 
-def fusion_report(labelled: DataFrame, thresh: float = 0.5, keys=SCENE) -> DataFrame:
-    """One row per frame: the numbers a reviewer sees next to a fused mask."""
+def fusion_report(labelled: DataFrame, stats: DataFrame, thresh: float = 0.5, keys=SCENE) -> DataFrame:
+    """One row per frame: the numbers a reviewer sees next to a fused mask.
+
+    ``stats`` are the frame statistics of the same frames.
+    """
     n = F.count("*")
-    return labelled.groupBy(*keys).agg(
-        F.round(F.max("ndwi_cut"), 3).alias("ndwi_otsu"),
-        F.round(F.max("nir_range"), 1).alias("nir_dyn_range"),
-        (F.max("nir_range") > 12).alias("nir_reliable"),
+    d = labelled.groupBy(*keys).agg(
         F.round(F.sum("snow") / n, 4).alias("snow_guard_frac"),
         F.round(F.sum("spec") / n, 4).alias("specular_frac"),
-        F.max("horizon_row").alias("horizon_row"),
-        F.lit(round(thresh, 3)).alias("prob_thresh"),
-        F.round(100 * F.sum("m") / n, 2).alias("water_pct"), F.lit("none").alias("refine"))
+        F.round(100 * F.sum("m") / n, 2).alias("water_pct"))
+    return d.join(stats, list(keys)).select(
+        *keys, F.round("ndwi_cut", 3).alias("ndwi_otsu"), F.round("nir_range", 1).alias("nir_dyn_range"),
+        (F.col("nir_range") > 12).alias("nir_reliable"), "snow_guard_frac", "specular_frac",
+        "horizon_row", F.lit(round(thresh, 3)).alias("prob_thresh"), "water_pct",
+        F.lit("none").alias("refine"))
 
 
 def tidy(d: DataFrame, value: str, opens: int, closes: int, keys=SCENE, tile: int = TILE,
@@ -233,9 +246,9 @@ def change_score(px: DataFrame, bg: DataFrame, keys=SCENE, tile: int = TILE) ->
                  F.greatest(ndwi() - ndwi("bg_g", "bg_nir"), F.lit(0.0)).alias("rise"))
     d = filter_tiles(d, lambda p: {"tex": gauss(sobel_length(p["grey"]), 2)}, ["grey"],
                      {"tex": "double"}, 1 + gauss_radius(2), keys, tile, mirror=True)
-    names = {"drop": F.col("drop"), "rise": F.col("rise"), "tex": F.col("tex")}
+    names = {"drop": (F.col("drop"), COUNTS), "rise": (F.col("rise"), RATIOS), "tex": (F.col("tex"), COUNTS)}
     size = px.groupBy(*keys).agg(F.max("h").alias("h"), F.max("w").alias("w"))
-    stats = _bounds(d, names, 6, keys).join(size, list(keys))
+    stats = _bounds(d, names, keys).join(size, list(keys))
     d = join_scene_stats(d, stats, keys, tile)
     score = (0.5 * _scaled("drop", F.col("drop")) + 0.35 * _scaled("rise", F.col("rise"))
              + 0.15 * (1 - _scaled("tex", F.col("tex"))))
@@ -304,7 +317,8 @@ def prompt_candidates(px: DataFrame, prob: DataFrame, keys=SCENE, tile: int = TI
     d = px.select(*on, "h", "w", "nir", grey().alias("grey")).join(prob.select(*on, "prob"), on)
     d = local_sd(d, "grey", "tex", 7, keys, tile)
     size = px.groupBy(*keys).agg(F.max("h").alias("h"), F.max("w").alias("w"))
-    stats = _bounds(d, {"nir": F.col("nir").cast("double"), "tex": F.col("tex")}, GRID, keys).join(size, list(keys))
+    maps = {"nir": (F.col("nir"), COUNTS), "tex": (F.col("tex"), COUNTS)}
+    stats = _bounds(d, maps, keys).join(size, list(keys))
     d = join_scene_stats(d, stats, keys, tile)
     score = 0.5 + 0.25 * _scaled("nir", F.col("nir")) + 0.25 * _scaled("tex", F.col("tex"))
     return d.select(*on, "h", "w", "prob", F.round(score, 9).alias("neg"))
