@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from maskloom.functions.scalars import clip, grey, ndwi, sigmoid
 from maskloom.operators.components import drop_small, fill_holes
 from maskloom.operators.neighbourhood import (
-    blur, box_sum, ellipse_close, ellipse_open, gauss, gauss_radius, local_sd, sobel_length, spread,
-    square_filter)
+    blur, box_sum, ellipse_close, ellipse_open, gauss, gauss_radius, sobel_length, spread, square_filter)
 from maskloom.operators.raster import between
 from maskloom.operators.statistics import band_long, exact_percentiles, histogram, otsu
-from maskloom.operators.tiles import SCENE, TILE, filter_tiles, join_scene_stats
+from maskloom.operators.tiles import SCENE, TILE, count_tiles, filter_tiles, join_scene_stats
 
 # Digits kept of a float map before its percentiles are taken: two on the 0..255 scale, four for
 # ratios. Far below one sensor count, and a frame then has few distinct values to count.
@@ -44,14 +43,19 @@ class FusionParams:
     thresh: float = 0.5
 
 
-def _bounds(px: DataFrame, maps: dict[str, tuple[Column, int]], keys) -> DataFrame:
-    """2nd and 98th percentile of several maps (value, digits) per frame: ``<name>_lo, <name>_hi``."""
-    exprs = {k: F.round(v.cast("double"), digits) for k, (v, digits) in maps.items()}
-    pairs = [F.struct(F.lit(k).alias("band"), v.alias("v")) for k, v in exprs.items()]
-    long = px.select(*keys, F.explode(F.array(*pairs)).alias("_e")).select(*keys, "_e.*")
-    p = exact_percentiles(long, [*keys, "band"], "v", {"lo": 0.02, "hi": 0.98})
-    return p.groupBy(*keys).pivot("band", list(exprs)).agg(
-        F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+def _bounds(counts: DataFrame, bands, keys) -> DataFrame:
+    """2nd and 98th percentile of counted maps (``keys, band, v, n``): ``<band>_lo, <band>_hi``."""
+    c = counts.groupBy(*keys, "band", "v").agg(F.sum("n").alias("n"))
+    ends = F.array(F.lit(0.02), F.lit(0.98))
+    p = c.groupBy(*keys).agg(*[
+        F.percentile(F.when(F.col("band") == b, F.col("v")), ends, F.col("n")).alias(b) for b in bands])
+    return p.select(*keys, *[F.col(b)[i].alias(f"{b}_{end}") for b in bands
+                             for i, end in enumerate(("lo", "hi"))])
+
+
+def _counted(px: DataFrame, band: str, v: Column, digits: int, keys) -> DataFrame:
+    return px.groupBy(*keys, F.lit(band).alias("band"), F.round(v.cast("double"), digits).alias("v")).agg(
+        F.count("*").alias("n"))
 
 
 def _scaled(name: str, v: Column) -> Column:
@@ -98,10 +102,12 @@ def fusion_probability(px: DataFrame, params: FusionParams = FusionParams(), key
     def cues(planes):
         return {"th_g": gauss(sobel_length(planes["th"]), 2), "tex": gauss(spread(planes["grey"], 7), 2)}
 
-    d = filter_tiles(
-        px.select(*keys, "h", "w", "y", "x", "r", "g", "b", "th", "nir", grey().alias("grey")), cues,
-        ["th", "grey"], {"th_g": "double", "tex": "double"}, 3 + gauss_radius(2), keys, tile, mirror=True)
-    maps = _bounds(d, {"th_g": (F.col("th_g"), COUNTS), "tex": (F.col("tex"), COUNTS)}, keys)
+    src = px.select(*keys, "h", "w", "y", "x", "r", "g", "b", "th", "nir", grey().alias("grey"))
+    halo = 3 + gauss_radius(2)
+    maps = _bounds(count_tiles(src, cues, ["th", "grey"], {"th_g": COUNTS, "tex": COUNTS}, halo, keys,
+                               tile, mirror=True), ("th_g", "tex"), keys)
+    d = filter_tiles(src, cues, ["th", "grey"], {"th_g": "double", "tex": "double"}, halo, keys, tile,
+                     mirror=True, drop=("th", "grey"))
     d = join_scene_stats(d, frame_statistics(px, keys).join(maps, list(keys)), keys, tile)
 
     nir_n = _scaled("nir", F.col("nir"))
@@ -244,11 +250,18 @@ def change_score(px: DataFrame, bg: DataFrame, keys=SCENE, tile: int = TILE) ->
     d = d.select(*keys, "h", "w", "y", "x", grey().alias("grey"),
                  F.greatest(F.col("bg_nir") - F.col("nir"), F.lit(0.0)).alias("drop"),
                  F.greatest(ndwi() - ndwi("bg_g", "bg_nir"), F.lit(0.0)).alias("rise"))
-    d = filter_tiles(d, lambda p: {"tex": gauss(sobel_length(p["grey"]), 2)}, ["grey"],
-                     {"tex": "double"}, 1 + gauss_radius(2), keys, tile, mirror=True)
-    names = {"drop": (F.col("drop"), COUNTS), "rise": (F.col("rise"), RATIOS), "tex": (F.col("tex"), COUNTS)}
+
+    def smoothness(planes):
+        return {"tex": gauss(sobel_length(planes["grey"]), 2)}
+
+    halo = 1 + gauss_radius(2)
+    counts = (count_tiles(d, smoothness, ["grey"], {"tex": COUNTS}, halo, keys, tile, mirror=True)
+              .unionByName(_counted(d, "drop", F.col("drop"), COUNTS, keys))
+              .unionByName(_counted(d, "rise", F.col("rise"), RATIOS, keys)))
     size = px.groupBy(*keys).agg(F.max("h").alias("h"), F.max("w").alias("w"))
-    stats = _bounds(d, names, keys).join(size, list(keys))
+    stats = _bounds(counts, ("drop", "rise", "tex"), keys).join(size, list(keys))
+    d = filter_tiles(d, smoothness, ["grey"], {"tex": "double"}, halo, keys, tile, mirror=True,
+                     drop=("grey",))
     d = join_scene_stats(d, stats, keys, tile)
     score = (0.5 * _scaled("drop", F.col("drop")) + 0.35 * _scaled("rise", F.col("rise"))
              + 0.15 * (1 - _scaled("tex", F.col("tex"))))
@@ -315,10 +328,15 @@ def prompt_candidates(px: DataFrame, prob: DataFrame, keys=SCENE, tile: int = TI
     """Probability, stretched NIR and texture of each pixel: the material of prompt points."""
     on = [*keys, "y", "x"]
     d = px.select(*on, "h", "w", "nir", grey().alias("grey")).join(prob.select(*on, "prob"), on)
-    d = local_sd(d, "grey", "tex", 7, keys, tile)
+
+    def texture(planes):
+        return {"tex": spread(planes["grey"], 7)}
+
+    counts = (count_tiles(d, texture, ["grey"], {"tex": COUNTS}, 3, keys, tile, mirror=True)
+              .unionByName(_counted(d, "nir", F.col("nir"), COUNTS, keys)))
+    d = filter_tiles(d, texture, ["grey"], {"tex": "double"}, 3, keys, tile, mirror=True, drop=("grey",))
     size = px.groupBy(*keys).agg(F.max("h").alias("h"), F.max("w").alias("w"))
-    maps = {"nir": (F.col("nir"), COUNTS), "tex": (F.col("tex"), COUNTS)}
-    stats = _bounds(d, maps, keys).join(size, list(keys))
+    stats = _bounds(counts, ("nir", "tex"), keys).join(size, list(keys))
     d = join_scene_stats(d, stats, keys, tile)
     score = 0.5 + 0.25 * _scaled("nir", F.col("nir")) + 0.25 * _scaled("tex", F.col("tex"))
     return d.select(*on, "h", "w", "prob", F.round(score, 9).alias("neg"))

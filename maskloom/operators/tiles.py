@@ -35,44 +35,81 @@ def _span(c: str, halo: int, tile: int, size: str) -> Column:
                   f"least({size} - 1, {c} + {halo}) div {tile})")
 
 
+def _with_halo(df: DataFrame, halo: int, tile: int) -> DataFrame:
+    return (df.withColumn("_ty", F.explode(_span("y", halo, tile, "h")))
+            .withColumn("_tx", F.explode(_span("x", halo, tile, "w"))))
+
+
+def _dense(rows: pa.Table, reads: list[str], halo: int, tile: int, mirror: bool):
+    """Planes of one tile, which rows are its own, and where those rows are in a plane."""
+    y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
+    y0, x0, y1, x1 = y.min(), x.min(), y.max(), x.max()
+    h, w = rows["h"][0].as_py(), rows["w"][0].as_py()
+    border = [(halo * (y0 == 0), halo * (y1 == h - 1)), (halo * (x0 == 0), halo * (x1 == w - 1))]
+    planes = {}
+    for c in reads:
+        plane = np.zeros((y1 - y0 + 1, x1 - x0 + 1))
+        plane[y - y0, x - x0] = rows[c].to_numpy()
+        planes[c] = np.pad(plane, border, mode="reflect") if mirror and halo else plane
+    if mirror and halo:
+        y0, x0 = y0 - border[0][0], x0 - border[1][0]
+    own = (y // tile == rows["_ty"][0].as_py()) & (x // tile == rows["_tx"][0].as_py())
+    return planes, own, (y[own] - y0, x[own] - x0)
+
+
+def _fields(df: DataFrame, names) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
+
+
 def filter_tiles(df: DataFrame, chain: Callable[[Planes], Planes], reads: list[str],
                  writes: dict[str, str], halo: int, keys=SCENE, tile: int = TILE,
-                 mirror: bool = False) -> DataFrame:
+                 mirror: bool = False, drop=()) -> DataFrame:
     """Run ``chain`` over every tile: dense planes of ``reads`` in, planes of ``writes`` out.
 
     ``halo`` is the summed radius of the chain. ``mirror`` extends frames by reflection at their
     border, for linear filters; without it planes end at the border and minimum and maximum filters
-    simply see nothing beyond. Other columns of ``df`` pass through.
+    simply see nothing beyond. Other columns of ``df`` pass through, except those in ``drop``.
     """
     d = with_frame_size(df, keys)
-    keep = [c for c in d.columns if c not in writes]
-    d = (d.withColumn("_ty", F.explode(_span("y", halo, tile, "h")))
-         .withColumn("_tx", F.explode(_span("x", halo, tile, "w"))))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*keep).schema)
-    schema += "".join(f", `{k}` {t}" for k, t in writes.items())
+    keep = [c for c in d.columns if c not in writes and c not in drop]
+    schema = _fields(d, keep) + "".join(f", `{k}` {t}" for k, t in writes.items())
 
     def run(rows: pa.Table) -> pa.Table:
-        y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
-        y0, x0, y1, x1 = y.min(), x.min(), y.max(), x.max()
-        h, w = rows["h"][0].as_py(), rows["w"][0].as_py()
-        border = [(halo * (y0 == 0), halo * (y1 == h - 1)), (halo * (x0 == 0), halo * (x1 == w - 1))]
-        planes = {}
-        for c in reads:
-            plane = np.zeros((y1 - y0 + 1, x1 - x0 + 1))
-            plane[y - y0, x - x0] = rows[c].to_numpy()
-            planes[c] = np.pad(plane, border, mode="reflect") if mirror and halo else plane
-        if mirror and halo:
-            y0, x0 = y0 - border[0][0], x0 - border[1][0]
+        planes, own, at = _dense(rows, reads, halo, tile, mirror)
         planes = chain(planes)
-        own = (y // tile == rows["_ty"][0].as_py()) & (x // tile == rows["_tx"][0].as_py())
         out = rows.select(keep).filter(pa.array(own))
-        at = y[own] - y0, x[own] - x0
         for k, t in writes.items():
             v = planes[k][at]
             out = out.append_column(k, pa.array(v) if t == "double" else pa.array(v.astype(np.int32)))
         return out
 
-    return d.groupBy(*keys, "_ty", "_tx").applyInArrow(run, schema)
+    return _with_halo(d, halo, tile).groupBy(*keys, "_ty", "_tx").applyInArrow(run, schema)
+
+
+def count_tiles(df: DataFrame, chain: Callable[[Planes], Planes], reads: list[str],
+                digits: dict[str, int], halo: int, keys=SCENE, tile: int = TILE,
+                mirror: bool = False) -> DataFrame:
+    """Value counts of filtered planes: ``keys, band, v, n``, one row per tile and distinct value.
+
+    Values are rounded to ``digits``. Counting happens in the tile, so a frame's pixels never leave
+    it: what is shuffled next is a few thousand rows per tile.
+    """
+    d = with_frame_size(df, keys)
+
+    def run(rows: pa.Table) -> pa.Table:
+        planes, _, at = _dense(rows, reads, halo, tile, mirror)
+        planes = chain(planes)
+        parts = []
+        for band, k in digits.items():
+            v, n = np.unique(np.round(planes[band][at], k), return_counts=True)
+            one = {c: pa.repeat(rows[c][0], len(v)) for c in keys}
+            parts.append(pa.table({**one, "band": pa.repeat(pa.scalar(band), len(v)), "v": pa.array(v),
+                                   "n": pa.array(n.astype(np.int64))}))
+        return pa.concat_tables(parts)
+
+    schema = _fields(d, keys) + ", band string, v double, n long"
+    need = d.select(*keys, "h", "w", "y", "x", *reads)
+    return _with_halo(need, halo, tile).groupBy(*keys, "_ty", "_tx").applyInArrow(run, schema)
 
 
 def tile_key(df: DataFrame, tile: int = TILE) -> DataFrame:
