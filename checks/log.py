@@ -35,8 +35,7 @@ def gold(spark, sf):
 
 
 def items(spark, sf):
-    return L.with_empty_eval_scenes(gold(spark, sf), D.label_log(spark, sf), D.scene_dim(spark, sf),
-                                    D.eval_sets(spark, sf))
+    return L.gold_with_empty(D.label_log(spark, sf), D.scene_dim(spark, sf), D.eval_sets(spark, sf))
 
 
 @check("w1_latest_decision", uses="label_log", sql="""

@@ -77,8 +77,8 @@ walk AS (SELECT queue_id, tau, n, 0 AS t, {RHO}::DOUBLE * n * {MEDIAN} + {1 - RH
 
 def tuned(spark, sf):
     steps = D.queue_step(spark, sf)
-    return R.tune_threshold(queue(spark, sf), R.score_grid(steps),
-                            R.budget(F.col("n"), MEDIAN, RHO, REVIEW), MEDIAN, REVIEW)
+    return R.tune_threshold(steps, R.score_grid(steps), N, R.budget(F.col("n"), MEDIAN, RHO, REVIEW),
+                            MEDIAN, REVIEW)
 
 
 @check("r3_threshold_grid", uses="queue_step", recursive=True, sql=f", {TUNED} SELECT round(tau, 6) AS tau, round(100 * avg(r), 4) AS mean_return FROM walk WHERE t = n GROUP BY 1".replace("i / 20.0", "i / 20.0::DOUBLE"))
@@ -287,8 +287,7 @@ def r9(spark, sf):
 , d AS (SELECT s.seed, scene_id, row_number() OVER (PARTITION BY s.seed ORDER BY {hashed('sha1', "s.seed || ':' || scene_id", 1 << 30)}, scene_id) - 1 AS r FROM scene_dim, (SELECT unnest([3, 4, 5]) AS seed) s)
 SELECT seed, scene_id, CASE WHEN r < 10 THEN -1 ELSE ((r - 10) // 6)::INT END AS batch FROM d WHERE r < 34""")
 def r10(spark, sf):
-    seeds = D.table(spark, sf, "nation").filter("n_nationkey between 3 and 5").select(F.col("n_nationkey").alias("seed"))
-    return C.campaign_draw(D.scene_dim(spark, sf).select("scene_id"), seeds, 10, 6, 4)
+    return C.campaign_draw(D.scene_dim(spark, sf).select("scene_id"), [3, 4, 5], 10, 6, 4)
 
 
 @check("r11_session_folds", uses="scene_dim", sql="""

@@ -120,25 +120,33 @@ def positional_split(manifest: DataFrame, val: float = 0.2, pos: str = "pos",
                         .otherwise("train")).drop("_r", "_n")
 
 
-def with_empty_eval_scenes(items: DataFrame, log: DataFrame, scenes: DataFrame,
-                           evals: DataFrame) -> DataFrame:
-    """Add evaluation scenes whose latest decision says there is no water."""
-    empty = gold(log, scenes, ("empty",)).join(evals.select("scene_dir"), "scene_dir", "left_semi")
-    return items.unionByName(empty.join(items.select("scene_dir"), "scene_dir", "left_anti"))
+def gold_with_empty(log: DataFrame, scenes: DataFrame, evals: DataFrame) -> DataFrame:
+    """Gold scenes, and evaluation scenes whose latest decision says there is no water.
+
+    A scene has one latest decision, so both kinds come from one pass over the log.
+    """
+    both = gold(log, scenes, (*GOLD_ROUTES, "empty"))
+    j = both.join(evals.select("scene_dir", F.lit(True).alias("_ev")), "scene_dir", "left")
+    return j.filter((F.col("route") != "empty") | F.col("_ev")).drop("_ev")
+
+
+def _with_eval_flags(items: DataFrame, evals: DataFrame, group: str) -> DataFrame:
+    """Evaluation set of each item (``_set``) and whether its session has any (``_held``)."""
+    d = items.join(evals.select("scene_dir", F.col("set").alias("_set")), "scene_dir", "left")
+    held = d.groupBy(group).agg(F.max(F.col("_set").isNotNull()).alias("_held"))
+    return d.join(held, group)
 
 
 def drop_eval_sessions(items: DataFrame, evals: DataFrame, group: str = "group") -> DataFrame:
     """A session with an evaluation scene keeps only its evaluation scenes."""
-    ev = evals.select("scene_dir")
-    bad = items.join(ev, "scene_dir", "left_semi").select(group).distinct()
-    kept = items.join(bad, group, "left_anti")
-    return kept.unionByName(items.join(ev, "scene_dir", "left_semi").select(*kept.columns))
+    d = _with_eval_flags(items, evals, group)
+    return d.filter(F.col("_set").isNotNull() | ~F.col("_held")).drop("_set", "_held")
 
 
 def leaked(items: DataFrame, evals: DataFrame, group: str = "group") -> DataFrame:
-    ev = evals.select("scene_dir")
-    bad = items.join(ev, "scene_dir", "left_semi").select(group).distinct()
-    return items.join(ev, "scene_dir", "left_anti").join(bad, group, "left_semi")
+    """Labelled scenes kept out because their session is used for evaluation."""
+    d = _with_eval_flags(items, evals, group)
+    return d.filter(F.col("_set").isNull() & F.col("_held")).drop("_set", "_held")
 
 
 def scene_manifest(items: DataFrame, evals: DataFrame | None, val: float = 0.2, test: float = 0.0,
@@ -148,16 +156,14 @@ def scene_manifest(items: DataFrame, evals: DataFrame | None, val: float = 0.2,
     With evaluation sets the split comes from them: reward validates, test tests, the rest trains.
     """
     d = items.withColumns({"group": parent_name("scene_dir"), "stem": leaf_name("scene_dir")})
-    most = d.groupBy("group").agg(F.max("n_annotators").alias("_n"))
-    d = d.join(most, "group").withColumns({
-        "fold": fold_of("group", folds), "split": group_split("group", "_n", val, test)}).drop("_n")
     if evals is None:
-        return d
-    d = drop_eval_sessions(d, evals).join(
-        evals.select("scene_dir", F.col("set").alias("_set")), "scene_dir", "left")
+        most = d.groupBy("group").agg(F.max("n_annotators").alias("_n"))
+        split = group_split("group", "_n", val, test)
+        return d.join(most, "group").withColumns({"fold": fold_of("group", folds), "split": split}).drop("_n")
     reward, held = EVAL_SETS
-    return d.withColumn("split", F.when(F.col("_set") == reward, "val")
-                        .when(F.col("_set") == held, "test").otherwise("train")).drop("_set")
+    d = _with_eval_flags(d, evals, "group").filter(F.col("_set").isNotNull() | ~F.col("_held"))
+    split = F.when(F.col("_set") == reward, "val").when(F.col("_set") == held, "test").otherwise("train")
+    return d.withColumns({"fold": fold_of("group", folds), "split": split}).drop("_set", "_held")
 
 
 def relocate(log: DataFrame, found: DataFrame) -> DataFrame:

@@ -140,19 +140,40 @@ def _types(fields: str) -> str:
     return ", ".join(":".join(f.split()) for f in fields.split(", "))
 
 
-def tune_threshold(q: DataFrame, grid: list[float], total: Column, median_s: float,
+def tune_threshold(steps: DataFrame, grid: list[float], n: int, total: Column, median_s: float,
                    review_s: float = 0.0, alpha: float = 100.0) -> DataFrame:
-    """Mean return of every threshold on the given queues: ``tau, mean_return``; infinity is never."""
-    d = q.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in grid])))
-    start = F.struct(total.cast("double").alias("b"), F.lit(0.0).alias("r"))
+    """Mean return of every threshold on queues of up to ``n`` images: ``tau, mean_return``; infinity
+    is never. All thresholds walk a queue side by side, and only sums per threshold leave a task."""
+    wide = _wide(steps, n, median_s, ("c", "q", "ripu"), total)
+    taus = np.array(grid)
 
-    def step(acc, s):
-        manual = (acc["b"] > 0) & (s["ripu"] >= F.col("tau"))
-        return F.struct((acc["b"] - F.when(manual, s["c"]).otherwise(F.lit(float(review_s)))).alias("b"),
-                        (acc["r"] + F.when(manual, F.lit(1.0)).otherwise(s["q"])).alias("r"))
-
-    r = d.select("tau", F.aggregate("steps", start, step)["r"].alias("_r"))
-    return r.groupBy("tau").agg((alpha * F.avg("_r")).alias("mean_return"))
+    def walk(batches):
+        sums, count = np.zeros(len(taus)), 0
+        for rows in batches:
+            left = np.repeat(rows["b"].to_numpy()[:, None], len(taus), axis=1)
+            for i in range(n):
+                c, q, r = (rows[f"{k}{i}"].to_numpy(zero_copy_only=False) for k in ("c", "q", "ripu"))
+                there = ~np.isnan(q)
+                manual = (left > 0) & (r[:, None] >= taus)
+                sums += np.where(there[:, None], np.where(manual, 1.0, q[:, None]), 0.0).sum(axis=0)
+                left -= np.where(there[:, None], np.where(manual, c[:, None], review_s), 0.0)
+            count += rows.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(taus), pa.array(sums), pa.array([count] * len(taus))],
+                                         names=["tau", "s", "n"])
+
+    parts = wide.mapInArrow(walk, "tau double, s double, n long")
+    return parts.groupBy("tau").agg((alpha * F.sum("s") / F.sum("n")).alias("mean_return"))
+
+
+def _wide(steps: DataFrame, n: int, median_s: float, parts, total: Column) -> DataFrame:
+    """One row per queue with a column per image and quantity; missing images are null."""
+    t = F.col("t")
+    value = {"c": F.coalesce("manual_s", F.lit(median_s)), "q": F.col("q")}
+    if "ripu" in parts:
+        value["ripu"] = F.col("ripu")
+    return steps.groupBy("queue_id").agg(
+        *[F.max(F.when(t == i, value[k])).alias(f"{k}{i}") for k in parts for i in range(n)],
+        F.count("*").alias("n")).withColumn("b", total.cast("double"))
 
 
 def best_threshold(tuned: DataFrame) -> DataFrame:
@@ -176,11 +197,7 @@ def hindsight_optimum(steps: DataFrame, n: int, total: Column, median_s: float,
     A queue becomes one wide row; the subsets are walked as array columns inside the task, so only
     one number per queue leaves it.
     """
-    t = F.col("t")
-    wide = steps.groupBy("queue_id").agg(
-        *[F.max(F.when(t == i, F.coalesce("manual_s", F.lit(median_s)))).alias(f"c{i}") for i in range(n)],
-        *[F.max(F.when(t == i, F.col("q"))).alias(f"q{i}") for i in range(n)],
-        F.count("*").alias("n")).filter(F.col("n") == n).withColumn("b", total.cast("double")).drop("n")
+    wide = _wide(steps, n, median_s, ("c", "q"), total).filter(F.col("n") == n).drop("n")
     subsets = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1 == 1
 
     def best(batches):
