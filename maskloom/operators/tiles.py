@@ -3,8 +3,8 @@
 A frame is cut into tiles of fixed size and each tile also receives the pixels around it that its
 filters read, so one hash exchange on ``(keys, tile)`` serves a whole filter chain, a task holds a
 bounded number of rows, and one huge frame is spread like many small ones. Results do not depend on
-the tile size. Inside a tile the filters are array arithmetic: measured against row and column
-windows over the same tiles, that is about forty times less work per pixel.
+the tile size. Inside a tile the filters are array arithmetic, which measured several times faster
+than row and column windows over the same tiles.
 """
 
 from __future__ import annotations
