@@ -298,10 +298,11 @@ def snap_to_edges(px: DataFrame, coarse: DataFrame, radius: int = 8, eps: float
     d = filter_tiles(d, guided, ["_i", "_p"], {"_f": "double"}, 2 * radius, keys, tile, mirror=True)
     d = d.select(*on, "h", "w", "m", F.round("_f", 6).alias("filtered"))
     cut = exact_percentiles(d.filter("m = 1"), keys, "filtered", {"_q": 0.30})
-    scene = d.groupBy(*keys).agg(F.max("filtered").alias("_top")).join(cut, list(keys), "left")
+    scene = d.groupBy(*keys).agg(F.max("filtered").alias("_top"), F.max("h").alias("h"),
+                                 F.max("w").alias("w")).join(cut, list(keys), "left")
     level = F.greatest(F.lit(0.4), F.coalesce("_q", F.lit(0.5)))
     fine = (F.col("filtered") >= level).cast("int")
-    return d.join(scene, list(keys)).select(
+    return join_scene_stats(d, scene, keys, tile).select(
         *keys, "h", "w", "y", "x",
         F.when(F.col("_top") >= level, fine).otherwise(F.col("m")).alias("m"),
         F.when(F.col("_top") >= level, "guided").otherwise("none").alias("refine"))
@@ -313,8 +314,9 @@ def spread_points(cand: DataFrame, weight: str, n: int = 8, grid: int = 6, keys=
     Ties go to the first pixel in reading order within a cell. The cell winner is an aggregate, so
     a frame of any size is combined on the map side; at most ``grid^2`` rows per frame are ranked.
     """
-    ext = cand.groupBy(*keys).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
-    c = cand.join(ext, list(keys)).withColumn("_cell", F.expr(
+    ext = cand.groupBy(*keys).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"),
+                                  F.max("h").alias("h"), F.max("w").alias("w"))
+    c = join_scene_stats(cand, ext, keys).withColumn("_cell", F.expr(
         f"(y * {grid} div _h) * {grid} + (x * {grid} div _w)"))
     best = c.groupBy(*keys, "_cell").agg(F.max_by(
         F.struct("y", "x", F.col(weight).alias("weight")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from maskloom.functions.scalars import clip, ndwi, sha1_bucket
 from maskloom.operators.neighbourhood import box_sum
 from maskloom.operators.statistics import band_long, exact_percentiles
-from maskloom.operators.tiles import SCENE, filter_tiles
+from maskloom.operators.tiles import SCENE, filter_tiles, join_scene_stats, with_frame_size
 from maskloom.schemas import BANDS, IGNORE, MODALITIES, REPLACED_OPTICS, WATER
 
 
@@ -43,6 +43,10 @@ def between(v: Column, lo: Column, hi: Column) -> Column:
     return F.when(hi > lo, clip((v - lo) / (hi - lo))).otherwise(F.lit(0.0))
 
 
+def _sizes(px: DataFrame, keys) -> DataFrame:
+    return px.groupBy(*keys).agg(F.max("h").alias("h"), F.max("w").alias("w"))
+
+
 def stretch(px: DataFrame, bands, lo: float = 0.02, hi: float = 0.98, keys=SCENE,
             scale: float = 1.0) -> DataFrame:
     """Each band between two of its own percentiles, as ``<band>_n`` in [0, scale]."""
@@ -50,7 +54,8 @@ def stretch(px: DataFrame, bands, lo: float = 0.02, hi: float = 0.98, keys=SCENE
     p = exact_percentiles(long, [*keys, "band"], "v", {"lo": lo, "hi": hi})
     wide = p.groupBy(*keys).pivot("band", list(bands)).agg(
         F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    return px.join(wide, list(keys)).select(*px.columns, *[
+    stats = wide.join(_sizes(px, keys), list(keys))
+    return join_scene_stats(px, stats, keys).select(*px.columns, *[
         (between(F.col(b), F.col(f"{b}_lo"), F.col(f"{b}_hi")) * scale).alias(f"{b}_n")
         for b in bands])
 
@@ -58,8 +63,9 @@ def stretch(px: DataFrame, bands, lo: float = 0.02, hi: float = 0.98, keys=SCENE
 def minmax(px: DataFrame, bands, keys=SCENE) -> DataFrame:
     """Each band between its smallest and largest value of the frame, as ``<band>_n``."""
     s = px.groupBy(*keys).agg(*[F.min(b).alias(f"_lo_{b}") for b in bands],
-                              *[F.max(b).alias(f"_hi_{b}") for b in bands])
-    return px.join(s, list(keys)).select(*px.columns, *[
+                              *[F.max(b).alias(f"_hi_{b}") for b in bands],
+                              F.max("h").alias("h"), F.max("w").alias("w"))
+    return join_scene_stats(px, s, keys).select(*px.columns, *[
         between(F.col(b), F.col(f"_lo_{b}"), F.col(f"_hi_{b}")).alias(f"{b}_n") for b in bands])
 
 
@@ -236,8 +242,10 @@ def decode_masks(mask: DataFrame, keys=("scene_id", "source")) -> DataFrame:
     A mask whose values are all 0 or 255 is a binary mask with 255 for water; any other mask already
     holds class codes and 255 for ignored pixels.
     """
-    binary = mask.groupBy(*keys).agg(F.min(F.col("cls").isin(0, IGNORE)).alias("_b"))
-    return mask.join(binary, list(keys)).withColumn(
+    mask = with_frame_size(mask, keys)
+    binary = mask.groupBy(*keys).agg(F.min(F.col("cls").isin(0, IGNORE)).alias("_b"),
+                                     F.max("h").alias("h"), F.max("w").alias("w"))
+    return join_scene_stats(mask, binary, keys).withColumn(
         "cls", F.when(F.col("_b"), F.when(F.col("cls") > 0, WATER).otherwise(0))
         .otherwise(F.col("cls"))).drop("_b")
 

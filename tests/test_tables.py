@@ -118,7 +118,8 @@ def test_thermal_frame(spark):
 
 def test_mask_encodings(spark):
     rows = [("a", 0), ("a", 255), ("b", 0), ("b", 1), ("c", 0), ("c", 2), ("c", 255)]
-    m = spark.createDataFrame([(1, s, c) for s, c in rows], ["scene_id", "source", "cls"])
+    m = spark.createDataFrame([(1, s, 0, i, c) for i, (s, c) in enumerate(rows)],
+                              ["scene_id", "source", "y", "x", "cls"])
     got = sorted((r["source"], r["cls"]) for r in decode_masks(m).collect())
     assert got == [("a", 0), ("a", 1), ("b", 0), ("b", 1), ("c", 0), ("c", 2), ("c", 255)]
 
