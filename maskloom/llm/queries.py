@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import quality, urls
+from maskloom.llm import packing, quality, secrets, token_files, urls, warc
+from maskloom.llm.store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +27,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op3_markov_secrets")
+def op3(spark, sf):
+    return secrets.find(table(spark, sf, "documents")).drop("found")
+
+
 @query("op5_quality_outliers")
 def op5(spark, sf):
     return quality.judge(table(spark, sf, "documents"))
@@ -33,3 +40,20 @@ def op5(spark, sf):
 @query("op6_url_vocabulary", sql=urls.sql_twin())
 def op6(spark, sf):
     return urls.judge(table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_warc_bundles")
+def op7(spark, sf):
+    got = warc.archive(table(spark, sf, "pages"), shared_folder(spark, "warc"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_swap_packing")
+def op8(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_token_records")
+def op9(spark, sf):
+    return token_files.round_trip(table(spark, sf, "documents"), shared_folder(spark, "tokens"),
+                                  public_tokenizers.path("byte_bpe_50k.json"))
