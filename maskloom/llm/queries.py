@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import packing, quality, secrets, token_files, urls, warc
+from maskloom.llm import packing, quality, secrets, token_files, toxicity, urls, warc
 from maskloom.llm.store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op3(spark, sf):
     return secrets.find(table(spark, sf, "documents")).drop("found")
 
 
+@query("op4_kneser_ney_toxicity")
+def op4(spark, sf):
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op5_quality_outliers")
 def op5(spark, sf):
     return quality.judge(table(spark, sf, "documents"))

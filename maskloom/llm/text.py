@@ -17,6 +17,10 @@ import pyarrow.compute as pc
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+# Bytes between plain words: all of ASCII but letters and digits.
+NOT_PLAIN = np.ones(256, bool)
+NOT_PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
 _SLICE = 1 << 20  # bytes hashed at once
 _P = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,13 +64,13 @@ def byte_view(column) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
-def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word; a row's end always ends a word."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    word = ~SPACE[data]
+    word = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     before = np.concatenate(([False], word[:-1]))
