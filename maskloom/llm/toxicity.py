@@ -26,7 +26,7 @@ DISCOUNT = 0.75
 CUTOFF = 4                      # words and bigrams seen less often, in both classes, only back off
 WINDOWS = (4, 16)               # lengths of the runs of words whose top ratio counts
 FOLDS, HELD_OUT = 4, 2          # fold: crc32 of the id's text, modulo FOLDS
-PARTS, CALIBRATION = 16, 3      # of the part that calibrates, modulo PARTS; it gives no counts
+PARTS, CALIBRATION = 8, 3       # of the part that calibrates, modulo PARTS; it gives no counts
 FIT_ROWS = 20_000               # labelled rows of the calibration part that the logistic fit reads
 THRESHOLD = 0.3
 FLUSH = 4_000_000               # words counted together inside a task
@@ -183,13 +183,18 @@ def _design(t: pa.Table) -> np.ndarray:
     return np.column_stack([np.ones(len(n)), short, long, mean * np.sqrt(n) / 10, np.log1p(n) / 10])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Newton steps for a logistic model with a ridge on all weights but the first."""
-    w = np.zeros(x.shape[1])
-    pull = np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
+# Weights of a constant, the two top windows, the whole text and the length before any row is seen.
+PRIOR = np.array([-5.0, 1.0, 4.0, 0.0, 0.0])
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, ridge: float = 2.0,
+                 rounds: int = 50) -> np.ndarray:
+    """Newton steps for a logistic model that a ridge pulls to ``prior``, so few rows move it little."""
+    w = prior.copy()
+    pull = ridge * np.eye(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, x.T @ (y - p) - pull @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, x.T @ (y - p) - pull @ (w - prior))
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -201,7 +206,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A label counts where its id, ``toxic`` value and fold allow; several labels of one id count as
     toxic if any is. Null and empty texts have neutral features and get a score like other texts; null
-    ids are in no fold and not held out. Without labels of both classes every score is 0.5. Repeated
+    ids are in no fold and not held out. Without labelled rows the prior weights are used. Repeated
     rows are scored alike, an empty table gives no rows. Only ``doc_id, text`` are read of ``docs``.
     """
     docs = docs.select("doc_id", "text")
@@ -212,10 +217,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = keep(features(docs, model), "features")
     part = rows.join(few.filter(fold(PARTS) == CALIBRATION), "doc_id").orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS).toArrow()
     y = part["toxic"].to_numpy().astype(float)
-    if 0 < y.sum() < len(y):
-        w = fit_logistic(_design(part), y)
-    else:
-        w = np.zeros(5)
+    w = fit_logistic(_design(part), y) if len(y) else PRIOR
     terms = (F.lit(1.0), F.col("top_short"), F.col("top_long"), F.col("mean") * F.sqrt("n") / 10, F.log1p("n") / 10)
     z = sum((float(a) * x for a, x in zip(w, terms)), F.lit(0.0))
     d = rows.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0)))))
