@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import near_dups, packing, quality, secrets, token_files, toxicity, urls, warc
+from maskloom.llm import decontaminate, near_dups, packing, quality, secrets, token_files, toxicity, urls, warc
 from maskloom.llm.store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_cgk_decontamination")
+def op1(spark, sf):
+    return decontaminate.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op2_bottom_k_near_dups")
 def op2(spark, sf):
     return near_dups.groups(table(spark, sf, "documents"), words=2)
