@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskloom.llm import decontaminate, near_dups, packing, quality, secrets, token_files, toxicity, urls, warc
+import corpus_pipeline
+from maskloom.llm import decontaminate, near_dups, packing, pii, quality, secrets, token_files, toxicity, urls, warc
 from maskloom.llm.store import shared_folder
 
+SURROGATE_KEY = b"of this corpus release"  # a deployment passes its own
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -72,3 +76,12 @@ def op8(spark, sf):
 def op9(spark, sf):
     return token_files.round_trip(table(spark, sf, "documents"), shared_folder(spark, "tokens"),
                                   public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_keyed_surrogates")
+def op10(spark, sf):
+    d = pii.replaced(table(spark, sf, "documents"), SURROGATE_KEY)
+    return d.select("doc_id", "text", F.size("replacements").cast("long").alias("n_entities"), "replacements")
+
+
+query("pipeline", sql=corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
