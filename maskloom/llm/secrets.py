@@ -29,7 +29,8 @@ SEARCHED = PATTERNS | {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 WORD = r"[\p{L}\p{N}_+/-]{12,}"   # tokens that are sampled
 SCORED = r"^[A-Za-z0-9_+/-]{16,}$"  # tokens that are scored, if they hold a letter and a digit
 THRESHOLD = 12.0                    # log-likelihood ratio of the whole token
-SMOOTHING = 0.5                     # added to every count of a character pair
+SMOOTHING = 0.5                     # added to every count of a single character
+BACKOFF = 4.0                       # weight of single characters in the pairs of one first character
 ALPHABET = 96                       # characters a model tells apart: ASCII and one for the rest
 BLOCK = 256
 
@@ -94,10 +95,17 @@ def train(samples: DataFrame) -> DataFrame:
     counts = samples.filter(F.length("v") >= 2).select("random", F.explode(_pairs("v")).alias("pair")).groupBy("pair").agg(
         F.count(F.when(F.col("random"), 1)).alias("r"), F.count(F.when(~F.col("random"), 1)).alias("o"))
     grid = samples.sparkSession.range(ALPHABET * ALPHABET).select(F.col("id").cast("int").alias("pair"))
-    full = grid.join(counts, "pair", "left").fillna(0, ["r", "o"]).withColumn("first", F.expr(f"pair div {ALPHABET}"))
-    sums = full.groupBy("first").agg(F.sum("r").alias("all_r"), F.sum("o").alias("all_o"))
-    p = lambda n, all_: F.log((F.col(n) + SMOOTHING) / (F.col(all_) + SMOOTHING * ALPHABET))
-    return keep(full.join(sums, "first").select("pair", (p("r", "all_r") - p("o", "all_o")).alias("llr")), "markov")
+    full = grid.join(counts, "pair", "left").fillna(0, ["r", "o"]).withColumns(
+        {"first": F.expr(f"pair div {ALPHABET}"), "second": F.col("pair") % ALPHABET})
+    for by in ("first", "second"):
+        full = full.join(full.groupBy(by).agg(F.sum("r").alias(f"r_{by}"), F.sum("o").alias(f"o_{by}")), by)
+    all_ = full.agg(F.sum("r").alias("r"), F.sum("o").alias("o")).first()
+
+    def log_p(c: str) -> Column:
+        alone = (F.col(f"{c}_second") + SMOOTHING) / (all_[c] + SMOOTHING * ALPHABET)
+        return F.log((F.col(c) + BACKOFF * alone) / (F.col(f"{c}_first") + BACKOFF))
+
+    return keep(full.select("pair", (log_p("r") - log_p("o")).alias("llr")), "markov")
 
 
 def scan(docs: DataFrame, carry: list[Column]) -> DataFrame:
