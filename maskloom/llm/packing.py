@@ -102,7 +102,7 @@ def _exchange(gives: list[int], takes: list[int], room: int, at_least: int, size
     return how
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, patience: int = 12,
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int, patience: int = 40,
                  widest: int = 24, receivers: int = 400) -> list[list[int]]:
     """Empty the emptiest bins into the others as far as exchanges allow.
 
@@ -122,7 +122,7 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, patienc
         given.add(donor)
         others = sorted((b for b in range(len(bins)) if bins[b] and b != donor and fill[b] < capacity),
                         key=lambda b: fill[b])[:receivers]
-        moved = True
+        moved, changed = True, False
         while moved and bins[donor]:
             moved = False
             for b in sorted(others, key=lambda b: -fill[b]):
@@ -138,7 +138,9 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, patienc
                     bins[b] = [i for i in bins[b] if i not in back] + out
                     fill[donor] -= delta
                     fill[b] += delta
-                    moved = True
+                    moved = changed = True
+        if changed:  # what failed before may succeed now
+            given = {donor}
         misses = misses + 1 if bins[donor] else 0
         left = sum(1 for b in bins if b)
     return [b for b in bins if b]
