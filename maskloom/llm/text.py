@@ -6,6 +6,8 @@ import os
 import re
 import sys
 import types
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -130,46 +132,97 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 # Characters with the Unicode property White_Space.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# A space, Latin letters, then other printable ASCII but letters, digits and apostrophes.
+_PLAIN = re.compile("( ?)([A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u01c3\\u01cd-\\u024f]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 
 
+# Byte-level vocabularies write bytes as printable characters: these stand for themselves, the others
+# follow from U+0100 on, in order.
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: chr(b) for b in _SELF} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
+
+_PROBES = ("the", " The", "word.", " word,", " Élan", "straße", " ñandú.,", "AKIA", " idea!!", "x", " I", "ǅ", "ŉ")
+
+
 class ChunkEncoder:
     """Token ids of texts, one encoding per distinct chunk.
 
     A chunk is a run of white space with the run of other characters after it. Neither vocabulary
     joins characters over a chunk's start, so the ids of a text are those of its chunks, one after
     the other. Encodings of recent chunks are kept, up to ``most`` of them.
+
+    Most new chunks are a Latin word, perhaps after one space and before punctuation. Normalizing and
+    splitting those is trivial, so they go straight to the vocabulary's merge model; probes decide
+    whether a vocabulary takes the word with its space, as it is, or lower-cased without.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.model, self.shape, self.tails = self.tokenizer.model, None, {}
+        for shape in ("as it is", "lower"):
+            self.shape = shape
+            got = [self._word(p) for p in _PROBES]
+            if sum(g is not None for g in got) > 8 and all(g is None or g == self._whole([p])[0] for p, g in zip(_PROBES, got)):
+                break
+        else:
+            self.shape = None
 
     @staticmethod
     def of(path: str) -> "ChunkEncoder":
         return _worker_cache("encoder:" + path, lambda: ChunkEncoder(path))
 
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _word(self, chunk: str) -> bytes | None:
+        """Ids of a chunk that is a plain word; None if it is not."""
+        found = _PLAIN(chunk)
+        if not found:
+            return None
+        space, core, tail = found.groups()
+        if self.shape == "lower":
+            core, space = core.lower(), ""
+        if not core.isascii():
+            if not core.isalpha() or not unicodedata.is_normalized("NFC", core):
+                return None
+            core = core.encode().decode("latin-1").translate(_SHOWN)
+        ids = array("I", [t.id for t in self.model.tokenize(_SHOWN[32] + core if space else core)]).tobytes()
+        if not tail:
+            return ids
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self._whole([tail])[0]
+        return ids + self.tails[tail]
+
     def _learn(self, chunks) -> dict[str, bytes]:
-        todo = [c for c in dict.fromkeys(chunks) if c not in self.known]
+        """Encode what is not known yet; returns the chunks that are too long to keep."""
+        wanted = dict.fromkeys(chunks)
+        todo = [c for c in wanted if c not in self.known]
         if len(self.known) + len(todo) > self.most:
             self.known.clear()
-            todo = list(dict.fromkeys(chunks))
-        got = {}
-        for i in range(0, len(todo), 20_000):
-            some = todo[i:i + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                got[c] = np.asarray(e.ids, "<u4").tobytes()
-        self.known.update((c, b) for c, b in got.items() if len(c) <= 128)
-        return got
-
-    def _runs(self, text: str) -> Iterator[list[str]]:
-        if len(text) < 2_000_000:
-            yield _CHUNK.findall(text)
-            return
-        found = _CHUNK.finditer(text)
-        while run := [m[0] for m in islice(found, 200_000)]:
-            yield run
+            todo = list(wanted)
+        rest, long = [], {}
+        for c in todo:
+            ids = self._word(c) if self.shape and len(c) <= 64 else None
+            if ids is None:
+                rest.append(c)
+            else:
+                self.known[c] = ids
+        for i in range(0, len(rest), 20_000):
+            some = rest[i:i + 20_000]
+            for c, ids in zip(some, self._whole(some)):
+                (self.known if len(c) <= 128 else long)[c] = ids
+        return long
+
+    def _joined(self, run: list[str], long: dict[str, bytes]) -> bytes:
+        known = self.known
+        if long:
+            return b"".join([long[c] if c in long else known[c] for c in run])
+        return b"".join([known[c] for c in run])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
@@ -179,19 +232,17 @@ class ChunkEncoder:
 
         def flush() -> None:
             nonlocal held
-            extra = self._learn(c for run in few for c in run)
-            known = self.known
-            out.extend(b"".join([known.get(c) or extra.get(c, b"") for c in run]) for run in few)
+            long = self._learn(c for run in few for c in run)
+            out.extend(self._joined(run, long) for run in few)
             few.clear()
             held = 0
 
         for text in texts:
             if text and len(text) >= 2_000_000:
                 flush()
-                parts = []
-                for run in self._runs(text):
-                    extra = self._learn(run)
-                    parts.append(b"".join([self.known.get(c) or extra.get(c, b"") for c in run]))
+                found, parts = _CHUNK.finditer(text), []
+                while run := [m[0] for m in islice(found, 200_000)]:
+                    parts.append(self._joined(run, self._learn(run)))
                 out.append(b"".join(parts))
                 continue
             few.append(_CHUNK.findall(text) if text else [])
