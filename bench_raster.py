@@ -45,10 +45,10 @@ def main(argv):
         "band_summary": lambda: ST.band_summary(px, ("r", "g", "b", "th", "nir")),
         "local_sd": lambda: N.local_sd(px.select("scene_id", "h", "w", "y", "x", "th"), "th", "s"),
         "ellipse_open": lambda: N.ellipse_open(mask, "m", "m"),
-        "components": lambda: C.drop_small(mask, "m", "m", 0.003, largest_side=side),
-        "fill_holes": lambda: C.fill_holes(mask, "m", "m", largest_side=side),
-        "nir_threshold": lambda: B.nir_threshold(px, largest_side=side),
-        "spectral_fusion": lambda: B.spectral_fusion(px, largest_side=side),
+        "components": lambda: C.drop_small(mask, "m", "m", 0.003),
+        "fill_holes": lambda: C.fill_holes(mask, "m", "m"),
+        "nir_threshold": lambda: B.nir_threshold(px),
+        "spectral_fusion": lambda: B.spectral_fusion(px),
     }
     out = {}
     for name, job in jobs.items():

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import derived as D
 from checks import sqltext as S
-from checks.raster import AT, BOUND, GREY, PRED, predicted, water
+from checks.raster import AT, GREY, PRED, predicted, water
 from checks.registry import check
 from maskloom.functions.scalars import softmax
 from maskloom.operators import agreement as A
@@ -67,7 +67,7 @@ f1 AS MATERIALIZED (SELECT f0.scene_id, f0.y, f0.x, (big.comp IS NOT NULL)::INT
 
 @check("n12_spectral_fusion", uses="px", recursive=True, sql=FUSED_MASK + "\nSELECT scene_id, y, x, m FROM f3")
 def n12(spark, sf):
-    return B.spectral_fusion(D.px(spark, sf), largest_side=BOUND).select(*AT, "m")
+    return B.spectral_fusion(D.px(spark, sf)).select(*AT, "m")
 
 
 @check("n12_fusion_report", uses="px", recursive=True, sql=FUSED_MASK + """
@@ -77,7 +77,7 @@ SELECT scene_id, round(max(ndwi_cut), 3) AS ndwi_otsu, round(max(nir_range), 1)
 FROM fused JOIN f3 USING (scene_id, y, x) GROUP BY 1""")
 def n12r(spark, sf):
     p = D.px(spark, sf)
-    return B.fusion_report(B.spectral_fusion(p, largest_side=BOUND), B.frame_statistics(p))
+    return B.fusion_report(B.spectral_fusion(p), B.frame_statistics(p))
 
 
 @check("n12_specular", uses="px", sql=f"""{FUSED},
@@ -111,11 +111,11 @@ def cleaned(src: str, opens: int, closes: int, out: str) -> str:
 z0 AS MATERIALIZED (SELECT scene_id, y, x, ((nir - lo) / (hi - lo) < 0.6)::INT AS m FROM px JOIN lim USING (scene_id) WHERE hi > lo),
 {cleaned('z0', 1, 1, 'z3')} SELECT scene_id, y, x, m FROM z3""")
 def n13(spark, sf):
-    return B.nir_threshold(D.px(spark, sf), 0.6, 1, largest_side=BOUND).select(*AT, "m")
+    return B.nir_threshold(D.px(spark, sf), 0.6, 1).select(*AT, "m")
 
 
 @check("n13_flat_scenes", uses="px", sql="""
-SELECT scene_id, 'nir' AS labeller, 'NIR band has no dynamic range' AS error FROM px GROUP BY 1
+SELECT scene_id, 'nir' AS labeller, 'flat nir' AS error FROM px GROUP BY 1
 HAVING min(CASE WHEN scene_id % 4 = 0 THEN 7 ELSE nir END) = max(CASE WHEN scene_id % 4 = 0 THEN 7 ELSE nir END)""")
 def n13b(spark, sf):
     p = D.px(spark, sf).withColumn("nir", F.when(F.col("scene_id") % 4 == 0, 7).otherwise(F.col("nir")))
@@ -129,7 +129,7 @@ hn AS (SELECT scene_id, nir::BIGINT AS v, count(*) AS n FROM px GROUP BY 1, 2),
 z0 AS MATERIALIZED (SELECT scene_id, y, x, (th < ot.cut AND nir < onn.cut)::INT AS m FROM px JOIN ot USING (scene_id) JOIN onn USING (scene_id)),
 {cleaned('z0', 2, 2, 'z3')} SELECT scene_id, y, x, m FROM z3""")
 def n14(spark, sf):
-    return B.thermal_otsu(D.px(spark, sf), largest_side=BOUND).select(*AT, "m")
+    return B.thermal_otsu(D.px(spark, sf)).select(*AT, "m")
 
 
 def views(spark, sf):
@@ -167,14 +167,13 @@ z0 AS MATERIALIZED (SELECT scene_id, y, x, (round(0.5::DOUBLE * {U('dr', 'dp.lo'
   FROM d JOIN tx USING (scene_id, y, x) JOIN dp USING (scene_id) JOIN rp USING (scene_id) JOIN xp USING (scene_id)),
 {cleaned('z0', 1, 1, 'z3')}, {S.fill('z4', 'z3')} SELECT scene_id, y, x, m FROM z4""")
 def n15(spark, sf):
-    return B.change_labeller(D.px(spark, sf), B.sibling_frames(views(spark, sf)), 0.3,
-                             largest_side=BOUND).select(*AT, "m")
+    return B.change_labeller(D.px(spark, sf), B.sibling_frames(views(spark, sf)), 0.3).select(*AT, "m")
 
 
 @check("n16_edge_snap")
 def n16(spark, sf):
     p = D.px(spark, sf)
-    return B.snap_to_edges(p, durable(B.spectral_fusion(p, largest_side=BOUND)))
+    return B.snap_to_edges(p, durable(B.spectral_fusion(p)))
 
 
 CAND = f"""{FUSED}, {S.local_sd('sd2', 'gr', 'u')}, {pct('s2', 'sd2', 'v', 2)},

@@ -18,7 +18,6 @@ BANDS = ("r", "g", "b", "th", "nir")
 AT = ["scene_id", "y", "x"]
 LONG = ("long AS MATERIALIZED (" + " UNION ALL ".join(
     f"SELECT scene_id, y, x, '{b}' AS band, {b} AS v FROM px" for b in BANDS) + ")")
-BOUND = D.SIDE
 
 
 def water(spark, sf):
@@ -116,7 +115,7 @@ def n6(spark, sf):
 SELECT scene_id, y, x, comp, count(*) OVER (PARTITION BY scene_id, comp) AS area FROM cc""")
 def n8(spark, sf):
     d = water(spark, sf).withColumn("on", F.when(F.col("m") == 1, 1))
-    return C.components(d, "on", 8, largest_side=BOUND).filter("comp is not null").select(
+    return C.components(d, "on", 8).filter("comp is not null").select(
         *AT, "comp", "area")
 
 
@@ -126,13 +125,13 @@ big AS (SELECT scene_id, comp FROM cc GROUP BY 1, 2 HAVING count(*) >= 0.1 * 64)
 SELECT m0.scene_id, m0.y, m0.x, (big.comp IS NOT NULL)::INT AS m FROM m0
 LEFT JOIN cc USING (scene_id, y, x) LEFT JOIN big ON big.scene_id = cc.scene_id AND big.comp = cc.comp""")
 def n8b(spark, sf):
-    return C.drop_small(water(spark, sf), "m", "m", 0.1, largest_side=BOUND).select(*AT, "m")
+    return C.drop_small(water(spark, sf), "m", "m", 0.1).select(*AT, "m")
 
 
 @check("n9_fill_holes", uses="auto_px", recursive=True, sql=f"""
 , {WATER}, {S.fill('fl', 'm0')} SELECT scene_id, y, x, m FROM fl""")
 def n9(spark, sf):
-    return C.fill_holes(water(spark, sf), "m", "m", largest_side=BOUND).select(*AT, "m")
+    return C.fill_holes(water(spark, sf), "m", "m").select(*AT, "m")
 
 
 SEEDS = ("seeds AS (SELECT scene_id, s AS seed, (scene_id * 3 + s * 5) % 8 AS sy, (scene_id * 5 + s) % 8 AS sx "
@@ -155,8 +154,7 @@ reach AS (SELECT scene_id, seed, sy AS y, sx AS x FROM seeds
     AND a.seed = c.seed AND abs(a.y - c.y) + abs(a.x - c.x) = 1)
 SELECT scene_id, seed, y::INT AS y, x::INT AS x FROM reach""")
 def n10(spark, sf):
-    return C.grow_from_seeds(D.px(spark, sf).select(*AT, "h", "w", "g"), seeds(spark, sf), "g", 25,
-                             largest_side=BOUND)
+    return C.grow_from_seeds(D.px(spark, sf).select(*AT, "h", "w", "g"), seeds(spark, sf), "g", 25)
 
 
 @check("n10_relabel_region", uses="mask_px", recursive=True, sql=f"""
@@ -171,7 +169,7 @@ reach AS (SELECT scene_id, seed, sy AS y, sx AS x FROM seeds
 SELECT scene_id, seed, y::INT AS y, x::INT AS x FROM reach""")
 def n10b(spark, sf):
     m = D.mask_px(spark, sf).filter("annotator = 0").drop("annotator")
-    return C.same_class_region(m, seeds(spark, sf), largest_side=BOUND)
+    return C.same_class_region(m, seeds(spark, sf))
 
 
 @check("n11_class_cleanup", uses="mask_px", recursive=True, sql=f"""
@@ -182,7 +180,7 @@ SELECT scene_id, y, x, CASE WHEN cls NOT IN (0, 1) THEN cls WHEN k2.m = 1 THEN 1
 FROM k0 JOIN k2 USING (scene_id, y, x)""")
 def n11(spark, sf):
     m = D.mask_px(spark, sf).filter("annotator = 1").drop("annotator")
-    return C.clean_class(m, 1, largest_side=BOUND).select(*AT, "cls")
+    return C.clean_class(m, 1).select(*AT, "cls")
 
 
 @check("n19_resample_nearest", uses="mask_px", sql="""
@@ -269,7 +267,7 @@ SELECT scene_id, round(f, 6) AS boundary_frac, coalesce(components, 0)::BIGINT A
 def n22(spark, sf):
     m = water(spark, sf)
     return C.boundary_fraction(m).join(
-        C.big_component_count(m, "m", 4, largest_side=BOUND), "scene_id").select(
+        C.big_component_count(m, "m", 4), "scene_id").select(
         "scene_id", F.round("boundary_frac", 6).alias("boundary_frac"), "components")
 
 

@@ -369,42 +369,123 @@ def f12(spark, sf):
     return C.quotas(s, ["session"], "want").select("session", "stratum", "quota")
 
 
-@check("r7_farthest_points")
+FEATURES = ("f1", "f2", "f3", "f4")
+
+
+def standardised(name: str, source: str, keys: str) -> str:
+    """CTE: ``source`` with features standardised per group, and distances' building blocks."""
+    m = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES)
+    z = ", ".join(f"round(({f} - m_{f}) / (s_{f} + 1e-9::DOUBLE), 6) AS z_{f}" for f in FEATURES)
+    return (f"{name}_m AS (SELECT {keys}, {m} FROM {source} GROUP BY {keys}), "
+            f"{name}_0 AS MATERIALIZED (SELECT {keys}, pos, epoch(ts)::BIGINT AS s, want, gap, forced, {z} FROM {source} JOIN {name}_m USING ({keys}))")
+
+
+def distance(a: str, b: str) -> str:
+    return "round(" + " + ".join(f"({a}.z_{f} - {b}.z_{f}) * ({a}.z_{f} - {b}.z_{f})" for f in FEATURES) + ", 6)"
+
+
+def picked(name: str, source: str, keys: str, rounds: int) -> str:
+    """CTEs: farthest points of ``source`` (keys, pos, ts, features, want, gap, forced), one CTE per round."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    ctes = [standardised(name, source, keys),
+            f"{name}_p0 AS MATERIALIZED (SELECT {keys}, pos, s, row_number() OVER (PARTITION BY {keys} ORDER BY s, pos) AS rank, "
+            + ", ".join(f"z_{f}" for f in FEATURES) + f" FROM {name}_0 WHERE forced = 1)"]
+    for i in range(1, rounds + 1):
+        norm = "round(" + " + ".join(f"z_{f} * z_{f}" for f in FEATURES) + ", 6)"
+        ctes.append(f"""{name}_p{i} AS MATERIALIZED (WITH d AS (SELECT a.*, min({distance('a', 'b')}) AS far, bool_and(b.pos IS NULL OR abs(a.s - b.s) >= a.gap) AS free, count(b.pos) AS have, bool_or(a.pos = b.pos) AS used
+    FROM {name}_0 a LEFT JOIN {name}_p{i - 1} b ON {on} WHERE a.forced = 0 GROUP BY ALL)
+  SELECT * FROM {name}_p{i - 1} UNION ALL SELECT {keys}, pos, s, have + 1 AS rank, {', '.join(f'z_{f}' for f in FEATURES)} FROM d
+  WHERE have < want AND free AND NOT coalesce(used, FALSE) AND (far IS NULL OR far > 0)
+  QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY coalesce(far, -{norm}) DESC, s, pos) = 1)""")
+    return ",\n".join(ctes)
+
+
+SPREAD60 = """sr AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, pos) - 1 AS r, count(*) OVER (PARTITION BY session) AS n FROM capture),
+sp AS (SELECT DISTINCT session, round_even(i * (n - 1) / 59.0::DOUBLE, 0) AS r FROM (SELECT DISTINCT session, n FROM sr WHERE n > 60), (SELECT unnest(range(60)) AS i)),
+thin AS MATERIALIZED (SELECT sr.*, 8 AS want, 1800 AS gap, 0 AS forced FROM sr LEFT JOIN sp USING (session, r) WHERE n <= 60 OR sp.session IS NOT NULL)"""
+
+
+@check("r7_farthest_points", uses="capture", sql=f""", {SPREAD60}, {picked('fp', 'thin', 'session', 8)}
+SELECT session, pos, rank FROM fp_p8""")
 def r7(spark, sf):
     t = C.time_spread(D.capture(spark, sf), ["session"], 60).withColumns({"forced": F.lit(0), "quota": F.lit(8)})
-    return C.farthest_points(t, ["session"], ["f1", "f2", "f3", "f4"], 1800.0)
+    return C.farthest_points(t, ["session"], list(FEATURES), gap_s=1800)
 
 
 def plan(spark, sf):
-    c = D.capture(spark, sf).select("session").distinct()
-    k = F.ascii(F.right("session", F.lit(1))) % 3
-    return c.select(F.when(k == 0, "reward").when(k == 1, "test").otherwise("pool").alias("set"), "session",
-                    F.lit(6).alias("want"))
+    """A set for each session, and a second one for those that end in an even character."""
+    c = D.capture(spark, sf).select("session").distinct().withColumn("k", F.ascii(F.right("session", F.lit(1))))
+    one = c.select(F.lit(0).alias("ord"), F.when(F.col("k") % 3 == 0, "reward").when(F.col("k") % 3 == 1, "test").otherwise("pool").alias("set"),
+                   "session", F.lit(6).alias("want"))
+    return one.unionByName(c.filter("k % 2 = 0").select(F.lit(1).alias("ord"), F.lit("extra").alias("set"), "session", F.lit(4).alias("want")))
 
 
-def proposals(spark, sf):
-    f = C.deployment(C.usable_frames(C.collapse_copies(C.share_label_flag(D.capture(spark, sf)))), D.deploy_window(spark, sf))
-    return C.propose(plan(spark, sf), f, f.filter("pos < 0").select("session", "ts"), ["f1", "f2", "f3", "f4"],
-                     ["S1", "S2", "S3", "S4"])
+SERIES = ["S1", "S2", "S3", "S4"]
 
 
-@check("r8_proposals")
+def proposals(spark, sf):
+    f = C.deployment(C.usable_frames(C.collapse_copies(C.share_label_flag(D.capture(spark, sf)))), D.deploy_window(spark, sf))
+    return C.propose(plan(spark, sf), f, f.filter("pos < 0").select("session", "ts"), list(FEATURES), SERIES)
+
+
+def proposed_sql() -> str:
+    """The proposals of both turns as CTEs ending in ``proposed``."""
+    series = ", ".join(f"'{s}'" for s in SERIES)
+    frame_ctes = """lab AS (SELECT *, bool_or(labelled) OVER (PARTITION BY session, stem) AS lab_any FROM capture),
+col AS (SELECT * REPLACE (lab_any AS labelled) FROM lab QUALIFY row_number() OVER (PARTITION BY session, stem ORDER BY pos DESC) = 1),
+usable AS (SELECT * FROM col WHERE has_tiff AND session IS NOT NULL AND brightness >= 30),
+hit AS (SELECT c.pos, w.name, row_number() OVER (PARTITION BY c.pos ORDER BY ord) AS r FROM usable c JOIN deploy_window w ON w.session = c.session AND c.ts::DATE BETWEEN from_date AND to_date),
+frames AS MATERIALIZED (SELECT u.*, h.name AS placement FROM usable u JOIN hit h ON h.pos = u.pos AND h.r = 1 UNION ALL SELECT u.*, '' FROM usable u ANTI JOIN deploy_window USING (session)),
+sess AS (SELECT DISTINCT session, ascii(right(session, 1)) AS k FROM capture),
+plan AS (SELECT 0 AS ord, CASE k % 3 WHEN 0 THEN 'reward' WHEN 1 THEN 'test' ELSE 'pool' END AS "set", session, 6 AS want FROM sess
+  UNION ALL SELECT 1, 'extra', session, 4 FROM sess WHERE k % 2 = 0)"""
+    ctes = [frame_ctes]
+    for t, n in ((0, 9), (1, 6)):
+        taken = "" if t == 0 else f" UNION ALL SELECT session, epoch(ts)::BIGINT AS s FROM turn{t - 1} WHERE session IN ({series})"
+        ctes.append(f"""f{t} AS MATERIALIZED (SELECT f.*, p."set", p.want AS n, ceil(p.want * 1.4)::BIGINT AS need, session IN ({series}) AS ser FROM frames f JOIN plan p USING (session) WHERE p.ord = {t} AND f.ts IS NOT NULL),
+busy{t} AS MATERIALIZED (SELECT session, epoch(ts)::BIGINT AS s FROM f{t} WHERE labelled AND "set" <> 'reward' AND ser{taken}),
+c{t} AS MATERIALIZED (SELECT f.* FROM f{t} f WHERE ("set" = 'reward' OR NOT labelled) AND NOT EXISTS (SELECT 1 FROM busy{t} b WHERE b.session = f.session AND abs(epoch(f.ts)::BIGINT - b.s) < 1800)),
+np{t} AS (SELECT session, count(DISTINCT placement) AS k FROM c{t} WHERE placement <> '' GROUP BY 1),
+st{t} AS MATERIALIZED (SELECT c.*, CASE WHEN NOT ser THEN 'all' WHEN coalesce(k, 0) > 1 THEN placement ELSE strftime(ts, '%Y-%m') END AS stratum FROM c{t} c LEFT JOIN np{t} USING (session)),
+m{t} AS (SELECT "set", session, count(DISTINCT stratum) AS m FROM st{t} GROUP BY 1, 2),
+rk{t} AS MATERIALIZED (SELECT s.*, CASE WHEN ser THEN greatest(3, 60 // m) ELSE 60 END AS k, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY "set", session, stratum) AS sz
+  FROM st{t} s JOIN m{t} USING ("set", session) WINDOW w AS (PARTITION BY "set", session, stratum ORDER BY ts, pos)),
+ix{t} AS (SELECT DISTINCT "set", session, stratum, round_even(i * (sz - 1) / (k - 1)::DOUBLE, 0) AS r FROM (SELECT DISTINCT "set", session, stratum, sz, k FROM rk{t} WHERE sz > k), (SELECT unnest(range(60)) AS i) WHERE i < k),
+th{t} AS MATERIALIZED (SELECT r.* FROM rk{t} r LEFT JOIN ix{t} i USING ("set", session, stratum, r) WHERE (sz <= k OR i.session IS NOT NULL) AND NOT ("set" = 'reward' AND labelled)),
+fo{t} AS MATERIALIZED (SELECT * FROM rk{t} WHERE "set" = 'reward' AND labelled),
+nf{t} AS (SELECT "set", session, count(*) AS nf FROM fo{t} GROUP BY 1, 2),
+qs{t} AS (SELECT "set", session, stratum, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY "set", session) AS m, greatest(0, need - coalesce(nf, 0)) AS lft
+  FROM (SELECT DISTINCT "set", session, stratum, need FROM th{t} WHERE ser) LEFT JOIN nf{t} USING ("set", session) WINDOW w AS (PARTITION BY "set", session ORDER BY stratum)),
+sa{t} AS MATERIALIZED (SELECT th.* EXCLUDE (r), greatest(1, lft // m + (i < lft % m)::INT) AS want, 1800 AS gap, 0 AS forced FROM th{t} th JOIN qs{t} USING ("set", session, stratum)),
+sb{t} AS MATERIALIZED (SELECT a.* EXCLUDE (r), greatest(1, need, coalesce(nf, 0)) AS want, 0 AS gap, (a."set" = 'reward' AND labelled)::INT AS forced FROM (SELECT * FROM th{t} UNION ALL SELECT * FROM fo{t}) a LEFT JOIN nf{t} USING ("set", session) WHERE NOT ser),
+{picked(f'sa{t}f', f'sa{t}', '"set", session, stratum', n)},
+{picked(f'sb{t}f', f'sb{t}', '"set", session', n)},
+pk{t} AS (SELECT p."set", p.session, pos, row_number() OVER (PARTITION BY p."set", p.session ORDER BY stratum, rank) + coalesce(nf, 0) AS rank FROM sa{t}f_p{n} p LEFT JOIN nf{t} n ON n."set" = p."set" AND n.session = p.session
+  UNION ALL SELECT "set", session, pos, row_number() OVER (PARTITION BY "set", session ORDER BY ts, pos) FROM fo{t} WHERE ser
+  UNION ALL SELECT "set", session, pos, rank FROM sb{t}f_p{n}),
+turn{t} AS MATERIALIZED (SELECT pk."set", pk.session, pk.rank, c.stem, c.placement, c.ts, CASE WHEN c.labelled THEN 'yes' ELSE '' END AS relabel FROM pk{t} pk JOIN c{t} c ON c."set" = pk."set" AND c.session = pk.session AND c.pos = pk.pos)""")
+    ctes.append("proposed AS MATERIALIZED (SELECT * FROM turn0 UNION ALL SELECT * FROM turn1)")
+    return ",\n".join(ctes)
+
+
+PROPOSED = proposed_sql()
+
+
+@check("r8_proposals", uses="capture deploy_window", sql=f', {PROPOSED} SELECT "set", session, stem, placement, ts, rank, relabel FROM proposed')
 def r8(spark, sf):
     return proposals(spark, sf).select("set", "session", "stem", "placement", "ts", "rank", "relabel")
 
 
-@check("r8_shortfall")
+@check("r8_shortfall", uses="capture deploy_window", sql=f""", {PROPOSED}
+SELECT p."set", p.session, want, count(o.session) AS proposed, count(o.session) < want AS short FROM plan p LEFT JOIN proposed o ON o."set" = p."set" AND o.session = p.session GROUP BY 1, 2, 3""")
 def r8b(spark, sf):
     return C.shortfall(plan(spark, sf), proposals(spark, sf))
 
 
-@check("u4_proposal_queues", uses="capture", sql="""
-SELECT q AS queue, count(*) AS n FROM (SELECT CASE WHEN ascii(right(session, 1)) % 3 < 2 THEN 'eval' ELSE 'pool' END AS q FROM capture) GROUP BY 1""")
+@check("u4_proposal_queues", uses="capture deploy_window", sql=f""", {PROPOSED}
+SELECT CASE WHEN "set" IN ('reward', 'test') THEN 'eval' ELSE 'pool' END AS queue, "set", session, stem, rank FROM proposed""")
 def u4(spark, sf):
-    c = D.capture(spark, sf).join(plan(spark, sf), "session")
-    e = c.filter("set <> 'pool'").select("set", "pos")
-    return C.by_queue(e.unionByName(c.filter("set = 'pool'").select("set", "pos"))).groupBy("queue").agg(
-        F.count("*").alias("n"))
+    return C.by_queue(proposals(spark, sf)).select("queue", "set", "session", "stem", "rank")
 
 
 @check("t4_click_candidates", uses="auto_px", sql="""

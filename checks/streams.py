@@ -9,6 +9,7 @@ from checks.log import hashed
 from checks.raster import AT
 from checks.registry import check
 from maskloom.functions.scalars import is_replicate
+from maskloom.operators.ordered import ranked
 from maskloom.sources import scenes as SC
 from maskloom.sources import tables as TB
 from maskloom.session import scratch
@@ -161,7 +162,8 @@ def s4(spark, sf):
 
 
 @check("s6_log_read", uses="label_log", sql="""
-SELECT annotator, scene_id::VARCHAR AS scene_id, route, round(active_seconds, 1) AS active_seconds, review_seconds, ts AS timestamp, seed_backend FROM label_log""")
+SELECT annotator, scene_id::VARCHAR AS scene_id, route, round(active_seconds, 1) AS active_seconds, review_seconds, ts AS timestamp, seed_backend,
+  row_number() OVER (ORDER BY review_seconds IS NOT NULL, log_pos) AS place FROM label_log""")
 def s6(spark, sf):
     """An old log with a short header and a current one, read as one log."""
     log = D.label_log(spark, sf).select(
@@ -173,11 +175,12 @@ def s6(spark, sf):
     paths = []
     for cond, n in (("review_seconds is null", 20), ("review_seconds is not null", 25)):
         path = scratch(spark, "csv")
-        part = full.filter(cond).select(*TB.LOG_FIELDS[:n])
+        part = full.filter(cond).repartitionByRange(7, "log_pos").sortWithinPartitions("log_pos").select(*TB.LOG_FIELDS[:n])
         part.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
         paths.append(path)
-    return TB.read_decision_log(spark, paths).select(
-        "annotator", "scene_id", "route", "active_seconds", "review_seconds", "timestamp", "seed_backend")
+    log = TB.read_decision_log(spark, paths)
+    place = ranked(log, [], F.expr("log_pos >> 33"), [F.col("log_pos")], "place")  # a file is a block
+    return place.select("annotator", "scene_id", "route", "active_seconds", "review_seconds", "timestamp", "seed_backend", "place")
 
 
 @check("s7_log_append", uses="label_log", sql="SELECT log_pos, ts AS timestamp, route, ts::DATE AS day FROM label_log")

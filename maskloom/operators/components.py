@@ -3,7 +3,7 @@
 Two levels. Inside a tile (a bounded number of pixels) labels come from one vectorised pass. Tiles
 are then stitched: only label pairs that touch across a tile border form a graph, and alternating
 large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond",
-2014) reduce it to stars. Frames that fit in one tile need no stitching at all.
+2014) reduce it to stars.
 """
 
 from __future__ import annotations
@@ -89,14 +89,12 @@ def _star_components(edges: DataFrame, keys) -> DataFrame:
 
 
 def components(df: DataFrame, value: str = "m", connectivity: int = 8, keys=SCENE,
-               flag: Column | None = None, tile: int = TILE,
-               largest_side: int | None = None) -> DataFrame:
+               flag: Column | None = None, tile: int = TILE) -> DataFrame:
     """Label regions of equal non-null ``value``.
 
     Adds ``comp`` (the smallest ``y * w + x`` of the region), ``area`` and ``flagged`` (1 when
-    ``flag`` holds anywhere in it), all null where ``value`` is null. ``largest_side`` is the
-    largest frame side in the table: when it fits one tile, stitching is left out. Unknown, it is
-    looked up.
+    ``flag`` holds anywhere in it), all null where ``value`` is null. The labelled tiles are written
+    once; if they show a frame of more than one tile, they are stitched.
     """
     steps = STEPS[connectivity]
     base = with_frame_size(df, keys)
@@ -106,12 +104,10 @@ def components(df: DataFrame, value: str = "m", connectivity: int = 8, keys=SCEN
         "_flag": F.lit(0) if flag is None else F.coalesce(flag.cast("int"), F.lit(0)),
         "_ty": F.expr(f"int(y div {tile})"), "_tx": F.expr(f"int(x div {tile})")})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
-    cells = d.groupBy(*keys, "_ty", "_tx").applyInArrow(
-        lambda rows: _label_tile(rows, steps), schema + ", comp long, area long, flagged long")
-    if largest_side is None:
-        largest_side = base.agg(F.max(F.greatest("h", "w"))).first()[0] or 0
-    if largest_side > tile:
-        cells = _stitch(durable(cells), steps, keys, tile)
+    cells = durable(d.groupBy(*keys, "_ty", "_tx").applyInArrow(
+        lambda rows: _label_tile(rows, steps), schema + ", comp long, area long, flagged long"))
+    if not cells.filter("_ty > 0 or _tx > 0").isEmpty():
+        cells = _stitch(cells, steps, keys, tile)
     known = F.col("_v") >= 0
     return cells.select(*out, *[F.when(known, F.col(c)).alias(c) for c in ("comp", "area", "flagged")])
 
@@ -228,8 +224,7 @@ def big_component_count(df: DataFrame, value: str = "m", min_pixels: int = 100,
                                   .alias("components"))
 
 
-def clean_class(mask: DataFrame, cls: int, keys=SCENE, tile: int = TILE,
-                largest_side: int | None = None) -> DataFrame:
+def clean_class(mask: DataFrame, cls: int, keys=SCENE, tile: int = TILE) -> DataFrame:
     """Open, close and fill one class with a 3x3 square; pixels of other classes stay as they are.
 
     Outside the frame counts as unset here.
@@ -244,6 +239,6 @@ def clean_class(mask: DataFrame, cls: int, keys=SCENE, tile: int = TILE,
 
     d = filter_tiles(mask.withColumn("_m", (c == cls).cast("int")), open_close, ["_m"],
                      {"_m": "int"}, 4, keys, tile)
-    d = fill_holes(d, "_m", "_m", keys, tile=tile, largest_side=largest_side)
+    d = fill_holes(d, "_m", "_m", keys, tile=tile)
     new = F.when(F.col("_m") == 1, cls).otherwise(0)
     return d.withColumn("cls", F.when(c.isin(0, cls), new).otherwise(c)).drop("_m")

@@ -144,9 +144,9 @@ def fusion_probability(px: DataFrame, params: FusionParams = FusionParams(), key
 
 
 def spectral_fusion(px: DataFrame, params: FusionParams = FusionParams(), keys=SCENE,
-                    tile: int = TILE, largest_side: int | None = None) -> DataFrame:
+                    tile: int = TILE) -> DataFrame:
     """NIR gate times weighted cues, thresholded, large components kept, filled, opened once."""
-    kw = {"tile": tile, "largest_side": largest_side}
+    kw = {"tile": tile}
     d = fusion_probability(px, params, keys, tile)
     d = d.withColumn("m", (F.col("prob") >= params.thresh).cast("int"))
     d = drop_small(d, "m", "m", params.min_area_frac, 8, keys, **kw)
@@ -171,12 +171,11 @@ def fusion_report(labelled: DataFrame, stats: DataFrame, thresh: float = 0.5, ke
         F.lit("none").alias("refine"))
 
 
-def tidy(d: DataFrame, value: str, opens: int, closes: int, keys=SCENE, tile: int = TILE,
-         largest_side: int | None = None) -> DataFrame:
+def tidy(d: DataFrame, value: str, opens: int, closes: int, keys=SCENE, tile: int = TILE) -> DataFrame:
     """Open, fill holes, close: the clean-up the threshold labellers share."""
     if opens:
         d = ellipse_open(d, value, value, opens, keys, tile)
-    d = fill_holes(d, value, value, keys, tile=tile, largest_side=largest_side)
+    d = fill_holes(d, value, value, keys, tile=tile)
     if closes:
         d = ellipse_close(d, value, value, closes, keys, tile)
     return d
@@ -186,7 +185,7 @@ MASK_COLUMNS = ("h", "w", "y", "x", "m")
 
 
 def nir_threshold(px: DataFrame, threshold: float = 0.25, opens: int = 2, keys=SCENE,
-                  tile: int = TILE, largest_side: int | None = None) -> DataFrame:
+                  tile: int = TILE) -> DataFrame:
     """Water is NIR below a share of the frame's range. A flat frame gives no mask."""
     size = px.groupBy(*keys).agg(F.max("h").alias("h"), F.max("w").alias("w"),
                                  F.min("nir").alias("_lo"), F.max("nir").alias("_hi"))
@@ -194,17 +193,16 @@ def nir_threshold(px: DataFrame, threshold: float = 0.25, opens: int = 2, keys=S
                          tile)
     nn = (F.col("nir") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     d = d.withColumn("m", (nn < threshold).cast("int")).select(*keys, *MASK_COLUMNS)
-    return tidy(d, "m", opens, 1, keys, tile, largest_side)
+    return tidy(d, "m", opens, 1, keys, tile)
 
 
 def flat_nir_scenes(px: DataFrame, keys=SCENE) -> DataFrame:
     return px.groupBy(*keys).agg(F.min("nir").alias("_lo"), F.max("nir").alias("_hi")).filter(
         "_hi = _lo").select(*keys, F.lit("nir").alias("labeller"),
-                            F.lit("NIR band has no dynamic range").alias("error"))
+                            F.lit("flat nir").alias("error"))
 
 
-def thermal_otsu(px: DataFrame, keys=SCENE, tile: int = TILE,
-                 largest_side: int | None = None) -> DataFrame:
+def thermal_otsu(px: DataFrame, keys=SCENE, tile: int = TILE) -> DataFrame:
     """Water is below the Otsu cut of both the thermal and the NIR band."""
     long = band_long(px.select(*keys, "th", "nir"), ("th", "nir"))
     cuts = otsu(histogram(long, [*keys, "band"], "v"), [*keys, "band"])
@@ -215,7 +213,7 @@ def thermal_otsu(px: DataFrame, keys=SCENE, tile: int = TILE,
     d = join_scene_stats(px.select(*keys, "h", "w", "y", "x", "th", "nir"), stats, keys, tile)
     m = ((F.col("th") < F.col("th_cut")) & (F.col("nir") < F.col("nir_cut"))).cast("int")
     d = d.withColumn("m", m).select(*keys, *MASK_COLUMNS)
-    return tidy(d, "m", 2, 2, keys, tile, largest_side)
+    return tidy(d, "m", 2, 2, keys, tile)
 
 
 def sibling_frames(scenes: DataFrame, k: int = 6, at_least: int = 3) -> DataFrame:
@@ -269,9 +267,9 @@ def change_score(px: DataFrame, bg: DataFrame, keys=SCENE, tile: int = TILE) ->
 
 
 def change_labeller(px: DataFrame, siblings: DataFrame, cut: float = 0.55, keys=SCENE,
-                    tile: int = TILE, largest_side: int | None = None) -> DataFrame:
+                    tile: int = TILE) -> DataFrame:
     """Pixels that turned dark in NIR and wet in NDWI since the dry background."""
-    kw = {"tile": tile, "largest_side": largest_side}
+    kw = {"tile": tile}
     d = change_score(px, background(px, siblings), keys, tile)
     d = d.withColumn("m", (F.col("score") > cut).cast("int")).select(*keys, *MASK_COLUMNS)
     return fill_holes(tidy(d, "m", 1, 1, keys, **kw), "m", "m", keys, **kw)

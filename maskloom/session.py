@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session without
-    that setting (a local test) falls back to a fresh folder of its own.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session without
+    that setting gets a fresh folder of its own; on a cluster the setting must be there.
     """
     spark = df.sparkSession
     _ensure_folder(spark)
@@ -24,6 +25,8 @@ def _ensure_folder(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +41,8 @@ def upsert_manifest(old: DataFrame, new: DataFrame, key: str = "scene_dir") -> D
 def read_decision_log(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Log files of any age: a header may be shorter than the current one, never reordered.
 
-    ``log_pos`` follows the order of ``paths`` and of the lines inside each file.
+    ``log_pos`` follows the order of ``paths``, of file names inside a folder and of the lines of a
+    file: a file is read by one task, so the number of a row in its task grows along the file.
     """
     parts = []
     for i, path in enumerate(paths):
@@ -50,7 +51,11 @@ def read_decision_log(spark: SparkSession, paths: list[str]) -> DataFrame:
             raise ValueError(f"{path}: columns are reordered or unknown")
         text = T.StructType([T.StructField(c, T.StringType()) for c in head])
         raw = spark.read.csv(path, header=True, schema=text, quote='"', escape='"', multiLine=True)
-        parts.append(raw.withColumn("log_pos", F.lit(i << 40) + F.monotonically_increasing_id()))
+        raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_n"))
+        files = raw.select("_file").distinct().withColumn(
+            "_rank", F.row_number().over(Window.orderBy("_file")))  # one row per file
+        at = F.lit(i << 56) + F.shiftleft(F.col("_rank").cast("long"), 33) + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+        parts.append(raw.join(files, "_file").withColumn("log_pos", at).drop("_file", "_n", "_rank"))
     log = blank_to_null(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
     types = {f.name: f.dataType for f in DECISION_LOG}
     return log.select("log_pos", *[
@@ -58,9 +63,10 @@ def read_decision_log(spark: SparkSession, paths: list[str]) -> DataFrame:
         for c in LOG_FIELDS])
 
 
-def append_decisions(rows: DataFrame, path: str) -> None:
-    """Append decisions, one folder per day."""
-    (rows.withColumn("day", F.to_date("timestamp")).repartition("day")
+def append_decisions(rows: DataFrame, path: str, spread: int = 8) -> None:
+    """Append decisions, one folder per day. Up to ``spread`` tasks write a day's files."""
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(spread))
+    (rows.withColumn("day", F.to_date("timestamp")).repartition("day", salt)
      .write.mode("append").partitionBy("day").parquet(path))
 
 
