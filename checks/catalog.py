@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from checks import experiments, labellers, log, raster, routing, streams  # noqa: F401
+from checks import experiments, labellers, log, raster, routing, streams, tiled  # noqa: F401

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import derived as D
 from checks import sqltext as S
-from checks.raster import AT, GREY, PRED, predicted, water
+from checks.raster import AT, GREY, MASKS, PRED, masks, predicted, water
 from checks.registry import check
 from maskloom.functions.scalars import softmax
 from maskloom.operators import agreement as A
@@ -487,10 +487,10 @@ def a36(spark, sf):
                     (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("cls"))
 
 
-@check("a38_class_percent", uses="mask_px", sql="""
-SELECT scene_id, c AS cls, round(100 * sum((cls = c)::INT) / count(*), 6) AS pct FROM mask_px, (SELECT unnest([0, 1, 2, 3]) AS c) WHERE annotator = 0 GROUP BY 1, 2""")
+@check("a38_class_percent", uses="mask_px", sql=f"""
+SELECT scene_id, c AS cls, round(100 * sum((cls = c)::INT) / count(*), 6) AS pct FROM {MASKS}, (SELECT unnest([0, 1, 2, 3]) AS c) GROUP BY 1, 2""")
 def a38(spark, sf):
-    m = D.mask_px(spark, sf).filter("annotator = 0")
+    m = masks(spark, sf)
     return V.class_percentages(m, 4).withColumn("pct", F.round("pct", 6))
 
 

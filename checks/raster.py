@@ -24,6 +24,18 @@ def water(spark, sf):
     return D.auto_px(spark, sf).filter("labeller = 1").drop("labeller")
 
 
+def waters(spark, sf):
+    """Masks of all labellers, each on a scene number of its own."""
+    return D.auto_px(spark, sf).withColumn("scene_id", F.col("scene_id") * 4 + F.col("labeller")).drop("labeller")
+
+
+def masks(spark, sf):
+    """Class masks of all annotators, each on a scene number of its own."""
+    return D.mask_px(spark, sf).withColumn("scene_id", F.col("scene_id") * 3 + F.col("annotator")).drop("annotator")
+
+
+WATERS = "m0 AS MATERIALIZED (SELECT scene_id * 4 + labeller AS scene_id, y, x, m FROM auto_px)"
+MASKS = "(SELECT scene_id * 3 + annotator AS scene_id, h, w, y, x, cls FROM mask_px)"
 WATER = "m0 AS MATERIALIZED (SELECT scene_id, y, x, m FROM auto_px WHERE labeller = 1)"
 
 
@@ -93,7 +105,7 @@ def n5(spark, sf):
 
 
 @check("n6_morphology", uses="auto_px", sql=f"""
-, {WATER}, {S.morph('d3', 'm0', True, S.box(1))}, {S.morph('e3', 'm0', False, S.box(1))},
+, {WATERS}, {S.morph('d3', 'm0', True, S.box(1))}, {S.morph('e3', 'm0', False, S.box(1))},
 {S.morph('e3s', 'm0', False, S.box(1), solid=False)}, {S.chain('op', 'm0', [False, True])},
 {S.chain('cl', 'm0', [True, False])}
 SELECT scene_id, y, x, d3.m AS dilated, e3.m AS eroded, e3s.m AS eroded_border, op.m AS opened, cl.m AS closed
@@ -107,39 +119,39 @@ def n6(spark, sf):
                 "opened": N.ellipses(m, [False, True]), "closed": N.ellipses(m, [True, False])}
 
     names = ("dilated", "eroded", "eroded_border", "opened", "closed")
-    return filter_tiles(water(spark, sf), shapes, ["m"], dict.fromkeys(names, "int"), 4).select(*AT, *names)
+    return filter_tiles(waters(spark, sf), shapes, ["m"], dict.fromkeys(names, "int"), 4).select(*AT, *names)
 
 
 @check("n8_components", uses="auto_px", recursive=True, sql=f"""
-, {WATER}, {S.comps('cc', 'm0')}
+, {WATERS}, {S.comps('cc', 'm0')}
 SELECT scene_id, y, x, comp, count(*) OVER (PARTITION BY scene_id, comp) AS area FROM cc""")
 def n8(spark, sf):
-    d = water(spark, sf).withColumn("on", F.when(F.col("m") == 1, 1))
+    d = waters(spark, sf).withColumn("on", F.when(F.col("m") == 1, 1))
     return C.components(d, "on", 8).filter("comp is not null").select(
         *AT, "comp", "area")
 
 
 @check("n8_area_filter", uses="auto_px", recursive=True, sql=f"""
-, {WATER}, {S.comps('cc', 'm0')},
+, {WATERS}, {S.comps('cc', 'm0')},
 big AS (SELECT scene_id, comp FROM cc GROUP BY 1, 2 HAVING count(*) >= 0.1 * 64)
 SELECT m0.scene_id, m0.y, m0.x, (big.comp IS NOT NULL)::INT AS m FROM m0
 LEFT JOIN cc USING (scene_id, y, x) LEFT JOIN big ON big.scene_id = cc.scene_id AND big.comp = cc.comp""")
 def n8b(spark, sf):
-    return C.drop_small(water(spark, sf), "m", "m", 0.1).select(*AT, "m")
+    return C.drop_small(waters(spark, sf), "m", "m", 0.1).select(*AT, "m")
 
 
 @check("n9_fill_holes", uses="auto_px", recursive=True, sql=f"""
-, {WATER}, {S.fill('fl', 'm0')} SELECT scene_id, y, x, m FROM fl""")
+, {WATERS}, {S.fill('fl', 'm0')} SELECT scene_id, y, x, m FROM fl""")
 def n9(spark, sf):
-    return C.fill_holes(water(spark, sf), "m", "m").select(*AT, "m")
+    return C.fill_holes(waters(spark, sf), "m", "m").select(*AT, "m")
 
 
 SEEDS = ("seeds AS (SELECT scene_id, s AS seed, (scene_id * 3 + s * 5) % 8 AS sy, (scene_id * 5 + s) % 8 AS sx "
          "FROM (SELECT DISTINCT scene_id FROM px), (SELECT unnest([0, 1]) AS s))")
 
 
-def seeds(spark, sf):
-    s = D.px(spark, sf).select("scene_id").distinct().withColumn(
+def seeds(px):
+    s = px.select("scene_id").distinct().withColumn(
         "seed", F.explode(F.array(F.lit(0), F.lit(1))))
     return s.select("scene_id", "seed",
                     ((F.col("scene_id") * 3 + F.col("seed") * 5) % 8).cast("int").alias("y"),
@@ -154,11 +166,11 @@ reach AS (SELECT scene_id, seed, sy AS y, sx AS x FROM seeds
     AND a.seed = c.seed AND abs(a.y - c.y) + abs(a.x - c.x) = 1)
 SELECT scene_id, seed, y::INT AS y, x::INT AS x FROM reach""")
 def n10(spark, sf):
-    return C.grow_from_seeds(D.px(spark, sf).select(*AT, "h", "w", "g"), seeds(spark, sf), "g", 25)
+    return C.grow_from_seeds(D.px(spark, sf).select(*AT, "h", "w", "g"), seeds(D.px(spark, sf)), "g", 25)
 
 
 @check("n10_relabel_region", uses="mask_px", recursive=True, sql=f"""
-, px2 AS MATERIALIZED (SELECT * FROM mask_px WHERE annotator = 0),
+, px2 AS MATERIALIZED (SELECT * FROM {MASKS}),
 seeds AS (SELECT scene_id, s AS seed, (scene_id * 3 + s * 5) % 8 AS sy, (scene_id * 5 + s) % 8 AS sx
   FROM (SELECT DISTINCT scene_id FROM px2), (SELECT unnest([0, 1]) AS s)),
 t AS (SELECT seeds.*, p.cls AS tv FROM seeds JOIN px2 p ON p.scene_id = seeds.scene_id AND p.y = sy AND p.x = sx),
@@ -168,28 +180,28 @@ reach AS (SELECT scene_id, seed, sy AS y, sx AS x FROM seeds
     AND a.seed = c.seed AND abs(a.y - c.y) + abs(a.x - c.x) = 1)
 SELECT scene_id, seed, y::INT AS y, x::INT AS x FROM reach""")
 def n10b(spark, sf):
-    m = D.mask_px(spark, sf).filter("annotator = 0").drop("annotator")
-    return C.same_class_region(m, seeds(spark, sf))
+    m = masks(spark, sf)
+    return C.same_class_region(m, seeds(m))
 
 
 @check("n11_class_cleanup", uses="mask_px", recursive=True, sql=f"""
-, k0 AS MATERIALIZED (SELECT scene_id, y, x, cls, (cls = 1)::INT AS m FROM mask_px WHERE annotator = 1),
+, k0 AS MATERIALIZED (SELECT scene_id, y, x, cls, (cls = 1)::INT AS m FROM {MASKS}),
 {S.chain('k1', 'k0', [False, True, True, False], shape=S.box(1), solid=True).replace('k1_0 AS MATERIALIZED (SELECT a.scene_id, a.y, a.x, min(b.m)', 'k1_0 AS MATERIALIZED (SELECT a.scene_id, a.y, a.x, CASE WHEN a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 THEN min(b.m) ELSE 0 END').replace('k1 AS MATERIALIZED (SELECT a.scene_id, a.y, a.x, min(b.m)', 'k1 AS MATERIALIZED (SELECT a.scene_id, a.y, a.x, CASE WHEN a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 THEN min(b.m) ELSE 0 END')},
 {S.fill('k2', 'k1')}
 SELECT scene_id, y, x, CASE WHEN cls NOT IN (0, 1) THEN cls WHEN k2.m = 1 THEN 1 ELSE 0 END AS cls
 FROM k0 JOIN k2 USING (scene_id, y, x)""")
 def n11(spark, sf):
-    m = D.mask_px(spark, sf).filter("annotator = 1").drop("annotator")
+    m = masks(spark, sf)
     return C.clean_class(m, 1).select(*AT, "cls")
 
 
-@check("n19_resample_nearest", uses="mask_px", sql="""
-, m AS (SELECT * FROM mask_px WHERE annotator = 0),
+@check("n19_resample_nearest", uses="mask_px", sql=f"""
+, m AS (SELECT * FROM {MASKS}),
 t AS (SELECT 12 AS n, unnest(range(12)) AS i UNION ALL SELECT 5, unnest(range(5)))
 SELECT m.scene_id, a.n AS size, a.i::INT AS y, b.i::INT AS x, m.cls FROM t a JOIN t b ON a.n = b.n
 JOIN m ON m.y = a.i * 8 // a.n AND m.x = b.i * 8 // a.n""")
 def n19(spark, sf):
-    m = D.mask_px(spark, sf).filter("annotator = 0")
+    m = masks(spark, sf)
     parts = [R.nearest(m, n, n).select("scene_id", F.lit(n).alias("size"), "y", "x", "cls")
              for n in (12, 5)]
     return parts[0].unionByName(parts[1])
@@ -203,35 +215,35 @@ def n19b(spark, sf):
         *AT, *[F.round(c, 6).alias(c) for c in ("th", "nir")])
 
 
-@check("n19_pad", uses="mask_px", sql="""
-, m AS (SELECT * FROM mask_px WHERE annotator = 2), ids AS (SELECT DISTINCT scene_id FROM m),
+@check("n19_pad", uses="mask_px", sql=f"""
+, m AS (SELECT * FROM {MASKS}), ids AS (SELECT DISTINCT scene_id FROM m),
 g AS (SELECT unnest(range(10))::INT AS i)
 SELECT ids.scene_id, a.i AS y, b.i AS x, coalesce(m.cls, 255) AS cls, 10 AS h, 10 AS w
 FROM ids, g a, g b LEFT JOIN m ON m.scene_id = ids.scene_id AND m.y = a.i AND m.x = b.i""")
 def n19c(spark, sf):
-    m = D.mask_px(spark, sf).filter("annotator = 2")
+    m = masks(spark, sf)
     return R.pad(m, {"cls": 255}, 5).select(*AT, "cls", "h", "w")
 
 
-@check("n19_crop", uses="mask_px", sql="SELECT scene_id, y, x, cls FROM mask_px WHERE annotator = 2")
+@check("n19_crop", uses="mask_px", sql=f"SELECT scene_id, y, x, cls FROM {MASKS}")
 def n19d(spark, sf):
-    m = D.mask_px(spark, sf).filter("annotator = 2")
+    m = masks(spark, sf)
     return R.crop(R.pad(m, {"cls": 255}, 32), 8, 8).select(*AT, "cls")
 
 
-@check("n20_tile_balance", uses="mask_px", sql="""
-, n AS (SELECT scene_id, (y // 4)::INT AS ty, (x // 4)::INT AS tx, cls, count(*) AS n FROM mask_px
-  WHERE annotator = 0 AND cls <> 255 GROUP BY 1, 2, 3, 4)
+@check("n20_tile_balance", uses="mask_px", sql=f"""
+, n AS (SELECT scene_id, (y // 4)::INT AS ty, (x // 4)::INT AS tx, cls, count(*) AS n FROM {MASKS}
+  WHERE cls <> 255 GROUP BY 1, 2, 3, 4)
 SELECT scene_id, ty, tx, sum(n)::BIGINT AS valid, round(max(n) / sum(n)::DOUBLE, 6) AS top_share,
   max(n) / sum(n)::DOUBLE <= 0.85 AS keep FROM n GROUP BY 1, 2, 3""")
 def n20(spark, sf):
-    m = D.mask_px(spark, sf).filter("annotator = 0")
+    m = masks(spark, sf)
     return R.tile_balance(m, 4).withColumn("top_share", F.round("top_share", 6))
 
 
 @check("n20_drawn_tiles")
 def n20b(spark, sf):
-    m = D.mask_px(spark, sf).filter("annotator = 0")
+    m = masks(spark, sf)
     return R.drawn_tiles(m, 5)
 
 
@@ -258,14 +270,14 @@ def n21(spark, sf):
 
 
 @check("n22_boundary_and_components", uses="auto_px", recursive=True, sql=f"""
-, {WATER}, {S.comps('cc', 'm0')},
+, {WATERS}, {S.comps('cc', 'm0')},
 k AS (SELECT scene_id, count(*) AS components FROM (SELECT scene_id, comp FROM cc GROUP BY 1, 2 HAVING count(*) >= 4) GROUP BY 1),
 e AS (SELECT a.scene_id, sum((a.m <> coalesce(l.m, a.m))::INT + (a.m <> coalesce(u.m, a.m))::INT) / count(*) AS f
   FROM m0 a LEFT JOIN m0 l ON l.scene_id = a.scene_id AND l.y = a.y AND l.x = a.x - 1
   LEFT JOIN m0 u ON u.scene_id = a.scene_id AND u.y = a.y - 1 AND u.x = a.x GROUP BY 1)
 SELECT scene_id, round(f, 6) AS boundary_frac, coalesce(components, 0)::BIGINT AS components FROM e LEFT JOIN k USING (scene_id)""")
 def n22(spark, sf):
-    m = water(spark, sf)
+    m = waters(spark, sf)
     return C.boundary_fraction(m).join(
         C.big_component_count(m, "m", 4), "scene_id").select(
         "scene_id", F.round("boundary_frac", 6).alias("boundary_frac"), "components")
@@ -320,17 +332,17 @@ def n25b(spark, sf):
 
 def coded(spark, sf):
     """Three encodings: even scenes 0/255, every fifth scene 0/1, the others class codes."""
-    m = D.mask_px(spark, sf).filter("annotator = 0")
+    m = masks(spark, sf)
     s = F.col("scene_id")
     v = (F.when(s % 2 == 0, F.when(F.col("cls") == 1, 255).otherwise(0))
          .when(s % 5 == 0, F.when(F.col("cls") == 1, 1).otherwise(0)).otherwise(F.col("cls")))
     return m.withColumn("cls", v).withColumn("source", F.lit("saved"))
 
 
-@check("n26_decode_masks", uses="mask_px", sql="""
+@check("n26_decode_masks", uses="mask_px", sql=f"""
 , e AS (SELECT scene_id, y, x, CASE WHEN scene_id % 2 = 0 THEN CASE WHEN cls = 1 THEN 255 ELSE 0 END
     WHEN scene_id % 5 = 0 THEN CASE WHEN cls = 1 THEN 1 ELSE 0 END ELSE cls END AS v
-  FROM mask_px WHERE annotator = 0),
+  FROM {MASKS}),
 b AS (SELECT scene_id, min((v IN (0, 255))::INT) = 1 AS b FROM e GROUP BY 1),
 c AS (SELECT scene_id, y, x, CASE WHEN b THEN (v > 0)::INT ELSE v END AS cls FROM e JOIN b USING (scene_id))
 SELECT scene_id, y, x, cls, CASE WHEN cls = 255 OR cls < 2 THEN cls ELSE 0 END AS two_class,
@@ -341,11 +353,11 @@ def n26(spark, sf):
                     R.binary_view(F.col("cls")).alias("water"))
 
 
-@check("w11_row_runs", uses="auto_px", sql=f""", {WATER},
+@check("w11_row_runs", uses="auto_px", sql=f""", {WATERS},
 r AS (SELECT scene_id, y, x, x - row_number() OVER (PARTITION BY scene_id, y ORDER BY x) AS k FROM m0 WHERE m = 1)
 SELECT scene_id, y, min(x) AS x0, max(x) AS x1 FROM r GROUP BY scene_id, y, k""")
 def w11(spark, sf):
-    return C.row_runs(water(spark, sf))
+    return C.row_runs(waters(spark, sf))
 
 
 # -- statistics ---------------------------------------------------------------------------------
