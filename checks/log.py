@@ -112,13 +112,13 @@ def p6(spark, sf):
 @check("p10_registry_problems", uses="model_registry", sql="""
 , m AS (SELECT *, len(string_split(bands, ',')) AS n, split_part(normalization, ':', -1) AS method FROM model_registry)
 SELECT model_id, array_to_string(list_filter([
-  CASE WHEN in_channels <> n::VARCHAR THEN 'in_channels does not match the number of bands' END,
-  CASE WHEN num_classes <> '2' THEN 'num_classes does not match the number of classes' END,
-  CASE WHEN method NOT IN ('minmax', 'meanstd', 'percentile') THEN 'unknown normalization' END,
-  CASE WHEN resize_interpolation NOT IN ('area', 'bilinear') THEN 'resize_interpolation must be area or bilinear' END,
-  CASE WHEN method = 'meanstd' AND norm_mean IS NULL THEN 'norm_mean missing or not a JSON list' END,
-  CASE WHEN method = 'meanstd' AND norm_std IS NULL THEN 'norm_std missing or not a JSON list' END,
-  CASE WHEN method = 'percentile' AND norm_p_lo IS NULL THEN 'norm_p_lo missing or not a JSON list' END], lambda v: v IS NOT NULL), '; ') AS problems FROM m""")
+  CASE WHEN in_channels <> n::VARCHAR THEN 'in_channels.count' END,
+  CASE WHEN num_classes <> '2' THEN 'num_classes.count' END,
+  CASE WHEN method NOT IN ('minmax', 'meanstd', 'percentile') THEN 'normalization.unknown' END,
+  CASE WHEN resize_interpolation NOT IN ('area', 'bilinear') THEN 'resize_interpolation.unknown' END,
+  CASE WHEN method = 'meanstd' AND norm_mean IS NULL THEN 'norm_mean.missing' END,
+  CASE WHEN method = 'meanstd' AND norm_std IS NULL THEN 'norm_std.missing' END,
+  CASE WHEN method = 'percentile' AND norm_p_lo IS NULL THEN 'norm_p_lo.missing' END], lambda v: v IS NOT NULL), '; ') AS problems FROM m""")
 def p10(spark, sf):
     return V.registry_problems(D.model_registry(spark, sf)).select(
         "model_id", F.array_join("problems", "; ").alias("problems"))
@@ -140,7 +140,7 @@ def p11(spark, sf):
 @check("p12_mask_sanity", uses="mask_px", sql="""
 , s AS (SELECT scene_id % 25 AS grp, annotator, count(DISTINCT scene_id) AS scenes, avg((cls = 1 AND scene_id % 25 <> 3)::INT) AS w FROM mask_px
   WHERE cls <> 255 AND (scene_id % 25 <> 4 OR scene_id = 4) GROUP BY 1, 2)
-SELECT grp, annotator, u.p AS problem FROM s, (SELECT unnest([1, 2]) AS k, unnest(['every training mask is empty', 'only 1 training scene']) AS p) u
+SELECT grp, annotator, u.p AS problem FROM s, (SELECT unnest([1, 2]) AS k, unnest(['masks.empty', 'scenes.one']) AS p) u
 WHERE (k = 1 AND w <= 0) OR (k = 2 AND scenes = 1)""")
 def p12(spark, sf):
     m = D.mask_px(spark, sf).filter("cls <> 255 and (scene_id % 25 <> 4 or scene_id = 4)")

@@ -36,3 +36,12 @@ def test_neighbours_equal_lag_and_lead(spark):
             key = lambda r: r[0]
             assert sorted(map(tuple, got.select("i", "n").collect()), key=key) == sorted(
                 map(tuple, want.collect()), key=key)
+
+
+def test_null_keys_and_null_order_values_stay(spark):
+    d = spark.createDataFrame([("a", 1, 1), ("a", None, 2), (None, 5, 3), (None, None, 4), (None, 2, 5)], "k string, t int, i int")
+    for width in (1, 100):
+        r = O.ranked(d, ["k"], F.floor(F.col("t") / width), [F.col("t"), F.col("i")], "r", "n").collect()
+        assert {x["i"]: (x["r"], x["n"]) for x in r} == {1: (1, 2), 2: (2, 2), 5: (1, 3), 3: (2, 3), 4: (3, 3)}
+        n = O.neighbours(d, ["k"], F.floor(F.col("t") / width), [F.col("t"), F.col("i")], {"p": F.col("i")})
+        assert {x["i"]: x["p"] for x in n.collect()} == {1: None, 2: 1, 5: None, 3: 5, 4: 3}

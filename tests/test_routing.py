@@ -89,13 +89,51 @@ def test_time_spread_picks_rounded_ranks(spark):
 
 def test_farthest_points_keep_the_gap(spark):
     d = captures(spark).withColumns({"forced": F.lit(0), "quota": F.lit(6)})
-    p = C.farthest_points(d, ["session"], ["f1", "f2"], 1800.0).join(d, ["session", "pos"])
+    p = C.farthest_points(d, ["session"], ["f1", "f2"], gap_s=1800).join(d, ["session", "pos"])
     rows = p.collect()
     for a, b in itertools.combinations(rows, 2):
         if a["session"] == b["session"]:
             assert abs((a["ts"] - b["ts"]).total_seconds()) >= 1800
-    with pytest.raises(Exception):
-        C.farthest_points(d, ["session"], ["f1"], 0.0, limit=10).count()
+
+
+def test_forced_rows_come_first_and_count(spark):
+    d = captures(spark, 60).withColumns({"forced": (F.col("pos") % 20 == 0).cast("int"), "quota": F.lit(5)})
+    rows = C.farthest_points(d, ["session"], ["f1", "f2"]).join(d, ["session", "pos"]).orderBy("session", "rank").collect()
+    for s, picks in itertools.groupby(rows, lambda r: r["session"]):
+        picks = list(picks)
+        assert [p["rank"] for p in picks] == list(range(1, len(picks) + 1)) and len(picks) <= 5
+        flags = [p["forced"] for p in picks]
+        assert flags == sorted(flags, reverse=True)
+
+
+def test_proposals_follow_the_plan(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    random.seed(11)
+    rows = []
+    for n, (s, size, step) in enumerate((("visit", 12, 1), ("node", 400, 20), ("old", 200, 20))):
+        rows += [(s, 1000 * n + k, f"f{k}", t0 + dt.timedelta(minutes=step * k), "", s == "old" and k % 50 == 0,
+                  random.random(), random.random()) for k in range(size)]
+    f = spark.createDataFrame(rows, "session string, pos long, stem string, ts timestamp_ntz, placement string, labelled boolean, f1 double, f2 double")
+    plan = spark.createDataFrame([(0, "test", "visit", 4), (1, "pool", "node", 4), (2, "reward", "old", 6), (3, "test", "node", 3)],
+                                 "ord int, set string, session string, want int")
+    got = C.propose(plan, f, f.limit(0).select("session", "ts"), ["f1", "f2"], ["node"]).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r["set"], r["session"]), []).append(r)
+    assert len(by["test", "visit"]) == 6  # a visit keeps no gap
+    for rows in by.values():
+        assert sorted(r["rank"] for r in rows) == list(range(1, len(rows) + 1))
+    node = sorted(r["ts"] for k in (("pool", "node"), ("test", "node")) for r in by[k])
+    assert all((b - a).total_seconds() >= 1800 for a, b in zip(node, node[1:]))  # the second set knows the first
+    old = sorted(by["reward", "old"], key=lambda r: r["rank"])
+    assert [r["relabel"] for r in old[:4]] == ["yes"] * 4 and {r["relabel"] for r in old[4:]} == {""}
+
+
+def test_a_null_session_is_a_value(spark):
+    c = spark.createDataFrame([(None, "a", True, 1), (None, "a", False, 1), ("s", "a", False, 1)], "session string, stem string, labelled boolean, batch int")
+    assert sorted(r["labelled"] for r in C.share_label_flag(c).collect()) == [False, True, True]
+    r = C.redundancy(c, c.filter("session = 's'")).collect()
+    assert len(r) == 3 and {x["same_count"] for x in r if x["session"] is None} == {0}
 
 
 def test_early_stop_counts_from_the_last_best(spark):

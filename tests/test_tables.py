@@ -86,6 +86,16 @@ def test_log_header_rules(spark):
         TB.read_decision_log(spark, [f"{d}/bad.csv"])
 
 
+def test_log_positions_follow_files_and_lines(spark):
+    d = folder()
+    for part, rows in (("part-0", 1), ("part-1", 50), ("part-2", 3)):
+        with open(f"{d}/{part}.csv", "w") as f:
+            f.write(",".join(LOG_FIELDS[:20]) + "\n")
+            f.writelines(f"2024-05-01T10:00:00,{part}-{i:02d},s1" + "," * 17 + "\n" for i in range(rows))
+    got = [r["annotator"] for r in TB.read_decision_log(spark, [d]).orderBy("log_pos").collect()]
+    assert got == sorted(got) and len(got) == 54
+
+
 def test_scene_in_both_eval_sets_is_an_error(spark):
     d = folder()
     with open(f"{d}/e.csv", "w") as f:
@@ -162,6 +172,6 @@ def test_model_metadata(spark):
     t = V.typed_registry(registry(spark)).first()
     assert t["input_range"] == "raw_0_255" and t["norm_mean"] == [1, 2, 3, 4, 5] and t["in_channels"] == 5
     bad = V.registry_problems(registry(spark, norm_mean="[1,2]", normalization="zscore")).first()["problems"]
-    assert bad == ["unknown normalization"]
+    assert bad == ["normalization.unknown"]
     bad = V.registry_problems(registry(spark, norm_mean="[1,2]", resize_interpolation="cubic")).first()["problems"]
-    assert bad == ["resize_interpolation must be area or bilinear", "norm_mean needs one value per band"]
+    assert bad == ["resize_interpolation.unknown", "norm_mean.count"]
