@@ -77,7 +77,7 @@ walk AS (SELECT queue_id, tau, n, 0 AS t, {RHO}::DOUBLE * n * {MEDIAN} + {1 - RH
 
 def tuned(spark, sf):
     steps = D.queue_step(spark, sf)
-    return R.tune_threshold(steps, R.score_grid(steps), N, R.budget(F.col("n"), MEDIAN, RHO, REVIEW),
+    return R.tune_threshold(steps, R.score_grid(steps), R.budget(F.col("n"), MEDIAN, RHO, REVIEW),
                             MEDIAN, REVIEW)
 
 
@@ -99,20 +99,29 @@ def eight(spark, sf):
                     F.when(F.col("o_orderkey") % 17 != 0, (5 + F.col("o_custkey") % 40).cast("double")).alias("manual_s"))
 
 
-@check("r4_hindsight_optimum", sql=f"""WITH RECURSIVE s AS MATERIALIZED (SELECT o_orderkey // 8 AS queue_id, (o_orderkey % 8)::INT AS t, (o_custkey * 37 % 1001) / 1000.0::DOUBLE AS q,
-  CASE WHEN o_orderkey % 17 <> 0 THEN (5 + o_custkey % 40)::DOUBLE ELSE {MEDIAN}::DOUBLE END AS c FROM orders QUALIFY count(*) OVER (PARTITION BY o_orderkey // 8) = 8),
-w AS (SELECT queue_id, 0 AS t, {RHO}::DOUBLE * 8 * {MEDIAN} + {1 - RHO}::DOUBLE * 8 * {REVIEW} AS b, 0.0::DOUBLE AS g FROM s WHERE t = 0
-  UNION ALL SELECT w.queue_id, w.t + 1, w.b - CASE WHEN m.m = 1 THEN s.c ELSE {REVIEW}::DOUBLE END, w.g + CASE WHEN m.m = 1 THEN 1.0 ELSE s.q END
-  FROM w JOIN s ON s.queue_id = w.queue_id AND s.t = w.t, (SELECT unnest([0, 1]) AS m) m WHERE m.m = 0 OR w.b > 0)
-SELECT queue_id, round(100 * max(g), 4) AS optimum FROM w WHERE t = 8 GROUP BY 1""")
+def optimum_sql(steps: str, total: str) -> str:
+    """Every choice of images done by hand, by recursion, over queues of any length."""
+    return f"""s AS MATERIALIZED (SELECT queue_id, q, c, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY queue_id) AS n FROM ({steps}) WINDOW w AS (PARTITION BY queue_id ORDER BY t)),
+w AS (SELECT queue_id, 0 AS i, n, {total} AS b, 0.0::DOUBLE AS g FROM s WHERE i = 0
+  UNION ALL SELECT w.queue_id, w.i + 1, w.n, w.b - CASE WHEN m.m = 1 THEN s.c ELSE {REVIEW}::DOUBLE END, w.g + CASE WHEN m.m = 1 THEN 1.0 ELSE s.q END
+  FROM w JOIN s ON s.queue_id = w.queue_id AND s.i = w.i, (SELECT unnest([0, 1]) AS m) m WHERE m.m = 0 OR w.b > 0)
+SELECT queue_id, round(100 * max(g), 4) AS optimum FROM w WHERE i = n GROUP BY 1"""
+
+
+EIGHT = f"""SELECT o_orderkey // 8 AS queue_id, o_orderkey % 8 AS t, (o_custkey * 37 % 1001) / 1000.0::DOUBLE AS q,
+  CASE WHEN o_orderkey % 17 <> 0 THEN (5 + o_custkey % 40)::DOUBLE ELSE {MEDIAN}::DOUBLE END AS c FROM orders"""
+
+
+@check("r4_hindsight_optimum", sql=f"WITH RECURSIVE {optimum_sql(EIGHT, f'{RHO}::DOUBLE * n * {MEDIAN} + {1 - RHO}::DOUBLE * n * {REVIEW}')}")
 def r4(spark, sf):
-    o = R.hindsight_optimum(eight(spark, sf), 8, F.lit(RHO * 8 * MEDIAN + (1 - RHO) * 8 * REVIEW), MEDIAN, REVIEW)
+    o = R.hindsight_optimum(eight(spark, sf), R.budget(F.col("n"), MEDIAN, RHO, REVIEW), MEDIAN, REVIEW)
     return o.withColumn("optimum", F.round("optimum", 4))
 
 
-@check("r4_hindsight_optimum_12")
+@check("r4_hindsight_optimum_12", uses="queue_step", recursive=True, sql=f", {optimum_sql(f'SELECT queue_id, t, q, coalesce(manual_s, {MEDIAN})::DOUBLE AS c FROM queue_step', f'{TOTAL}::DOUBLE')}")
 def r4b(spark, sf):
-    return R.hindsight_optimum(D.queue_step(spark, sf), N, F.lit(TOTAL), MEDIAN, REVIEW)
+    o = R.hindsight_optimum(D.queue_step(spark, sf), F.lit(TOTAL), MEDIAN, REVIEW)
+    return o.withColumn("optimum", F.round("optimum", 4))
 
 
 @check("a25_share_of_optimum", uses="queue_step", recursive=True, sql=f""", {ROLLED.replace("'ranked'])", "'ranked'])")}, best AS (SELECT queue_id, max(ret) AS c, max(ret) FILTER (WHERE policy = 'all_auto') AS f FROM fin GROUP BY 1),

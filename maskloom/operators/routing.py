@@ -9,15 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.scalars import sha1_bucket
 from maskloom.operators.ordered import neighbours, ranked, running
 
-MAX_QUEUE = 64  # images of one queue; a longer one is an input error
-
 
 def budget(n: Column | int, median_s: float, rho: float = 0.25, review_s: float = 0.0,
            reviews_included: bool = True) -> Column:
@@ -49,11 +46,10 @@ def queues(steps: DataFrame, median_s: float, seed: int = 1) -> DataFrame:
     key = F.concat_ws(":", F.lit(str(seed)), F.col("queue_id").cast("string"), F.col("t").cast("string"))
     draw = sha1_bucket(key, 1 << 20) / F.lit(1 << 20)
     size = F.count("*")
-    step = F.struct("t", "q", cost.alias("c"), "ripu", draw.alias("u"), *(
+    score = F.col("ripu") if "ripu" in steps.columns else F.lit(None).cast("double")
+    step = F.struct("t", "q", cost.alias("c"), score.alias("ripu"), draw.alias("u"), *(
         ["session"] if "session" in steps.columns else []))
-    q = steps.groupBy("queue_id").agg(F.sort_array(F.collect_list(step)).alias("steps"), size.alias("n"))
-    return q.withColumn("steps", F.when(F.col("n") > MAX_QUEUE, F.raise_error(
-        F.lit("queue longer than the limit"))).otherwise(F.col("steps")))
+    return steps.groupBy("queue_id").agg(F.sort_array(F.collect_list(step)).alias("steps"), size.alias("n"))
 
 
 # A policy says MANUAL or not from (step, index, budget left); the budget must also be positive.
@@ -93,7 +89,7 @@ def images_ahead(q: DataFrame) -> DataFrame:
     extra = ["session"] if "session" in _step_fields(q) else []
     return q.withColumn("steps", F.transform("steps", lambda s, i: F.struct(
         *[s[c].alias(c) for c in ("t", "q", "c", "ripu", "u", *extra)],
-        F.size(F.filter(F.slice(F.col("steps"), i + 2, MAX_QUEUE),
+        F.size(F.filter(F.slice(F.col("steps"), i + 2, F.size("steps")),
                         lambda o: o["ripu"] > s["ripu"])).alias("ahead"), i.alias("i"))))
 
 
@@ -140,40 +136,19 @@ def _types(fields: str) -> str:
     return ", ".join(":".join(f.split()) for f in fields.split(", "))
 
 
-def tune_threshold(steps: DataFrame, grid: list[float], n: int, total: Column, median_s: float,
+def tune_threshold(steps: DataFrame, grid: list[float], total: Column, median_s: float,
                    review_s: float = 0.0, alpha: float = 100.0) -> DataFrame:
-    """Mean return of every threshold on queues of up to ``n`` images: ``tau, mean_return``; infinity
-    is never. All thresholds walk a queue side by side, and only sums per threshold leave a task."""
-    wide = _wide(steps, n, median_s, ("c", "q", "ripu"), total)
-    taus = np.array(grid)
-
-    def walk(batches):
-        sums, count = np.zeros(len(taus)), 0
-        for rows in batches:
-            left = np.repeat(rows["b"].to_numpy()[:, None], len(taus), axis=1)
-            for i in range(n):
-                c, q, r = (rows[f"{k}{i}"].to_numpy(zero_copy_only=False) for k in ("c", "q", "ripu"))
-                there = ~np.isnan(q)
-                manual = (left > 0) & (r[:, None] >= taus)
-                sums += np.where(there[:, None], np.where(manual, 1.0, q[:, None]), 0.0).sum(axis=0)
-                left -= np.where(there[:, None], np.where(manual, c[:, None], review_s), 0.0)
-            count += rows.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(taus), pa.array(sums), pa.array([count] * len(taus))],
-                                         names=["tau", "s", "n"])
-
-    parts = wide.mapInArrow(walk, "tau double, s double, n long")
-    return parts.groupBy("tau").agg((alpha * F.sum("s") / F.sum("n")).alias("mean_return"))
-
-
-def _wide(steps: DataFrame, n: int, median_s: float, parts, total: Column) -> DataFrame:
-    """One row per queue with a column per image and quantity; missing images are null."""
-    t = F.col("t")
-    value = {"c": F.coalesce("manual_s", F.lit(median_s)), "q": F.col("q")}
-    if "ripu" in parts:
-        value["ripu"] = F.col("ripu")
-    return steps.groupBy("queue_id").agg(
-        *[F.max(F.when(t == i, value[k])).alias(f"{k}{i}") for k in parts for i in range(n)],
-        F.count("*").alias("n")).withColumn("b", total.cast("double"))
+    """Mean return of every threshold: ``tau, mean_return``; infinity is never. Queues of any length
+    walk under each threshold; ``total`` may use the queue's length ``n``."""
+    d = queues(steps, median_s).withColumns({"_b": total.cast("double"), "tau": F.explode(F.array(*[F.lit(t) for t in grid]))})
+
+    def step(acc, s):
+        manual = (acc["b"] > 0) & (s["ripu"] >= F.col("tau"))
+        return F.struct((acc["b"] - F.when(manual, s["c"]).otherwise(F.lit(float(review_s)))).alias("b"),
+                        (acc["g"] + F.when(manual, F.lit(1.0)).otherwise(s["q"])).alias("g"))
+
+    start = F.struct(F.col("_b").alias("b"), F.lit(0.0).alias("g"))
+    return d.groupBy("tau").agg((alpha * F.avg(F.aggregate("steps", start, step)["g"])).alias("mean_return"))
 
 
 def best_threshold(tuned: DataFrame) -> DataFrame:
@@ -190,31 +165,33 @@ def score_grid(steps: DataFrame, n: int = 21) -> list[float]:
     return sorted(set(row["p"])) + [float("inf")]
 
 
-def hindsight_optimum(steps: DataFrame, n: int, total: Column, median_s: float,
+def hindsight_optimum(steps: DataFrame, total: Column, median_s: float,
                       review_s: float = 0.0, alpha: float = 100.0) -> DataFrame:
-    """Best return with everything known: all ``2^n`` MANUAL subsets of each queue of ``n`` images.
+    """Best return of each queue with everything known, for queues of any length.
 
-    A queue becomes one wide row; the subsets are walked as array columns inside the task, so only
-    one number per queue leaves it.
+    A fold over the queue keeps the states (seconds left, gain) that no other state beats in both;
+    spent budgets are all alike. ``total`` may use the queue's length ``n``.
     """
-    wide = _wide(steps, n, median_s, ("c", "q"), total).filter(F.col("n") == n).drop("n")
-    subsets = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1 == 1
-
-    def best(batches):
-        for rows in batches:
-            for part in (rows.slice(i, 128) for i in range(0, rows.num_rows, 128)):
-                left = np.repeat(part["b"].to_numpy()[:, None], 1 << n, axis=1)
-                gain, legal = np.zeros(left.shape), np.ones(left.shape, bool)
-                for i in range(n):
-                    manual, c, q = subsets[:, i], part[f"c{i}"].to_numpy(), part[f"q{i}"].to_numpy()
-                    legal &= ~manual | (left > 0)
-                    gain += np.where(manual, 1.0, q[:, None])
-                    left -= np.where(manual, c[:, None], review_s)
-                top = np.where(legal, gain, -np.inf).max(axis=1)
-                yield pa.RecordBatch.from_arrays([part["queue_id"], pa.array(alpha * top)],
-                                                 names=["queue_id", "optimum"])
-
-    return wide.mapInArrow(best, "queue_id long, optimum double")
+    none = F.array().cast("array<struct<b:double,g:double>>")
+
+    def undominated(states):
+        best = F.struct(F.lit(float("-inf")).alias("top"), none.alias("kept"))
+        return F.aggregate(F.sort_array(states, asc=False), best, lambda a, x: F.when(
+            x["g"] > a["top"], F.struct(x["g"].alias("top"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a),
+            lambda a: a["kept"])
+
+    def after(x, cost, gain):
+        return F.struct(F.greatest(F.lit(0.0), x["b"] - cost).alias("b"), (x["g"] + gain).alias("g"))
+
+    def step(states, s):
+        by_hand = F.transform(F.filter(states, lambda x: x["b"] > 0), lambda x: after(x, s["c"], F.lit(1.0)))
+        left = F.transform(states, lambda x: after(x, F.lit(float(review_s)), s["q"]))
+        return undominated(F.concat(by_hand, left))
+
+    d = queues(steps, median_s)
+    start = F.array(F.struct(F.greatest(F.lit(0.0), total.cast("double")).alias("b"), F.lit(0.0).alias("g")))
+    end = F.aggregate("steps", start, step)
+    return d.select("queue_id", (alpha * F.array_max(F.transform(end, lambda x: x["g"]))).alias("optimum"))
 
 
 # -- batch rules --------------------------------------------------------------------------------

@@ -29,7 +29,7 @@ def test_hand_case(spark):
     r = R.roll_out(R.queues(s, 10.0), {"auto": R.all_auto(), "first": R.first_come()}, F.lit(10.0), 10.0)
     got = {x["policy"]: x["ret"] for x in r.collect()}
     assert got["auto"] == pytest.approx(160) and got["first"] == pytest.approx(240)
-    assert R.hindsight_optimum(s, 3, F.lit(10.0), 10.0).first()["optimum"] == pytest.approx(240)
+    assert R.hindsight_optimum(s, F.lit(10.0), 10.0).first()["optimum"] == pytest.approx(240)
 
 
 @pytest.mark.parametrize("review", [0.0, 2.0])
@@ -39,7 +39,7 @@ def test_optimum_is_exact_and_never_below_a_policy(spark, review):
     total = 0.3 * 8 * 12 + 0.7 * 8 * review
     s = steps(spark, qs)
     best = {r["queue_id"]: r["optimum"] for r in
-            R.hindsight_optimum(s, 8, F.lit(total), 12.0, review).collect()}
+            R.hindsight_optimum(s, F.lit(total), 12.0, review).collect()}
 
     def dp(q, t, b):
         if t == len(q):
