@@ -138,34 +138,34 @@ def p11(spark, sf):
 
 
 @check("p12_mask_sanity", uses="mask_px", sql="""
-, s AS (SELECT scene_id % 25 AS grp, annotator, count(DISTINCT scene_id) AS scenes, avg((cls = 1 AND scene_id % 25 <> 3)::INT) AS w FROM mask_px
-  WHERE cls <> 255 AND (scene_id % 25 <> 4 OR scene_id = 4) GROUP BY 1, 2)
+, s AS (SELECT CASE WHEN scene_id = 4 THEN 99 ELSE scene_id % 25 END AS grp, annotator, count(DISTINCT scene_id) AS scenes, avg((cls = 1 AND scene_id % 25 <> 3)::INT) AS w FROM mask_px
+  WHERE cls <> 255 GROUP BY 1, 2)
 SELECT grp, annotator, u.p AS problem FROM s, (SELECT unnest([1, 2]) AS k, unnest(['masks.empty', 'scenes.one']) AS p) u
 WHERE (k = 1 AND w <= 0) OR (k = 2 AND scenes = 1)""")
 def p12(spark, sf):
-    m = D.mask_px(spark, sf).filter("cls <> 255 and (scene_id % 25 <> 4 or scene_id = 4)")
-    g = (F.col("scene_id") % 25).alias("grp")
+    m = D.mask_px(spark, sf).filter("cls <> 255")
+    g = F.when(F.col("scene_id") == 4, 99).otherwise(F.col("scene_id") % 25).alias("grp")
     s = m.groupBy(g, "annotator").agg(
         F.count_distinct("scene_id").alias("scenes"),
         F.avg(((F.col("cls") == 1) & (F.col("scene_id") % 25 != 3)).cast("int")).alias("water_frac"))
     return V.mask_sanity(s).select("grp", "annotator", "problem")
 
 
-DONE = """done AS MATERIALIZED (SELECT scene_id, list_sort(list(DISTINCT annotator)) AS seen FROM label_log WHERE log_pos %% 50 < 3 GROUP BY 1),
+DONE = """done AS MATERIALIZED (SELECT scene_id, list_sort(list(DISTINCT annotator)) AS seen FROM label_log GROUP BY 1),
 pool AS (SELECT scene_dir FROM scene_dim WHERE scene_id %% 8 = 1),
 lst AS MATERIALIZED (SELECT m.scene_id, m.pos, m.review_status, m.has_mask, coalesce(seen, []) AS seen, e."set" AS eval_set, p.scene_dir IS NOT NULL AS pool_queue,
   %s < 12 AS rep FROM manifest m LEFT JOIN done ON done.scene_id = m.scene_id LEFT JOIN eval_sets e ON e.scene_dir = m.scene_dir LEFT JOIN pool p ON p.scene_dir = m.scene_dir),
-q AS MATERIALIZED (SELECT *, CASE WHEN list_contains(seen, 'ann1') THEN FALSE WHEN rep AND len(seen) < 2 THEN TRUE WHEN len(seen) > 0 THEN FALSE
+q AS MATERIALIZED (SELECT *, CASE WHEN list_contains(seen, 'ann9') THEN FALSE WHEN rep AND len(seen) < 2 THEN TRUE WHEN len(seen) > 0 THEN FALSE
     ELSE coalesce(review_status, 'pending') = 'pending' END AS needs_label,
-  eval_set IS NOT NULL OR (rep AND len(seen) > 0 AND NOT list_contains(seen, 'ann1')) AS blind,
+  eval_set IS NOT NULL OR (rep AND len(seen) > 0 AND NOT list_contains(seen, 'ann9')) AS blind,
   CASE WHEN eval_set = 'reward' THEN 0 WHEN eval_set = 'test' THEN 1 WHEN pool_queue THEN 2 ELSE 3 END AS rank FROM lst)""" % (
     hashed("sha1", "'replicate:' || m.scene_id", 100))
 
 
 def scene_list(spark, sf):
-    log = D.label_log(spark, sf).filter("log_pos % 50 < 3")
+    log = D.label_log(spark, sf)
     pool = D.scene_dim(spark, sf).filter("scene_id % 8 = 1")
-    return L.scene_list(D.manifest(spark, sf), log, D.eval_sets(spark, sf), pool, "ann1")
+    return L.scene_list(D.manifest(spark, sf), log, D.eval_sets(spark, sf), pool, "ann9")
 
 
 @check("p13_blind_scenes", uses="label_log scene_dim manifest eval_sets", sql=f", {DONE} SELECT scene_id, blind, NOT blind AND has_mask AS has_manual FROM q")

@@ -165,12 +165,12 @@ def a32(spark, sf):
 
 
 MEASURED = """t AS (SELECT * FROM label_log l WHERE NOT EXISTS (SELECT 1 FROM log_exclusions e WHERE e.scope = 'timing' AND e.scene_id = l.scene_id AND e.ts = l.ts)),
-lastt AS MATERIALIZED (SELECT scene_id, active_seconds AS manual_s FROM t WHERE route = 'interactive_clicks' AND scene_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY log_pos DESC) = 1)"""
+lastt AS MATERIALIZED (SELECT scene_id, active_seconds AS manual_s FROM t WHERE route = 'interactive_clicks' QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY log_pos DESC) = 1)"""
 
 
 def measured(spark, sf):
     t = L.timing_rows(D.label_log(spark, sf), D.log_exclusions(spark, sf))
-    t = t.filter("route = 'interactive_clicks' and scene_id % 3 <> 0")
+    t = t.filter("route = 'interactive_clicks'")
     return L.latest(t.withColumn("_o", F.lit(0)), ["scene_id"], "_o", "log_pos").select(
         "scene_id", F.col("active_seconds").alias("manual_s"))
 

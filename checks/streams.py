@@ -93,17 +93,17 @@ def st4(spark, sf):
 
 
 @check("st5_open_queue_stream", uses="label_log manifest", sql=f"""
-, done AS (SELECT scene_id, list_sort(list(DISTINCT annotator)) AS seen FROM label_log WHERE log_pos % 40 = 0 GROUP BY 1),
-q AS (SELECT m.scene_id, a.annotator, coalesce(seen, []) AS seen, {hashed('sha1', "'replicate:' || m.scene_id", 100)} < 30 AS rep, review_status FROM manifest m LEFT JOIN done USING (scene_id), (SELECT unnest(['ann0', 'ann3']) AS annotator) a)
+, done AS (SELECT scene_id, list_sort(list(DISTINCT annotator)) AS seen FROM label_log GROUP BY 1),
+q AS (SELECT m.scene_id, a.annotator, coalesce(seen, []) AS seen, {hashed('sha1', "'replicate:' || m.scene_id", 100)} < 30 AS rep, review_status FROM manifest m LEFT JOIN done USING (scene_id), (SELECT unnest(['ann0', 'ann9']) AS annotator) a)
 SELECT scene_id, annotator, len(seen) AS n_labels, CASE WHEN list_contains(seen, annotator) THEN FALSE WHEN rep AND len(seen) < 2 THEN TRUE WHEN len(seen) > 0 THEN FALSE ELSE review_status = 'pending' END AS needs_label,
   rep AND len(seen) > 0 AND NOT list_contains(seen, annotator) AS blind FROM q""")
 def st5(spark, sf):
     path, schema = log_files(spark, sf)
-    s = V.log_stream(spark, path, schema, files_per_batch=2).filter("log_pos % 40 = 0")
+    s = V.log_stream(spark, path, schema, files_per_batch=2)
     out = finished(V.labelled_by_stream(s), spark, "update")
     scenes = D.manifest(spark, sf).select("scene_id", "review_status",
                                           is_replicate(F.col("scene_id").cast("string"), 30).alias("replicate"))
-    return V.read_open_queue(spark, out, scenes, ["ann0", "ann3"])
+    return V.read_open_queue(spark, out, scenes, ["ann0", "ann9"])
 
 
 THROUGHPUT = "SELECT {w} AS start, route, count(*) AS decisions, quantile_disc(active_seconds, 0.5) AS median_seconds FROM label_log GROUP BY 1, 2"
