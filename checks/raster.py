@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import derived as D
 from checks import sqltext as S
+from checks.log import hashed
 from checks.registry import check
 from maskloom.functions.scalars import argmax, entropy, grey, ndwi, softmax
 from maskloom.operators import components as C
@@ -241,10 +242,22 @@ def n20(spark, sf):
     return R.tile_balance(m, 4).withColumn("top_share", F.round("top_share", 6))
 
 
-@check("n20_drawn_tiles")
+DRAWN = f"""m AS MATERIALIZED (SELECT scene_id, y, x, CASE WHEN scene_id % 7 = 2 THEN 255 ELSE cls END AS cls FROM {MASKS}),
+o AS MATERIALIZED (SELECT scene_id, draw, {hashed('sha1', "scene_id || ':0:' || draw || ':y'", 1 << 30)} % 4 AS top, {hashed('sha1', "scene_id || ':0:' || draw || ':x'", 1 << 30)} % 4 AS "left"
+  FROM (SELECT DISTINCT scene_id FROM m), (SELECT unnest(range(10)) AS draw)),
+n AS (SELECT scene_id, draw, top, "left", cls, count(*) AS n FROM m JOIN o USING (scene_id) WHERE cls <> 255 AND y BETWEEN top AND top + 4 AND x BETWEEN "left" AND "left" + 4 GROUP BY ALL),
+s AS (SELECT scene_id, draw, top, "left", max(n) / sum(n)::DOUBLE AS share FROM n GROUP BY 1, 2, 3, 4),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY CASE WHEN share <= 0.85 THEN 0 ELSE share END, draw) = 1)"""
+
+
+@check("n20_drawn_tiles", uses="mask_px", sql=f""", {DRAWN}
+SELECT scene_id, draw::INT AS draw, top::BIGINT AS top, "left"::BIGINT AS "left", round(share, 9) AS share FROM b
+UNION ALL SELECT DISTINCT scene_id, -1, 0, 0, NULL::DOUBLE FROM m ANTI JOIN b USING (scene_id)""")
 def n20b(spark, sf):
-    m = masks(spark, sf)
-    return R.drawn_tiles(m, 5)
+    """Every seventh frame holds ignored pixels only."""
+    m = masks(spark, sf).withColumn("cls", F.when(F.col("scene_id") % 7 == 2, 255).otherwise(F.col("cls")))
+    return R.drawn_tiles(m, 5).select("scene_id", "draw", F.col("top").cast("long").alias("top"),
+                                      F.col("left").cast("long").alias("left"), F.round("share", 9).alias("share"))
 
 
 def predicted(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,27 +247,25 @@ def scene_list(scenes: DataFrame, log: DataFrame, evals: DataFrame, pool: DataFr
                 F.coalesce("review_status", F.lit("pending")))})
 
 
-def next_scene(queue: DataFrame, blocks: int = 64) -> DataFrame:
+def next_scene(queue: DataFrame, block: int | None = None) -> DataFrame:
     """For each scene the next one its labeller still owes, wrapping around the end of the queue.
 
     ``queue`` has ``scene_id, rank, pos, needs_label``. The next owed scene is a minimum over the
-    rows after the current one, so the queue is cut into blocks of positions: inside a block a
-    window, between blocks the first owed scene of any later block.
+    rows after the current one, read backwards as a running minimum. The queue is cut into blocks of
+    ``block`` positions, by default about as many as there are blocks: inside a block a window,
+    between blocks the first owed scene of any later block.
     """
+    block = block or max(64, math.isqrt(queue.count()))
     place = F.struct("rank", "pos", "scene_id")
-    blk = F.struct(F.col("rank").alias("r"), F.expr(f"pos div {blocks}").alias("b"))
+    blk = F.struct(F.col("rank").alias("r"), F.expr(f"pos div {block}").alias("b"))
     d = queue.withColumn("_blk", blk)
     owed = F.when(F.col("needs_label"), place)
-    firsts = d.groupBy("_blk").agg(F.min(owed).alias("_f"), F.max(owed).alias("_last"))
-    w = Window.partitionBy(F.lit(0)).orderBy("_blk")  # one row per block, not per scene
-    later = firsts.select(
-        "_blk", F.min("_f").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
-        F.min("_f").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        .alias("_first"),
-        F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        .alias("_end"))
-    inside = Window.partitionBy("_blk").orderBy("rank", "pos", "scene_id").rowsBetween(
-        1, Window.unboundedFollowing)
+    firsts = d.groupBy("_blk").agg(F.min(owed).alias("_f"))
+    whole = Window.partitionBy(F.lit(0))  # one row per block, not per scene
+    back = whole.orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    later = firsts.select("_blk", F.min("_f").over(back).alias("_later"), F.min("_f").over(whole).alias("_first"))
+    inside = Window.partitionBy("_blk").orderBy(F.desc("rank"), F.desc("pos"), F.desc("scene_id")).rowsBetween(
+        Window.unboundedPreceding, -1)
     j = d.withColumn("_in", F.min(owed).over(inside)).join(later, "_blk")
     nxt = F.coalesce("_in", "_later", F.when(F.col("_first") != place, F.col("_first")))
     return j.select("scene_id", nxt["scene_id"].alias("next_scene_id"))

@@ -217,23 +217,30 @@ def tile_balance(mask: DataFrame, size: int, keys=SCENE, limit: float = 0.85) ->
 def drawn_tiles(mask: DataFrame, size: int, draws: int = 10, seed: int = 0, keys=SCENE,
                 limit: float = 0.85) -> DataFrame:
     """One crop per frame from ``draws`` seeded offsets: the first within ``limit``, else the least
-    dominated one. Offsets are a hash of frame, seed and draw, so a draw never depends on layout."""
-    def offset(axis: str, side: str) -> Column:
+    dominated one. Offsets are a hash of frame, seed and draw, so a draw never depends on layout. A frame
+    whose draws hold ignored pixels only gets its corner, as draw -1 without a share.
+
+    A pixel is copied only to the draws that cover it.
+    """
+    def offset(draw: Column, axis: str, side: str) -> Column:
         key = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)),
-                          F.col("draw").cast("string"), F.lit(axis))
+                          draw.cast("string"), F.lit(axis))
         return F.pmod(sha1_bucket(key, 1 << 30), F.greatest(F.lit(1), F.col(side) - size + 1))
 
-    d = mask.filter(F.col("cls") != IGNORE).withColumn(
-        "draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    d = d.withColumns({"top": offset("y", "h"), "left": offset("x", "w")})
-    inside = d.filter((F.col("y") >= F.col("top")) & (F.col("y") < F.col("top") + size)
-                      & (F.col("x") >= F.col("left")) & (F.col("x") < F.col("left") + size))
+    offsets = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.struct(
+        i.alias("draw"), offset(i, "y", "h").alias("top"), offset(i, "x", "w").alias("left")))
+    covers = F.filter(offsets, lambda o: F.col("y").between(o["top"], o["top"] + size - 1)
+                      & F.col("x").between(o["left"], o["left"] + size - 1))
+    inside = mask.filter(F.col("cls") != IGNORE).select(*keys, "cls", F.explode(covers).alias("_o")).select(*keys, "cls", "_o.*")
     n = inside.groupBy(*keys, "draw", "top", "left", "cls").agg(F.count("*").alias("n"))
     s = n.groupBy(*keys, "draw", "top", "left").agg((F.max("n") / F.sum("n")).alias("share"))
     rank = F.when(F.col("share") <= limit, F.struct(F.lit(0.0).alias("s"), F.col("draw").alias("d")))
     rank = rank.otherwise(F.struct(F.col("share").alias("s"), F.col("draw").alias("d")))
     best = F.min_by(F.struct("draw", "top", "left", "share"), rank)
-    return s.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
+    chosen = s.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
+    corner = mask.select(*keys).distinct().join(chosen, list(keys), "left_anti").select(
+        *keys, F.lit(-1).alias("draw"), F.lit(0).alias("top"), F.lit(0).alias("left"), F.lit(None).cast("double").alias("share"))
+    return chosen.unionByName(corner)
 
 
 def decode_masks(mask: DataFrame, keys=("scene_id", "source")) -> DataFrame:
