@@ -27,6 +27,30 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+UPPER, LOWER = urls.UPPER, urls.LOWER
+
+# Exact Jaccard of all pairs with a shingle in common, and reachability over the links.
+NEAR_DUPS_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(s) AS v FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n m ON m.doc_id = x JOIN n k ON k.doc_id = y WHERE 100 * c >= 80 * (m.n + k.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, CASE WHEN l.x = r.b THEN l.y ELSE l.x END FROM r JOIN l ON r.b IN (l.x, l.y))
+SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2"""
+
+# SHA-1 as 8 groups of 5 hexadecimal digits, each 4 characters of base 32.
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_DIGITS = " || ".join(f"substr('{_ALPHABET}', (v[{g}] >> {s} & 31) + 1, 1)" for g in range(1, 9) for s in (15, 10, 5, 0))
+WARC_SQL = f"""
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+v AS (SELECT page_id, n, h, list_transform(range(0, 8), lambda i: ('0x' || substr(h, i * 5 + 1, 5))::INT) AS v FROM d),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS last FROM v)
+SELECT page_id, n AS payload_bytes, {_DIGITS} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM m"""
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -36,7 +60,7 @@ def op1(spark, sf):
     return decontaminate.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-@query("op2_bottom_k_near_dups")
+@query("op2_bottom_k_near_dups", sql=NEAR_DUPS_SQL)
 def op2(spark, sf):
     return near_dups.groups(table(spark, sf, "documents"), words=2)
 
@@ -61,7 +85,7 @@ def op6(spark, sf):
     return urls.judge(table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op7_warc_bundles")
+@query("op7_warc_bundles", sql=WARC_SQL)
 def op7(spark, sf):
     got = warc.archive(table(spark, sf, "pages"), shared_folder(spark, "warc"))
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
