@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.llm.store import keep
+from maskloom.llm.store import hinted, keep
 
 MIN_WORDS = 50
 COVERAGE = 0.75       # share of a cell's rows that an estimate rests on
@@ -127,7 +127,7 @@ def squared_distance() -> Column:
 
 def _binned(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """Moments per cell, start and distance bin, with the count up to and with the bin."""
-    d = rows.join(estimates, "cell").withColumn(
+    d = rows.join(hinted(estimates, 100_000), "cell").withColumn(
         "bin", F.floor(F.log2(F.greatest(squared_distance(), F.lit(1e-6))) * BINS).cast("int"))
     binned = d.groupBy("cell", "start", "bin").agg(*_moments())
     w = Window.partitionBy("cell", "start")  # a few hundred bins
@@ -200,4 +200,4 @@ def passing(docs: DataFrame) -> DataFrame:
     bad = keep(verdicts.filter(~F.col("kept")).select("_key").distinct(), "rejected")
     names = docs.columns
     return docs.select(F.struct("*").alias("_row"), key().alias("_key")).join(
-        bad, "_key", "left_anti").select(*[F.col("_row")[n].alias(n) for n in names])
+        hinted(bad), "_key", "left_anti").select(*[F.col("_row")[n].alias(n) for n in names])
