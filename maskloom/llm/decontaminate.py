@@ -7,7 +7,7 @@ into step, so their walks agree at most places: edit distance becomes Hamming di
 ``K`` places gives a key; enough repetitions, over several independent walks, reach the target
 recall. An item is indexed from its start and from its middle, by walks no longer than the item, and
 every word of every document starts a window that is walked and looked up. Each hit is confirmed by
-the exact edit distance between the item and the best-matching passage around the window.
+the exact edit distance, in words, between the item and the best-matching passage around the window.
 
 Items travel to the tasks in slices of bounded size; more items mean more passes over the documents.
 """
@@ -25,14 +25,14 @@ from maskloom.llm.store import hinted, keep
 from maskloom.llm.text import NOT_PLAIN, byte_view, hash_words, lower_ascii, mix, slices, word_bounds
 
 LEAST_WORDS = 8       # shorter items say nothing about a document
-MOST_EDITS = 0.2      # edit distance in characters, as a share of the item's
+MOST_EDITS = 0.2      # edit distance in words, as a share of the item's words
 WALKS = 2
-K = 3                 # places sampled for a key
-AGREE = 0.6           # share of agreeing places assumed of walks at the largest distance
+K = 4                 # places sampled for a key
+AGREE = 0.65          # share of agreeing places assumed of walks at the largest distance
 RECALL = 0.99
-STEPS = (8, 16, 32)   # lengths of walks; an item takes the longest that it can fill
+STEPS = (8, 16)       # lengths of walks; an item takes the longest that it can fill
 SLICE_CHARS = 16 << 20  # characters of items that one pass holds
-BLOCK = 8192
+BLOCK = 4096
 
 
 def repetitions(recall: float = RECALL, agree: float = AGREE, k: int = K) -> int:
@@ -46,40 +46,48 @@ def _samples() -> dict[int, list[list[np.ndarray]]]:
     return {t: [[np.sort(rng.choice(t, K, replace=False)) for _ in range(each)] for _ in range(WALKS)] for t in STEPS}
 
 
-_ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-
-
-def _keys(h: np.ndarray, starts: np.ndarray, lengths: tuple, samples) -> dict[int, np.ndarray]:
-    """Keys of the windows at ``starts`` for each walk length, one row per repetition.
-
-    ``h`` must go on for the longest walk after the last start.
-    """
-    out = {t: [] for t in lengths}
-    last = max(lengths)
-    for walk in range(WALKS):
-        bits = mix(h ^ np.uint64(0x5851F42D4C957F2D * (walk + 1) % 2**64))
-        used = {t: [np.full(len(starts), walk, np.uint64) for _ in samples[t][walk]] for t in lengths}
-        cur = starts.copy()
-        for step in range(last):
-            here = [(t, r, int(np.searchsorted(places, step))) for t in lengths if step < t
-                    for r, places in enumerate(samples[t][walk]) if step in places]
-            if here:
-                word = h[cur]
-                for t, r, place in here:
-                    used[t][r] += word * _ODD[(r * K + place) % 64]
-            cur += ((bits[cur] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
-        for t in lengths:
-            out[t] += used[t]
-    return {t: mix(np.stack(rows) + np.arange(len(rows), dtype=np.uint64)[:, None]) for t, rows in out.items()}
-
-
-def passage_distance(item: str, passage: str, most: int) -> tuple[int, int] | None:
-    """Smallest edit distance between ``item`` and a substring of ``passage``, and where that ends.
+class Walks:
+    """What every step of every walk adds to which key."""
+
+    def __init__(self, samples: dict[int, list[list[np.ndarray]]], lengths: tuple):
+        self.lengths, self.last = lengths, max(lengths, default=0)
+        self.of: dict[int, list[int]] = {t: [] for t in lengths}  # keys of each length
+        self.adds = [[[] for _ in range(self.last)] for _ in range(WALKS)]
+        odd = iter(mix(np.arange(1, 10_000, dtype=np.uint64)) | np.uint64(1))
+        self.count = 0
+        for t in STEPS:
+            for walk in range(WALKS):
+                for places in samples[t][walk]:
+                    factors = [next(odd) for _ in places]  # the same whatever lengths are in use
+                    if t in self.of:
+                        for step, factor in zip(places, factors):
+                            self.adds[walk][step].append((self.count, factor))
+                        self.of[t].append(self.count)
+                        self.count += 1
+
+    def keys(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Keys of the windows at ``starts``, one row per key; ``h`` goes on for the longest walk."""
+        keys, part = np.zeros((self.count, len(starts)), np.uint64), np.empty(len(starts), np.uint64)
+        for walk in range(WALKS):
+            bits = mix(h ^ np.uint64(0x5851F42D4C957F2D * (walk + 1) % 2**64))
+            cur = starts.copy()
+            for step in range(self.last):
+                if self.adds[walk][step]:
+                    word = h[cur]
+                    for slot, factor in self.adds[walk][step]:
+                        np.multiply(word, factor, out=part)
+                        keys[slot] += part
+                cur += ((bits[cur] >> np.uint64(step)) & np.uint64(1)).view(np.int64)
+        return keys
+
+
+def passage_distance(item: list, passage: list, most: int) -> tuple[int, int] | None:
+    """Smallest edit distance between ``item`` and a run of ``passage``, and where that ends.
 
     Bit-parallel (Myers 1999) on whole integers; None if it exceeds ``most``.
     """
     m = len(item)
-    peq: dict[str, int] = {}
+    peq: dict = {}
     for i, c in enumerate(item):
         peq[c] = peq.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -104,8 +112,9 @@ class Index:
     """Keys of one slice of the items, as sorted arrays with a bitmap in front."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.samples = _samples()
+        samples = _samples()
         self.items, found = [], {t: [] for t in STEPS}
+        alone = {t: Walks(samples, (t,)) for t in STEPS}
         for item_id, text in items:
             data, bounds = byte_view(pa.array([text]))
             data = lower_ascii(data)
@@ -113,16 +122,16 @@ class Index:
             if len(start) < LEAST_WORDS:
                 continue
             h = hash_words(data, start, end)
-            plain = " ".join(data[a:b].tobytes().decode() for a, b in zip(start, end))
             place = len(self.items)
-            self.items.append((item_id, h, plain))
+            self.items.append((item_id, h, np.unique(h)))
             for at in sorted({0, len(h) // 2}):
                 t = max((t for t in STEPS if t <= len(h) - at), default=None)
                 if t is not None:
                     padded = np.concatenate((h[at:], np.zeros(max(STEPS) + 1, np.uint64)))
-                    keys = _keys(padded, np.zeros(1, np.int64), (t,), self.samples)[t][:, 0]
+                    keys = alone[t].keys(padded, np.zeros(1, np.int64))[:, 0]
                     found[t] += [(int(k), place, at) for k in keys]
         self.lengths = tuple(t for t in STEPS if found[t])
+        self.walks = Walks(samples, self.lengths)
         self.keys, self.at, self.bitmap = {}, {}, {}
         for t in self.lengths:
             rows = sorted(found[t])
@@ -132,23 +141,46 @@ class Index:
             self.bitmap[t][self.keys[t] >> np.uint64(44)] = True
 
     def candidates(self, h: np.ndarray) -> np.ndarray:
-        """``window start, item, place in the item`` of every key in common, without repeats."""
+        """``start, item`` of the passages to compare, without repeats: where the item would start if
+        no word were missing or added, by every key in common."""
         n, got = len(h), []
         if not n or not self.lengths:
-            return np.zeros((0, 3), np.int64)
+            return np.zeros((0, 2), np.int64)
         padded = np.concatenate((h, np.zeros(max(STEPS) + 1, np.uint64)))
         for lo in range(0, n, BLOCK):
             hi = min(n, lo + BLOCK)
-            part = padded[lo:hi + max(STEPS) + 1]
-            for t, keys in _keys(part, np.arange(hi - lo), self.lengths, self.samples).items():
-                rep, where = np.nonzero(self.bitmap[t][keys >> np.uint64(44)])
-                hit = keys[rep, where]
-                first = np.searchsorted(self.keys[t], hit, "left")
-                count = np.searchsorted(self.keys[t], hit, "right") - first
-                if count.any():
-                    which = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    got.append(np.column_stack((np.repeat(where + lo, count), self.at[t][which])))
-        return np.unique(np.concatenate(got), axis=0) if got else np.zeros((0, 3), np.int64)
+            rows = self.walks.keys(padded[lo:hi + max(STEPS) + 1], np.arange(hi - lo))
+            for t in self.lengths:
+                bitmap, known = self.bitmap[t], self.keys[t]
+                for slot in self.walks.of[t]:
+                    where = np.flatnonzero(bitmap[rows[slot] >> np.uint64(44)])
+                    hit = rows[slot][where]
+                    first = np.searchsorted(known, hit, "left")
+                    count = np.searchsorted(known, hit, "right") - first
+                    if count.any():
+                        which = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                        place, at = self.at[t][which].T
+                        got.append((np.repeat(where + lo, count) - at) * len(self.items) + place)
+        if not got:
+            return np.zeros((0, 2), np.int64)
+        return np.column_stack(np.divmod(np.unique(np.concatenate(got)), len(self.items)))
+
+    def likely(self, h: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The candidates around which enough words are words of the item; the others are too far away
+        for sure, as every word of the item but those edited stands there."""
+        keep = np.zeros(len(found), bool)
+        order = np.argsort(found[:, 1], kind="stable")
+        cuts = np.flatnonzero(np.diff(found[order, 1], prepend=-1))
+        for part in np.split(order, cuts[1:]) if len(order) else ():
+            _, words, vocabulary = self.items[found[part[0], 1]]
+            edits = int(MOST_EDITS * len(words))
+            window = np.arange(-edits - 1, len(words) + edits + 1)
+            for lo in range(0, len(part), 20_000):
+                some = part[lo:lo + 20_000]
+                near = h[np.clip(found[some, 0][:, None] + window, 0, len(h) - 1)]
+                at = np.minimum(np.searchsorted(vocabulary, near), len(vocabulary) - 1)
+                keep[some] = (vocabulary[at] == near).sum(1) >= len(words) - edits
+        return found[keep]
 
 
 HIT = "item_id: bigint, start: int, end: int, distance: int"
@@ -163,31 +195,24 @@ def _hits(batch: pa.RecordBatch, index: Index) -> list[list[dict]]:
     first = np.searchsorted(row, np.arange(batch.num_rows + 1))
     out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
     done: dict[tuple, list[int]] = {}
-    for at, place, offset in index.candidates(h):
-        item_id, words, plain = index.items[place]
-        r, begin = int(row[at]), int(at - offset)
-        near = done.setdefault((r, place), [])
-        if any(abs(begin - x) <= len(words) // 4 for x in near):  # the passage was tried already
-            continue
-        lo, hi = max(begin, first[r]), begin + len(words)
-        if begin >= first[r] and hi <= first[r + 1] and (h[begin:hi] == words).all():
-            lo, distance = begin, 0
-        else:
-            slack = len(words) // 2 + 2
-            lo, hi = max(begin - slack, first[r]), min(hi + slack, first[r + 1])
-            passage = " ".join(low[a:b].tobytes().decode() for a, b in zip(start[lo:hi], end[lo:hi]))
-            best = passage_distance(plain, passage, int(MOST_EDITS * len(plain)))
+    for begin, place in index.likely(h, index.candidates(h)):
+        item_id, words, _ = index.items[place]
+        edits = int(MOST_EDITS * len(words))
+        # A start before the row's first word may be that of a passage that lost words.
+        r = int(row[min(max(begin, 0) + edits, len(h) - 1)]) if begin < 0 else int(row[begin])
+        for r in {r, min(r + 1, batch.num_rows - 1)} if begin + edits >= first[r + 1] else {r}:
+            near = done.setdefault((r, place), [])
+            if any(abs(begin - x) <= edits for x in near):  # part of a passage that was found
+                continue
+            lo, hi = max(begin - edits - 1, first[r]), min(begin + len(words) + edits + 1, first[r + 1])
+            best = passage_distance(words.tolist(), h[lo:hi].tolist(), edits) if hi > lo else None
             if best is None:
-                near.append(begin)
                 continue
-            distance = best[0]
-            # The passage ends where the distance is smallest and is about as long as the item.
-            ends = np.cumsum([b - a + 1 for a, b in zip(start[lo:hi], end[lo:hi])])
-            stop = lo + int(np.searchsorted(ends, best[1])) + 1
-            lo, hi = max(lo, stop - len(words)), min(stop, hi)
-        near.append(begin)
-        chars = lambda b: len(data[bounds[r]:b].tobytes().decode())
-        out[r].append({"item_id": item_id, "start": chars(start[lo]), "end": chars(end[hi - 1]), "distance": distance})
+            stop = lo + best[1]  # the passage ends here and is about as long as the item
+            lo = max(lo, stop - len(words))
+            near.append(begin)
+            chars = lambda b: len(data[bounds[r]:b].tobytes().decode())
+            out[r].append({"item_id": item_id, "start": chars(start[lo]), "end": chars(end[stop - 1]), "distance": best[0]})
     return out
 
 
