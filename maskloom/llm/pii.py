@@ -33,7 +33,7 @@ PATTERNS = {
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)",
-    "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?!\w)|(?<!\w)\+\d{8,14}(?!\w)",
+    "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?!\w)|(?<!\w)\+\d{1,3}[ .-]\(?\d{2,4}\)?[ .-]\d{5,8}(?!\w)|(?<!\w)\+\d{8,14}(?!\w)",
 }
 KINDS = (*PATTERNS, "name")
 
