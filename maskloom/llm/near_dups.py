@@ -8,8 +8,9 @@ that no run of three is in both is below 5e-7 (it falls with the similarity; bel
 union a run always exists when both sketches hold whole sets). Lists of common values alone, such as
 shared passages make, are rare and short that way.
 
-Short lists give all their pairs; long ones link each member to the next in an order of the list's
-own, so a large group of near copies costs a few pairs per member. Estimates from the union's
+Short lists give all their pairs; of long ones a member joins one in ``THIN``, drawn by hash, and is
+linked to the next there, so a large group of near copies costs a few pairs per member. Members of a
+long list outside its largest component are then compared with a member of that. Estimates from the union's
 sketch drop pairs far below the threshold; the rest are confirmed on full sets, first the best pair
 of each document, then all that still join different components. A long list whose members then
 still belong to several components is not cut short: its members are joined by an exact prefix
@@ -29,8 +30,11 @@ from maskloom.llm.text import byte_view, hash_words, lower_ascii, mix, shingle_h
 
 K, RUN = 40, 3
 SHORT = 16           # longest list that gives all its pairs
+THIN = 10            # of this many long lists, a member is linked in one
+BRIDGES = 2          # rounds of comparisons with the largest component of a list
 FAR = 0.45           # estimate below which a pair is dropped: 5.5 standard deviations under 0.8
 THRESHOLD = 80       # percent
+SLICE = 1 << 20      # bytes of text that a task turns into sets at once
 
 
 def _sets(batch: pa.RecordBatch, words: int):
@@ -47,7 +51,7 @@ def _sets(batch: pa.RecordBatch, words: int):
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, n, f1, f2, sketch``: size and 128-bit fingerprint of each set, and its sketch."""
     def sketch(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             n, f1, f2, low = [], [], [], []
             for s in _sets(batch, words):
                 n.append(len(s))
@@ -63,14 +67,14 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``node, items``: the full set of each document in ``nodes``, as packed 64-bit integers."""
+    """``node, items``: the full set of each document in ``nodes``."""
     def pack(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s.tobytes() for s in _sets(batch, words)], pa.binary())], ["node", "items"])
+                [batch.column("doc_id"), pa.array(list(_sets(batch, words)), pa.list_(pa.int64()))], ["node", "items"])
 
     some = docs.select(F.col("doc_id").cast("long"), "text").join(hinted(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    return keep(some.mapInArrow(pack, "node long, items binary"), "sets")
+    return keep(some.mapInArrow(pack, "node long, items array<long>"), "sets")
 
 
 def _lists(reps: DataFrame) -> DataFrame:
@@ -100,12 +104,23 @@ def _neighbours(lists: DataFrame) -> DataFrame:
     """Candidate pairs: all of short lists, consecutive members of long ones."""
     w = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
     me = F.struct("node", "n")
+    drawn = (F.col("size") <= SHORT) | (F.pmod(F.xxhash64("node", "key"), F.lit(THIN)) == 0)
     back = F.when(F.col("size") <= SHORT, F.array(*[F.lag(me, j).over(w) for j in range(1, SHORT)])).otherwise(
         F.array(F.lag(me, 1).over(w)))
-    d = lists.withColumn("_back", back).select("node", "n", F.explode("_back").alias("o")).filter("o is not null")
+    d = lists.filter(drawn).withColumn("_back", back).select("node", "n", F.explode("_back").alias("o")).filter("o is not null")
     return _ordered(d.filter(_sizes_fit("n", "o.n")).select(F.col("node").alias("x"), F.col("o.node").alias("y")))
 
 
+def _bridges(long: DataFrame, seed: int) -> DataFrame:
+    """Candidate pairs of long lists ``key, node, n, comp``: a member of each component with a member,
+    drawn by ``seed``, of the list's largest."""
+    own = long.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by(
+        F.struct("node", "n"), F.xxhash64(F.lit(seed), "key", "node")).alias("m"))
+    hub = own.groupBy("key").agg(F.max_by(F.struct("comp", "m"), F.struct("c", "comp")).alias("h"))
+    d = own.join(hub, "key").filter((F.col("comp") != F.col("h.comp")) & _sizes_fit("m.n", "h.m.n"))
+    return _ordered(d.select(F.col("m.node").alias("x"), F.col("h.m.node").alias("y")))
+
+
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """``a, b, est``: pairs whose similarity, estimated from the union's sketch, is not far too low."""
     d = pairs
@@ -118,22 +133,12 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets overlap enough."""
-    def check(batches):
-        for batch in batches:
-            hit = []
-            for x, y in zip(batch.column("ia"), batch.column("ib")):
-                s, t = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                both = int((t[at] == s).sum()) if len(t) else 0
-                hit.append(both * 100 >= THRESHOLD * (len(s) + len(t) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
     d = pairs.select("a", "b")
     for end in ("a", "b"):
         d = d.join(sets.select(F.col("node").alias(end), F.col("items").alias(f"i{end}")), end)
-    return keep(d.select("a", "b", "ia", "ib").mapInArrow(check, "a long, b long").distinct(), "links")
+    d = d.withColumn("both", F.size(F.array_intersect("ia", "ib")))
+    enough = (F.col("both") > 0) & (F.col("both") * 100 >= (F.size("ia") + F.size("ib") - F.col("both")) * THRESHOLD)
+    return keep(d.filter(enough).select("a", "b").distinct(), "links")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -150,29 +155,23 @@ def _prefix_pairs(hard: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     rarest fifth (and one) of the shingles of either holds one in common.
 
     Shingles are ranked by how many of these documents have them. A list gives the pairs between
-    different components only.
+    different components only, and of those the ones that could still reach the threshold if the
+    shingle were their first in common.
     """
     sets = full_sets(docs, hard.select("node"), words)
 
-    def spread(batches):
-        for batch in batches:
-            for node, items in zip(batch.column("node").to_pylist(), batch.column("items")):
-                s = np.frombuffer(items.as_buffer(), np.int64)
-                for i in range(0, len(s), 100_000):
-                    part = s[i:i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(s))),
-                                                      pa.array(part)], ["node", "n", "v"])
-
-    each = sets.mapInArrow(spread, "node long, n long, v long")
+    each = sets.select("node", F.size("items").cast("long").alias("n"), F.explode("items").alias("v"))
     often = keep(each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "often")
     # A shingle that one document alone has joins nothing: it only takes up room in the prefix.
     ranked = each.join(often, "v", "left").withColumn("rank", F.row_number().over(
         Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "v")))
     first = ranked.filter((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1) & F.col("df").isNotNull())
-    first = keep(first.select("v", "node", "n").join(hard, "node"), "prefix")
-    x, y = (first.select("v", *[F.col(c).alias(c + e) for c in ("node", "n", "comp")]) for e in "xy")
+    first = keep(first.select("v", "node", "n", "rank").join(hard, "node"), "prefix")
+    x, y = (first.select("v", *[F.col(c).alias(c + e) for c in ("node", "n", "comp", "rank")]) for e in "xy")
+    most = 1 + F.least(F.col("nx") - F.col("rankx"), F.col("ny") - F.col("ranky"))  # shingles in common
+    reach = most * (100 + THRESHOLD) >= (F.col("nx") + F.col("ny")) * THRESHOLD
     return _ordered(x.join(y, "v").filter((F.col("nodex") < F.col("nodey")) & (F.col("compx") != F.col("compy"))
-                                          & _sizes_fit("nx", "ny")).select(F.col("nodex").alias("x"), F.col("nodey").alias("y")))
+                                          & _sizes_fit("nx", "ny") & reach).select(F.col("nodex").alias("x"), F.col("nodey").alias("y")))
 
 
 def groups(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -200,11 +199,23 @@ def groups(docs: DataFrame, words: int = 5) -> DataFrame:
     labels = merged(None, _verified(best, sets).unionByName(same_id))
     rest = _apart(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
     labels = merged(labels, _verified(rest, sets))
-    long = lists.filter(F.col("size") > SHORT).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def long_lists() -> DataFrame:
+        return lists.filter(F.col("size") > SHORT).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    tried = likely.select("a", "b")
+    for seed in range(BRIDGES):
+        pairs = keep(_estimated(_bridges(long_lists(), seed).join(tried, ["a", "b"], "left_anti"), reps), "bridges")
+        if pairs.isEmpty():
+            break
+        ends = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+        labels = merged(labels, _verified(pairs, full_sets(docs, ends, words)))
+        tried = tried.unionByName(pairs.select("a", "b"))
+    long = long_lists()
     split = long.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     hard = keep(long.join(split, "key", "left_semi").select("node", "comp").distinct(), "hard")
     if not hard.isEmpty():
-        more = keep(_estimated(_prefix_pairs(hard, docs, words).join(likely, ["a", "b"], "left_anti"), reps), "more")
+        more = keep(_estimated(_prefix_pairs(hard, docs, words).join(tried, ["a", "b"], "left_anti"), reps), "more")
         more_sets = full_sets(docs, keep(more.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes"), words)
         labels = merged(labels, _verified(more, more_sets))
     d = rows.select("doc_id", "n", "f1", "f2").join(heads, ["f1", "f2", "n"], "left")
