@@ -5,9 +5,10 @@ sequence of words into a sequence of symbols: at each step the current word is w
 bit that depends on step and word says whether to move on. Two sequences a few edits apart fall back
 into step, so their walks agree at most places: edit distance becomes Hamming distance. Sampling
 ``K`` places gives a key; enough repetitions, over several independent walks, reach the target
-recall. An item is indexed from its start and from its middle, by walks no longer than the item, and
-every word of every document starts a window that is walked and looked up. Each hit is confirmed by
-the exact edit distance, in words, between the item and the best-matching passage around the window.
+recall. A walk spans some five words; an item is indexed from each of its words, so that edits it allows
+cannot hit all of its walks, and every word of every document starts a window that is walked and looked
+up. Each hit is confirmed by the exact edit distance, in words, between the item and the best-matching
+passage around the window.
 
 Items travel to the tasks in slices of bounded size; more items mean more passes over the documents.
 """
@@ -30,8 +31,9 @@ WALKS = 2
 K = 4                 # places sampled for a key
 AGREE = 0.65          # share of agreeing places assumed of walks at the largest distance
 RECALL = 0.99
-STEPS = (8, 16)       # lengths of walks; an item takes the longest that it can fill
-SLICE_CHARS = 16 << 20  # characters of items that one pass holds
+STEPS = 8             # length of walks
+SPAN = 3              # different words that a key of an item holds at least
+SLICE_CHARS = 2 << 20  # characters of items that one pass holds
 BLOCK = 4096
 
 
@@ -39,39 +41,26 @@ def repetitions(recall: float = RECALL, agree: float = AGREE, k: int = K) -> int
     return math.ceil(math.log(1 - recall) / math.log(1 - agree ** k))
 
 
-def _samples() -> dict[int, list[list[np.ndarray]]]:
-    """Sampled places by length and walk."""
-    rng = np.random.default_rng(7)
-    each = -(-repetitions() // WALKS)
-    return {t: [[np.sort(rng.choice(t, K, replace=False)) for _ in range(each)] for _ in range(WALKS)] for t in STEPS}
-
-
 class Walks:
     """What every step of every walk adds to which key."""
 
-    def __init__(self, samples: dict[int, list[list[np.ndarray]]], lengths: tuple):
-        self.lengths, self.last = lengths, max(lengths, default=0)
-        self.of: dict[int, list[int]] = {t: [] for t in lengths}  # keys of each length
-        self.adds = [[[] for _ in range(self.last)] for _ in range(WALKS)]
+    def __init__(self):
+        rng = np.random.default_rng(7)
         odd = iter(mix(np.arange(1, 10_000, dtype=np.uint64)) | np.uint64(1))
-        self.count = 0
-        for t in STEPS:
-            for walk in range(WALKS):
-                for places in samples[t][walk]:
-                    factors = [next(odd) for _ in places]  # the same whatever lengths are in use
-                    if t in self.of:
-                        for step, factor in zip(places, factors):
-                            self.adds[walk][step].append((self.count, factor))
-                        self.of[t].append(self.count)
-                        self.count += 1
+        each = -(-repetitions() // WALKS)
+        self.count = each * WALKS
+        self.adds = [[[] for _ in range(STEPS)] for _ in range(WALKS)]
+        for slot in range(self.count):
+            for step in np.sort(rng.choice(STEPS, K, replace=False)):
+                self.adds[slot // each][step].append((slot, next(odd)))
 
     def keys(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Keys of the windows at ``starts``, one row per key; ``h`` goes on for the longest walk."""
+        """Keys of the windows at ``starts``, one row per key; ``h`` goes on for a walk after the last."""
         keys, part = np.zeros((self.count, len(starts)), np.uint64), np.empty(len(starts), np.uint64)
         for walk in range(WALKS):
             bits = mix(h ^ np.uint64(0x5851F42D4C957F2D * (walk + 1) % 2**64))
             cur = starts.copy()
-            for step in range(self.last):
+            for step in range(STEPS):
                 if self.adds[walk][step]:
                     word = h[cur]
                     for slot, factor in self.adds[walk][step]:
@@ -80,6 +69,19 @@ class Walks:
                 cur += ((bits[cur] >> np.uint64(step)) & np.uint64(1)).view(np.int64)
         return keys
 
+    def spans(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """How many different places of ``h`` each of those keys is made of."""
+        seen, last = np.zeros((self.count, len(starts)), np.int8), np.full((self.count, len(starts)), -1)
+        for walk in range(WALKS):
+            bits = mix(h ^ np.uint64(0x5851F42D4C957F2D * (walk + 1) % 2**64))
+            cur = starts.copy()
+            for step in range(STEPS):
+                for slot, _ in self.adds[walk][step]:
+                    seen[slot] += cur != last[slot]
+                    last[slot] = cur
+                cur += ((bits[cur] >> np.uint64(step)) & np.uint64(1)).view(np.int64)
+        return seen
+
 
 def passage_distance(item: list, passage: list, most: int) -> tuple[int, int] | None:
     """Smallest edit distance between ``item`` and a run of ``passage``, and where that ends.
@@ -108,13 +110,31 @@ def passage_distance(item: list, passage: list, most: int) -> tuple[int, int] |
     return best
 
 
+class Table:
+    """Places in items by key: sorted arrays with a bitmap in front."""
+
+    def __init__(self, keys: np.ndarray, place: np.ndarray, at: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.place, self.at = keys[order], place[order].astype(np.int32), at[order].astype(np.int32)
+        self.shift = np.uint64(64 - min(26, max(20, len(keys).bit_length() + 4)))
+        self.bitmap = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bitmap[self.keys >> self.shift] = True
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where ``keys`` has a known key, and the item and the place in it, for every such pair."""
+        where = np.flatnonzero(self.bitmap[keys >> self.shift])
+        hit = keys[where]
+        first = np.searchsorted(self.keys, hit, "left")
+        count = np.searchsorted(self.keys, hit, "right") - first
+        which = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(where, count), self.place[which].astype(np.int64), self.at[which].astype(np.int64)
+
+
 class Index:
-    """Keys of one slice of the items, as sorted arrays with a bitmap in front."""
+    """Keys of one slice of the items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        samples = _samples()
-        self.items, found = [], {t: [] for t in STEPS}
-        alone = {t: Walks(samples, (t,)) for t in STEPS}
+        self.items, starts, places, ats, parts, n = [], [], [], [], [], 0
         for item_id, text in items:
             data, bounds = byte_view(pa.array([text]))
             data = lower_ascii(data)
@@ -122,62 +142,53 @@ class Index:
             if len(start) < LEAST_WORDS:
                 continue
             h = hash_words(data, start, end)
-            place = len(self.items)
+            at = np.arange(len(h) - SPAN + 1)
+            starts.append(n + at)
+            places.append(np.full(len(at), len(self.items)))
+            ats.append(at)
+            parts += [h, np.zeros(STEPS, np.uint64)]
+            n += len(h) + STEPS
             self.items.append((item_id, h, np.unique(h)))
-            for at in sorted({0, len(h) // 2}):
-                t = max((t for t in STEPS if t <= len(h) - at), default=None)
-                if t is not None:
-                    padded = np.concatenate((h[at:], np.zeros(max(STEPS) + 1, np.uint64)))
-                    keys = alone[t].keys(padded, np.zeros(1, np.int64))[:, 0]
-                    found[t] += [(int(k), place, at) for k in keys]
-        self.lengths = tuple(t for t in STEPS if found[t])
-        self.walks = Walks(samples, self.lengths)
-        self.keys, self.at, self.bitmap = {}, {}, {}
-        for t in self.lengths:
-            rows = sorted(found[t])
-            self.keys[t] = np.array([r[0] for r in rows], np.uint64)
-            self.at[t] = np.array([r[1:] for r in rows], np.int64)
-            self.bitmap[t] = np.zeros(1 << 20, bool)
-            self.bitmap[t][self.keys[t] >> np.uint64(44)] = True
-
-    def candidates(self, h: np.ndarray) -> np.ndarray:
-        """``start, item`` of the passages to compare, without repeats: where the item would start if
-        no word were missing or added, by every key in common."""
+        self.walks, self.table = Walks(), None
+        if starts:
+            h, start = np.concatenate(parts), np.concatenate(starts)
+            slot, which = np.nonzero(self.walks.spans(h, start) >= SPAN)  # the others are too common
+            self.table = Table(self.walks.keys(h, start)[slot, which], np.concatenate(places)[which], np.concatenate(ats)[which])
+
+    def candidates(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """``row, start, item`` of the passages to compare, without repeats: where the item would start
+        if no word were missing or added, by every key in common. That may be before the row."""
         n, got = len(h), []
-        if not n or not self.lengths:
-            return np.zeros((0, 2), np.int64)
-        padded = np.concatenate((h, np.zeros(max(STEPS) + 1, np.uint64)))
+        if not n or self.table is None:
+            return np.zeros((0, 3), np.int64)
+        padded = np.concatenate((h, np.zeros(STEPS, np.uint64)))
+        before = int(self.table.at.max())
         for lo in range(0, n, BLOCK):
             hi = min(n, lo + BLOCK)
-            rows = self.walks.keys(padded[lo:hi + max(STEPS) + 1], np.arange(hi - lo))
-            for t in self.lengths:
-                bitmap, known = self.bitmap[t], self.keys[t]
-                for slot in self.walks.of[t]:
-                    where = np.flatnonzero(bitmap[rows[slot] >> np.uint64(44)])
-                    hit = rows[slot][where]
-                    first = np.searchsorted(known, hit, "left")
-                    count = np.searchsorted(known, hit, "right") - first
-                    if count.any():
-                        which = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                        place, at = self.at[t][which].T
-                        got.append((np.repeat(where + lo, count) - at) * len(self.items) + place)
+            for keys in self.walks.keys(padded[lo:hi + STEPS], np.arange(hi - lo)):
+                where, place, at = self.table.look(keys)
+                if len(where):
+                    where += lo
+                    got.append((row[where] * (n + before) + where - at + before) * len(self.items) + place)
         if not got:
-            return np.zeros((0, 2), np.int64)
-        return np.column_stack(np.divmod(np.unique(np.concatenate(got)), len(self.items)))
+            return np.zeros((0, 3), np.int64)
+        start, place = np.divmod(np.unique(np.concatenate(got)), len(self.items))
+        r, start = np.divmod(start, n + before)
+        return np.column_stack((r, start - before, place))
 
     def likely(self, h: np.ndarray, found: np.ndarray) -> np.ndarray:
         """The candidates around which enough words are words of the item; the others are too far away
         for sure, as every word of the item but those edited stands there."""
         keep = np.zeros(len(found), bool)
-        order = np.argsort(found[:, 1], kind="stable")
-        cuts = np.flatnonzero(np.diff(found[order, 1], prepend=-1))
+        order = np.argsort(found[:, 2], kind="stable")
+        cuts = np.flatnonzero(np.diff(found[order, 2], prepend=-1))
         for part in np.split(order, cuts[1:]) if len(order) else ():
-            _, words, vocabulary = self.items[found[part[0], 1]]
+            _, words, vocabulary = self.items[found[part[0], 2]]
             edits = int(MOST_EDITS * len(words))
             window = np.arange(-edits - 1, len(words) + edits + 1)
             for lo in range(0, len(part), 20_000):
                 some = part[lo:lo + 20_000]
-                near = h[np.clip(found[some, 0][:, None] + window, 0, len(h) - 1)]
+                near = h[np.clip(found[some, 1][:, None] + window, 0, len(h) - 1)]
                 at = np.minimum(np.searchsorted(vocabulary, near), len(vocabulary) - 1)
                 keep[some] = (vocabulary[at] == near).sum(1) >= len(words) - edits
         return found[keep]
@@ -194,25 +205,25 @@ def _hits(batch: pa.RecordBatch, index: Index) -> list[list[dict]]:
     h = hash_words(low, start, end)
     first = np.searchsorted(row, np.arange(batch.num_rows + 1))
     out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-    done: dict[tuple, list[int]] = {}
-    for begin, place in index.likely(h, index.candidates(h)):
+    last: dict[tuple, int] = {}
+    found, lead = index.likely(h, index.candidates(h, row)), None
+    for r, begin, place in found.tolist():
         item_id, words, _ = index.items[place]
         edits = int(MOST_EDITS * len(words))
-        # A start before the row's first word may be that of a passage that lost words.
-        r = int(row[min(max(begin, 0) + edits, len(h) - 1)]) if begin < 0 else int(row[begin])
-        for r in {r, min(r + 1, batch.num_rows - 1)} if begin + edits >= first[r + 1] else {r}:
-            near = done.setdefault((r, place), [])
-            if any(abs(begin - x) <= edits for x in near):  # part of a passage that was found
-                continue
-            lo, hi = max(begin - edits - 1, first[r]), min(begin + len(words) + edits + 1, first[r + 1])
-            best = passage_distance(words.tolist(), h[lo:hi].tolist(), edits) if hi > lo else None
-            if best is None:
-                continue
-            stop = lo + best[1]  # the passage ends here and is about as long as the item
-            lo = max(lo, stop - len(words))
-            near.append(begin)
-            chars = lambda b: len(data[bounds[r]:b].tobytes().decode())
-            out[r].append({"item_id": item_id, "start": chars(start[lo]), "end": chars(end[stop - 1]), "distance": best[0]})
+        done = last.get((r, place), first[r])
+        if begin + edits < done:  # starts inside a passage that was found
+            continue
+        lo, hi = max(begin - edits - 1, done), min(begin + len(words) + edits + 1, first[r + 1])
+        best = passage_distance(words.tolist(), h[lo:hi].tolist(), edits) if hi > lo else None
+        if best is None:
+            continue
+        stop = lo + best[1]  # the passage ends here and is about as long as the item
+        lo = max(lo, stop - len(words))
+        last[r, place] = stop
+        if lead is None:  # code points before each byte
+            lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        out[r].append({"item_id": item_id, "start": int(lead[start[lo]] - lead[bounds[r]]),
+                       "end": int(lead[end[stop - 1]] - lead[bounds[r]]), "distance": best[0]})
     return out
 
 

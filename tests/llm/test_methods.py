@@ -137,6 +137,27 @@ def test_decontamination_recall_on_edited_passages(spark):
     assert all(set(v) <= ({i} if i in due else set()) for i, v in got.items())
 
 
+def test_decontamination_recall_on_truncated_and_clustered_edits(spark):
+    rng = random.Random(11)
+    plain = lambda s: re.findall(r"[a-z0-9\x80-\U0010ffff]+", s.translate(LOWER))
+    items = [plain(r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").collect()]
+    spare, docs, tails = [f"n{i}q" for i in range(2000)], [], []
+    for w in items:  # the first words cut off, one run replaced in the middle or anywhere
+        edits = int(0.2 * len(w))
+        rest = w[edits // 2:]
+        run = edits - edits // 2
+        at = (len(rest) - run) // 2 if len(docs) % 2 else rng.randrange(len(rest) - run + 1)
+        passage = rest[:at] + rng.sample(spare, run) + rest[at + run:]
+        docs.append(" ".join(rng.sample(spare, 40) + passage + rng.sample(spare, 40)))
+        tails += [("", None), (" ".join(passage + rng.sample(spare, 40)), len(docs) - 1)]  # starts a text, after an empty one
+    rows = [(i, t) for i, t in enumerate(docs)] + [(1000 + i, t) for i, (t, _) in enumerate(tails)]
+    due = [(i, i) for i in range(len(docs))] + [(1000 + i, k) for i, (_, k) in enumerate(tails) if k is not None]
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), b).collect()}
+    assert sum(i in got[d].item_ids for d, i in due) >= 0.99 * len(due)
+    assert all(got[d].n_hits <= 1 for d, _ in due)
+
+
 def test_edit_distance_is_exact():
     rng = random.Random(2)
     for _ in range(200):
