@@ -7,21 +7,23 @@ seen, in either class). Expressions that are rare in both classes keep no counts
 the shared counts alone speak for them. The log-likelihood ratio of a text is normalised by length: over the whole
 text, and over its most toxic runs of ``WINDOWS`` words. A logistic fit turns both into a score.
 
-Counts come from all labelled rows outside the held-out fold. Words and kept bigrams are hashed to a
-fixed number of slots, so the model that tasks receive has the same bounded size for any corpus.
+Counts come from all labelled rows outside the held-out fold, one per word and bigram; words are told
+apart by hashes of 64 bits. The model is a table of log-likelihood ratios, of bigrams and of words, as
+large as the corpus makes it. It lies in sorted files of bounded size, and tasks look their words up in
+one file after the other.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.store import hinted, keep
-from maskloom.llm.text import NOT_PLAIN, byte_view, hash_words, lower_ascii, mix, slices, word_bounds
+from maskloom.llm.store import filesystem, hinted, keep
+from maskloom.llm.text import NOT_PLAIN, _worker_cache, byte_view, hash_words, lower_ascii, mix, slices, word_bounds
 
-WORD_BITS, PAIR_BITS = 19, 20   # slots of the model: 2**bits
 DISCOUNT = 0.75
 CUTOFF = 4                      # words and bigrams seen less often, in both classes, only back off
 WINDOWS = (4, 16)               # lengths of the runs of words whose top ratio counts
@@ -29,127 +31,143 @@ FOLDS, HELD_OUT = 4, 2          # fold: crc32 of the id's text, modulo FOLDS
 PARTS, CALIBRATION = 8, 3       # of the part that calibrates, modulo PARTS; it gives no counts
 FIT_ROWS = 20_000               # labelled rows of the calibration part that the logistic fit reads
 THRESHOLD = 0.3
-FLUSH = 4_000_000               # words counted together inside a task
+FLUSH = 2_000_000               # words counted or looked up together inside a task
+FILES, FILE_ROWS = 8, 2_000_000  # least number of the model's files, most rows of one
+CACHE_ROWS = 6_000_000          # rows of the model that a worker holds
 
 
 def fold(of: int = FOLDS):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
-def _slots(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Word slots of all rows of a batch, one after the other, and the row of each."""
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all rows of a batch, one after the other, and the row of each."""
     data, bounds = byte_view(batch.column("text"))
     data = lower_ascii(data)
     start, end, row = word_bounds(data, bounds, NOT_PLAIN)
-    return (hash_words(data, start, end) >> np.uint64(64 - WORD_BITS)).astype(np.int64), row
+    return hash_words(data, start, end).view(np.int64), row
 
 
-def _contexts(slots: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Slot of the word before each word; 0 at the start of a text."""
-    before = np.concatenate(([0], slots[:-1])) if len(slots) else slots
+def _contexts(words: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Hash of the word before each word; 0 at the start of a text."""
+    before = np.concatenate(([0], words[:-1])) if len(words) else words
     first = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
     return np.where(first, 0, before)
 
 
-def _pair_slot(before: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (mix(((before << WORD_BITS) | slots).astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def _pair_key(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    v, w = before.astype(np.int64).view(np.uint64), words.astype(np.int64).view(np.uint64)
+    return mix(mix(v) * np.uint64(0x9E3779B97F4A7C15) + w).view(np.int64)
 
 
 def count_pairs(labelled: DataFrame) -> DataFrame:
-    """``v, w, t, o``: how often word slot ``w`` follows ``v`` in toxic and ordinary texts."""
+    """``v, w, t, o``: how often word ``w`` follows ``v`` in toxic and ordinary texts."""
     def count(batches):
-        keys, held = [], 0
+        held, n = [], 0
 
         def flush():
-            pair, n = np.unique(np.concatenate(keys), return_counts=True)
+            v, w, toxic = (np.concatenate(x) for x in zip(*held))
+            pair, first, which = np.unique(_pair_key(v, w), return_index=True, return_inverse=True)
+            both = np.bincount(which)
+            t = np.bincount(which, toxic).astype(np.int64)
+            v, w, o = v[first], w[first], both - t
             for i in range(0, len(pair), 200_000):
-                p, c = pair[i:i + 200_000], n[i:i + 200_000]
-                toxic = (p & 1).astype(bool)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(p >> 1), pa.array(np.where(toxic, c, 0)), pa.array(np.where(toxic, 0, c))], ["vw", "t", "o"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 200_000]) for x in (v, w, t, o)], ["v", "w", "t", "o"])
 
         for batch in slices(batches, "text"):
-            slots, row = _slots(batch)
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-            keys.append((((_contexts(slots, row) << WORD_BITS) | slots) << 1) | toxic[row])
-            held += len(slots)
-            if held >= FLUSH:
+            w, row = _words(batch)
+            held.append((_contexts(w, row), w, batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[row]))
+            n += len(w)
+            if n >= FLUSH:
                 yield from flush()
-                keys, held = [], 0
-        if held:
+                held, n = [], 0
+        if n:
             yield from flush()
 
-    pairs = labelled.select("text", "toxic").mapInArrow(count, "vw long, t long, o long")
-    return pairs.groupBy("vw").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).select(
-        F.expr(f"shiftright(vw, {WORD_BITS})").alias("v"), F.expr(f"vw & {(1 << WORD_BITS) - 1}").alias("w"), "t", "o")
+    pairs = labelled.select("text", "toxic").mapInArrow(count, "v long, w long, t long, o long")
+    return pairs.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
-class Model:
-    """Arrays over word slots and pair slots; ``llr`` is all that scoring needs.
+def ratios(pairs: DataFrame) -> DataFrame:
+    """``key, llr``: log of P(word | word before, toxic) / P(word | word before, ordinary) by the key of
+    a bigram, and the same of the word alone by its hash; what is not there has a ratio of 0.
 
-    Words and pairs below the cutoff keep only shared counts. What a context gives to pairs rather
-    than to the backoff is shared by the classes, so a context seen in one class more often than in
-    the other is no evidence by itself.
+    Words and pairs below the cutoff keep only shared counts, so they are not there. What a context
+    gives to pairs rather than to the backoff is shared by the classes, so a context seen in one class
+    more often than in the other is no evidence by itself; without kept pairs in both classes it has none.
     """
+    d = DISCOUNT
+    less = lambda c: F.greatest(F.col(c) - d, F.lit(0.0))
+    words = keep(pairs.groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count("*").alias("cont")), "words")
+    often = F.col("t") + F.col("o") >= CUTOFF
+    total = words.agg(F.sum("t"), F.sum("o"), F.sum("cont"), F.count_if(often & (F.col("t") > 0)), F.count_if(often & (F.col("o") > 0))).first()
+    t, o, cont, kinds_t, kinds_o = (x or 0 for x in total)
+    p = lambda c, n, kinds: less(c) / max(1, n) + d * (kinds + 1) / max(1, n) * F.col("cont") / max(1, cont)
+    llr = lambda x, y: F.log(F.greatest(x, F.lit(1e-12)) / F.greatest(y, F.lit(1e-12))).cast("float").alias("llr")
+    common = keep(words.filter(often).select("w", p("t", t, kinds_t).alias("p_t"), p("o", o, kinds_o).alias("p_o")), "common")
+
+    kept = keep(pairs.filter(often), "kept")
+    masses = keep(kept.groupBy("v").agg(F.sum(less("t")).alias("kept_t"), F.sum(less("o")).alias("kept_o"))
+                  .filter("kept_t > 0 and kept_o > 0"), "masses")
+    held = keep(pairs.join(hinted(masses), "v").groupBy("v").agg(
+        F.any_value("kept_t").alias("kept_t"), F.any_value("kept_o").alias("kept_o"),
+        ((F.any_value("kept_t") + F.any_value("kept_o")) / F.sum(F.col("t") + F.col("o"))).alias("share")), "contexts")
+    given = lambda c: F.least(less(c), F.col(f"kept_{c}")) / F.greatest(F.col(f"kept_{c}"), F.lit(1.0))
+    mixed = lambda c: F.col("share") * given(c) + (1.001 - F.col("share")) * F.col(f"p_{c}")
+    of_pairs = kept.join(hinted(held), "v").join(hinted(common), "w").select("v", "w", llr(mixed("t"), mixed("o")))
+    # The same hash as in tasks, so that pairs meet the keys that scoring looks up.
+    return of_pairs.mapInArrow(_with_key, "key long, llr float").unionByName(common.select(F.col("w").alias("key"), llr(F.col("p_t"), F.col("p_o"))))
+
+
+def _with_key(batches):
+    for b in batches:
+        key = _pair_key(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("v", "w")))
+        yield pa.RecordBatch.from_arrays([pa.array(key), b.column("llr")], ["key", "llr"])
 
-    def __init__(self, words, contexts, pairs):
-        n, d = 1 << WORD_BITS, DISCOUNT
-        continuation = np.zeros(n, np.float32)
-        continuation[words["w"]] = words["cont"]
-        continuation /= max(1.0, float(continuation.sum(dtype=np.float64)))
-        common = np.zeros(n, bool)
-        common[words["w"]] = words["t"] + words["o"] >= CUTOFF
-        kept_all = contexts["kept_t"] + contexts["kept_o"]
-        self.to_pairs = np.zeros(n, np.float32)  # share of a context's mass that its pairs hold
-        self.to_pairs[contexts["v"]] = kept_all / np.maximum(contexts["t"] + contexts["o"], 1)
-        self.word, self.kept, self.pair = [], [], []
-        for c in ("t", "o"):
-            count = np.zeros(n, np.float32)
-            count[words["w"]] = words[c]
-            total = max(1.0, float(count.sum(dtype=np.float64)))
-            backoff = d * float((common & (count > 0)).sum() + 1) / total
-            own = np.maximum(count - d, 0) / np.float32(total) + np.float32(backoff) * continuation
-            self.word.append(np.where(common, own, continuation + np.float32(1e-12)).astype(np.float32))
-            kept = np.zeros(n, np.float32)
-            kept[contexts["v"]] = contexts["kept_" + c]
-            self.kept.append(kept)
-            table = np.zeros(1 << PAIR_BITS, np.float32)
-            table[pairs["p"]] = pairs["kept_" + c]
-            self.pair.append(table)
-
-    def llr(self, slots: np.ndarray, before: np.ndarray) -> np.ndarray:
+
+class Model:
+    """The written ratios: files that are sorted by key, and the first and last key of each."""
+
+    def __init__(self, files: list[tuple[str, int, int]]):
+        self.files = files
+
+    def _load(self, path: str) -> tuple[np.ndarray, np.ndarray]:
+        cache = _worker_cache("toxicity", dict)
+        if path not in cache:
+            files, at = filesystem(path)
+            with files.open_input_file(at) as f:
+                table = pq.read_table(f)
+            found = tuple(table.column(c).to_numpy() for c in ("key", "llr"))
+            if sum(len(x[0]) for x in cache.values()) + len(found[0]) > CACHE_ROWS:
+                cache.clear()
+            cache[path] = found
+        return cache[path]
+
+    def _look(self, keys: np.ndarray) -> np.ndarray:
+        """Ratios by key, NaN where there is none."""
+        keys, back = np.unique(keys, return_inverse=True)
+        out = np.full(len(keys), np.nan, np.float32)
+        for path, first, last in self.files:
+            i, j = np.searchsorted(keys, first, "left"), np.searchsorted(keys, last, "right")
+            if i < j:
+                known, llr = self._load(path)
+                at = np.minimum(np.searchsorted(known, keys[i:j]), len(known) - 1)
+                out[i:j] = np.where(known[at] == keys[i:j], llr[at], np.float32(np.nan))
+        return out[back]
+
+    def llr(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Log of P(word | word before, toxic) / P(word | word before, ordinary)."""
-        place, share = _pair_slot(before, slots), self.to_pairs[before]
-        both = np.minimum(*[k[before] for k in self.kept]) > 0  # else the pairs of one class say nothing
-        logs = []
-        for word, kept, pair in zip(self.word, self.kept, self.pair):
-            held = kept[before]
-            given = np.minimum(pair[place], held) / np.maximum(held, 1)
-            p = np.where(both, share * given + (1.001 - share) * word[slots], word[slots])
-            logs.append(np.log(np.maximum(p, 1e-12)))
-        return logs[0] - logs[1]
+        pair, word = self._look(_pair_key(before, words)), self._look(words)
+        return np.nan_to_num(np.where(np.isnan(pair), word, pair))
 
 
 def train(labelled: DataFrame) -> Model:
-    """Model of ``text, toxic`` rows. Three aggregates, each bounded by its slots, reach the driver."""
-    pairs = keep(count_pairs(labelled), "pairs")
-    often = F.col("t") + F.col("o") >= CUTOFF
-    less = lambda c: F.when(often & (F.col(c) > 0), F.col(c) - DISCOUNT).otherwise(0.0)
-    sums = [F.sum("t").alias("t"), F.sum("o").alias("o")]
-    rest = [F.sum(less("t")).alias("kept_t"), F.sum(less("o")).alias("kept_o")]
-    # The same hash as in tasks, so that pairs meet the slots that scoring looks up.
-    found = pairs.filter(often).select("v", "w", "t", "o").mapInArrow(_with_pair_slot, "p long, t long, o long")
-    words = pairs.groupBy("w").agg(*sums, F.count("*").alias("cont")).toArrow()
-    contexts = pairs.groupBy("v").agg(*sums, *rest).toArrow()
-    often_pairs = found.groupBy("p").agg(F.sum(F.greatest(F.col("t") - DISCOUNT, F.lit(0.0))).alias("kept_t"),
-                                         F.sum(F.greatest(F.col("o") - DISCOUNT, F.lit(0.0))).alias("kept_o")).toArrow()
-    return Model(*[{c: t[c].to_numpy() for c in t.column_names} for t in (words, contexts, often_pairs)])
-
-
-def _with_pair_slot(batches):
-    for b in batches:
-        v, w = b.column("v").to_numpy(), b.column("w").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(_pair_slot(v, w)), b.column("t"), b.column("o")], ["p", "t", "o"])
+    """Model of ``text, toxic`` rows; the driver learns sums, row counts and the bounds of files."""
+    rows = keep(ratios(keep(count_pairs(labelled), "pairs")), "ratios")
+    n = max(FILES, -(-rows.count() // FILE_ROWS))
+    model = keep(rows.repartitionByRange(n, "key").sortWithinPartitions("key"), "model")
+    files = model.groupBy(F.input_file_name().alias("f")).agg(F.min("key").alias("a"), F.max("key").alias("b")).collect()
+    return Model(sorted(((r.f, r.a, r.b) for r in files), key=lambda x: x[1]))
 
 
 def features(docs: DataFrame, model: Model) -> DataFrame:
@@ -158,11 +176,12 @@ def features(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        m = sent.value
-        for batch in slices(batches, "text"):
-            slots, row = _slots(batch)
-            run = np.concatenate(([0.0], np.cumsum(m.llr(slots, _contexts(slots, row)), dtype=np.float64)))
-            n = np.bincount(row, minlength=batch.num_rows)
+        held, words = [], 0
+
+        def flush():
+            ratios = sent.value.llr(*(np.concatenate(x) for x in list(zip(*held))[:2]))
+            run = np.concatenate(([0.0], np.cumsum(ratios, dtype=np.float64)))
+            ids, n = pa.chunked_array([x[2] for x in held]).combine_chunks(), np.concatenate([x[3] for x in held])
             last = np.cumsum(n)
             mean, top = np.zeros(len(n)), np.zeros((len(WINDOWS), len(n)))
             for i in np.flatnonzero(n):
@@ -171,8 +190,18 @@ def features(docs: DataFrame, model: Model) -> DataFrame:
                 for j, size in enumerate(WINDOWS):
                     k = min(size, n[i])
                     top[j, i] = (own[k:] - own[:-k]).max() / size
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(mean), *map(pa.array, top)],
-                                             ["doc_id", "n", "mean", "top_short", "top_long"])
+            return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(mean), *map(pa.array, top)],
+                                              ["doc_id", "n", "mean", "top_short", "top_long"])
+
+        for batch in slices(batches, "text"):
+            w, row = _words(batch)
+            held.append((w, _contexts(w, row), batch.column("doc_id"), np.bincount(row, minlength=batch.num_rows)))
+            words += len(w)
+            if words >= FLUSH:
+                yield flush()
+                held, words = [], 0
+        if held:
+            yield flush()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         score, "doc_id long, n long, mean double, top_short double, top_long double")

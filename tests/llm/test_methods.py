@@ -269,6 +269,69 @@ def test_toxicity_learns_expressions_and_holds_out(spark):
     assert sorted(toxicity.score(d, flipped).collect()) == sorted(got)
 
 
+def brute_ratios(rows):
+    """Log-likelihood ratio of every word of every text, from exact counts."""
+    split = [(re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.translate(LOWER)), y) for t, y in rows]
+    pair = [collections.Counter((v, w) for ws, y in split if y == c for v, w in zip([None, *ws], ws)) for c in (1, 0)]
+    word = [collections.Counter() for _ in pair]
+    for p, n in zip(pair, word):
+        for (_, w), c in p.items():
+            n[w] += c
+    every = {*pair[0], *pair[1]}
+    cont, before = collections.Counter(w for _, w in every), collections.Counter()
+    for v, w in every:
+        before[v] += pair[0][v, w] + pair[1][v, w]
+    common = {w for w in cont if word[0][w] + word[1][w] >= toxicity.CUTOFF}
+    kept = {x for x in every if pair[0][x] + pair[1][x] >= toxicity.CUTOFF}
+    mass = [collections.Counter() for _ in pair]
+    for x in kept:
+        for p, m in zip(pair, mass):
+            m[x[0]] += max(p[x] - 0.75, 0)
+
+    def ratio(v, w):
+        logs = []
+        for p, n, m in zip(pair, word, mass):
+            total, q = n.total(), cont[w] / len(every)
+            if w in common:
+                q = max(n[w] - 0.75, 0) / total + 0.75 * (sum(n[x] > 0 for x in common) + 1) / total * q
+            if min(mass[0][v], mass[1][v]) > 0:
+                share = (mass[0][v] + mass[1][v]) / before[v]
+                own = max(p[v, w] - 0.75, 0) if (v, w) in kept else 0
+                q = share * min(own, m[v]) / max(m[v], 1) + (1.001 - share) * q
+            logs.append(np.log(max(q, 1e-12)))
+        return logs[0] - logs[1]
+
+    known = {x: ratio(*x) for x in every}
+    return [np.array([known[x] for x in zip([None, *ws], ws)]) for ws, _ in split]
+
+
+def test_toxicity_model_counts_every_word_and_pair(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FILE_ROWS", 300, raising=False)  # several files
+    rng = random.Random(12)
+    bad, common = [f"bad{i}" for i in range(6)], [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(250):
+        w = rng.choices(common, range(300, 0, -1), k=60)
+        for _ in range(i % 5 == 0 and 3):
+            at = rng.randrange(len(w))
+            w[at:at] = [rng.choice(common[:9]), rng.choice(bad)]
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(d)
+    due = dict(enumerate(x.mean() for x in brute_ratios([(t, y) for _, t, y in rows])))
+    got = {r.doc_id: r["mean"] for r in toxicity.features(d, model).collect()}
+    assert max(abs(got[i] - due[i]) for i in due) < 1e-5
+
+
+def test_toxicity_model_grows_with_the_words(spark):
+    n = (1 << 17) + (1 << 19)  # more words than the 2^19 slots there once were, each in one class only
+    rows = [(" ".join(f"{'xy'[y]}{i}" for i in range(lo, lo + 4096) for _ in range(4)), y) for y in (0, 1) for lo in range(0, n // 2, 4096)]
+    d = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int").repartition(4)
+    got = {r.doc_id: r for r in toxicity.features(d, toxicity.train(d)).collect()}
+    for i, (_, y) in enumerate(rows):  # every word says the same
+        assert (got[i]["mean"] > 0) == bool(y) and abs(got[i].top_short - got[i]["mean"]) < 0.05 * abs(got[i]["mean"])
+
+
 def test_url_verdicts_match_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
