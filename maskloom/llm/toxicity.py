@@ -7,7 +7,8 @@ seen, in either class). Expressions that are rare in both classes keep no counts
 the shared counts alone speak for them. The log-likelihood ratio of a text is normalised by length: over the whole
 text, and over its most toxic runs of ``WINDOWS`` words. A logistic fit turns both into a score.
 
-Counts come from all labelled rows outside the held-out fold, one per word and bigram; words are told
+The fit sees rows that a first model doesn't count; the model that scores counts all labelled rows
+outside the held-out fold. There is one count per word and bigram; words are told
 apart by hashes of 64 bits. The model is a table of log-likelihood ratios, of bigrams and of words, as
 large as the corpus makes it. It lies in sorted files of bounded size, and tasks look their words up in
 one file after the other.
@@ -28,7 +29,7 @@ DISCOUNT = 0.75
 CUTOFF = 4                      # words and bigrams seen less often, in both classes, only back off
 WINDOWS = (4, 16)               # lengths of the runs of words whose top ratio counts
 FOLDS, HELD_OUT = 4, 2          # fold: crc32 of the id's text, modulo FOLDS
-PARTS, CALIBRATION = 8, 3       # of the part that calibrates, modulo PARTS; it gives no counts
+PARTS, CALIBRATION = 8, 3       # of the part that calibrates, modulo PARTS; the model for the fit doesn't count it
 FIT_ROWS = 20_000               # labelled rows of the calibration part that the logistic fit reads
 THRESHOLD = 0.3
 FLUSH = 2_000_000               # words counted or looked up together inside a task
@@ -61,22 +62,24 @@ def _pair_key(before: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def count_pairs(labelled: DataFrame) -> DataFrame:
-    """``v, w, t, o``: how often word ``w`` follows ``v`` in toxic and ordinary texts."""
+    """``v, w, t, o, ct, co``: how often word ``w`` follows ``v`` in toxic and ordinary texts, and in
+    those that are ``apart``."""
     def count(batches):
         held, n = [], 0
 
         def flush():
-            v, w, toxic = (np.concatenate(x) for x in zip(*held))
+            v, w, toxic, apart = (np.concatenate(x) for x in zip(*held))
             pair, first, which = np.unique(_pair_key(v, w), return_index=True, return_inverse=True)
             both = np.bincount(which)
-            t = np.bincount(which, toxic).astype(np.int64)
-            v, w, o = v[first], w[first], both - t
+            t, ct, both_apart = (np.bincount(which, x).astype(np.int64) for x in (toxic, toxic & apart, apart))
+            columns = dict(v=v[first], w=w[first], t=t, o=both - t, ct=ct, co=both_apart - ct)
             for i in range(0, len(pair), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 200_000]) for x in (v, w, t, o)], ["v", "w", "t", "o"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 200_000]) for x in columns.values()], list(columns))
 
         for batch in slices(batches, "text"):
             w, row = _words(batch)
-            held.append((_contexts(w, row), w, batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[row]))
+            flags = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[row] for c in ("toxic", "apart"))
+            held.append((_contexts(w, row), w, *flags))
             n += len(w)
             if n >= FLUSH:
                 yield from flush()
@@ -84,8 +87,8 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
         if n:
             yield from flush()
 
-    pairs = labelled.select("text", "toxic").mapInArrow(count, "v long, w long, t long, o long")
-    return pairs.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    pairs = labelled.select("text", "toxic", "apart").mapInArrow(count, "v long, w long, t long, o long, ct long, co long")
+    return pairs.groupBy("v", "w").agg(*[F.sum(c).alias(c) for c in ("t", "o", "ct", "co")])
 
 
 def ratios(pairs: DataFrame) -> DataFrame:
@@ -162,8 +165,13 @@ class Model:
 
 
 def train(labelled: DataFrame) -> Model:
-    """Model of ``text, toxic`` rows; the driver learns sums, row counts and the bounds of files."""
-    rows = keep(ratios(keep(count_pairs(labelled), "pairs")), "ratios")
+    """Model of ``text, toxic`` rows."""
+    return written(keep(count_pairs(labelled.withColumn("apart", F.lit(False))), "pairs"))
+
+
+def written(pairs: DataFrame) -> Model:
+    """Model of counted pairs; the driver learns sums, row counts and the bounds of files."""
+    rows = keep(ratios(pairs), "ratios")
     n = max(FILES, -(-rows.count() // FILE_ROWS))
     model = keep(rows.repartitionByRange(n, "key").sortWithinPartitions("key"), "model")
     files = model.groupBy(F.input_file_name().alias("f")).agg(F.min("key").alias("a"), F.max("key").alias("b")).collect()
@@ -242,9 +250,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = keep(labels.filter("doc_id is not null and toxic is not null").filter(fold() != HELD_OUT)
                  .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "labels")
     few = hinted(known)
-    model = train(docs.join(few.filter(fold(PARTS) != CALIBRATION), "doc_id"))
-    rows = keep(features(docs, model), "features")
-    part = rows.join(few.filter(fold(PARTS) == CALIBRATION), "doc_id").orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS).toArrow()
+    apart = fold(PARTS) == CALIBRATION
+    pairs = keep(count_pairs(docs.join(few, "doc_id").withColumn("apart", apart)), "pairs")
+    first = written(pairs.select("v", "w", (F.col("t") - F.col("ct")).alias("t"), (F.col("o") - F.col("co")).alias("o")).filter("t + o > 0"))
+    part = features(docs.join(few.filter(apart), "doc_id"), first)
+    part = part.join(few, "doc_id").orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS).toArrow()
+    rows = features(docs, written(pairs))
     y = part["toxic"].to_numpy().astype(float)
     w = fit_logistic(_design(part), y) if len(y) else PRIOR
     terms = (F.lit(1.0), F.col("top_short"), F.col("top_long"), F.col("mean") * F.sqrt("n") / 10, F.log1p("n") / 10)

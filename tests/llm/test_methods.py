@@ -332,6 +332,21 @@ def test_toxicity_model_grows_with_the_words(spark):
         assert (got[i]["mean"] > 0) == bool(y) and abs(got[i].top_short - got[i]["mean"]) < 0.05 * abs(got[i]["mean"])
 
 
+def test_toxicity_counts_the_rows_of_the_fit(spark):
+    rng = random.Random(13)
+    common, docs, labels = [f"w{i}" for i in range(300)], [], []
+    for i in range(1200):
+        part, toxic = zlib.crc32(str(i).encode()), int(rng.random() < 0.3)
+        w = rng.choices(common, k=60)
+        for _ in range(4 * toxic):  # one expression in the rows of the fit, and in the held-out fold; another elsewhere
+            w.insert(rng.randrange(len(w)), "foul" if part % 8 == 3 or part % 4 == 2 else "bad")
+        docs.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(d, l).filter("held_out").collect()}
+    assert min(got[i].top_short for i, toxic in labels if toxic and i in got) > 0.7
+
+
 def test_url_verdicts_match_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
