@@ -69,6 +69,7 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
 
         def flush():
             v, w, toxic, apart = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             pair, first, which = np.unique(_pair_key(v, w), return_index=True, return_inverse=True)
             both = np.bincount(which)
             t, ct, both_apart = (np.bincount(which, x).astype(np.int64) for x in (toxic, toxic & apart, apart))
@@ -78,12 +79,12 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
 
         for batch in slices(batches, "text"):
             w, row = _words(batch)
-            flags = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[row] for c in ("toxic", "apart"))
+            flags = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int8)[row] for c in ("toxic", "apart"))
             held.append((_contexts(w, row), w, *flags))
             n += len(w)
             if n >= FLUSH:
                 yield from flush()
-                held, n = [], 0
+                n = 0
         if n:
             yield from flush()
 
