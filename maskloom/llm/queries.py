@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from maskloom.llm import decontaminate, near_dups, packing, pii, quality, secrets, token_files, toxicity, urls, warc
+from maskloom.llm import (alignment, decontaminate, languages, near_dups, packing, pii, quality, ranking, secrets, token_files,
+                          toxicity, urls, warc)
 from maskloom.llm.store import shared_folder
 
 SURROGATE_KEY = b"of this corpus release"  # a deployment passes its own
@@ -108,4 +109,20 @@ def op10(spark, sf):
     return d.select("doc_id", "text", F.size("replacements").cast("long").alias("n_entities"), "replacements")
 
 
+@query("op11_crf_languages")
+def op11(spark, sf):
+    return languages.identify(table(spark, sf, "documents")).drop("runs")
+
+
+@query("op12_pair_bitmaps")
+def op12(spark, sf):
+    return alignment.align(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_hybrid_ranking", sql=ranking.sql_twin())
+def op13(spark, sf):
+    return ranking.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 query("pipeline", sql=corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from maskloom.llm import decontaminate, near_dups, packing, pii, quality, secrets, token_files, toxicity, urls, warc
+from maskloom.llm import (alignment, decontaminate, languages, near_dups, packing, pii, quality, ranking, secrets, token_files,
+                          toxicity, urls, warc)
 from maskloom.llm.store import shared_folder
 
 PROSE = " ".join(f"w{i % 97}x{i % 89}" for i in range(120))
@@ -42,6 +43,9 @@ OPERATORS = {
     "toxicity": lambda s, d, b, l: toxicity.score(d, l),
     "quality": lambda s, d, b, l: quality.judge(d),
     "token_files": lambda s, d, b, l: token_files.round_trip(d, shared_folder(s, "t"), public_tokenizers.path("byte_bpe_50k.json"), tasks=3),
+    "languages": lambda s, d, b, l: languages.identify(d),
+    "alignment": lambda s, d, b, l: alignment.align(d, public_tokenizers.path("byte_bpe_50k.json"),
+                                                    public_tokenizers.path("piece_bpe_32k.model")),
     "pii": lambda s, d, b, l: pii.replaced(d, b"k"),
 }
 
@@ -111,3 +115,24 @@ def test_warc_edges(spark):
     one = warc.fetch(spark, folder, spark.createDataFrame([("urn:x-page:9",), ("urn:x-page:1",)], "record_id string")).collect()
     assert {r.page_id: r.payload_bytes for r in one} == {9: 700_000, 1: 9}
     assert warc.archive(d.limit(0), shared_folder(spark, "warc")).collect() == []
+
+
+def test_ranking_edges(spark, docs, bench):
+    got = ranking.search(docs, bench, k=3).collect()
+    # Each item row with terms ranks on its own: item 1 twice, a null id, and one whose terms no document holds.
+    assert [(r.rank, r.doc_id) for r in got if r.item_id == 1] == [(1, 6)] * 2
+    assert [(r.rank, r.doc_id) for r in got if r.item_id is None] == [(1, 6)]
+    assert {r.item_id for r in got} == {1, None}
+    assert ranking.search(docs.limit(0), bench).collect() == [] and ranking.search(docs, bench.limit(0)).collect() == []
+    assert ranking.search(docs.limit(0), bench.limit(0)).columns == ["item_id", "rank", "doc_id", "score"]
+    ties = spark.createDataFrame([(i, "same words") for i in (5, 3, None, 9, 3)] + [(10, "other")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "same same")], "item_id long, text string")
+    assert [(r.rank, r.doc_id) for r in ranking.search(ties, items, 4).orderBy("rank").collect()] == [(1, None), (2, 3), (3, 3), (4, 5)]
+
+
+def test_languages_edges(spark, docs):
+    got = {r.doc_id: r for r in languages.identify(docs).collect()}
+    assert all(got[i].lang_pred == "und" and got[i].score == 0.0 and not got[i].runs for i in (2, 3, 8))
+    assert got[9].lang_pred == "ja" and got[None].held_out is False
+    nothing = spark.createDataFrame([(1, "text", None), (2, None, "en")], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in languages.identify(nothing).collect()} == {("und", 0.0)}
