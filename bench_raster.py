@@ -16,6 +16,9 @@ from maskloom.operators import components as C
 from maskloom.operators import labellers as B
 from maskloom.operators import neighbourhood as N
 from maskloom.operators import statistics as ST
+from maskloom.operators import tile_labellers as TL
+from maskloom.operators import tilearrays as A
+from maskloom.schemas import BANDS
 from maskloom.session import scratch
 
 
@@ -39,6 +42,9 @@ def main(argv):
     path = scratch(spark, "frames")
     frames(spark, n, side).repartition(32, "scene_id").sortWithinPartitions("scene_id", "y", "x").write.parquet(path)
     px = spark.read.parquet(path)
+    stored = scratch(spark, "tiles")
+    A.write_tiles(A.pack(px, BANDS), stored)
+    tiles = A.read_tiles(spark, stored)
     mask = px.withColumn("m", (F.col("nir") < 120).cast("int")).drop("r", "g", "b", "th", "nir")
     jobs = {
         "histogram": lambda: ST.histogram(ST.band_long(px, ("th", "nir")), ["scene_id", "band"], "v"),
@@ -49,6 +55,9 @@ def main(argv):
         "fill_holes": lambda: C.fill_holes(mask, "m", "m"),
         "nir_threshold": lambda: B.nir_threshold(px),
         "spectral_fusion": lambda: B.spectral_fusion(px),
+        "tiles_nir_threshold": lambda: TL.nir_threshold(tiles),
+        "tiles_thermal_otsu": lambda: TL.thermal_otsu(tiles),
+        "tiles_spectral_fusion": lambda: TL.spectral_fusion(tiles, B.FusionParams()),
     }
     out = {}
     for name, job in jobs.items():

@@ -13,7 +13,10 @@ from maskloom.operators import components as C
 from maskloom.operators import neighbourhood as N
 from maskloom.operators import raster as R
 from maskloom.operators import statistics as ST
+from maskloom.operators import tilearrays as TA
 from maskloom.operators.tiles import filter_tiles
+from maskloom.session import scratch
+from maskloom.sources.scenes import read_pixels, write_pixels
 
 BANDS = ("r", "g", "b", "th", "nir")
 AT = ["scene_id", "y", "x"]
@@ -47,6 +50,15 @@ def s2(spark, sf):
     return R.complete_bands(p).select(*AT, *BANDS)
 
 
+@check("s2_stored_frames", uses="px", sql="SELECT scene_id, h, w, y, x, r, g, b, th, nir FROM px")
+def s2_stored(spark, sf):
+    """Frames written as pixels, read, written as tile arrays, read."""
+    rows, tiles = scratch(spark, "pixels"), scratch(spark, "tiles")
+    write_pixels(D.px(spark, sf), rows)
+    TA.write_tiles(TA.pack(read_pixels(spark, rows), BANDS, tile=4), tiles)
+    return TA.unpack(TA.read_tiles(spark, tiles), dict.fromkeys(BANDS, "int"), tile=4)
+
+
 @check("n1_stretch", uses="px", sql=f""", {LONG},
 p AS (SELECT scene_id, band, quantile_cont(v::DOUBLE, 0.02) AS lo, quantile_cont(v::DOUBLE, 0.98) AS hi
   FROM long GROUP BY 1, 2)

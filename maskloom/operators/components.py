@@ -18,7 +18,7 @@ from maskloom.operators.tiles import SCENE, TILE, filter_tiles, with_frame_size
 from maskloom.session import durable
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest node reachable from each of ``n`` nodes over edges ``a - b``."""
     parent = np.arange(n)
     while True:
@@ -52,7 +52,7 @@ def _label_tile(rows: pa.Table, steps: list[tuple[int, int]]) -> pa.Table:
         hit = hit[v[hit] == v[other[hit]]]
         tails.append(hit)
         heads.append(other[hit])
-    root = _roots(len(y), np.concatenate(tails), np.concatenate(heads))
+    root = roots(len(y), np.concatenate(tails), np.concatenate(heads))
     area = np.bincount(root, minlength=len(y))
     flagged = np.zeros(len(y), np.int64)
     np.maximum.at(flagged, root, flag.astype(np.int64))
@@ -67,7 +67,7 @@ def _label_tile(rows: pa.Table, steps: list[tuple[int, int]]) -> pa.Table:
 STEPS = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, -1), (1, 0), (1, 1)]}
 
 
-def _star_components(edges: DataFrame, keys) -> DataFrame:
+def star_components(edges: DataFrame, keys) -> DataFrame:
     """``keys, node, comp`` with ``comp`` the smallest node of each component of ``a - b`` edges."""
     cur = durable(edges.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                   .filter("u <> v").distinct())
@@ -112,12 +112,8 @@ def components(df: DataFrame, value: str = "m", connectivity: int = 8, keys=SCEN
     return cells.select(*out, *[F.when(known, F.col(c)).alias(c) for c in ("comp", "area", "flagged")])
 
 
-def _stitch(cells: DataFrame, steps, keys, tile: int) -> DataFrame:
-    """Merge the labels of neighbouring tiles. Joins run on ``(keys, tile, label)``, never on a
-    whole region, so a region that covers a third of all pixels stays spread over its tiles."""
-    here = [*keys, "_ty", "_tx", "comp"]
-    rim = cells.filter(F.expr(
-        f"_v >= 0 and (y % {tile} in (0, {tile - 1}) or x % {tile} in (0, {tile - 1}))"))
+def rim_edges(rim: DataFrame, steps, keys, tile: int) -> DataFrame:
+    """``a, b``: labels of equal value that touch across a tile border, from the pixels along borders."""
     ahead = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
                                 for dy, dx in steps]))
     reach = rim.withColumn("_s", ahead).select(
@@ -126,7 +122,16 @@ def _stitch(cells: DataFrame, steps, keys, tile: int) -> DataFrame:
         F.expr(f"(y div {tile}) <> _ty or (x div {tile}) <> _tx"))
     edges = reach.drop("_ty", "_tx").join(
         rim.select(*keys, "y", "x", "_v", F.col("comp").alias("b")), [*keys, "y", "x", "_v"])
-    stars = _star_components(edges.select(*keys, "a", "b").distinct(), keys)
+    return edges.select(*keys, "a", "b").distinct()
+
+
+def _stitch(cells: DataFrame, steps, keys, tile: int) -> DataFrame:
+    """Merge the labels of neighbouring tiles. Joins run on ``(keys, tile, label)``, never on a
+    whole region, so a region that covers a third of all pixels stays spread over its tiles."""
+    here = [*keys, "_ty", "_tx", "comp"]
+    rim = cells.filter(F.expr(
+        f"_v >= 0 and (y % {tile} in (0, {tile - 1}) or x % {tile} in (0, {tile - 1}))"))
+    stars = star_components(rim_edges(rim, steps, keys, tile), keys)
     parts = cells.filter("_v >= 0").groupBy(*here).agg(
         F.max("area").alias("area"), F.max("flagged").alias("flagged"))
     root = F.coalesce("_c", "comp")

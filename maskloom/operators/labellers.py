@@ -13,13 +13,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.functions.scalars import clip, grey, ndwi, sigmoid
-from maskloom.operators.components import drop_small, fill_holes
+from maskloom.functions.scalars import clip, grey, ndwi
+from maskloom.operators import tile_labellers as TL
+from maskloom.operators.components import fill_holes
 from maskloom.operators.neighbourhood import (
-    blur, box_sum, ellipse_close, ellipse_open, gauss, gauss_radius, sobel_length, spread, square_filter)
+    box_sum, ellipse_close, ellipse_open, gauss, gauss_radius, sobel_length, spread)
 from maskloom.operators.raster import between
 from maskloom.operators.statistics import band_long, exact_percentiles, histogram, otsu
+from maskloom.operators.tilearrays import pack, unpack
 from maskloom.operators.tiles import SCENE, TILE, count_tiles, filter_tiles, join_scene_stats
+from maskloom.schemas import BANDS
+from maskloom.session import durable
 
 # Digits kept of a float map before its percentiles are taken: two on the 0..255 scale, four for
 # ratios. Far below one sensor count, and a frame then has few distinct values to count.
@@ -41,6 +45,21 @@ class FusionParams:
     horizon: bool = True
     min_area_frac: float = 0.003
     thresh: float = 0.5
+    flat_ndwi: float = 0.55
+    flat_from: float = 0.55
+    flat_soft: float = 0.25
+    flat_texture: float = 0.30
+    flat_thermal: float = 0.15
+    snow_level: float = 0.78
+    snow_spread: float = 0.10
+    snow_share: float = 0.12
+    shiny_level: float = 0.75
+    shiny_prob: float = 0.85
+
+
+def packed(px: DataFrame, bands, keys=SCENE, tile: int = TILE) -> DataFrame:
+    """Tile arrays of a pixel table, written once: labellers read them more than once."""
+    return durable(pack(px, bands, keys, tile))
 
 
 def _bounds(counts: DataFrame, bands, keys) -> DataFrame:
@@ -94,64 +113,17 @@ def fusion_probability(px: DataFrame, params: FusionParams = FusionParams(), key
                        tile: int = TILE) -> DataFrame:
     """Water probability of every pixel: ``prob``, and the 0/1 guards ``snow`` and ``spec``.
 
-    The blurred thermal cue enters linearly, so everything else is folded into an offset and a
-    slope first and only those two numbers travel through the last filter.
+    Frames run as tile arrays (``tile_labellers``); this is their form as pixel rows.
     """
-    p = params
-
-    def cues(planes):
-        return {"th_g": gauss(sobel_length(planes["th"]), 2), "tex": gauss(spread(planes["grey"], 7), 2)}
-
-    src = px.select(*keys, "h", "w", "y", "x", "r", "g", "b", "th", "nir", grey().alias("grey"))
-    halo = 3 + gauss_radius(2)
-    maps = _bounds(count_tiles(src, cues, ["th", "grey"], {"th_g": COUNTS, "tex": COUNTS}, halo, keys,
-                               tile, mirror=True), ("th_g", "tex"), keys)
-    d = filter_tiles(src, cues, ["th", "grey"], {"th_g": "double", "tex": "double"}, halo, keys, tile,
-                     mirror=True, drop=("th", "grey"))
-    d = join_scene_stats(d, frame_statistics(px, keys).join(maps, list(keys)), keys, tile)
-
-    nir_n = _scaled("nir", F.col("nir"))
-    s_ndwi = clip((clip((ndwi() + 1) / 2) - F.col("ndwi_cut")) / 0.15 + 0.5)
-    s_tex = 1 - _scaled("tex", F.col("tex"))
-    total = p.w_ndwi + p.w_texture + p.w_thermal + 1e-6
-    reliable = F.col("nir_range") > 12
-    gate = sigmoid((p.nir_gate - nir_n) / p.nir_gate_soft)
-    offset = F.when(reliable, gate * (p.base + (1 - p.base) * (
-        p.w_ndwi * s_ndwi + p.w_texture * s_tex) / total)).otherwise(
-        0.55 * clip((s_ndwi - 0.55) / 0.25) + 0.30 * s_tex)
-    slope = F.when(reliable, gate * ((1 - p.base) * p.w_thermal / total)).otherwise(0.15)
-    mx, mn = F.greatest("r", "g", "b"), F.least("r", "g", "b")
-    snow = (mx / 255.0 > 0.78) & ((mx - mn) / (mx + F.lit(1e-6)) < 0.10)
-    guard = F.when(snow & F.lit(p.snow_guard), 0.12).otherwise(1.0)
-    shiny = (mx / 255.0 > 0.75) & (F.col("b") >= F.col("r")) & (nir_n < 0.5) & reliable
-    sky = F.coalesce((F.col("horizon_row") > 5) & (F.col("y") < F.col("horizon_row")), F.lit(False))
-    d = d.select(*keys, "h", "w", "y", "x", (1 - _scaled("th_g", F.col("th_g"))).alias("cool"),
-                 (guard * offset).alias("offset"), (guard * slope).alias("slope"),
-                 snow.cast("int").alias("snow"), shiny.cast("int").alias("shiny"), sky.alias("sky"))
-    d = blur(d, "cool", "cool", 3, keys, tile)
-    prob = F.col("offset") + F.col("slope") * F.col("cool")
-    d = d.select(*keys, "h", "w", "y", "x", prob.alias("prob"), "snow", "shiny", "sky")
-    spec = F.lit(0)
-    if p.specular:
-        d = square_filter(d.withColumn("_near", (F.col("prob") > 0.5).cast("int")), "_near", "_near", 25,
-                          True, keys, tile)
-        spec = F.col("shiny") * F.col("_near")
-    d = d.withColumn("spec", spec)
-    prob = F.when(F.col("spec") == 1, F.greatest("prob", F.lit(0.85))).otherwise(F.col("prob"))
-    if p.horizon:
-        prob = F.when(F.col("sky"), 0.0).otherwise(prob)
-    return d.select(*keys, "h", "w", "y", "x", F.round(prob, 9).alias("prob"), "snow", "spec")
+    d = TL.fusion_probability(packed(px, BANDS, keys, tile=tile), params, keys, tile)
+    return unpack(d, {"prob": "double", "snow": "int", "spec": "int"}, keys, tile)
 
 
 def spectral_fusion(px: DataFrame, params: FusionParams = FusionParams(), keys=SCENE,
                     tile: int = TILE) -> DataFrame:
     """NIR gate times weighted cues, thresholded, large components kept, filled, opened once."""
-    kw = {"tile": tile}
-    d = fusion_probability(px, params, keys, tile)
-    d = d.withColumn("m", (F.col("prob") >= params.thresh).cast("int"))
-    d = drop_small(d, "m", "m", params.min_area_frac, 8, keys, **kw)
-    d = fill_holes(d, "m", "m", keys, **kw)
-    return ellipse_open(d, "m", "m", 1, keys, tile)
+    d = TL.spectral_fusion(packed(px, BANDS, keys, tile=tile), params, keys, tile)
+    return unpack(d, {"prob": "double", "snow": "int", "spec": "int", "m": "int"}, keys, tile)
 
 
 def fusion_report(labelled: DataFrame, stats: DataFrame, thresh: float = 0.5, keys=SCENE) -> DataFrame:
@@ -187,13 +159,7 @@ MASK_COLUMNS = ("h", "w", "y", "x", "m")
 def nir_threshold(px: DataFrame, threshold: float = 0.25, opens: int = 2, keys=SCENE,
                   tile: int = TILE) -> DataFrame:
     """Water is NIR below a share of the frame's range. A flat frame gives no mask."""
-    size = px.groupBy(*keys).agg(F.max("h").alias("h"), F.max("w").alias("w"),
-                                 F.min("nir").alias("_lo"), F.max("nir").alias("_hi"))
-    d = join_scene_stats(px.select(*keys, "h", "w", "y", "x", "nir"), size.filter("_hi > _lo"), keys,
-                         tile)
-    nn = (F.col("nir") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    d = d.withColumn("m", (nn < threshold).cast("int")).select(*keys, *MASK_COLUMNS)
-    return tidy(d, "m", opens, 1, keys, tile)
+    return unpack(TL.nir_threshold(packed(px, ("nir",), keys, tile=tile), threshold, opens, keys, tile), {"m": "int"}, keys, tile)
 
 
 def flat_nir_scenes(px: DataFrame, keys=SCENE) -> DataFrame:
@@ -204,16 +170,7 @@ def flat_nir_scenes(px: DataFrame, keys=SCENE) -> DataFrame:
 
 def thermal_otsu(px: DataFrame, keys=SCENE, tile: int = TILE) -> DataFrame:
     """Water is below the Otsu cut of both the thermal and the NIR band."""
-    long = band_long(px.select(*keys, "th", "nir"), ("th", "nir"))
-    cuts = otsu(histogram(long, [*keys, "band"], "v"), [*keys, "band"])
-    cuts = cuts.groupBy(*keys).pivot("band", ["th", "nir"]).agg(F.first("cut"))
-    size = px.groupBy(*keys).agg(F.max("h").alias("h"), F.max("w").alias("w"))
-    stats = size.join(cuts.select(*keys, F.col("th").alias("th_cut"), F.col("nir").alias("nir_cut")),
-                      list(keys))
-    d = join_scene_stats(px.select(*keys, "h", "w", "y", "x", "th", "nir"), stats, keys, tile)
-    m = ((F.col("th") < F.col("th_cut")) & (F.col("nir") < F.col("nir_cut"))).cast("int")
-    d = d.withColumn("m", m).select(*keys, *MASK_COLUMNS)
-    return tidy(d, "m", 2, 2, keys, tile)
+    return unpack(TL.thermal_otsu(packed(px, ("th", "nir"), keys, tile=tile), keys, tile), {"m": "int"}, keys, tile)
 
 
 def sibling_frames(scenes: DataFrame, k: int = 6, at_least: int = 3) -> DataFrame:

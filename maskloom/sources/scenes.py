@@ -42,7 +42,7 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 def write_pixels(px: DataFrame, path: str) -> None:
     """Pixels in reading order, clustered by scene: scans of one scene or region prune row groups."""
-    px.repartitionByRange("scene_id", "y").sortWithinPartitions("scene_id", "y", "x").write.mode(
+    px.select(*[F.col(f.name).cast(f.dataType) for f in PIXELS]).repartitionByRange("scene_id", "y").sortWithinPartitions("scene_id", "y", "x").write.mode(
         "overwrite").parquet(path)
 
 
