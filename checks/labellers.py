@@ -154,7 +154,7 @@ BG = f"""{SIBLINGS}, bg AS MATERIALIZED (SELECT sib.scene_id, y, x, quantile_con
 
 @check("a33_median_background", uses="px scene_dim", sql=f", {BG} SELECT * FROM bg")
 def a33(spark, sf):
-    return B.background(D.px(spark, sf), B.sibling_frames(views(spark, sf)))
+    return B.background(D.px(spark, sf), views(spark, sf))
 
 
 @check("n15_change", uses="px scene_dim", recursive=True, sql=f""", {BG}, {GREY},
@@ -167,7 +167,42 @@ z0 AS MATERIALIZED (SELECT scene_id, y, x, (round(0.5::DOUBLE * {U('dr', 'dp.lo'
   FROM d JOIN tx USING (scene_id, y, x) JOIN dp USING (scene_id) JOIN rp USING (scene_id) JOIN xp USING (scene_id)),
 {cleaned('z0', 1, 1, 'z3')}, {S.fill('z4', 'z3')} SELECT scene_id, y, x, m FROM z4""")
 def n15(spark, sf):
-    return B.change_labeller(D.px(spark, sf), B.sibling_frames(views(spark, sf)), 0.3).select(*AT, "m")
+    return B.change_labeller(D.px(spark, sf), views(spark, sf), 0.3).select(*AT, "m")
+
+
+TWO_SIZES = f"""{SIBLINGS}, fr AS (SELECT DISTINCT scene_id, CASE WHEN scene_id % 5 = 0 THEN 6 ELSE 8 END AS h, 8 - scene_id % 3 AS w FROM px),
+cutpx AS MATERIALIZED (SELECT px.scene_id, y, x, nir::DOUBLE AS nir, g::DOUBLE AS g FROM px JOIN fr USING (scene_id) WHERE y < fr.h AND x < fr.w),
+ends AS (SELECT s.scene_id, ref_id, c.y, c.x, r.h AS rh, r.w AS rw,
+    greatest(0.0, least(r.h - 1.0, (c.y + 0.5::DOUBLE) * r.h / t.h - 0.5)) AS py, greatest(0.0, least(r.w - 1.0, (c.x + 0.5::DOUBLE) * r.w / t.w - 0.5)) AS px
+  FROM sib s JOIN fr t ON t.scene_id = s.scene_id JOIN fr r ON r.scene_id = ref_id JOIN cutpx c ON c.scene_id = s.scene_id),
+four AS (SELECT scene_id, ref_id, y, x, floor(py)::INT AS y0, least(floor(py)::INT + 1, rh - 1) AS y1, floor(px)::INT AS x0,
+    least(floor(px)::INT + 1, rw - 1) AS x1, py - floor(py) AS fy, px - floor(px) AS fx FROM ends),
+one AS (SELECT f.scene_id, f.ref_id, f.y, f.x,
+    (1 - fy) * ((1 - fx) * a.nir + fx * b.nir) + fy * ((1 - fx) * c.nir + fx * d.nir) AS nir,
+    (1 - fy) * ((1 - fx) * a.g + fx * b.g) + fy * ((1 - fx) * c.g + fx * d.g) AS g
+  FROM four f JOIN cutpx a ON a.scene_id = ref_id AND a.y = y0 AND a.x = x0 JOIN cutpx b ON b.scene_id = ref_id AND b.y = y0 AND b.x = x1
+  JOIN cutpx c ON c.scene_id = ref_id AND c.y = y1 AND c.x = x0 JOIN cutpx d ON d.scene_id = ref_id AND d.y = y1 AND d.x = x1)
+SELECT scene_id, y, x, round(quantile_cont(nir, 0.5), 6) AS bg_nir, round(quantile_cont(g, 0.5), 6) AS bg_g FROM one GROUP BY 1, 2, 3"""
+
+
+@check("a33_two_sizes", uses="px scene_dim", sql=f", {TWO_SIZES}")
+def a33_sizes(spark, sf):
+    """Frames of several sizes in a folder: siblings are resampled to each frame's size."""
+    p = D.px(spark, sf).withColumns({"h": F.when(F.col("scene_id") % 5 == 0, 6).otherwise(8),
+                                     "w": (8 - F.col("scene_id") % 3).cast("int")}).filter("y < h and x < w")
+    return B.background(p, views(spark, sf), tile=4).select(*AT, F.round("bg_nir", 6).alias("bg_nir"), F.round("bg_g", 6).alias("bg_g"))
+
+
+@check("j10_labeller_errors", uses="px scene_dim", sql="""
+SELECT scene_id, 'nir' AS labeller, 'flat nir' AS error FROM px GROUP BY 1
+HAVING min(CASE WHEN scene_id % 4 = 0 THEN 7 ELSE nir END) = max(CASE WHEN scene_id % 4 = 0 THEN 7 ELSE nir END)
+UNION ALL SELECT scene_id, 'change', 'few siblings' FROM scene_dim JOIN
+  (SELECT CASE WHEN scene_id % 11 < 9 THEN session ELSE stem END AS parent FROM scene_dim GROUP BY 1 HAVING count(*) < 4) p
+  ON p.parent = CASE WHEN scene_id % 11 < 9 THEN session ELSE stem END""")
+def j10_errors(spark, sf):
+    p = D.px(spark, sf).withColumn("nir", F.when(F.col("scene_id") % 4 == 0, 7).otherwise(F.col("nir")))
+    alone = F.when(F.col("scene_id") % 11 < 9, F.col("parent")).otherwise(F.col("name"))
+    return B.labeller_errors(p, views(spark, sf).withColumn("parent", alone))
 
 
 @check("n16_edge_snap")

@@ -10,6 +10,7 @@ from checks.log import hashed
 from checks.registry import check
 from maskloom.functions.scalars import argmax, entropy, grey, ndwi, softmax
 from maskloom.operators import components as C
+from maskloom.operators import regions as RG
 from maskloom.operators import neighbourhood as N
 from maskloom.operators import raster as R
 from maskloom.operators import statistics as ST
@@ -179,7 +180,7 @@ reach AS (SELECT scene_id, seed, sy AS y, sx AS x FROM seeds
     AND a.seed = c.seed AND abs(a.y - c.y) + abs(a.x - c.x) = 1)
 SELECT scene_id, seed, y::INT AS y, x::INT AS x FROM reach""")
 def n10(spark, sf):
-    return C.grow_from_seeds(D.px(spark, sf).select(*AT, "h", "w", "g"), seeds(D.px(spark, sf)), "g", 25)
+    return RG.grow_from_seeds(D.px(spark, sf).select(*AT, "h", "w", "g"), seeds(D.px(spark, sf)), "g", 25)
 
 
 @check("n10_relabel_region", uses="mask_px", recursive=True, sql=f"""
@@ -194,7 +195,7 @@ reach AS (SELECT scene_id, seed, sy AS y, sx AS x FROM seeds
 SELECT scene_id, seed, y::INT AS y, x::INT AS x FROM reach""")
 def n10b(spark, sf):
     m = masks(spark, sf)
-    return C.same_class_region(m, seeds(m))
+    return RG.same_class_region(m, seeds(m))
 
 
 @check("n11_class_cleanup", uses="mask_px", recursive=True, sql=f"""

@@ -11,6 +11,7 @@ from checks import derived as D
 from checks import registry
 from checks.raster import AT, masks, seeds, waters
 from maskloom.operators import components as C
+from maskloom.operators import regions as RG
 from maskloom.operators import labellers as B
 
 TILE = 4
@@ -43,7 +44,7 @@ def n9(spark, sf):
 @tiled("n10_relabel_region")
 def n10(spark, sf):
     m = masks(spark, sf)
-    return C.same_class_region(m, seeds(m), tile=TILE)
+    return RG.same_class_region(m, seeds(m), tile=TILE)
 
 
 @tiled("n11_class_cleanup")

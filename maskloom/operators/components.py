@@ -1,4 +1,4 @@
-"""Connected components of masks, hole filling, region growing.
+"""Connected components of masks, hole filling.
 
 Two levels. Inside a tile (a bounded number of pixels) labels come from one vectorised pass. Tiles
 are then stitched: only label pairs that touch across a tile border form a graph, and alternating
@@ -169,34 +169,6 @@ def fill_holes(df: DataFrame, value: str, out: str, keys=SCENE, **kw) -> DataFra
     return _without_labels(lab.withColumn(out, solid.cast("int")).drop("_on"))
 
 
-def grow_from_seeds(df: DataFrame, seeds: DataFrame, value: str, tolerance: float, keys=SCENE,
-                    **kw) -> DataFrame:
-    """4-connected region around each seed whose value is within ``tolerance`` of the seed's.
-
-    ``seeds`` has ``keys, seed, y, x``; all seeds run in one job. Returns the region's pixels.
-    """
-    at = seeds.join(df.select(*keys, "y", "x", F.col(value).alias("_t")), [*keys, "y", "x"])
-    cand = df.join(at.select(*keys, "seed", "_t", F.col("y").alias("_sy"), F.col("x").alias("_sx")),
-                   list(keys)).filter(F.abs(F.col(value) - F.col("_t")) <= tolerance)
-    return _region_of_seed(cand.withColumn("_on", F.lit(1)), "_on", keys, kw)
-
-
-def same_class_region(df: DataFrame, seeds: DataFrame, value: str = "cls", keys=SCENE,
-                      **kw) -> DataFrame:
-    """4-connected region of the class under each seed."""
-    at = seeds.join(df.select(*keys, "y", "x", F.col(value).alias("_t")), [*keys, "y", "x"])
-    cand = df.join(at.select(*keys, "seed", "_t", F.col("y").alias("_sy"), F.col("x").alias("_sx")),
-                   list(keys)).filter(F.col(value) == F.col("_t"))
-    return _region_of_seed(cand.withColumn("_on", F.lit(1)), "_on", keys, kw)
-
-
-def _region_of_seed(cand: DataFrame, on: str, keys, kw) -> DataFrame:
-    sk = [*keys, "seed"]
-    home = (F.col("y") == F.col("_sy")) & (F.col("x") == F.col("_sx"))
-    lab = components(cand, on, 4, sk, flag=home, **kw)
-    return lab.filter("flagged = 1").select(*sk, "y", "x")
-
-
 def row_runs(df: DataFrame, value: str = "m", keys=SCENE) -> DataFrame:
     """Runs of set pixels per image row: ``y, x0, x1``. A window holds one row of one frame."""
     w = Window.partitionBy(*keys, "y").orderBy("x")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions.scalars import clip, grey, ndwi
+from maskloom.operators import backgrounds as BG
 from maskloom.operators import tile_labellers as TL
 from maskloom.operators.components import fill_holes
 from maskloom.operators.neighbourhood import (
@@ -143,16 +144,6 @@ def fusion_report(labelled: DataFrame, stats: DataFrame, thresh: float = 0.5, ke
         F.lit("none").alias("refine"))
 
 
-def tidy(d: DataFrame, value: str, opens: int, closes: int, keys=SCENE, tile: int = TILE) -> DataFrame:
-    """Open, fill holes, close: the clean-up the threshold labellers share."""
-    if opens:
-        d = ellipse_open(d, value, value, opens, keys, tile)
-    d = fill_holes(d, value, value, keys, tile=tile)
-    if closes:
-        d = ellipse_close(d, value, value, closes, keys, tile)
-    return d
-
-
 MASK_COLUMNS = ("h", "w", "y", "x", "m")
 
 
@@ -191,45 +182,21 @@ def sibling_frames(scenes: DataFrame, k: int = 6, at_least: int = 3) -> DataFram
                 "scene_id", F.col("_r.id").alias("ref_id")))
 
 
-def background(px: DataFrame, siblings: DataFrame, bands=("nir", "g")) -> DataFrame:
-    """Per-pixel median of each frame's sibling frames. At most ``k`` values per pixel."""
-    refs = px.select(F.col("scene_id").alias("ref_id"), "y", "x", *bands)
-    j = siblings.join(refs, "ref_id")
-    return j.groupBy("scene_id", "y", "x").agg(
-        *[F.percentile(F.col(b).cast("double"), F.lit(0.5)).alias(f"bg_{b}") for b in bands])
+def background(px: DataFrame, scenes: DataFrame, k: int = 6, at_least: int = 3, tile: int = TILE) -> DataFrame:
+    """Per-pixel median of each frame's sibling frames; ``scenes`` has ``scene_id, parent, name``."""
+    d = BG.with_background(packed(px, BG.BACKED, tile=tile), scenes, k, at_least, tile)
+    return unpack(d, {f"bg_{b}": "double" for b in BG.BACKED}, tile=tile).drop("h", "w")
 
 
-def change_score(px: DataFrame, bg: DataFrame, keys=SCENE, tile: int = TILE) -> DataFrame:
-    """NIR drop, NDWI rise and smoothness against the dry background."""
-    d = px.join(bg, [*keys, "y", "x"])
-    d = d.select(*keys, "h", "w", "y", "x", grey().alias("grey"),
-                 F.greatest(F.col("bg_nir") - F.col("nir"), F.lit(0.0)).alias("drop"),
-                 F.greatest(ndwi() - ndwi("bg_g", "bg_nir"), F.lit(0.0)).alias("rise"))
+def change_labeller(px: DataFrame, scenes: DataFrame, cut: float = 0.55, k: int = 6, at_least: int = 3, tile: int = TILE) -> DataFrame:
+    """Pixels that turned dark in NIR and wet in NDWI since the dry background of their view."""
+    d = BG.change_labeller(packed(px, ("r", "g", "b", "nir"), tile=tile), scenes, cut, k, at_least, tile)
+    return unpack(d, {"m": "int"}, tile=tile)
 
-    def smoothness(planes):
-        return {"tex": gauss(sobel_length(planes["grey"]), 2)}
 
-    halo = 1 + gauss_radius(2)
-    counts = (count_tiles(d, smoothness, ["grey"], {"tex": COUNTS}, halo, keys, tile, mirror=True)
-              .unionByName(_counted(d, "drop", F.col("drop"), COUNTS, keys))
-              .unionByName(_counted(d, "rise", F.col("rise"), RATIOS, keys)))
-    size = px.groupBy(*keys).agg(F.max("h").alias("h"), F.max("w").alias("w"))
-    stats = _bounds(counts, ("drop", "rise", "tex"), keys).join(size, list(keys))
-    d = filter_tiles(d, smoothness, ["grey"], {"tex": "double"}, halo, keys, tile, mirror=True,
-                     drop=("grey",))
-    d = join_scene_stats(d, stats, keys, tile)
-    score = (0.5 * _scaled("drop", F.col("drop")) + 0.35 * _scaled("rise", F.col("rise"))
-             + 0.15 * (1 - _scaled("tex", F.col("tex"))))
-    return d.select(*keys, "h", "w", "y", "x", F.round(score, 9).alias("score"))
-
-
-def change_labeller(px: DataFrame, siblings: DataFrame, cut: float = 0.55, keys=SCENE,
-                    tile: int = TILE) -> DataFrame:
-    """Pixels that turned dark in NIR and wet in NDWI since the dry background."""
-    kw = {"tile": tile}
-    d = change_score(px, background(px, siblings), keys, tile)
-    d = d.withColumn("m", (F.col("score") > cut).cast("int")).select(*keys, *MASK_COLUMNS)
-    return fill_holes(tidy(d, "m", 1, 1, keys, **kw), "m", "m", keys, **kw)
+def labeller_errors(px: DataFrame, scenes: DataFrame, at_least: int = 3) -> DataFrame:
+    """``scene_id, labeller, error`` of frames that a labeller cannot decide."""
+    return flat_nir_scenes(px).unionByName(BG.few_siblings(scenes, at_least))
 
 
 def snap_to_edges(px: DataFrame, coarse: DataFrame, radius: int = 8, eps: float = 1e-4,

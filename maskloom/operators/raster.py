@@ -142,20 +142,22 @@ def nearest(df: DataFrame, h: int | Column, w: int | Column) -> DataFrame:
                           "h": h, "w": w}).drop("_y", "_x"))
 
 
-def bilinear(df: DataFrame, value: str, classes: int, h: int, w: int, by) -> DataFrame:
-    """Bilinear resampling of score arrays to ``h`` x ``w``.
+def bilinear(df: DataFrame, value: str, classes: int, h: int | Column, w: int | Column, by) -> DataFrame:
+    """Bilinear resampling of score arrays to ``h`` x ``w`` (numbers or columns).
 
     Every source pixel sends its weight to the target pixels it contributes to; the targets add up.
     """
-    def shares(c: Column, size: Column, n: int) -> Column:
+    h, w = (v if isinstance(v, Column) else F.lit(v) for v in (h, w))
+
+    def shares(c: Column, size: Column, n: Column) -> Column:
         def place(t: Column) -> Column:
             at = F.greatest(F.lit(0.0), F.least((size - 1).cast("double"),
                                                 (t + 0.5) * size / n - 0.5))
             return F.greatest(F.lit(0.0), 1 - F.abs(at - c))
         first = F.greatest(F.lit(0), F.floor((c - 0.5) * n / size - 0.5))
-        last = F.least(F.lit(n - 1), F.ceil((c + 1.5) * n / size - 0.5))
+        last = F.least(n - 1, F.ceil((c + 1.5) * n / size - 0.5))
         low = F.when(c == 0, F.lit(0)).otherwise(first)
-        high = F.when(c == size - 1, F.lit(n - 1)).otherwise(last)
+        high = F.when(c == size - 1, n - 1).otherwise(last)
         cells = F.transform(F.sequence(low, high),
                             lambda t: F.struct(t.cast("int").alias("t"), place(t).alias("k")))
         return F.filter(cells, lambda s: s["k"] > 0)
@@ -165,7 +167,7 @@ def bilinear(df: DataFrame, value: str, classes: int, h: int, w: int, by) -> Dat
     k = F.col("_y.k") * F.col("_x.k")
     s = d.groupBy(*by, F.col("_y.t").alias("y"), F.col("_x.t").alias("x")).agg(
         F.array(*[F.sum(k * F.col(value)[c]) for c in range(classes)]).alias(value))
-    return s.withColumns({"h": F.lit(h), "w": F.lit(w)})
+    return s.withColumns({"h": h, "w": w})
 
 
 def block_mean(px: DataFrame, values, factor: int, keys=SCENE) -> DataFrame:

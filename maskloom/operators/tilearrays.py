@@ -132,7 +132,7 @@ def pack(px: DataFrame, bands, keys=SCENE, tile: int = TILE) -> DataFrame:
 
 
 def unpack(tiles: DataFrame, planes: dict[str, str], keys=SCENE, tile: int = TILE) -> DataFrame:
-    """Pixel rows ``keys, h, w, y, x`` and the named planes with their types, ``int`` or ``double``."""
+    """Pixel rows ``keys, h, w, y, x`` and the named planes with their types: ``int``, ``bigint`` or ``double``."""
     names = [*keys, "h", "w", "y", "x", *planes]
     schema = _schema(tiles, keys) + ", h int, w int, y int, x int" + "".join(f", `{k}` {t}" for k, t in planes.items())
 
@@ -148,7 +148,7 @@ def unpack(tiles: DataFrame, planes: dict[str, str], keys=SCENE, tile: int = TIL
                 out.append(pa.array(np.tile(np.arange(p.x0, p.x1, dtype=np.int32), rows)))
                 for k, t in planes.items():
                     v = unpack_plane(row[k].as_py(), rows, cols).reshape(-1)
-                    out.append(pa.array(v.astype(np.float64 if t == "double" else np.int32)))
+                    out.append(pa.array(v.astype({"double": np.float64, "bigint": np.int64}.get(t, np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names)
 
     return tiles.select(*keys, "h", "w", "ty", "tx", *planes).mapInArrow(run, schema)
@@ -297,16 +297,16 @@ REGIONS = "array<struct<comp:bigint,area:bigint,flagged:boolean,rim:boolean>>"
 RIM = "array<struct<y:int,x:int,_v:bigint,comp:bigint>>"
 
 
-def components(tiles: DataFrame, value: Callable[[Planes], np.ndarray], reads, connectivity: int, keys=SCENE,
+def components(tiles: DataFrame, value: Callable[[Planes, dict], np.ndarray], reads, connectivity: int, keys=SCENE,
                tile: int = TILE, carry=()) -> DataFrame:
-    """Label regions of equal ``value(planes)`` (negative: none) over whole frames.
+    """Label regions of equal ``value(planes, row)`` (negative: none) over whole frames.
 
     Adds ``labels``, a plane of numbers into the array ``regions`` of the tile, which has a region's
     smallest ``y * w + x``, its pixels in the frame, and whether it touches the frame's border. Tiles are
     labelled alone; only pixels along tile borders become rows, whose labels are stitched as a graph.
     """
     def label(planes, p: Place, row):
-        v = np.asarray(value(planes), np.int64)
+        v = np.asarray(value(planes, row), np.int64)
         lab = label_plane(v, connectivity)
         flat = lab.reshape(-1)
         on = np.flatnonzero(flat >= 0)
@@ -360,7 +360,7 @@ def _per_region(row, what) -> np.ndarray:
 
 def drop_small(tiles: DataFrame, value: str, out: str, min_share: float, keys=SCENE, tile: int = TILE, carry=()) -> DataFrame:
     """Keep 8-connected components of at least ``min_share`` of the frame."""
-    lab = components(tiles, lambda p: np.where(p[value] == 1, 1, -1), [value], 8, keys, tile, carry)
+    lab = components(tiles, lambda p, row: np.where(p[value] == 1, 1, -1), [value], 8, keys, tile, carry)
 
     def keep(planes, p: Place, row):
         least = min_share * row["h"] * row["w"]
@@ -371,7 +371,7 @@ def drop_small(tiles: DataFrame, value: str, out: str, min_share: float, keys=SC
 
 def fill_holes(tiles: DataFrame, value: str, out: str, keys=SCENE, tile: int = TILE, carry=()) -> DataFrame:
     """Set background that cannot reach the frame border through 4 neighbours."""
-    lab = components(tiles, lambda p: np.where(p[value] == 0, 1, -1), [value], 4, keys, tile, carry)
+    lab = components(tiles, lambda p, row: np.where(p[value] == 0, 1, -1), [value], 4, keys, tile, carry)
 
     def fill(planes, p: Place, row):
         hole = _per_region(row, lambda r: not r["flagged"])[planes["labels"]]
