@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,20 +43,12 @@ FLUSH_LINKS = 4_000_000     # links of a container that are held before they are
 RUN = 100_000               # chunks of one text that are aligned together
 SLICE_BYTES = 2 << 20       # text encoded at once
 
+MARKS = ".,;:!?"           # marks that may be chunks of their own behind a word
+
 LINKED = ("kind byte, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
           "a int, b int, container long, planes binary, docs long, links long")
 
 
-class Chunks:
-    """Alignments of numbered chunks: token and group counts, group text, and pairs of linked ids."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.text: list[bytes | None] = []     # None: the tokens don't spell the chunk
-        self.counts: list[tuple[int, int, int]] = []
-        self.pairs: list[np.ndarray] = []
-
-
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,7 +61,7 @@ class Aligner:
         self.bytes_a = [bytes(shown[c] for c in t) if all(c in shown for c in t) else t.encode()
                         for t in (self.a.id_to_token(i) or "" for i in range(size))]
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_b, joined = [], set()
+        self.bytes_b, joined, behind = [], set(), set()
         white = re.compile(f"[^{_WS}]([{_WS}])").findall
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -79,18 +72,25 @@ class Aligner:
                 self.bytes_b.append(plain.encode())
                 if not self.b.is_control(i) and not self.b.is_unknown(i):
                     joined.update(white(plain))
+                    behind.update(re.findall(r"[^\W\d_]([^\w\s])", plain))
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.joined = "".join(sorted(joined))
+        # Marks that no piece of B holds behind a letter; A's pattern cuts there as well.
+        self.apart = re.compile(f"([{_WS}]*[^\\W\\d_]+)([{''.join(re.escape(c) for c in MARKS if c not in behind)}]+)").fullmatch
         # Chunks are encoded after a letter, as inside a text; its own piece comes first and is taken off.
         self.anchor = self.b.encode("x")
-        self.kept = Chunks()
+        self.wide = len(self.bytes_a) * len(self.bytes_b) >= 2**32
+        self.kept: dict[str, tuple[bytes | None, bytes, int]] = {}
 
     @staticmethod
     def of(path_a: str, path_b: str) -> "Aligner":
         return _worker_cache(f"aligner:{path_a}:{path_b}", lambda: Aligner(path_a, path_b))
 
-    def chunks(self, text: str):
-        """Chunks of one space and ``text``; a chunk that B may join to the one before is part of it."""
+    def chunks(self, text: str) -> list[str]:
+        """Chunks of one space and ``text``; a chunk that B may join to the one before is part of it.
+
+        A word and the marks behind it are chunks of their own where neither tokenizer joins them.
+        """
         found = _CHUNK.findall(" " + text)
         if self.joined and any(c in text for c in self.joined):
             out: list[str] = []
@@ -100,69 +100,88 @@ class Aligner:
                 else:
                     out.append(c)
             return out
-        return found
+        out = []
+        for c in found:
+            if c[-1] in MARKS and (parts := self.apart(c)):
+                out += parts.groups()
+            else:
+                out.append(c)
+        return out
 
     def learn(self, wanted) -> None:
         """Align the chunks that are not known yet; forget the others when there are too many."""
-        todo = [c for c in wanted if c not in self.kept.number]
-        if len(self.kept.number) + len(todo) > KNOWN and self.kept.number:
-            self.kept = Chunks()
+        todo = [c for c in wanted if c not in self.kept]
+        if len(self.kept) + len(todo) > KNOWN and self.kept:
+            self.kept.clear()
             todo = list(wanted)
         for i in range(0, len(todo), 20_000):
             self._align(todo[i:i + 20_000])
 
     def _align(self, chunks: list[str]) -> None:
-        kept = self.kept
+        """Keep, for each chunk, the text of its groups (None: tokens don't spell it), the pairs of its
+        links, and its numbers of A tokens, B tokens and groups, 32 bits each."""
         ids_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        skip, ids_b = len(self.anchor), []
-        for ids in self.b.encode(["x" + c for c in chunks], num_threads=1):
-            ids_b.append(ids[skip:] if ids[:skip] == self.anchor else [])
-        spelled = []
-        for c, a, b in zip(chunks, ids_a, ids_b):
-            raw = c.encode()
-            good = b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
-            spelled.append(len(raw) if good else 0)
-        good = [i for i, s in enumerate(spelled) if s]
-        ends = np.cumsum(np.array([spelled[i] for i in good], np.int64))
-        all_a = np.array([x for i in good for x in ids_a[i]], np.int64)
-        all_b = np.array([x for i in good for x in ids_b[i]], np.int64)
+        skip, anchor = len(self.anchor), self.anchor
+        ids_b = [ids[skip:] if ids[:skip] == anchor else [] for ids in self.b.encode(["x" + c for c in chunks], num_threads=1)]
+        raw = [c.encode() for c in chunks]
+        bad = [i for i, (r, a, b) in enumerate(zip(raw, ids_a, ids_b)) if b"".join([self.bytes_a[x] for x in a]) != r
+               or b"".join([self.bytes_b[x] for x in b]) != r] if not self._all_spelled(raw, ids_a, ids_b) else []
+        if bad:
+            for i in bad:
+                self.kept[chunks[i]] = (None, b"", 0)
+            gone = set(bad)
+            chunks, raw, ids_a, ids_b = ([x for i, x in enumerate(y) if i not in gone] for y in (chunks, raw, ids_a, ids_b))
+        if not chunks:
+            return
+        ends = np.cumsum(np.array([len(r) for r in raw], np.int64))
+        all_a, all_b = (np.array([*chain.from_iterable(ids)], np.int64) for ids in (ids_a, ids_b))
         end_a, end_b = np.cumsum(self.size_a[all_a]), np.cumsum(self.size_b[all_b])
         # Every stretch between two ends of tokens, of A or of B, is the overlap of one token of each.
-        cuts = np.union1d(end_a, end_b)
-        at_a, at_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
-        pairs = all_a[at_a] << 32 | all_b[at_b] if len(cuts) else np.zeros(0, np.int64)
-        shared = np.intersect1d(end_a, end_b)
-        upto = [np.searchsorted(x, ends, "right") for x in (end_a, end_b, cuts, shared)]
-        group_a, group_b = np.searchsorted(end_a, shared, "right"), np.searchsorted(end_b, shared, "right")
-        text_a, text_b = list(map(str, all_a.tolist())), list(map(str, all_b.tolist()))
+        is_end = np.zeros(int(ends[-1]) + 1, np.int8)
+        is_end[end_a] = 1
+        is_end[end_b] += 2
+        cuts = np.flatnonzero(is_end)
+        pairs = self.key(all_a[np.searchsorted(end_a, cuts)], all_b[np.searchsorted(end_b, cuts)]).tobytes()
+        shared = np.flatnonzero(is_end == 3)
+        upto = [np.searchsorted(x, ends, "right").tolist() for x in (end_a, end_b, cuts, shared)]
+        group_a, group_b = np.searchsorted(end_a, shared, "right").tolist(), np.searchsorted(end_b, shared, "right").tolist()
+        text_a, text_b = [*map(str, all_a.tolist())], [*map(str, all_b.tolist())]
         groups, i, j = [], 0, 0
-        for x, y in zip(group_a.tolist(), group_b.tolist()):
-            groups.append(f"{text_a[i] if x == i + 1 else ','.join(text_a[i:x])}|{text_b[j] if y == j + 1 else ','.join(text_b[j:y])}")
+        for x, y in zip(group_a, group_b):
+            if x - i == 1 and y - j == 1:
+                groups.append(text_a[i] + "|" + text_b[j])
+            else:
+                groups.append(",".join(text_a[i:x]) + "|" + ",".join(text_b[j:y]))
             i, j = x, y
-        place = dict(zip(good, range(len(good))))
-        low = (0, 0, 0, 0)
-        for i, c in enumerate(chunks):
-            kept.number[c] = len(kept.text)
-            if i not in place:
-                kept.text.append(None)
-                kept.counts.append((0, 0, 0))
-                kept.pairs.append(pairs[:0])
-                continue
-            high = tuple(int(x[place[i]]) for x in upto)
-            kept.text.append(";".join(groups[low[3]:high[3]]).encode())
-            kept.counts.append((high[0] - low[0], high[1] - low[1], high[3] - low[3]))
-            kept.pairs.append(pairs[low[2]:high[2]])
-            low = high
+        kept, width = self.kept, 8 if self.wide else 4
+        a = b = c = g = 0
+        for chunk, a1, b1, c1, g1 in zip(chunks, *upto):
+            kept[chunk] = (";".join(groups[g:g1]).encode(), pairs[width * c:width * c1], a1 - a | b1 - b << 32 | g1 - g << 64)
+            a, b, c, g = a1, b1, c1, g1
+
+    def _all_spelled(self, raw, ids_a, ids_b) -> bool:
+        whole, sizes = b"".join(raw), np.array([len(r) for r in raw], np.int64)
+        for ids, names, lengths in ((ids_a, self.bytes_a, self.size_a), (ids_b, self.bytes_b, self.size_b)):
+            flat = [*chain.from_iterable(ids)]
+            run = np.concatenate(([0], np.cumsum(lengths[flat]))) if flat else np.zeros(1, np.int64)
+            ends = np.cumsum([len(x) for x in ids])
+            if not (run[ends] == np.cumsum(sizes)).all() or b"".join([names[x] for x in flat]) != whole:
+                return False
+        return True
+
+    def key(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Linked ids as one number."""
+        return (a * len(self.bytes_b) + b).astype(np.int64 if self.wide else np.uint32)
 
     def align(self, texts: list[str | None]):
-        """For each text ``(n_a, n_b, n_groups, digest, pairs)``; pairs are the ids of all its links."""
+        """For each text ``(n_a, n_b, n_groups, digest, pairs)``; pairs are the keys of all its links."""
         out: list = [None] * len(texts)
         few: list[tuple[int, list[str]]] = []
         held = 0
 
         def flush() -> None:
             nonlocal held
-            self.learn(dict.fromkeys(c for _, run in few for c in run))
+            self.learn(dict.fromkeys(chain.from_iterable(run for _, run in few)))
             for i, run in few:
                 out[i] = self._joined([run])
             few.clear()
@@ -175,7 +194,7 @@ class Aligner:
             run = self.chunks(text)
             if len(run) > RUN:
                 flush()
-                out[i] = self._joined(run[j:j + RUN] for j in range(0, len(run), RUN))
+                out[i] = self._joined((run[j:j + RUN] for j in range(0, len(run), RUN)), learn=True)
                 continue
             few.append((i, run))
             held += len(run)
@@ -184,20 +203,20 @@ class Aligner:
         flush()
         return out
 
-    def _joined(self, runs):
-        digest, first, pairs, counts = hashlib.sha256(), True, [], np.zeros(3, np.int64)
+    def _joined(self, runs, learn: bool = False):
+        digest, first, pairs, counts = hashlib.sha256(), True, [], 0
         for run in runs:
-            self.learn(dict.fromkeys(run))
-            kept = self.kept
-            ids = [kept.number[c] for c in run]
-            parts = [kept.text[i] for i in ids]
-            if None in parts:
+            if learn:
+                self.learn(dict.fromkeys(run))
+            texts, links, numbers = zip(*map(self.kept.__getitem__, run))
+            if None in texts:
                 return NOTHING
-            digest.update(b";".join(parts) if first else b";" + b";".join(parts))
+            digest.update(b";".join(texts) if first else b";" + b";".join(texts))
             first = False
-            counts += np.array([kept.counts[i] for i in ids], np.int64).sum(axis=0)
-            pairs.append(np.concatenate([kept.pairs[i] for i in ids]))
-        return (*counts.tolist(), digest.hexdigest(), np.concatenate(pairs))
+            counts += sum(numbers)
+            pairs.append(b"".join(links))
+        low = 0xFFFFFFFF
+        return counts & low, counts >> 32 & low, counts >> 64, digest.hexdigest(), np.frombuffer(b"".join(pairs), np.int64 if self.wide else np.uint32)
 
 
 NOTHING = (0, 0, 0, "", np.zeros(0, np.int64))
@@ -259,11 +278,13 @@ class _Container:
     def _sort(self) -> None:
         if not self.pairs:
             return
-        names, pair = np.unique(np.concatenate(self.pairs), return_inverse=True)
         row, n = (np.array(x, np.int64) for x in zip(*self.rows))
-        both, times = np.unique(pair * CONTAINER + np.repeat(row, n), return_counts=True)
-        pair, row = np.divmod(both, CONTAINER)
-        self.sorted.append((names[pair], row.astype(np.uint16), times.astype(np.uint32)))
+        both = np.concatenate(self.pairs).astype(np.int64) * CONTAINER + np.repeat(row, n)
+        both.sort()
+        first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+        times = np.diff(np.append(first, len(both)))
+        pair, row = np.divmod(both[first], CONTAINER)
+        self.sorted.append((pair, row.astype(np.uint16), times.astype(np.uint32)))
         self.rows, self.pairs, self.held = [], [], 0
 
     def postings(self):
@@ -325,8 +346,8 @@ def link(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         def postings(number, some):
             pair, planes, n, links = zip(*some)
-            pair = np.array(pair, np.int64)
-            return _batch(kind=np.ones(len(some), np.int8), a=pair >> 32, b=pair & 0xFFFFFFFF, container=np.full(len(some), number),
+            a, b = np.divmod(np.array(pair, np.int64), len(aligner.bytes_b))
+            return _batch(kind=np.ones(len(some), np.int8), a=a, b=b, container=np.full(len(some), number),
                           planes=planes, docs=n, links=links)
 
         for some in slices(batches, "text", SLICE_BYTES):
