@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from checks import derived as D
+from checks import registry
 from checks.log import hashed
 from checks.raster import AT
 from checks.registry import check
 from maskloom.functions.scalars import is_replicate
+from maskloom.operators.decisions import latest
+from maskloom.operators.evaluation import merge_run_status
 from maskloom.operators.ordered import ranked
+from maskloom.sources import commits as CM
 from maskloom.sources import scenes as SC
 from maskloom.sources import tables as TB
 from maskloom.session import scratch
@@ -26,6 +32,15 @@ def log_files(spark, sf):
     return path, log.schema
 
 
+def live_twin(name: str):
+    """The same result from a live table."""
+    def wrap(fn):
+        key = name.replace("_stream", "_live")
+        registry.QUERIES[key], registry.SQL[key] = fn, registry.SQL[name]
+        return fn
+    return wrap
+
+
 def finished(stream, spark, mode, shape=lambda df: df):
     out = scratch(spark, "view")
     q = V.run(stream, out, scratch(spark, "state"), mode, shape)
@@ -42,6 +57,16 @@ def st1(spark, sf):
     return V.read_latest(spark, out, ["scene_id", "annotator"])
 
 
+@live_twin("st1_latest_stream")
+def st1_live(spark, sf):
+    path, schema = log_files(spark, sf)
+    keys = ["scene_id", "annotator"]
+    table = V.live_latest(spark, scratch(spark, "live"), schema, keys, most=2)
+    s = V.log_stream(spark, path, schema, files_per_batch=1)
+    V.live(s, table, scratch(spark, "state"), lambda d: latest(d, keys)).awaitTermination()
+    return table.read()
+
+
 @check("st2_active_seconds", uses="ui_event", sql="""
 , g AS (SELECT *, (epoch_us(lead(ts) OVER (PARTITION BY scene_id, annotator ORDER BY ts, pos)) - epoch_us(ts)) / 1e6 AS gap FROM ui_event)
 SELECT scene_id, annotator, round(sum(least(coalesce(gap, 1800), 1800)), 4) AS active_seconds, count(*) AS events FROM g GROUP BY 1, 2""")
@@ -67,14 +92,40 @@ def st2b(spark, sf):
         F.sum("events").alias("events"), F.round(F.sum("active_seconds"), 2).alias("active_seconds"))
 
 
-@check("st3_review_seconds", uses="ui_event", sql=f""", {SPELLS},
-a AS (SELECT scene_id, annotator, spell, min(ts) FILTER (WHERE kind = 'seed_shown') AS shown FROM sp GROUP BY 1, 2, 3),
-d AS (SELECT scene_id, annotator, spell, min(epoch_us(ts)) - min(epoch_us(shown)) AS us FROM sp JOIN a USING (scene_id, annotator, spell) WHERE kind IN ('edit', 'save') AND ts >= shown GROUP BY 1, 2, 3)
-SELECT scene_id, annotator, round(sum(us) / 1e6, 4) AS review_seconds, count(*) AS reviews FROM d GROUP BY 1, 2""")
+REVIEWS = """g AS (SELECT *, coalesce(least((epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6, 1800), 1800)::DOUBLE AS a FROM ui_event WINDOW w AS (PARTITION BY scene_id, annotator ORDER BY ts, pos)),
+c AS (SELECT *, sum(a) OVER (PARTITION BY scene_id, annotator ORDER BY ts, pos) - a AS u FROM g),
+k AS (SELECT *, kind = 'seed_shown' AS seed, lag(kind = 'seed_shown') OVER (PARTITION BY scene_id, annotator ORDER BY ts, pos) AS before FROM c WHERE kind IN ('seed_shown', 'edit', 'save')),
+f AS (SELECT *, lag(seed) OVER w AS opened, lag(u) OVER w AS shown_at FROM k WHERE NOT (seed AND coalesce(before, FALSE)) WINDOW w AS (PARTITION BY scene_id, annotator ORDER BY ts, pos))
+SELECT scene_id, annotator, round(sum(u - shown_at), 4) AS review_seconds, count(*) AS reviews FROM f WHERE NOT seed AND opened"""
+
+
+def reviews(d):
+    return d.groupBy("scene_id", "annotator").agg(F.round(F.sum("review_seconds"), 4).alias("review_seconds"), F.count("*").alias("reviews"))
+
+
+@check("st3_review_seconds", uses="ui_event", sql=f", {REVIEWS} GROUP BY 1, 2")
 def st3(spark, sf):
-    r = V.review_sessions(D.ui_event(spark, sf), ["scene_id", "annotator"], "1800 seconds", "1 hour")
-    return r.groupBy("scene_id", "annotator").agg(F.round(F.sum("review_seconds"), 4).alias("review_seconds"),
-                                                  F.count("*").alias("reviews"))
+    return reviews(V.review_times(D.ui_event(spark, sf), ["scene_id", "annotator"], 1800))
+
+
+@check("st3_review_stream", uses="ui_event", sql=f", {REVIEWS} AND epoch_ms(ts) < (SELECT max(epoch_ms(ts)) - 3600000 FROM ui_event) GROUP BY 1, 2")
+def st3_stream(spark, sf):
+    """The log in six files, in no order; reviews that the watermark has passed."""
+    e = D.ui_event(spark, sf)
+    path = scratch(spark, "ui")
+    e.repartition(6, F.col("pos") * 31 % 97).write.parquet(path)
+    with rocksdb(spark):
+        s = V.review_stream(V.log_stream(spark, path, e.schema), ["scene_id", "annotator"], 1800, "1 hour")
+        return reviews(spark.read.parquet(finished(s, spark, "append")))
+
+
+@contextmanager
+def rocksdb(spark):
+    key, name = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, name)
+    yield
+    spark.conf.set(key, before)
 
 
 @check("st4_run_status_stream", uses="run_event", sql="""
@@ -92,6 +143,16 @@ def st4(spark, sf):
         "last_steps", F.array_join(F.col("last_steps").cast("array<string>"), ","))
 
 
+@live_twin("st4_run_status_stream")
+def st4_live(spark, sf):
+    e = D.run_event(spark, sf)
+    path = scratch(spark, "runs")
+    e.repartition(5, "pos").write.json(path)
+    table = V.live_runs(spark, scratch(spark, "live"), V.run_partial(e).schema, most=2)
+    V.live(V.log_stream(spark, path, e.schema, "json", files_per_batch=1), table, scratch(spark, "state"), V.run_partial).awaitTermination()
+    return merge_run_status(table.read()).withColumn("last_steps", F.array_join(F.col("last_steps").cast("array<string>"), ","))
+
+
 @check("st5_open_queue_stream", uses="label_log manifest", sql=f"""
 , done AS (SELECT scene_id, list_sort(list(DISTINCT annotator)) AS seen FROM label_log GROUP BY 1),
 q AS (SELECT m.scene_id, a.annotator, coalesce(seen, []) AS seen, {hashed('sha1', "'replicate:' || m.scene_id", 100)} < 30 AS rep, review_status FROM manifest m LEFT JOIN done USING (scene_id), (SELECT unnest(['ann0', 'ann9']) AS annotator) a)
@@ -106,6 +167,17 @@ def st5(spark, sf):
     return V.read_open_queue(spark, out, scenes, ["ann0", "ann9"])
 
 
+@live_twin("st5_open_queue_stream")
+def st5_live(spark, sf):
+    path, schema = log_files(spark, sf)
+    s = V.log_stream(spark, path, schema, files_per_batch=1)
+    table = V.live_labelled_by(spark, scratch(spark, "live"), V.labelled_by_stream(s).schema, most=2)
+    V.live(s, table, scratch(spark, "state"), V.labelled_by_stream).awaitTermination()
+    scenes = D.manifest(spark, sf).select("scene_id", "review_status",
+                                          is_replicate(F.col("scene_id").cast("string"), 30).alias("replicate"))
+    return V.open_queue(table.read(), scenes, ["ann0", "ann9"])
+
+
 THROUGHPUT = "SELECT {w} AS start, route, count(*) AS decisions, quantile_disc(active_seconds, 0.5) AS median_seconds FROM label_log GROUP BY 1, 2"
 
 
@@ -192,6 +264,16 @@ def s7(spark, sf):
     return spark.read.parquet(path)
 
 
+@check("s7_append_once", uses="label_log", sql="SELECT log_pos, ts AS timestamp, route, ts::DATE AS day FROM label_log")
+def s7_once(spark, sf):
+    """Two batches, the first of which runs twice."""
+    log = D.label_log(spark, sf).withColumnRenamed("ts", "timestamp").select("log_pos", "timestamp", "route")
+    path = scratch(spark, "append")
+    for batch in (0, 1, 0):
+        CM.append_once(log.filter(f"log_pos % 2 = {batch}"), path, f"batch-{batch}")
+    return CM.read_appended(spark, path)
+
+
 @check("s11_json_lines", uses="auto_px", sql="""
 SELECT 'scene-' || scene_id AS scene, 'auto' || labeller AS backend, round(avg(m), 4) AS water_frac FROM auto_px GROUP BY 1, 2""")
 def s11(spark, sf):
