@@ -21,13 +21,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskloom.llm.store import filesystem, hinted, put
+from maskloom.llm.store import filesystem, hinted, keep, put
 from maskloom.llm.text import ChunkEncoder, slices
 
 MASK = 0xA282EAD8  # fixed value: the constant that masked checksums add
+RANGE_BYTES = 8 << 20       # bytes of a file that are read at once
+TASK_BYTES = 16 << 20       # bytes of texts or records for which a task is planned
 INDEX = "file string, record long, offset long, length long, doc_id long, n_tokens long"
 
 
+def tasks_for(volume: int) -> int:
+    return max(1, -(-volume // TASK_BYTES))
+
+
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
     return ((crc >> 15 | crc << 17) + MASK) & 0xFFFFFFFF
@@ -103,22 +109,27 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end: int, tasks: i
 def read_files(spark: SparkSession, folder: str, width: str = "<u2", with_ids: bool = False) -> DataFrame:
     """Every record read back: ``file, record, doc_id, n_tokens, ids_crc32`` (and ``ids``).
 
+    The index cuts files into ranges of about ``RANGE_BYTES``; a task reads some of them.
+
     ``ids_crc32`` is the CRC-32 of the ids as little-endian unsigned 32-bit integers.
     """
     schema = "file string, record long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    names = spark.read.schema(INDEX).parquet(f"{folder}/index").select("file").distinct()
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
+    ranges = index.groupBy("file", F.floor(F.col("offset") / RANGE_BYTES)).agg(
+        F.min("offset").alias("first"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("record").alias("record"))
 
     def read(batches):
         files, root = filesystem(folder)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
-                with files.open_input_file(f"{root}/{name}") as stream:
-                    buffer = memoryview(stream.read())
+            for r in batch.to_pylist():
+                with files.open_input_file(f"{root}/{r['file']}") as stream:
+                    stream.seek(r["first"])
+                    buffer = memoryview(stream.read(r["end"] - r["first"]))
                 at, out = 0, []
                 while at < len(buffer):
                     data, at = unframe(buffer, at)
                     doc, ids = _ids(data, width)
-                    out.append((name, len(out), doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids))
+                    out.append((r["file"], r["record"] + len(out), doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids))
                 for i in range(0, len(out), 2000):
                     cols = list(zip(*out[i:i + 2000]))
                     arrays = [pa.array(cols[0]), *[pa.array(c, pa.int64()) for c in cols[1:5]]]
@@ -128,7 +139,8 @@ def read_files(spark: SparkSession, folder: str, width: str = "<u2", with_ids: b
                         names_.append("ids")
                     yield pa.RecordBatch.from_arrays(arrays, names_)
 
-    return names.repartition("file").mapInArrow(read, schema)
+    volume = index.agg(F.sum("length")).first()[0] or 0
+    return ranges.repartition(tasks_for(volume)).mapInArrow(read, schema)
 
 
 def shuffled(spark: SparkSession, folder: str, seed: int, tasks: int, width: str = "<u2") -> DataFrame:
@@ -162,6 +174,7 @@ def positions(records: DataFrame) -> DataFrame:
     """Add ``start``: the number of ids in all records before.
 
     A window runs inside each file; the files' totals, a row each, are summed up over all files.
+    ``records`` is used twice, so it should be written.
     """
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("record")) - F.col("n_tokens")
     totals = records.groupBy("file").agg(F.sum("n_tokens").alias("n"))
@@ -177,5 +190,7 @@ def round_trip(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, tasks
     each other, by text. An empty table writes an empty index. Only ``doc_id, text`` are read.
     """
     spark = docs.sparkSession
-    write_files(docs, folder, tokenizer, end, tasks or 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return positions(read_files(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    if not tasks:
+        tasks = tasks_for((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 4)  # tokenizing costs more than reading
+    write_files(docs, folder, tokenizer, end, tasks)
+    return positions(keep(read_files(spark, folder), "records")).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -28,11 +28,17 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 DATE = "2024-01-01T00:00:00Z"  # of every record, so that a repeated task writes equal bytes
 URN = "urn:x-page:"
 
+TASK_BYTES = 8 << 20        # plain bytes of records for which a task is planned
 INDEX = "record_id string, bundle string, frame int, offset long, length long"
 RECORDS = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
            "refers_to long, payload binary")
 
 
+def tasks_for(volume: int, most: int | None = None) -> int:
+    n = max(1, -(-volume // TASK_BYTES))
+    return n if most is None else min(n, max(1, most))
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -191,8 +197,9 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                         rows = list(parse(frame))
                         yield _batch(rows if payloads else [(*r[:-1], None) for r in rows])
 
-    names = index.select("bundle").distinct()
-    return names.repartition("bundle").mapInArrow(read, RECORDS)
+    bundles, volume = index.agg(F.count_distinct("bundle"), F.sum("length")).first()
+    # Names are dealt out one by one: their bytes say nothing about the bundles'.
+    return index.select("bundle").distinct().repartition(tasks_for(volume or 0, bundles)).mapInArrow(read, RECORDS)
 
 
 def fetch(spark: SparkSession, folder: str, ids: DataFrame) -> DataFrame:
@@ -215,7 +222,9 @@ def fetch(spark: SparkSession, folder: str, ids: DataFrame) -> DataFrame:
                     frame = zstandard.ZstdDecompressor().decompress(stream.read(packed), max_output_size=plain)
                 yield _batch(list(parse(frame, row["offset"], 1)))
 
-    return wanted.repartition("bundle").sortWithinPartitions("bundle", "frame").mapInArrow(read, RECORDS)
+    bundles, volume = wanted.agg(F.count_distinct("bundle"), F.sum("length")).first()
+    dealt = wanted.repartition(tasks_for(volume or 0, bundles), "bundle").sortWithinPartitions("bundle", "frame", "offset")
+    return dealt.mapInArrow(read, RECORDS)
 
 
 def with_referents(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -244,6 +253,6 @@ def archive(pages: DataFrame, folder: str, tasks: int | None = None) -> DataFram
     an empty index. Columns other than ``page_id, url, html`` are left out.
     """
     spark = pages.sparkSession
-    tasks = tasks or max(1, spark.sparkContext.defaultParallelism * 2)
+    tasks = tasks or tasks_for(pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0)
     write_archives(with_referents(pages), folder, tasks)
     return read_archives(spark, folder)
