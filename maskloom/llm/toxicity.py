@@ -1,11 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
-Two word models, of texts labelled toxic and ordinary, share their backoff counts. A word's
-probability after another comes from the class's discounted bigram counts, backed off to the class's
-discounted word counts, backed off to the continuation counts (after how many different words was it
-seen, in either class). Expressions that are rare in both classes keep no counts of their own, so
-the shared counts alone speak for them. The log-likelihood ratio of a text is normalised by length: over the whole
-text, and over its most toxic runs of ``WINDOWS`` words. A logistic fit turns both into a score.
+Two word models, of texts labelled toxic and ordinary. A word's probability after another comes from
+the class's discounted bigram counts, backed off to the class's discounted word counts, backed off to the
+continuation counts (after how many different words was it seen, in either class) that the classes share.
+Discounts of pairs depend on the count, as in the modified form: pairs that are rare in both classes give
+all of their counts to the backoff, whose weight is what discounts take of all counts. Rare words are one
+word of the vocabulary.
+The probabilities of each class sum to 1. The
+log-likelihood ratio of a text is normalised by length: over the whole text, and over its most toxic runs
+of ``WINDOWS`` words. A logistic fit turns both into a score.
 
 The fit sees rows that a first model doesn't count; the model that scores counts all labelled rows
 outside the held-out fold. There is one count per word and bigram; words are told
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from maskloom.llm.store import filesystem, hinted, keep
 from maskloom.llm.text import NOT_PLAIN, _worker_cache, byte_view, hash_words, lower_ascii, mix, slices, word_bounds
 
-DISCOUNT = 0.75
-CUTOFF = 4                      # words and bigrams seen less often, in both classes, only back off
+DISCOUNT = 0.75                 # taken from the count of each class and given to the backoff
+RARE = 3                        # pairs up to this count in both classes together give it all; words up to it are one word
 WINDOWS = (4, 16)               # lengths of the runs of words whose top ratio counts
 FOLDS, HELD_OUT = 4, 2          # fold: crc32 of the id's text, modulo FOLDS
 PARTS, CALIBRATION = 8, 3       # of the part that calibrates, modulo PARTS; the model for the fit doesn't count it
@@ -70,11 +73,13 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
         def flush():
             v, w, toxic, apart = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            pair, first, which = np.unique(_pair_key(v, w), return_index=True, return_inverse=True)
-            both = np.bincount(which)
-            t, ct, both_apart = (np.bincount(which, x).astype(np.int64) for x in (toxic, toxic & apart, apart))
+            order = np.lexsort((w, v))  # rows of a context follow each other, so what is sent compresses
+            v, w, toxic, apart = (x[order] for x in (v, w, toxic, apart))
+            first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+            both = np.diff(np.append(first, len(v)))
+            t, ct, both_apart = (np.add.reduceat(x.astype(np.int64), first) for x in (toxic, toxic & apart, apart))
             columns = dict(v=v[first], w=w[first], t=t, o=both - t, ct=ct, co=both_apart - ct)
-            for i in range(0, len(pair), 200_000):
+            for i in range(0, len(first), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 200_000]) for x in columns.values()], list(columns))
 
         for batch in slices(batches, "text"):
@@ -89,38 +94,72 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
             yield from flush()
 
     pairs = labelled.select("text", "toxic", "apart").mapInArrow(count, "v long, w long, t long, o long, ct long, co long")
-    return pairs.groupBy("v", "w").agg(*[F.sum(c).alias(c) for c in ("t", "o", "ct", "co")])
+    return pairs.groupBy("v", "w").agg(*[F.sum(c).alias(c) for c in ("t", "o", "ct", "co")]).sortWithinPartitions("v")
 
 
-def ratios(pairs: DataFrame) -> DataFrame:
-    """``key, llr``: log of P(word | word before, toxic) / P(word | word before, ordinary) by the key of
-    a bigram, and the same of the word alone by its hash; what is not there has a ratio of 0.
+def kept(of: str | None = None):
+    """What discounts leave of a count in one class, or in both."""
+    if of is None:
+        return kept("t") + kept("o")
+    often = F.col("t") + F.col("o") > RARE
+    return F.when(often, F.greatest(F.col(of) - DISCOUNT, F.lit(0.0))).otherwise(0.0)
+
 
-    Words and pairs below the cutoff keep only shared counts, so they are not there. What a context
-    gives to pairs rather than to the backoff is shared by the classes, so a context seen in one class
-    more often than in the other is no evidence by itself; without kept pairs in both classes it has none.
+def word_model(pairs: DataFrame) -> tuple[DataFrame, float]:
+    """``w, p_t, p_o``: P(w) in each class, and the log-likelihood ratio of a rare word.
+
+    All rare words are one word of the vocabulary, so the probabilities of the rows and of that word sum
+    to 1. A class's discounted counts back off to the continuation counts that the classes share.
     """
-    d = DISCOUNT
-    less = lambda c: F.greatest(F.col(c) - d, F.lit(0.0))
     words = keep(pairs.groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count("*").alias("cont")), "words")
-    often = F.col("t") + F.col("o") >= CUTOFF
-    total = words.agg(F.sum("t"), F.sum("o"), F.sum("cont"), F.count_if(often & (F.col("t") > 0)), F.count_if(often & (F.col("o") > 0))).first()
-    t, o, cont, kinds_t, kinds_o = (x or 0 for x in total)
-    p = lambda c, n, kinds: less(c) / max(1, n) + d * (kinds + 1) / max(1, n) * F.col("cont") / max(1, cont)
-    llr = lambda x, y: F.log(F.greatest(x, F.lit(1e-12)) / F.greatest(y, F.lit(1e-12))).cast("float").alias("llr")
-    common = keep(words.filter(often).select("w", p("t", t, kinds_t).alias("p_t"), p("o", o, kinds_o).alias("p_o")), "common")
-
-    kept = keep(pairs.filter(often), "kept")
-    masses = keep(kept.groupBy("v").agg(F.sum(less("t")).alias("kept_t"), F.sum(less("o")).alias("kept_o"))
-                  .filter("kept_t > 0 and kept_o > 0"), "masses")
-    held = keep(pairs.join(hinted(masses), "v").groupBy("v").agg(
-        F.any_value("kept_t").alias("kept_t"), F.any_value("kept_o").alias("kept_o"),
-        ((F.any_value("kept_t") + F.any_value("kept_o")) / F.sum(F.col("t") + F.col("o"))).alias("share")), "contexts")
-    given = lambda c: F.least(less(c), F.col(f"kept_{c}")) / F.greatest(F.col(f"kept_{c}"), F.lit(1.0))
-    mixed = lambda c: F.col("share") * given(c) + (1.001 - F.col("share")) * F.col(f"p_{c}")
-    of_pairs = kept.join(hinted(held), "v").join(hinted(common), "w").select("v", "w", llr(mixed("t"), mixed("o")))
+    rare = F.col("t") + F.col("o") <= RARE
+    sums = words.groupBy(rare.alias("rare")).agg(
+        *[F.sum(c).alias(c) for c in ("t", "o", "cont")], *[F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in ("t", "o")]).collect()
+    one = next((r for r in sums if r.rare), {"t": 0, "o": 0, "cont": 0})
+    total = {c: sum(r[c] for r in sums) for c in ("t", "o", "cont")}
+    kinds = {c: sum(1 if r.rare else r[f"kinds_{c}"] for r in sums if r[c]) for c in ("t", "o")}
+
+    def p(of: str, count, cont, larger):
+        n = max(1, total[of])
+        return larger(count - DISCOUNT) / n + DISCOUNT * kinds[of] / n * cont / max(1, total["cont"])
+
+    if not total["t"] or not total["o"]:  # one class tells nothing
+        return words.limit(0).select("w", F.lit(1.0).alias("p_t"), F.lit(1.0).alias("p_o")), 0.0
+    known = words.filter(~rare).select("w", *[p(c, F.col(c), F.col("cont"), lambda x: F.greatest(x, F.lit(0.0))).alias(f"p_{c}") for c in ("t", "o")])
+    p_t, p_o = (p(c, one[c], one["cont"], lambda x: max(x, 0.0)) for c in ("t", "o"))
+    return keep(known, "word_model"), float(np.log(p_t / p_o)) if p_t and p_o else 0.0
+
+
+def context_model(pairs: DataFrame) -> DataFrame:
+    """``v, k_t, k_o, rest``: what is kept of the pairs after ``v`` in each class, and the weight of their
+    backoff, the share of the counts after ``v`` that the discount takes.
+
+    Contexts with kept pairs in one class only are not there: their weight is 1 in both classes.
+    """
+    both = F.sum(F.col("t") + F.col("o"))
+    return pairs.groupBy("v").agg(F.sum(kept("t")).alias("k_t"), F.sum(kept("o")).alias("k_o"),
+                                  (1 - F.sum(kept()) / both).alias("rest")).filter("k_t > 0 and k_o > 0")
+
+
+def pair_probability(of: str):
+    """P(w | v) in a class: the kept share of the pair, then the word's own probability."""
+    return (1 - F.col("rest")) * kept(of) / F.col(f"k_{of}") + F.col("rest") * F.col(f"p_{of}")
+
+
+def ratios(pairs: DataFrame) -> tuple[DataFrame, float]:
+    """``key, llr``: log of P(word | word before, toxic) / P(word | word before, ordinary) by the key of
+    a bigram, and the same of the word alone by its hash.
+
+    A pair of which nothing is kept has the backoff alone, whose weight is the same in both classes, so
+    its ratio is the word's and it needs no row. Returns the ratio of rare words as well.
+    """
+    llr = lambda x, y: F.log(x / y).cast("float").alias("llr")
+    (words, unknown), after = word_model(pairs), keep(context_model(pairs), "contexts")
+    of_pairs = (pairs.filter(kept() > 0).join(hinted(after), "v").join(hinted(words), "w")
+                .select("v", "w", llr(pair_probability("t"), pair_probability("o"))))
     # The same hash as in tasks, so that pairs meet the keys that scoring looks up.
-    return of_pairs.mapInArrow(_with_key, "key long, llr float").unionByName(common.select(F.col("w").alias("key"), llr(F.col("p_t"), F.col("p_o"))))
+    return of_pairs.mapInArrow(_with_key, "key long, llr float").unionByName(
+        words.select(F.col("w").alias("key"), llr(F.col("p_t"), F.col("p_o")))), unknown
 
 
 def _with_key(batches):
@@ -132,8 +171,8 @@ def _with_key(batches):
 class Model:
     """The written ratios: files that are sorted by key, and the first and last key of each."""
 
-    def __init__(self, files: list[tuple[str, int, int]]):
-        self.files = files
+    def __init__(self, files: list[tuple[str, int, int]], unknown: float):
+        self.files, self.unknown = files, unknown
 
     def _load(self, path: str) -> tuple[np.ndarray, np.ndarray]:
         cache = _worker_cache("toxicity", dict)
@@ -156,13 +195,14 @@ class Model:
             if i < j:
                 known, llr = self._load(path)
                 at = np.minimum(np.searchsorted(known, keys[i:j]), len(known) - 1)
-                out[i:j] = np.where(known[at] == keys[i:j], llr[at], np.float32(np.nan))
+                hit = known[at] == keys[i:j]
+                out[i:j][hit] = llr[at[hit]]
         return out[back]
 
     def llr(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Log of P(word | word before, toxic) / P(word | word before, ordinary)."""
         pair, word = self._look(_pair_key(before, words)), self._look(words)
-        return np.nan_to_num(np.where(np.isnan(pair), word, pair))
+        return np.where(np.isnan(pair), np.where(np.isnan(word), np.float32(self.unknown), word), pair)
 
 
 def train(labelled: DataFrame) -> Model:
@@ -172,11 +212,13 @@ def train(labelled: DataFrame) -> Model:
 
 def written(pairs: DataFrame) -> Model:
     """Model of counted pairs; the driver learns sums, row counts and the bounds of files."""
-    rows = keep(ratios(pairs), "ratios")
-    n = max(FILES, -(-rows.count() // FILE_ROWS))
-    model = keep(rows.repartitionByRange(n, "key").sortWithinPartitions("key"), "model")
+    rows, unknown = ratios(pairs)
+    n = max(FILES, -(-pairs.filter(kept() > 0).count() // FILE_ROWS))
+    # Keys are hashes, so equal shares of their range hold equal shares of the rows.
+    part = F.floor((F.col("key").cast("double") + 2.0**63) / 2.0**64 * n).cast("int")
+    model = keep(rows.repartitionById(n, part).sortWithinPartitions("key"), "model")
     files = model.groupBy(F.input_file_name().alias("f")).agg(F.min("key").alias("a"), F.max("key").alias("b")).collect()
-    return Model(sorted(((r.f, r.a, r.b) for r in files), key=lambda x: x[1]))
+    return Model(sorted(((r.f, r.a, r.b) for r in files), key=lambda x: x[1]), unknown)
 
 
 def features(docs: DataFrame, model: Model) -> DataFrame:

@@ -269,40 +269,63 @@ def test_toxicity_learns_expressions_and_holds_out(spark):
     assert sorted(toxicity.score(d, flipped).collect()) == sorted(got)
 
 
+class PlainModel:
+    """Kneser-Ney models of two classes over a vocabulary in which rare words are one, written from the formula."""
+
+    def __init__(self, rows, d=0.75, rare=3):
+        self.split = [(re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.translate(LOWER)), y) for t, y in rows]
+        every = [(v, w, y) for ws, y in self.split for v, w in zip([None, *ws], ws)]
+        total = collections.Counter(w for _, w, _ in every)
+        self.name = lambda w: w if total[w] > rare else "<rare>"
+        self.d = d
+        self.word = [collections.Counter(self.name(w) for _, w, y in every if y == c) for c in (1, 0)]
+        self.cont = collections.Counter(self.name(w) for _, w in {(v, w) for v, w, _ in every})
+        both = collections.Counter((v, w) for v, w, _ in every)
+        self.pair = [collections.Counter((v, w) for v, w, y in every if y == c and both[v, w] > rare) for c in (1, 0)]
+        self.after = collections.Counter(v for v, _, _ in every)
+        self.kept = [collections.Counter() for _ in self.pair]
+        for p, k in zip(self.pair, self.kept):
+            for (v, _), n in p.items():
+                k[v] += max(n - d, 0)
+        self.vocabulary = sorted(self.cont)
+
+    def alone(self, w, c):
+        n = self.word[c]
+        return max(n[w] - self.d, 0) / n.total() + self.d * len(n) / n.total() * self.cont[w] / self.cont.total()
+
+    def given(self, v, w, c):
+        if not min(self.kept[0][v], self.kept[1][v]) > 0:
+            return self.alone(w, c)
+        rest = 1 - (self.kept[0][v] + self.kept[1][v]) / self.after[v]
+        return (1 - rest) * max(self.pair[c][v, w] - self.d, 0) / self.kept[c][v] + rest * self.alone(w, c)
+
+    def ratios(self):
+        out = []
+        for ws, _ in self.split:
+            out.append(np.array([np.log(self.given(v, self.name(w), 0) / self.given(v, self.name(w), 1)) for v, w in zip([None, *ws], ws)]))
+        return out
+
+
 def brute_ratios(rows):
-    """Log-likelihood ratio of every word of every text, from exact counts."""
-    split = [(re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.translate(LOWER)), y) for t, y in rows]
-    pair = [collections.Counter((v, w) for ws, y in split if y == c for v, w in zip([None, *ws], ws)) for c in (1, 0)]
-    word = [collections.Counter() for _ in pair]
-    for p, n in zip(pair, word):
-        for (_, w), c in p.items():
-            n[w] += c
-    every = {*pair[0], *pair[1]}
-    cont, before = collections.Counter(w for _, w in every), collections.Counter()
-    for v, w in every:
-        before[v] += pair[0][v, w] + pair[1][v, w]
-    common = {w for w in cont if word[0][w] + word[1][w] >= toxicity.CUTOFF}
-    kept = {x for x in every if pair[0][x] + pair[1][x] >= toxicity.CUTOFF}
-    mass = [collections.Counter() for _ in pair]
-    for x in kept:
-        for p, m in zip(pair, mass):
-            m[x[0]] += max(p[x] - 0.75, 0)
-
-    def ratio(v, w):
-        logs = []
-        for p, n, m in zip(pair, word, mass):
-            total, q = n.total(), cont[w] / len(every)
-            if w in common:
-                q = max(n[w] - 0.75, 0) / total + 0.75 * (sum(n[x] > 0 for x in common) + 1) / total * q
-            if min(mass[0][v], mass[1][v]) > 0:
-                share = (mass[0][v] + mass[1][v]) / before[v]
-                own = max(p[v, w] - 0.75, 0) if (v, w) in kept else 0
-                q = share * min(own, m[v]) / max(m[v], 1) + (1.001 - share) * q
-            logs.append(np.log(max(q, 1e-12)))
-        return logs[0] - logs[1]
-
-    known = {x: ratio(*x) for x in every}
-    return [np.array([known[x] for x in zip([None, *ws], ws)]) for ws, _ in split]
+    return PlainModel(rows).ratios()
+
+
+def test_kneser_ney_probabilities_sum_to_one(spark):
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choices([f"w{i}" for i in range(80)], range(80, 0, -1), k=40) + ["odd%d" % i]), int(i % 4 == 0)) for i in range(80)]
+    plain = PlainModel(rows)
+    for v in [None, *plain.vocabulary]:
+        for c in (0, 1):
+            assert abs(sum(plain.given(v, w, c) for w in plain.vocabulary) - 1) < 1e-9
+    # The words' table of the operator holds the same probabilities, and leaves the rest to the rare word.
+    d = spark.createDataFrame([(i, t, y, False) for i, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int, apart boolean")
+    words, rare = toxicity.word_model(toxicity.count_pairs(d))
+    got = words.collect()
+    assert len(got) == len(plain.vocabulary) - 1
+    for c, name in enumerate(("p_t", "p_o")):
+        assert abs(sum(r[name] for r in got) + plain.alone("<rare>", c) - 1) < 1e-9
+        assert np.allclose(sorted(r[name] for r in got), sorted(plain.alone(w, c) for w in plain.vocabulary if w != "<rare>"))
+    assert abs(rare - np.log(plain.alone("<rare>", 0) / plain.alone("<rare>", 1))) < 1e-9
 
 
 def test_toxicity_model_counts_every_word_and_pair(spark, monkeypatch):
