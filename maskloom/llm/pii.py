@@ -3,13 +3,16 @@
 Entities are found by pattern: e-mail and IP addresses, telephone, card, account and identity numbers,
 and names after a title or a known given name. A mention's canonical value (case, spaces and
 separators removed) decides its surrogate, so mentions of one entity stay mentions of one entity
-wherever they stand; names are replaced word by word, so a surname alone still points to the same
-person. A surrogate keeps length and separators of numbers, the check digit's validity of cards, the
-country code of telephones, the top-level domain of addresses, the gender and script of names.
-
-Distinct values are numbered with attempts: surrogates are drawn, those that two values share or that
-equal a value found in the corpus are drawn again, until none is left. That is joins and aggregates
-over the table of distinct values; only mentions travel, not texts.
+wherever they stand; names are replaced word by word, by one surrogate whatever the word's role, so a
+surname alone, before or after in the text too, still points to the same person. A surrogate keeps length
+and separators of numbers, the validity of check digits of cards and accounts, the country code of
+telephones, the top-level domain of addresses, the gender and script of names.
+
+Numbers and addresses move along a keyed cycle through all values of their form: different values get
+different surrogates, none its own, with nothing to check. Names are drawn, and those that two values share
+or that equal a name found in the corpus are drawn again, by joins and aggregates over the table of
+distinct names; only mentions travel, not texts. Names are found after titles and known given names only:
+lists that a deployment extends (``TITLES``, ``GIVEN``).
 """
 
 from __future__ import annotations
@@ -52,17 +55,21 @@ GIVEN = {"f": "Anna Maria Julia Laura Sarah Emma Sophie Claire Marie Camille Pet
 # Syllables and endings that names are built from, by script; endings by gender.
 SYLLABLES = {"LATIN": "ba be bo da del do fa fen ga gor ha hel ka kel la len ma mer na nor pa per ra ros sa sel ta tor va vel".split(),
              "CYRILLIC": "ба бо ва ве га да до за ка ко ла ле ма ми на но па ро са та".split(),
+             "CJK": "伟 芳 敏 静 丽 磊 军 洋 勇 艳 杰 娟 涛 明 超 秀 霞 平 刚 桂".split(),
+             "ARABIC": "با تا دا را سا شا فا كا لا ما نا وا يا".split(),
              "GREEK": "βα γα δα ζα θα κα λα μα να πα ρα σα τα φα χα".split()}
 ENDINGS = {"LATIN": {"f": "ina", "m": "ard", "u": "ey", "s": "sen"}, "CYRILLIC": {"f": "ина", "m": "ор", "u": "ан", "s": "ко"},
+           "CJK": {"f": "娜", "m": "强", "u": "文", "s": "林"}, "ARABIC": {"f": "ة", "m": "د", "u": "ن", "s": "ي"},
            "GREEK": {"f": "ίνα", "m": "ος", "u": "ις", "s": "ίδης"}}
 
 _FOUND = {k: re.compile(p) for k, p in PATTERNS.items()}
 _WORD = r"[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*"
-_TITLE = "|".join(map(re.escape, sorted(TITLES, key=len, reverse=True)))
+_OPENERS = [x for g in GIVEN.values() for w in g.split() for x in (w, w.upper())]
+_TITLE = "|".join(map(re.escape, sorted({*TITLES, *map(str.upper, TITLES)}, key=len, reverse=True)))
 _NAME = re.compile(rf"(?:(?<!\w)({_TITLE})\.? (?:(?:{_TITLE})\.? )*((?:{_WORD})(?: {_WORD}){{0,2}}))"
-                   rf"|(?<!\w)((?:{'|'.join(w for g in GIVEN.values() for w in g.split())}) {_WORD})(?!\w)")
-_GENDER = {w: g for g, words in GIVEN.items() for w in words.split()}
-_HINTS = re.compile("|".join([*map(re.escape, TITLES), *_GENDER]))
+                   rf"|(?<!\w)((?:{'|'.join(_OPENERS)}) {_WORD})(?!\w)")
+_GENDER = {w.lower(): g for g, words in GIVEN.items() for w in words.split()}
+_HINTS = re.compile("|".join(map(re.escape, [*TITLES, *map(str.upper, TITLES), *_OPENERS])))
 
 
 def script_of(word: str) -> str:
@@ -71,7 +78,8 @@ def script_of(word: str) -> str:
 
 
 def _capital(word: str) -> bool:
-    return word[:1].isupper()
+    """Capital, or of a script without capitals."""
+    return not word[:1].islower()
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
@@ -85,22 +93,34 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 start, end = m.span()
                 value = m[0].lower() if kind in ("email", "iban") else m[0]
                 value = value if kind in ("email", "ip") else re.sub(r"[^0-9a-z]", "", value)
+                value = "+" + value if kind == "phone" and m[0][0] == "+" else value
                 found.append((start, end, kind, value))
     if _HINTS.search(text):
-        for m in _NAME.finditer(text):
+        known: dict[str, str] = {}
+        place = 0
+        while m := _NAME.search(text, place):
             words, start = (m[2], m.start(2)) if m[2] else (m[3], m.start(3))
-            gender = TITLES.get(m[1], "u") if m[1] else "u"
-            parts = [w for w in re.finditer(_WORD, words)]
-            while parts and not _capital(parts[-1][0]):
-                parts.pop()
-            if not parts or not all(_capital(p[0]) for p in parts):
-                parts = [p for i, p in enumerate(parts) if all(_capital(q[0]) for q in parts[:i + 1])]
-            if not parts or (not m[1] and len(parts) < 2):
+            place = start + 1
+            title = TITLES.get(m[1], TITLES.get(m[1].title(), "u")) if m[1] else None
+            parts = []
+            for p in re.finditer(_WORD, words):
+                if not _capital(p[0]):
+                    break
+                parts.append(p)
+            if not parts or (title is None and len(parts) < 2):
                 continue
+            place = start + parts[-1].end()
             for i, p in enumerate(parts):
-                given = i < len(parts) - 1 or (not m[1] and i == 0)
-                sex = (_GENDER.get(p[0], gender) if given else "s")
-                found.append((start + p.start(), start + p.end(), "name", f"{sex}:{script_of(p[0])}:{p[0].lower()}"))
+                given = i < len(parts) - 1 or (title is None and i == 0)
+                sure = _GENDER.get(p[0].lower())
+                sex = f"0{sure}" if sure else f"1{title}" if given and title in ("f", "m") else "2u" if given else "3s"
+                value = f"{script_of(p[0])}:{p[0].lower()}"
+                found.append((start + p.start(), start + p.end(), "name", f"{sex}:{value}"))
+                known[p[0]] = min(f"{sex}:{value}", known.get(p[0], "9"))
+        if known:  # names alone, before or after
+            taken = {f[0] for f in found}
+            alone = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?!\w)")
+            found += [(m.start(), m.end(), "name", known[m[0]]) for m in alone.finditer(text) if m.start() not in taken]
     found.sort(key=lambda f: (f[0], -f[1], KINDS.index(f[2])))
     out, last = [], 0
     for f in found:
@@ -124,9 +144,54 @@ class _Draw:
         return word % n
 
 
-def _like(text: str, draw: _Draw) -> str:
-    """Letters for letters and digits for digits; everything else stays."""
-    return "".join(str(draw.below(10)) if c.isdigit() else chr(97 + draw.below(26)) if c.isalpha() else c for c in text)
+class Cycle:
+    """A keyed order of the numbers below ``size`` in one cycle: ``after(x)`` is another number for every
+    ``x`` (from two numbers on), different for different ``x``. A Feistel network walks outside values on.
+    """
+
+    ROUNDS = 4
+
+    def __init__(self, key: bytes, name: str, size: int):
+        self.size, self.key, self.name = size, key, name.encode()
+        self.half = max(1, -(-(size - 1).bit_length() // 2))
+
+    def _round(self, i: int, x: int) -> int:
+        given = self.name + b"\0" + bytes([i]) + x.to_bytes((self.half + 7) // 8, "big")
+        return int.from_bytes(hashlib.shake_128(self.key + b"\0" + given).digest((self.half + 7) // 8 + 8), "big") & ((1 << self.half) - 1)
+
+    def _walk(self, x: int, back: bool) -> int:
+        low = (1 << self.half) - 1
+        while True:
+            a, b = x >> self.half, x & low
+            for i in (reversed(range(self.ROUNDS)) if back else range(self.ROUNDS)):
+                a, b = (b ^ self._round(i, a), a) if back else (b, a ^ self._round(i, b))
+            x = a << self.half | b
+            if x < self.size:
+                return x
+
+    def after(self, x: int) -> int:
+        return self._walk((self._walk(x, True) + 1) % self.size, False) if self.size > 1 else x
+
+
+def _like(text: str, key: bytes, name: str, attempt: int = 0) -> str:
+    """Another text with letters for letters and digits for digits; everything else stays. Different texts
+    of one form get different ones; those with other letters than a to z may need another attempt."""
+    form = "".join("9" if c.isdecimal() else "a" if c.isalpha() else c for c in text)
+    x, size = 0, 1
+    for c, f in zip(text, form):
+        if f in "9a":
+            base = 10 if f == "9" else 26
+            x, size = x * base + (int(c) if f == "9" else (ord(c.lower()) - 97) % 26), size * base
+    if not text.isascii():
+        name += f"\0{text}\0{attempt}"
+    x, out = Cycle(key, f"{name}\0{form}", size).after(x), []
+    for f in reversed(form):
+        if f in "9a":
+            x, d = divmod(x, 10 if f == "9" else 26)
+            out.append(str(d) if f == "9" else chr(97 + d))
+        else:
+            out.append(f)
+    return "".join(reversed(out))
 
 
 def luhn(digits: str) -> int:
@@ -134,29 +199,54 @@ def luhn(digits: str) -> int:
     return sum(d - 9 if d > 9 else d for d in doubled) % 10
 
 
+def iban_check(country: str, body: str) -> int:
+    """The check digits that make an account number valid."""
+    return 98 - int("".join(str(int(c, 36)) for c in (body + country).lower())) * 100 % 97
+
+
+# Country codes of one and of two digits; the others have three.
+CODES = {*"17", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 "
+         "92 93 94 95 98".split()}
+
+
+def country_code(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in CODES), digits[:3])
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The canonical surrogate of a canonical value; later attempts give others."""
-    draw = _Draw(key, kind, value, attempt)
+    """The canonical surrogate of a canonical value.
+
+    Values of one form and fixed part get different surrogates, none its own, so only what is drawn, names
+    and addresses in other letters than a to z, is ever drawn again (``attempt``).
+    """
     if kind == "email":
         local, _, domain = value.partition("@")
         names, _, top = domain.rpartition(".")
-        return f"{_like(local, draw)}@{_like(names, draw)}.{top}"
+        return f"{_like(f'{local}@{names}', key, 'email ' + top, attempt)}.{top}"
     if kind == "ip":
         parts = value.split(".")
         fixed = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] else 0
-        new = [str(1 + draw.below(223)) if i == 0 else str(draw.below(255)) for i in range(4)]
-        return ".".join([*parts[:fixed], *new[fixed:]])
+        free = [int(p) for p in parts[fixed:]]
+        n = sum(p << 8 * i for i, p in enumerate(reversed(free)))
+        n = Cycle(key, "ip " + ".".join(parts[:fixed]), 256 ** len(free)).after(n)
+        return ".".join([*parts[:fixed], *(str(n >> 8 * i & 255) for i in reversed(range(len(free))))])
     if kind == "name":
         sex, script, word = value.split(":", 2)
-        parts = SYLLABLES[script]
+        draw, parts = _Draw(key, kind, f"{script}:{word}", attempt), SYLLABLES[script]
         body = "".join(parts[draw.below(len(parts))] for _ in range(2 + min(attempt, 6)))
         return f"{sex}:{script}:{body}{ENDINGS[script][sex]}"
-    keep_first = {"iban": 4, "card": 1, "phone": 1 if len(value) > 10 else 0}.get(kind, 0)
-    new = value[:keep_first] + _like(value[keep_first:], draw)
     if kind == "card":
-        valid = luhn(value) == 0
-        new = new[:-1] + next(c for c in sorted("0123456789", key=lambda c: (int(c) + draw.count) % 10) if (luhn(new[:-1] + c) == 0) == valid)
-    return new
+        new = value[0] + _like(value[1:-1], key, f"card {value[0]}")
+        right = lambda d: (10 - luhn(d + "0")) % 10
+        return new + str((right(new) + int(value[-1]) - right(value[:-1])) % 10)
+    if kind == "iban":
+        country, check, body = value[:2], int(value[2:4]), value[4:]
+        new = _like(body, key, f"iban {country}")
+        if 2 <= check <= 98:  # as far from valid as before
+            check = 2 + (iban_check(country, new) - 2 + check - iban_check(country, body)) % 97
+        return f"{country}{check:02}{new}"
+    keep_first = ("+" + country_code(value[1:])) if value[0] == "+" else ""
+    return keep_first + _like(value[len(keep_first):], key, f"{kind} {keep_first}")
 
 
 def _in_form(mention: str, kind: str, new: str) -> str:
@@ -166,7 +256,7 @@ def _in_form(mention: str, kind: str, new: str) -> str:
         return word.upper() if mention.isupper() and len(mention) > 1 else word.capitalize()
     if kind in ("email", "ip"):
         return new.upper() if kind == "email" and mention.isupper() else new
-    fresh = iter(new.upper() if kind == "iban" and not mention.islower() else new)
+    fresh = iter((new.upper() if kind == "iban" and not mention.islower() else new).removeprefix("+"))
     return "".join(next(fresh) if c.isalnum() else c for c in mention)
 
 
@@ -191,10 +281,17 @@ def _row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _bare(value: str = "value", cut: int = 3) -> Column:
+    """A name without its evidence (``0f:``) or gender (``f:``); other values as they are."""
+    return F.when(F.col("kind") == "name", F.substring(value, cut + 1, 1 << 30)).otherwise(F.col(value))
+
+
 def assign(found: DataFrame, key: bytes) -> DataFrame:
-    """``kind, value, new`` for the distinct ``kind, value`` of ``found``.
+    """``kind, bare, new`` for the distinct values of ``found``; ``bare`` is a name without its gender.
 
-    No two values of a kind share a surrogate and no surrogate is itself a value of the corpus.
+    No two values of a kind share a surrogate. Numbers and addresses get theirs from a keyed order of
+    all values of their form, so that always holds and ends even where a corpus has every value of a
+    form; names are drawn, and drawn again while two share one or one is a name of the corpus.
     """
     def draw(batches):
         for b in batches:
@@ -204,15 +301,17 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
                                              ["kind", "value", "attempt", "new"])
 
     schema = "kind string, value string, attempt int, new string"
-    values = keep(found.select("kind", "value").distinct(), "values")
+    # A name's best evidence of gender comes first in order; mentions with other evidence share its surrogate.
+    whole = keep(found.select("kind", "value", _bare().alias("bare")).distinct().groupBy("kind", "bare").agg(F.min("value").alias("value")), "values")
+    values = whole.select("kind", F.when(F.col("kind") == "name", F.substring("value", 2, 1 << 30)).otherwise(F.col("value")).alias("value"))
     now = keep(values.withColumn("attempt", F.lit(0)).mapInArrow(draw, schema), "surrogates")
     while True:
-        real = values.select("kind", F.col("value").alias("new"))
+        real = values.filter("kind = 'name'").select("kind", F.col("value").alias("new"))
         owner = now.groupBy("kind", "new").agg(F.min("value").alias("value"), F.count("*").alias("n")).filter("n > 1")
         shared = now.join(owner.select("kind", "new", F.col("value").alias("first")), ["kind", "new"]).filter("value <> first")
         again = keep(shared.select("kind", "value").unionByName(now.join(real, ["kind", "new"], "left_semi").select("kind", "value")).distinct(), "again")
         if again.isEmpty():
-            return now.select("kind", "value", "new")
+            return now.select("kind", _bare("value", 2).alias("bare"), "new")
         redrawn = now.join(again, ["kind", "value"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         now = keep(now.join(again, ["kind", "value"], "left_anti").unionByName(redrawn.mapInArrow(draw, schema)), "surrogates")
 
@@ -235,7 +334,7 @@ def replaced(docs: DataFrame, key: bytes) -> DataFrame:
                                               pa.array([_in_form(*x) for x in zip(*cols)], pa.string())],
                                              ["_key", "start", "end", "kind", "new"])
 
-    placed = found.join(hinted(new, 200_000), ["kind", "value"]).mapInArrow(
+    placed = found.withColumn("bare", _bare()).join(hinted(new, 200_000), ["kind", "bare"]).mapInArrow(
         form, "_key long, start int, end int, kind string, new string")
     each = keep(placed.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "new"))).alias("_all")), "replacements")
     t = F.col("_row.text")
