@@ -16,6 +16,7 @@ from maskloom.operators import raster as R
 from maskloom.operators import statistics as ST
 from maskloom.operators import tilearrays as TA
 from maskloom.operators.tiles import filter_tiles
+from maskloom.plans.campaign import scene_features
 from maskloom.session import scratch
 from maskloom.sources.scenes import read_pixels, write_pixels
 
@@ -417,6 +418,30 @@ def a9(spark, sf):
     return d.select("scene_id", "band", *[F.round(c, 4).alias(c) for c in ("mean", "sd", "p5", "p50", "p95")])
 
 
+_NAMED = {"r": "r", "g": "g", "b": "b", "thermal": "th", "nir": "nir", "ndwi": "nd"}
+_DESCRIBED = ", ".join(
+    f"round(avg({c}), 4) AS {n}_mean, round(stddev_pop({c}), 4) AS {n}_std, round(quantile_cont({c}::DOUBLE, 0.05), 4) AS {n}_p5, "
+    f"round(quantile_cont({c}::DOUBLE, 0.5), 4) AS {n}_p50, round(quantile_cont({c}::DOUBLE, 0.95), 4) AS {n}_p95" for n, c in _NAMED.items())
+
+
+@check("a9_scene_features", uses="px", sql=f""", {GREY}, {S.gradient('gm', 'gr', 'u')},
+c AS (SELECT scene_id, avg(v) + stddev_pop(v) AS cut FROM gm GROUP BY 1),
+ed AS (SELECT scene_id, avg((v > cut)::INT) AS edge_density FROM gm JOIN c USING (scene_id) GROUP BY 1),
+hb AS (SELECT scene_id, least(floor(u * 32 / 255), 31) AS b, count(*) AS n FROM gr GROUP BY 1, 2),
+en AS (SELECT scene_id, round(-sum(n / (t + 1e-6) * log2(n / (t + 1e-6))), 6) AS gray_entropy
+  FROM (SELECT *, sum(n) OVER (PARTITION BY scene_id) AS t FROM hb) GROUP BY 1),
+hist AS (SELECT scene_id, th::BIGINT AS v, count(*) AS n FROM px GROUP BY 1, 2), {S.otsu('ot', 'hist', 'scene_id')},
+w AS (SELECT *, (g - nir) / (g + nir + 1e-6::DOUBLE) AS nd,
+  (nir - min(nir) OVER s) / (max(nir) OVER s - min(nir) OVER s + 1e-6::DOUBLE) AS u FROM px WINDOW s AS (PARTITION BY scene_id)),
+st AS (SELECT scene_id, {_DESCRIBED}, avg((g > nir)::INT) AS ndwi_pos_frac, avg((u < 0.15)::INT) AS nir_dark_frac_15,
+  avg((u < 0.25)::INT) AS nir_dark_frac_25, avg((u < 0.35)::INT) AS nir_dark_frac_35 FROM w GROUP BY 1)
+SELECT st.*, round(sep, 6) AS thermal_otsu_sep, edge_density, gray_entropy FROM st JOIN ot USING (scene_id) JOIN ed USING (scene_id) JOIN en USING (scene_id)""")
+def a9_features(spark, sf):
+    d = scene_features(D.px(spark, sf))
+    digits = {f"{n}_{c}": 4 for n in _NAMED for c in ("mean", "std", "p5", "p50", "p95")} | {"thermal_otsu_sep": 6, "gray_entropy": 6}
+    return d.select(*[F.round(c, digits[c]).alias(c) if c in digits else c for c in d.columns])
+
+
 @check("a10_index_shares", uses="px", sql="""
 , s AS (SELECT *, (nir - min(nir) OVER w) / (max(nir) OVER w - min(nir) OVER w + 1e-6::DOUBLE) AS u
   FROM px WINDOW w AS (PARTITION BY scene_id))

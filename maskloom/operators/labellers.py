@@ -16,19 +16,17 @@ from pyspark.sql import functions as F
 from maskloom.functions.scalars import clip, grey, ndwi
 from maskloom.operators import backgrounds as BG
 from maskloom.operators import tile_labellers as TL
-from maskloom.operators.components import fill_holes
-from maskloom.operators.neighbourhood import (
-    box_sum, ellipse_close, ellipse_open, gauss, gauss_radius, sobel_length, spread)
+from maskloom.operators.neighbourhood import box_sum, spread
 from maskloom.operators.raster import between
-from maskloom.operators.statistics import band_long, exact_percentiles, histogram, otsu
+from maskloom.operators.statistics import exact_percentiles, histogram, otsu
 from maskloom.operators.tilearrays import pack, unpack
 from maskloom.operators.tiles import SCENE, TILE, count_tiles, filter_tiles, join_scene_stats
 from maskloom.schemas import BANDS
 from maskloom.session import durable
 
-# Digits kept of a float map before its percentiles are taken: two on the 0..255 scale, four for
-# ratios. Far below one sensor count, and a frame then has few distinct values to count.
-COUNTS, RATIOS = 2, 4
+# Digits kept of a float map before its percentiles are taken, on the 0..255 scale: far below one
+# sensor count, and a frame then has few distinct values to count.
+COUNTS = 2
 
 
 @dataclass(frozen=True)

@@ -102,6 +102,17 @@ def band_summary(px: DataFrame, bands, keys=SCENE) -> DataFrame:
                                                    for i, k in enumerate(("p5", "p50", "p95"))]))
 
 
+def index_summary(px: DataFrame, keys=SCENE) -> DataFrame:
+    """Mean, population sd and the 5th, 50th and 95th percentile of NDWI, from counts of its values."""
+    h = px.groupBy(*keys, ndwi().alias("v")).agg(F.count("*").alias("n"))
+    total = F.sum("n")
+    mean = F.sum(F.col("v") * F.col("n")) / total
+    square = F.sum(F.col("v") * F.col("v") * F.col("n")) / total
+    d = h.groupBy(*keys).agg(mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("sd"),
+                             F.percentile("v", F.array(F.lit(.05), F.lit(.5), F.lit(.95)), F.col("n")).alias("_p"))
+    return d.select(*keys, "mean", "sd", *[F.col("_p")[i].alias(k) for i, k in enumerate(("p5", "p50", "p95"))])
+
+
 def index_shares(px: DataFrame, cuts=(15, 25, 35), keys=SCENE) -> DataFrame:
     """Share of positive NDWI, and of pixels in the lowest 15, 25, 35 % of the NIR range.
 

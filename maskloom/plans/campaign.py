@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.operators.evaluation import model_agreement, prediction_stats
+from maskloom.operators.neighbourhood import edge_density
 from maskloom.operators.selection import redundancy
+from maskloom.operators.statistics import band_summary, grey_entropy, histogram, index_shares, index_summary, otsu
+from maskloom.operators.tiles import SCENE
 
 
 def scene_facts(scenes: DataFrame, measured: DataFrame, auto: DataFrame, gold: DataFrame) -> DataFrame:
@@ -21,6 +24,29 @@ def scene_facts(scenes: DataFrame, measured: DataFrame, auto: DataFrame, gold: D
     return scenes.join(measured, "scene_id", "left").join(lists, "scene_id", "left")
 
 
+# Names of the descriptors on disk.
+BAND_FEATURES = {"r": "r", "g": "g", "b": "b", "th": "thermal", "nir": "nir"}
+STATISTICS = {"mean": "mean", "sd": "std", "p5": "p5", "p50": "p50", "p95": "p95"}
+
+
+def scene_features(px: DataFrame, keys=SCENE) -> DataFrame:
+    """One row of descriptors per frame: five statistics of each band and of NDWI, shares of positive NDWI
+    and dark NIR, separability of thermal, edge density and grey entropy.
+
+    Every part counts pixels per frame and value first; what is joined is one row per frame.
+    """
+    bands = band_summary(px, list(BAND_FEATURES), keys).groupBy(*keys).pivot("band", list(BAND_FEATURES)).agg(
+        *[F.first(c).alias(n) for c, n in STATISTICS.items()])
+    bands = bands.select(*keys, *[F.col(f"{b}_{n}").alias(f"{name}_{n}") for b, name in BAND_FEATURES.items() for n in STATISTICS.values()])
+    index = index_summary(px, keys).select(*keys, *[F.col(c).alias(f"ndwi_{n}") for c, n in STATISTICS.items()])
+    heat = px.select(*keys, F.greatest(F.lit(0), F.least(F.lit(255), "th")).cast("int").alias("th"))
+    apart = otsu(histogram(heat, keys, "th"), keys).select(*keys, F.col("sep").alias("thermal_otsu_sep"))
+    d = bands
+    for part in (index, index_shares(px, keys=keys), apart, edge_density(px, keys), grey_entropy(px, keys)):
+        d = d.join(part, list(keys))
+    return d
+
+
 def observations(candidates: DataFrame, labelled: DataFrame, features: DataFrame, pred: DataFrame,
                  auto: DataFrame, cost: DataFrame) -> DataFrame:
     """One row per candidate: scene features, what the model says, how far it is from the automatic
