@@ -191,6 +191,6 @@ def round_trip(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, tasks
     """
     spark = docs.sparkSession
     if not tasks:
-        tasks = tasks_for((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 4)  # tokenizing costs more than reading
+        tasks = tasks_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     write_files(docs, folder, tokenizer, end, tasks)
     return positions(keep(read_files(spark, folder), "records")).select("doc_id", "start", "n_tokens", "ids_crc32")
