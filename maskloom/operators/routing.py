@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.scalars import sha1_bucket
-from maskloom.operators.ordered import neighbours, ranked, running
+from maskloom.operators.ordered import neighbours, running
+from maskloom.operators.radix import highest_share, quantile
 
 
 def budget(n: Column | int, median_s: float, rho: float = 0.25, review_s: float = 0.0,
@@ -25,10 +26,8 @@ def budget(n: Column | int, median_s: float, rho: float = 0.25, review_s: float
 
 
 def median_seconds(rows: DataFrame, seconds: str, keys=()) -> DataFrame:
-    """Median of measured times, counted per distinct time first."""
-    c = rows.filter(F.col(seconds).isNotNull()).groupBy(*keys, seconds).agg(F.count("*").alias("n"))
-    return c.groupBy(*keys).agg(F.percentile(seconds, F.lit(0.5), F.col("n")).alias("median_s"),
-                                F.sum("n").alias("n"))
+    """Median of measured times, found by radix blocks of the distinct times."""
+    return quantile(rows, keys, seconds, 0.5, "median_s")
 
 
 def charged_seconds(scenes: DataFrame, measured: DataFrame, median_s: float) -> DataFrame:
@@ -210,14 +209,12 @@ def random_rule(key: Column, seed: int = 0) -> Column:
 
 
 def uncertainty_rule(cand: DataFrame, batch: str, frac: float, skip_confident: bool = False,
-                     scale: float = 64.0) -> DataFrame:
-    """The most uncertain share of each batch goes to a person. Batches of any size are ranked
-    block-wise by entropy."""
-    d = ranked(cand, [batch], -F.floor(F.col("entropy") * scale), [F.desc("entropy"), F.col("scene_id")],
-               "_r", "_n")
+                     tie: str = "scene_id") -> DataFrame:
+    """The most uncertain share of each batch goes to a person. Batches may be of any size and their
+    entropies of any distribution; ``cand`` is read once per level of blocks."""
+    d = highest_share(cand, [batch], "entropy", tie, frac, "_top")
     rest = SKIP if skip_confident else AUTO
-    return d.withColumn("action", F.when(F.col("_r") <= F.bround(F.col("_n") * frac, 0), MANUAL)
-                        .otherwise(rest)).drop("_r", "_n")
+    return d.withColumn("action", F.when(F.col("_top"), MANUAL).otherwise(rest)).drop("_top")
 
 
 def linear_actions(cand: DataFrame, features: list[str], auto_w: list[float], manual_w: list[float],

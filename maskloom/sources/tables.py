@@ -38,29 +38,60 @@ def upsert_manifest(old: DataFrame, new: DataFrame, key: str = "scene_dir") -> D
     return j.select(*[pick(c) for c in dict.fromkeys([*old.columns, *new.columns])])
 
 
+def _quoted_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Records of CSV files that many tasks read: ``src`` (place in ``paths``), ``file, record, text``.
+
+    Files are read as lines by byte ranges. A line starts a record where the quotes before it in its file
+    are even in number: they are counted inside each range, and a table of ranges (a row each) carries their
+    parity and the number of records on. A record's lines meet again on its number, so a record may run
+    over any number of ranges. Quotes inside a field must be doubled, which leaves the parity as it is.
+    """
+    lines = reduce(DataFrame.unionByName, [
+        spark.read.text(path, lineSep="\n").select(
+            F.lit(i).alias("src"), F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("n"), "value")
+        for i, path in enumerate(paths)])
+    at = ["src", "file", "range"]
+    inside = Window.partitionBy(*at).orderBy("n")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    odd = F.pmod(F.coalesce(F.sum("_q").over(before), F.lit(0)), F.lit(2))
+    d = lines.withColumn("_q", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    d = d.withColumn("_odd", odd).withColumns({
+        f"_starts{p}": F.sum((F.col("_odd") == p).cast("long")).over(inside) for p in (0, 1)})
+    file = Window.partitionBy("src", "file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = d.groupBy(*at).agg(F.sum("_q").alias("_t"), *[F.max(f"_starts{p}").alias(f"_m{p}") for p in (0, 1)])
+    ranges = ranges.withColumn("_open", F.pmod(F.coalesce(F.sum("_t").over(file), F.lit(0)), F.lit(2)))
+    ranges = ranges.withColumn("_m", F.when(F.col("_open") == 0, F.col("_m0")).otherwise(F.col("_m1")))
+    ranges = ranges.withColumn("_records", F.coalesce(F.sum("_m").over(file), F.lit(0)))
+    number = F.col("_records") + F.when(F.col("_open") == 0, F.col("_starts0")).otherwise(F.col("_starts1"))
+    d = d.join(ranges.select(*at, "_open", "_records"), at).withColumn("record", number)
+    parts = F.sort_array(F.collect_list(F.struct("range", "n", "value")))
+    return d.groupBy("src", "file", "record").agg(
+        F.rtrim(F.array_join(F.transform(parts, lambda x: x["value"]), "\n"), F.lit("\r")).alias("text"))
+
+
 def read_decision_log(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Log files of any age: a header may be shorter than the current one, never reordered.
 
-    ``log_pos`` follows the order of ``paths``, of file names inside a folder and of the lines of a
-    file: a file is read by one task, so the number of a row in its task grows along the file.
+    ``log_pos`` follows the order of ``paths``, of file names inside a folder and of the records of a
+    file, and is the same for any way of splitting files. All headers are checked by one job. A file is
+    split into byte ranges even if fields hold line ends; empty lines between records are left out.
     """
-    parts = []
-    for i, path in enumerate(paths):
-        head = tuple(spark.read.text(path).limit(1).first()["value"].strip().split(","))
-        if head != LOG_FIELDS[:len(head)]:
-            raise ValueError(f"{path}: columns are reordered or unknown")
-        text = T.StructType([T.StructField(c, T.StringType()) for c in head])
-        raw = spark.read.csv(path, header=True, schema=text, quote='"', escape='"', multiLine=True)
-        raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_n"))
-        files = raw.select("_file").distinct().withColumn(
-            "_rank", F.row_number().over(Window.orderBy("_file")))  # one row per file
-        at = F.lit(i << 56) + F.shiftleft(F.col("_rank").cast("long"), 33) + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
-        parts.append(raw.join(files, "_file").withColumn("log_pos", at).drop("_file", "_n", "_rank"))
-    log = blank_to_null(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+    records = _quoted_records(spark, paths)
+    heads = records.filter("record = 1").withColumn("_head", F.trim("text"))
+    known = [",".join(LOG_FIELDS[:n]) for n in range(1, len(LOG_FIELDS) + 1)]
+    bad = heads.filter(~F.col("_head").isin(known)).select("file").first()
+    if bad:
+        raise ValueError(f"{bad['file']}: columns are reordered or unknown")
+    files = heads.select("src", "file", F.row_number().over(
+        Window.partitionBy("src").orderBy("file")).alias("_rank"))  # one row per file
+    at = F.shiftleft(F.col("src").cast("long"), 56) + F.shiftleft(F.col("_rank").cast("long"), 33) + F.col("record") - 2
+    rows = records.filter((F.col("record") > 1) & (F.trim("text") != "")).join(files, ["src", "file"])
+    log = rows.select(at.alias("log_pos"), F.from_csv(
+        "text", ", ".join(f"{c} string" for c in LOG_FIELDS), {"quote": '"', "escape": '"', "multiLine": "true"}).alias("_r"))
+    log = blank_to_null(log.select("log_pos", "_r.*"))
     types = {f.name: f.dataType for f in DECISION_LOG}
-    return log.select("log_pos", *[
-        (F.col(c).try_cast(types[c]) if c in log.columns else F.lit(None).cast(types[c])).alias(c)
-        for c in LOG_FIELDS])
+    return log.select("log_pos", *[F.col(c).try_cast(types[c]).alias(c) for c in LOG_FIELDS])
 
 
 def append_decisions(rows: DataFrame, path: str, spread: int = 8) -> None:

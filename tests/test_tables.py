@@ -96,6 +96,38 @@ def test_log_positions_follow_files_and_lines(spark):
     assert got == sorted(got) and len(got) == 54
 
 
+def test_log_split_into_many_ranges_is_the_same_log(spark):
+    """Quoted line ends, doubled quotes and commas, split at places of any kind."""
+    import csv
+    import random
+    random.seed(4)
+    d = folder()
+    want = []
+    for part in ("a.csv", "b.csv"):
+        with open(f"{d}/{part}", "w", newline="") as f:
+            w = csv.writer(f, lineterminator="\n" if part == "a.csv" else "\r\n")
+            w.writerow(LOG_FIELDS[:20])
+            for i in range(300):
+                note = "".join(random.choice(['\n', '"', ',', 'ab', '\n\n', ' ', 'x']) for _ in range(random.randint(0, 30)))
+                w.writerow(["2024-05-01T10:00:00", f"{part}-{i:03d}", f"s{note}e", *[""] * 17])
+                want.append((f"{part}-{i:03d}", f"s{note}e"))
+            f.write("\n")
+    scene = LOG_FIELDS[2]
+    whole = TB.read_decision_log(spark, [d]).select("log_pos", "annotator", scene).orderBy("log_pos").collect()
+    assert [(r["annotator"], r[scene]) for r in whole] == want
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1700")
+        lines = TB._quoted_records(spark, [d])
+        assert spark.read.text(d).rdd.getNumPartitions() >= 16 and lines.count() >= 602
+        split = TB.read_decision_log(spark, [d]).select("log_pos", "annotator", scene).orderBy("log_pos").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert split == whole
+
+
 def test_scene_in_both_eval_sets_is_an_error(spark):
     d = folder()
     with open(f"{d}/e.csv", "w") as f:
