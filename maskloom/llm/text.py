@@ -9,7 +9,7 @@ import types
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -164,11 +164,13 @@ class ChunkEncoder:
         self.model, self.shape, self.tails = self.tokenizer.model, None, {}
         for shape in ("as it is", "lower"):
             self.shape = shape
+            self.known.clear()
             got = [self._word(p) for p in _PROBES]
             if sum(g is not None for g in got) > 8 and all(g is None or g == self._whole([p])[0] for p, g in zip(_PROBES, got)):
                 break
         else:
             self.shape = None
+        self.known.clear()
 
     @staticmethod
     def of(path: str) -> "ChunkEncoder":
@@ -178,25 +180,29 @@ class ChunkEncoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _word(self, chunk: str) -> bytes | None:
-        """Ids of a chunk that is a plain word; None if it is not."""
+        """Ids of a chunk that is a plain word; None if it is not. A word before punctuation is kept by itself."""
         found = _PLAIN(chunk)
         if not found:
             return None
         space, core, tail = found.groups()
+        if tail:
+            head = space + core
+            ids = self.known.get(head) or self._word(head)
+            if ids is None:
+                return None
+            self.known[head] = ids
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self._whole([tail])[0]
+            return ids + self.tails[tail]
         if self.shape == "lower":
             core, space = core.lower(), ""
         if not core.isascii():
             if not core.isalpha() or not unicodedata.is_normalized("NFC", core):
                 return None
             core = core.encode().decode("latin-1").translate(_SHOWN)
-        ids = array("I", [t.id for t in self.model.tokenize(_SHOWN[32] + core if space else core)]).tobytes()
-        if not tail:
-            return ids
-        if tail not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails.clear()
-            self.tails[tail] = self._whole([tail])[0]
-        return ids + self.tails[tail]
+        return array("I", [t.id for t in self.model.tokenize(_SHOWN[32] + core if space else core)]).tobytes()
 
     def _learn(self, chunks) -> dict[str, bytes]:
         """Encode what is not known yet; returns the chunks that are too long to keep."""
@@ -222,7 +228,7 @@ class ChunkEncoder:
         known = self.known
         if long:
             return b"".join([long[c] if c in long else known[c] for c in run])
-        return b"".join([known[c] for c in run])
+        return b"".join(map(known.__getitem__, run))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
@@ -232,7 +238,7 @@ class ChunkEncoder:
 
         def flush() -> None:
             nonlocal held
-            long = self._learn(c for run in few for c in run)
+            long = self._learn(chain.from_iterable(few))
             out.extend(self._joined(run, long) for run in few)
             few.clear()
             held = 0
