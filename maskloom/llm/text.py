@@ -253,7 +253,7 @@ class ChunkEncoder:
                 continue
             few.append(_CHUNK.findall(text) if text else [])
             held += len(text or "")
-            if held > 1_000_000:
+            if held > 4_000_000:
                 flush()
         flush()
         return out
