@@ -169,3 +169,15 @@ def test_lovasz_matches_sorted_sum(spark):
             prev = j
         total.append(loss)
     assert got == pytest.approx(sum(total) / 2)
+
+
+def test_forced_rows_need_no_rounds(spark, capsys):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("S", i, t0 + dt.timedelta(hours=i), float(i * 7 % 11), float(i % 5), int(i < 40), 42) for i in range(50)]
+    d = spark.createDataFrame(rows, "session string, pos long, ts timestamp_ntz, f1 double, f2 double, forced int, quota int")
+    p = C.farthest_points(d, ["session"], ["f1", "f2"])
+    ranks = [r["pos"] for r in p.orderBy("rank").collect()]
+    assert ranks[:40] == list(range(40)) and len(ranks) == 42
+    p.explain("extended")
+    # One window per pick that is left, as forced rows are picks already.
+    assert capsys.readouterr().out.split("== Physical Plan ==")[0].count("max_by(") < 42
