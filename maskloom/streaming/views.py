@@ -258,8 +258,9 @@ def throughput(decisions: DataFrame, length: str, slide: str | None = None,
     w = F.window("_t", length, slide) if slide else F.window("_t", length)
     counts = d.groupBy(w, "route", "active_seconds").agg(F.count("*").alias("n"))
     pairs = F.array_sort(F.collect_list(F.when(F.col("active_seconds").isNotNull(), F.struct(F.col("active_seconds").alias("v"), "n"))))
-    s = counts.groupBy("window", "route").agg(F.sum("n").alias("decisions"), pairs.alias("_p"))
-    half = F.aggregate("_p", F.lit(0).cast("long"), lambda a, p: a + p["n"]) / 2
+    known = F.coalesce(F.sum(F.when(F.col("active_seconds").isNotNull(), F.col("n"))), F.lit(0))
+    s = counts.groupBy("window", "route").agg(F.sum("n").alias("decisions"), known.alias("_known"), pairs.alias("_p"))
+    half = F.col("_known") / 2  # a column: a sum over the list would be taken again for each of its values
     start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
     median = F.aggregate("_p", start, lambda a, p: F.struct(
         (a["seen"] + p["n"]).alias("seen"), F.when(a["seen"] >= half, a["v"]).otherwise(p["v"].cast("double")).alias("v")), lambda a: a["v"])

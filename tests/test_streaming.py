@@ -175,3 +175,13 @@ def test_medians_are_exact_for_many_values(spark):
     assert [tuple(r) for r in V.throughput(d, "1 day").select("decisions", "median_seconds").collect()] == [(n, 15000.0)]
     none = d.limit(3).withColumn("active_seconds", F.lit(None).cast("double"))
     assert V.throughput(none, "1 day").first().median_seconds is None
+
+
+def test_throughput_sums_a_window_once(spark, capsys):
+    """A sum inside the walk over a window's values would be taken again for each of them."""
+    rows = [(dt.datetime(2024, 1, 1), "a", v) for v in (3.0, 1.0, 2.0, 2.0, None)] + [(dt.datetime(2024, 1, 2), "a", None)]
+    t = V.throughput(spark.createDataFrame(rows, "ts timestamp_ntz, route string, active_seconds double"), "1 day")
+    assert [(r["decisions"], r["median_seconds"]) for r in t.orderBy("start").collect()] == [(5, 2.0), (1, None)]
+    t.explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("aggregate(") == 1
