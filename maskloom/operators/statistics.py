@@ -40,20 +40,20 @@ def exact_percentiles(df: DataFrame, keys, value, qs: dict[str, float],
 
 
 def moments(hist: DataFrame, keys) -> DataFrame:
-    """Exact mean and population sd from a histogram."""
+    """Exact mean and population sd from a histogram; nulls are no values."""
     v = F.col("v").cast("long")
-    s = hist.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(v * F.col("n")).alias("_s"),
+    s = hist.groupBy(*keys).agg(F.sum(F.when(v.isNotNull(), F.col("n"))).alias("n"), F.sum(v * F.col("n")).alias("_s"),
                                 F.sum(v * v * F.col("n")).alias("_q"))
     mean = F.col("_s") / F.col("n")
     var = F.greatest(F.col("_q") / F.col("n") - mean * mean, F.lit(0.0))
-    return s.select(*keys, "n", mean.alias("mean"), F.sqrt(var).alias("sd"))
+    return s.select(*keys, "n", mean.alias("mean"), F.when(mean.isNotNull(), F.sqrt(var)).alias("sd"))
 
 
 def discrete_percentiles(hist: DataFrame, keys, qs: dict[str, float]) -> DataFrame:
     """First value whose cumulative count reaches ``q`` of all. Windows hold 256 rows per key."""
     w = Window.partitionBy(*keys)
-    run = hist.withColumn("_c", F.sum("n").over(w.orderBy("v"))).withColumn(
-        "_t", F.sum("n").over(w))
+    n = F.sum(F.when(F.col("v").isNotNull(), F.col("n")))
+    run = hist.withColumn("_c", n.over(w.orderBy("v"))).withColumn("_t", n.over(w))
     return run.groupBy(*keys).agg(
         *[F.min(F.when(F.col("_c") >= F.col("_t") * q, F.col("v"))).alias(k)
           for k, q in qs.items()])
@@ -105,10 +105,10 @@ def band_summary(px: DataFrame, bands, keys=SCENE) -> DataFrame:
 def index_summary(px: DataFrame, keys=SCENE) -> DataFrame:
     """Mean, population sd and the 5th, 50th and 95th percentile of NDWI, from counts of its values."""
     h = px.groupBy(*keys, ndwi().alias("v")).agg(F.count("*").alias("n"))
-    total = F.sum("n")
+    total = F.sum(F.when(F.col("v").isNotNull(), F.col("n")))
     mean = F.sum(F.col("v") * F.col("n")) / total
     square = F.sum(F.col("v") * F.col("v") * F.col("n")) / total
-    d = h.groupBy(*keys).agg(mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("sd"),
+    d = h.groupBy(*keys).agg(mean.alias("mean"), F.when(mean.isNotNull(), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))).alias("sd"),
                              F.percentile("v", F.array(F.lit(.05), F.lit(.5), F.lit(.95)), F.col("n")).alias("_p"))
     return d.select(*keys, "mean", "sd", *[F.col("_p")[i].alias(k) for i, k in enumerate(("p5", "p50", "p95"))])
 
@@ -119,13 +119,14 @@ def index_shares(px: DataFrame, cuts=(15, 25, 35), keys=SCENE) -> DataFrame:
     Counted per NIR value first, so the range and the shares come from one pass over pixels.
     """
     h = px.groupBy(*keys, F.col("nir").alias("v")).agg(
-        F.count("*").alias("n"), F.sum(F.when(ndwi() > 0, 1).otherwise(0)).alias("pos"))
+        F.count("*").alias("n"), F.sum((ndwi() > 0).cast("int")).alias("pos"), F.count(ndwi()).alias("known"))
     w = Window.partitionBy(*keys)
     lo, hi = F.min("v").over(w), F.max("v").over(w)
     scaled = h.withColumn("_u", (F.col("v") - lo) / (hi - lo + F.lit(1e-6)))
+    there = F.when(F.col("_u").isNotNull(), F.col("n"))  # pixels without NIR count nowhere
     return scaled.groupBy(*keys).agg(
-        (F.sum("pos") / F.sum("n")).alias("ndwi_pos_frac"),
-        *[(F.sum(F.when(F.col("_u") < c / 100, F.col("n")).otherwise(0)) / F.sum("n"))
+        F.try_divide(F.sum("pos"), F.sum("known")).alias("ndwi_pos_frac"),
+        *[(F.sum(F.when(F.col("_u") < c / 100, there).otherwise(there * 0)) / F.sum(there))
           .alias(f"nir_dark_frac_{c}") for c in cuts])
 
 
