@@ -80,7 +80,8 @@ def filter_tiles(df: DataFrame, chain: Callable[[Planes], Planes], reads: list[s
         out = rows.select(keep).filter(pa.array(own))
         for k, t in writes.items():
             v = planes[k][at]
-            out = out.append_column(k, pa.array(v) if t == "double" else pa.array(v.astype(np.int32)))
+            none = np.isnan(v) if v.dtype.kind == "f" else np.zeros(len(v), bool)  # a missing value was met
+            out = out.append_column(k, pa.array(v if t == "double" else np.where(none, 0, v).astype(np.int32), mask=none))
         return out
 
     return _with_halo(d, halo, tile).groupBy(*keys, "_ty", "_tx").applyInArrow(run, schema)
