@@ -39,7 +39,7 @@ def scene_features(px: DataFrame, keys=SCENE) -> DataFrame:
         *[F.first(c).alias(n) for c, n in STATISTICS.items()])
     bands = bands.select(*keys, *[F.col(f"{b}_{n}").alias(f"{name}_{n}") for b, name in BAND_FEATURES.items() for n in STATISTICS.values()])
     index = index_summary(px, keys).select(*keys, *[F.col(c).alias(f"ndwi_{n}") for c, n in STATISTICS.items()])
-    heat = px.select(*keys, F.greatest(F.lit(0), F.least(F.lit(255), "th")).cast("int").alias("th"))
+    heat = px.select(*keys, F.when(F.col("th").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(255), "th"))).cast("int").alias("th"))
     apart = otsu(histogram(heat, keys, "th"), keys).select(*keys, F.col("sep").alias("thermal_otsu_sep"))
     d = bands
     for part in (index, index_shares(px, keys=keys), apart, edge_density(px, keys), grey_entropy(px, keys)):
