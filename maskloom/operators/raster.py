@@ -13,17 +13,22 @@ from maskloom.operators.tiles import SCENE, filter_tiles, join_scene_stats, with
 from maskloom.schemas import BANDS, IGNORE, MODALITIES, REPLACED_OPTICS, WATER
 
 
-def complete_bands(px: DataFrame, strict: bool = False) -> DataFrame:
-    """Missing bands become 0, or an error when ``strict``."""
+def complete_bands(px: DataFrame, strict: bool = False, depth: Column | None = None) -> DataFrame:
+    """Missing bands become 0, or an error when ``strict``.
 
-    def fix(b: str) -> Column:
+    ``depth`` is the number of bands that a frame's raster has: the bands after them are missing, and null
+    values of the others stay. Without it every null value is of a missing band.
+    """
+
+    def fix(i: int, b: str) -> Column:
         if b not in px.columns:
             return F.raise_error(F.lit(f"band {b} is missing")).cast("int") if strict else F.lit(0)
         bad = F.raise_error(F.concat(F.lit(f"band {b} is missing in scene "),
                                      F.col("scene_id").cast("string"))).cast("int")
-        return F.coalesce(F.col(b), bad if strict else F.lit(0))
+        lacks = F.col(b).isNull() if depth is None else depth <= i
+        return F.when(lacks, bad if strict else F.lit(0)).otherwise(F.col(b))
 
-    return px.withColumns({b: fix(b) for b in BANDS})
+    return px.withColumns({b: fix(i, b) for i, b in enumerate(BANDS)})
 
 
 def modality(px: DataFrame, name: str, replacement: DataFrame | None = None) -> DataFrame:
