@@ -210,7 +210,7 @@ def s3(spark, sf):
     p = D.px(spark, sf)
     rows = p.groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "th"))).alias("c"))
     text = F.concat(F.lit("P2\n# raw counts\n8 8\n620\n"), F.array_join(
-        F.transform("c", lambda c: (c["th"] * 2).cast("string")), " "))
+        F.transform("c", lambda c: F.coalesce((c["th"] * 2).cast("string"), F.lit("-"))), " "))
     path = scratch(spark, "pgm")
     rows.select("scene_id", text.alias("value")).repartition("scene_id").write.partitionBy("scene_id").text(path)
     d = SC.read_thermal(spark, f"{path}/*/*.txt")
