@@ -27,7 +27,8 @@ def seed_regions(tiles: DataFrame, seeds: DataFrame, value: str, tolerance: floa
     """``keys, seed, level, comp, area`` of each seed, and ``keys, level, comp, y, x`` of the regions' pixels.
 
     ``seeds`` has ``keys, seed, y, x``. ``level`` is the value under the seed and ``comp`` the region's
-    first pixel, ``y * w + x``. Seeds outside of the frames are left out.
+    first pixel, ``y * w + x``. Seeds outside of the frames are left out; one on a missing value has the
+    level NaN and a region of its own pixel alone.
     """
     def values(p, at, row):
         return {"found": [{**s, "level": float(p[value][s["y"] - at.y0, s["x"] - at.x0])} for s in row["seeds"]
@@ -38,7 +39,9 @@ def seed_regions(tiles: DataFrame, seeds: DataFrame, value: str, tolerance: floa
                           F.expr(f"int(x div {tile})").alias("tx"))
     under = A.map_tiles(tiles.join(_per_tile(placed, keys), [*keys, "ty", "tx"]), values, [value],
                         {"found": f"array<struct<seed:{seed_type},y:int,x:int,level:double>>"}, keys, tile)
-    under = durable(under.select(*keys, "ty", "tx", F.explode("found").alias("s")).select(*keys, "ty", "tx", "s.*"))
+    under = durable(under.select(*keys, "w", "ty", "tx", F.explode("found").alias("s")).select(*keys, "w", "ty", "tx", "s.*"))
+    alone = under.filter(F.isnan("level")).withColumn("comp", F.col("y").cast("long") * F.col("w") + F.col("x"))
+    under = under.filter(~F.isnan("level")).drop("w")
     levels = durable(under.groupBy(*keys).agg(F.collect_set("level").alias("levels")))  # values of a frame
 
     at_level = [*keys, "level"]
@@ -64,11 +67,12 @@ def seed_regions(tiles: DataFrame, seeds: DataFrame, value: str, tolerance: floa
         F.collect_list("comp").alias("wanted"))  # regions of a tile
     planes = A.map_tiles(lab.join(wanted, here), of_seeds, ["labels"], {"comp": "binary"}, at_level, tile)
     pixels = A.unpack(planes, {"comp": "bigint"}, at_level, tile).filter("comp >= 0").select(*at_level, "comp", "y", "x")
-    return found, pixels
+    return (found.unionByName(alone.select(*at_level, "seed", "comp", F.lit(1).cast("long").alias("area"))),
+            pixels.unionByName(alone.select(*at_level, "comp", "y", "x").distinct()))
 
 
 def _pixels_of_seeds(df: DataFrame, seeds: DataFrame, value: str, tolerance: float, keys, tile: int) -> DataFrame:
-    tiles = durable(A.pack(df, [value], keys, tile))
+    tiles = durable(A.pack(df, [value], keys, tile, gaps=True))
     found, pixels = seed_regions(tiles, seeds, value, tolerance, keys, tile)
     return found.join(pixels, [*keys, "level", "comp"]).select(*keys, "seed", "y", "x")
 
