@@ -56,9 +56,9 @@ class FusionParams:
     shiny_prob: float = 0.85
 
 
-def packed(px: DataFrame, bands, keys=SCENE, tile: int = TILE) -> DataFrame:
+def packed(px: DataFrame, bands, keys=SCENE, tile: int = TILE, gaps: bool = False) -> DataFrame:
     """Tile arrays of a pixel table, written once: labellers read them more than once."""
-    return durable(pack(px, bands, keys, tile))
+    return durable(pack(px, bands, keys, tile, gaps))
 
 
 def _bounds(counts: DataFrame, bands, keys) -> DataFrame:
@@ -159,7 +159,7 @@ def flat_nir_scenes(px: DataFrame, keys=SCENE) -> DataFrame:
 
 def thermal_otsu(px: DataFrame, keys=SCENE, tile: int = TILE) -> DataFrame:
     """Water is below the Otsu cut of both the thermal and the NIR band."""
-    return unpack(TL.thermal_otsu(packed(px, ("th", "nir"), keys, tile=tile), keys, tile), {"m": "int"}, keys, tile)
+    return unpack(TL.thermal_otsu(packed(px, ("th", "nir"), keys, tile=tile, gaps=True), keys, tile), {"m": "int"}, keys, tile)
 
 
 def sibling_frames(scenes: DataFrame, k: int = 6, at_least: int = 3) -> DataFrame:
