@@ -114,9 +114,9 @@ def export_splits(items: DataFrame, evals: DataFrame, val: float = 0.2,
 
 
 def positional_split(manifest: DataFrame, val: float = 0.2, pos: str = "pos",
-                     block: int = 1 << 16) -> DataFrame:
-    """Last ``max(1, round(n * val))`` rows by position validate; one row alone trains."""
-    d = ranked(manifest, [], F.floor(F.col(pos) / block), [F.col(pos)], "_r", "_n")
+                     block: int = 1 << 16, tie: str = "scene_dir") -> DataFrame:
+    """Last ``max(1, round(n * val))`` rows by position, then ``tie``, validate; one row alone trains."""
+    d = ranked(manifest, [], F.floor(F.col(pos) / block), [F.col(pos), F.col(tie)], "_r", "_n")
     k = F.when(F.col("_n") > 1, F.greatest(F.lit(1), F.bround(F.col("_n") * val, 0))).otherwise(0)
     return d.withColumn("split", F.when(F.col("_r") > F.col("_n") - k, "val")
                         .otherwise("train")).drop("_r", "_n")

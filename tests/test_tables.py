@@ -207,3 +207,11 @@ def test_model_metadata(spark):
     assert bad == ["normalization.unknown"]
     bad = V.registry_problems(registry(spark, norm_mean="[1,2]", resize_interpolation="cubic")).first()["problems"]
     assert bad == ["resize_interpolation.unknown", "norm_mean.count"]
+
+
+def test_rows_of_one_position_split_by_name(spark):
+    rows = [(f"s{i:02}", i // 10) for i in range(40)]
+    for order in (rows, rows[::-1], rows[1::2] + rows[::2]):
+        d = spark.createDataFrame(order, "scene_dir string, pos long").repartition(3)
+        got = {r["scene_dir"] for r in L.positional_split(d, 0.1, block=2).filter("split = 'val'").collect()}
+        assert got == {"s36", "s37", "s38", "s39"}
