@@ -181,3 +181,43 @@ def test_forced_rows_need_no_rounds(spark, capsys):
     p.explain("extended")
     # One window per pick that is left, as forced rows are picks already.
     assert capsys.readouterr().out.split("== Physical Plan ==")[0].count("max_by(") < 42
+
+
+def test_every_frame_is_a_candidate(spark):
+    """An odd frame is proposed wherever it lies, also between the ranks of an even spread of 60."""
+    t0 = dt.datetime(2024, 1, 1)
+    odd = min(set(range(200)) - {round(i * 199 / 59) for i in range(60)})
+    rows = [("visit", k, f"f{k}", t0 + dt.timedelta(minutes=k), "", False, 9.0 if k == odd else k % 3 / 10, 0.0) for k in range(200)]
+    f = spark.createDataFrame(rows, "session string, pos long, stem string, ts timestamp_ntz, placement string, labelled boolean, f1 double, f2 double")
+    plan = spark.createDataFrame([(0, "pool", "visit", 2)], "ord int, set string, session string, want int")
+    got = C.propose(plan, f, f.limit(0).select("session", "ts"), ["f1", "f2"], []).collect()
+    assert len(got) == 3 and odd in {r["pos"] for r in got}
+
+
+def test_picks_of_many_rounds_equal_brute_force(spark):
+    random.seed(7)
+    t0, want = dt.datetime(2024, 1, 1), 2 * C.PICKS_AT_ONCE + 3
+    rows = [(s, i, t0 + dt.timedelta(minutes=random.randint(0, 9000)), random.randint(0, 40) / 10, random.random(),
+             int(s == "b" and i % 40 == 0 or s == "c"), want) for s, n in (("a", 150), ("b", 90), ("c", want + 5)) for i in range(n)]
+    d = spark.createDataFrame(rows, "session string, pos long, ts timestamp_ntz, f1 double, f2 double, forced int, quota int")
+    got = {}
+    for r in C.farthest_points(d, ["session"], ["f1", "f2"], gap_s=600).orderBy("session", "rank").collect():
+        got.setdefault(r["session"], []).append((r["rank"], r["pos"]))
+    for s in "abc":
+        own = [r for r in rows if r[0] == s]
+        mean = [sum(r[k] for r in own) / len(own) for k in (3, 4)]
+        sd = [(sum((r[k] - m) ** 2 for r in own) / len(own)) ** 0.5 for k, m in zip((3, 4), mean)]
+        z = {r[1]: [round((r[k] - m) / (v + 1e-9), 6) for k, m, v in zip((3, 4), mean, sd)] for r in own}
+        at = {r[1]: r[2] for r in own}
+        picks = [r[1] for r in sorted((r for r in own if r[5]), key=lambda r: (r[2], r[1]))]
+        left = [r[1] for r in own if not r[5]]
+
+        def far(p):
+            return min(round(sum((x - y) ** 2 for x, y in zip(z[p], z[q])), 6) for q in picks) if picks else -round(sum(x * x for x in z[p]), 6)
+
+        while len(picks) < want:
+            free = [p for p in left if (not picks or far(p) > 0) and all(abs((at[p] - at[q]).total_seconds()) >= 600 for q in picks)]
+            if not free:
+                break
+            picks.append(min(free, key=lambda p: (-far(p), at[p], p)))
+        assert got[s] == list(enumerate(picks, 1))
